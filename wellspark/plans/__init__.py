@@ -5,7 +5,7 @@ from __future__ import annotations
 import importlib
 
 # modules contributing QUERIES / ORACLES dicts
-_MODULES = ("basic",)
+_MODULES = ("basic", "nutrition")
 
 
 def _load():
