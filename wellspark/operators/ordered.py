@@ -97,3 +97,38 @@ def row_number_across_buckets(
         .withColumn(out, (F.col("__rn_in") + F.col("__offset")).cast("long"))
         .drop("__rn_in", "__offset", b)
     )
+
+
+def lead_across_buckets(
+    df: DataFrame,
+    keys: Sequence[str],
+    order: Sequence[str],
+    values: Sequence[str],
+    prefix: str = "next_",
+    bucket: Column | None = None,
+) -> DataFrame:
+    """``lead(v) over (partition by keys order by order)`` for each ``v`` in ``values``, with bucket-local windows.
+
+    The last row of a bucket takes the first row of the nearest later non-empty bucket of the same key.
+    Output columns: ``<prefix><v>``.
+    """
+    keys, order, values = list(keys), list(order), list(values)
+    b = "__bucket"
+    df = df.withColumn(b, bucket if bucket is not None else day_bucket(order[0]))
+    w_in = Window.partitionBy(*keys, b).orderBy(*_cols(order))
+    df = df.withColumns({f"__n_{v}": F.lead(v).over(w_in) for v in values}).withColumn(
+        "__last_in", F.row_number().over(w_in.orderBy(*[F.col(c).desc() for c in order])) == 1
+    )
+    first = df.groupBy(*keys, b).agg(
+        F.min_by(F.struct(*[F.col(v) for v in values]), F.struct(*_cols(order))).alias("__first")
+    )
+    first = first.withColumn(
+        "__next_first", F.lead("__first").over(Window.partitionBy(*keys).orderBy(b))
+    ).select(*keys, b, "__next_first")
+    joined = df.join(first, on=[*keys, b], how="left")
+    return joined.withColumns(
+        {
+            f"{prefix}{v}": F.when(F.col("__last_in"), F.col(f"__next_first.{v}")).otherwise(F.col(f"__n_{v}"))
+            for v in values
+        }
+    ).drop("__last_in", "__next_first", b, *[f"__n_{v}" for v in values])
