@@ -27,12 +27,13 @@ Layer = tuple[np.ndarray, np.ndarray]  # (weights out x in, bias out)
 
 
 def seeded_layers(sizes: Sequence[int], seed: int) -> list[Layer]:
-    """Deterministic test weights: multiples of 1/8 in [-0.25, 0.25] (exact in binary, so SQL oracles agree)."""
+    """Deterministic test weights: multiples of 1/8 in [-0.25, 0.25], biases multiples of 1/256 (exact in
+    binary, so SQL oracles agree)."""
     rng = np.random.default_rng(seed)
     layers = []
     for n_in, n_out in zip(sizes[:-1], sizes[1:]):
         w = rng.integers(-2, 3, size=(n_out, n_in)).astype(np.float64) / 8.0
-        b = rng.integers(-2, 3, size=n_out).astype(np.float64) / 8.0
+        b = rng.integers(-2, 3, size=n_out).astype(np.float64) / 256.0
         layers.append((w, b))
     return layers
 

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from wellspark.operators import scoring as sc
 from wellspark.sources.tables import table
 
-ENCODER_SEED, HEAD_SEED = 7, 11
+ENCODER_SEED, HEAD_SEED = 1, 2
 ENCODER = sc.seeded_layers(sc.ENCODER_SIZES, ENCODER_SEED)
 HEAD = sc.seeded_layers(sc.HEAD_SIZES, HEAD_SEED)
 
