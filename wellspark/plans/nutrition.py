@@ -18,11 +18,16 @@ CHUNK_FOODS = 64  # max foods folded per nested document when documents are buil
 
 
 def foods(spark: SparkSession, sf_dir: str) -> DataFrame:
-    li = table(spark, sf_dir, "lineitem")
+    return foods_of(table(spark, sf_dir, "lineitem")).drop("l_shipdate")
+
+
+def foods_of(li: DataFrame) -> DataFrame:
+    """Per-food nutrient values of line items (batch or streaming input)."""
     q, ep, d, t = (F.col(c) for c in ("l_quantity", "l_extendedprice", "l_discount", "l_tax"))
     return li.select(
         "l_orderkey",
         "l_linenumber",
+        "l_shipdate",
         round2(ep / F.lit(100.0)).alias("nf_calories"),
         round2(q * F.lit(0.5)).alias("nf_total_fat"),
         round2(q * d * F.lit(2.0)).alias("nf_saturated_fat"),
