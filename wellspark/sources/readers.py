@@ -20,7 +20,7 @@ from wellspark.sources import schemas as S
 PATH_KEYS = r".*/([^/]+)/([^/]+)/[^/]+$"
 
 
-def _csv(spark: SparkSession, schema: T.StructType, path: str, streaming: bool = False):
+def _csv(spark: SparkSession, schema: T.StructType, path, streaming: bool = False):
     reader = spark.readStream if streaming else spark.read
     return (
         reader.schema(schema)
@@ -31,6 +31,29 @@ def _csv(spark: SparkSession, schema: T.StructType, path: str, streaming: bool =
     )
 
 
+def _csv_by_name(spark: SparkSession, path, keep: Sequence[str], types: T.StructType, streaming: bool = False):
+    """Read CSV files whose header carries more columns than needed; keep ``keep`` by name (like ``usecols``) and
+    cast them to the declared types. All columns are read as text first (the header of the first file gives the
+    names; ``enforceSchema=false`` makes every other file's header be checked against it, so a file with a
+    different column order fails instead of being silently mis-mapped)."""
+    header = spark.read.option("header", "true").csv(path).schema.fieldNames()
+    missing = [c for c in keep if c not in header]
+    if missing:
+        raise ValueError(f"columns {missing} not in CSV header {header}")
+    reader = spark.readStream if streaming else spark.read
+    df = (
+        reader.schema(S.all_string(header))
+        .option("header", "true")
+        .option("enforceSchema", "false")
+        .option("nullValue", S.MISSING)
+        .csv(path)
+    )
+    casts = {f.name: f.dataType for f in types.fields}
+    return df.select(
+        "_metadata", *[F.nullif(F.col(c), F.lit("")).cast(casts[c]).alias(c) if c in casts else F.col(c) for c in keep]
+    )
+
+
 def _with_path_keys(df: DataFrame) -> DataFrame:
     p = F.col("_metadata.file_path")
     return df.withColumns(
@@ -48,7 +71,8 @@ def read_daily_sleep(
     spark: SparkSession, root: str = S.DEFAULT_DATA_DIR, users: Sequence[str] | None = None, streaming: bool = False
 ) -> DataFrame:
     """Kept sleep columns renamed, seven durations in minutes, ``date`` as DateType, plus user/device keys."""
-    raw = _csv(spark, S.SLEEP_RAW_SCHEMA, _device_glob(root, S.SLEEP_DEVICE, S.SLEEP_FILE, users), streaming)
+    path = _device_glob(root, S.SLEEP_DEVICE, S.SLEEP_FILE, users)
+    raw = _csv_by_name(spark, path, S.SLEEP_RAW, S.SLEEP_RAW_SCHEMA, streaming)
     df = _with_path_keys(raw).select("user_id", "device", *S.SLEEP_RAW)
     df = df.toDF("user_id", "device", *S.SLEEP_NAMES).withColumn("date", sel.parse_day("date"))
     return sel.seconds_to_minutes(df, S.SLEEP_SECONDS)
@@ -58,7 +82,8 @@ def read_daily_activity(
     spark: SparkSession, root: str = S.DEFAULT_DATA_DIR, users: Sequence[str] | None = None, streaming: bool = False
 ) -> DataFrame:
     """Kept activity columns renamed (names as in the reference), ``date`` as DateType."""
-    raw = _csv(spark, S.ACTIVITY_RAW_SCHEMA, _device_glob(root, S.ACTIVITY_DEVICE, S.ACTIVITY_FILE, users), streaming)
+    path = _device_glob(root, S.ACTIVITY_DEVICE, S.ACTIVITY_FILE, users)
+    raw = _csv_by_name(spark, path, S.ACTIVITY_RAW, S.ACTIVITY_RAW_SCHEMA, streaming)
     df = _with_path_keys(raw).select("user_id", "device", *S.ACTIVITY_RAW)
     return df.toDF("user_id", "device", *S.ACTIVITY_NAMES).withColumn("date", sel.parse_day("date"))
 
@@ -67,7 +92,8 @@ def read_ppg(
     spark: SparkSession, root: str = S.DEFAULT_DATA_DIR, users: Sequence[str] | None = None, streaming: bool = False
 ) -> DataFrame:
     """S3: PPG samples; ``date`` = epoch-ms ``timestamp`` as a timestamp; ``sample_no`` keeps file order (Q25)."""
-    raw = _csv(spark, S.PPG_RAW_SCHEMA, _device_glob(root, S.PPG_DEVICE, S.PPG_FILE, users), streaming)
+    raw = _csv_by_name(spark, _device_glob(root, S.PPG_DEVICE, S.PPG_FILE, users), S.PPG_RAW, S.PPG_RAW_SCHEMA,
+                       streaming)
     df = _with_path_keys(raw)
     if not streaming:
         df = df.withColumn("sample_no", F.monotonically_increasing_id())
