@@ -15,6 +15,8 @@ from collections.abc import Sequence
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 # ---------------------------------------------------------------------------------------------------------
 # Fixed method constants.
@@ -70,30 +72,42 @@ def detect_peaks(signal: np.ndarray, hz: float = SAMPLING_HZ) -> np.ndarray:
     return np.asarray(peaks, dtype=np.int64)
 
 
+def _peak_arrays(signals: pd.Series, hz: float) -> pd.Series:
+    return pd.Series([detect_peaks(np.asarray(v, dtype=np.float64), hz) for v in signals])
+
+
 def peaks_per_chunk(
     samples: DataFrame, group: Sequence[str], order: str, signal: str, hz: float = SAMPLING_HZ
 ) -> DataFrame:
     """One row per detected peak: group columns, ``peak_no``, ``sample_index`` (row within the chunk,
-    ordered by ``order``), ``peak_ms`` (time since chunk start) and ``rate_bpm`` (instantaneous rate)."""
+    ordered by ``order``), ``peak_ms`` (time since chunk start) and ``rate_bpm`` (instantaneous rate).
+
+    Each chunk (at most 1200 samples, so a bounded group) is gathered into one ordered array; a scalar pandas
+    UDF then runs the detector over whole Arrow batches of chunks - one Python call per batch, not per chunk.
+    """
     group = list(group)
-    schema = ", ".join(f"{n} {t}" for n, t in samples.select(*group).dtypes)
-    schema += ", peak_no long, sample_index long, peak_ms double, rate_bpm double"
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(order, kind="stable")
-        idx = detect_peaks(pdf[signal].to_numpy(dtype=np.float64), hz)
-        ms = idx * 1000.0 / hz
-        rate = np.full(len(idx), np.nan)
-        if len(idx) > 1:
-            rate[1:] = 60000.0 / np.diff(ms)
-        out = pd.DataFrame({c: [pdf[c].iloc[0]] * len(idx) for c in group})
-        out["peak_no"] = np.arange(len(idx), dtype=np.int64)
-        out["sample_index"] = idx
-        out["peak_ms"] = ms
-        out["rate_bpm"] = rate
-        return out
 
-    return samples.select(*group, order, signal).groupBy(*group).applyInPandas(run, schema)
+    @F.pandas_udf(T.ArrayType(T.LongType()))
+    def detect(signals: pd.Series) -> pd.Series:
+        return _peak_arrays(signals, hz)
+
+    chunks = samples.groupBy(*group).agg(
+        F.transform(
+            F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), F.col(signal).alias("v")))),
+            lambda x: x["v"],
+        ).alias("__sig")
+    )
+    found = chunks.select(*group, F.posexplode(detect("__sig")).alias("peak_no", "sample_index"))
+    ms = F.col("sample_index") * F.lit(1000.0 / hz)
+    from pyspark.sql import Window
+
+    w = Window.partitionBy(*group).orderBy("peak_no")  # bounded: the peaks of one chunk
+    return found.select(
+        *group,
+        F.col("peak_no").cast("long").alias("peak_no"),
+        F.col("sample_index").cast("long").alias("sample_index"),
+        ms.alias("peak_ms"),
+    ).withColumn("rate_bpm", F.try_divide(F.lit(60000.0), F.col("peak_ms") - F.lag("peak_ms").over(w)))
 
 
 def tinn(rr: np.ndarray) -> float:
@@ -157,32 +171,40 @@ def band_powers(rr: np.ndarray) -> dict[str, float]:
 FREQ_COLUMNS = ("HRV_TINN", "HRV_LF", "HRV_HF", "HRV_VHF", "HRV_LFHF", "HRV_LFn", "HRV_HFn", "HRV_LnHF")
 
 
+def _freq_row(ms: np.ndarray) -> dict:
+    ms = np.sort(np.asarray(ms, dtype=np.float64))
+    rr = np.diff(ms)
+    p = band_powers(rr)
+    tp = sum(v for v in p.values() if np.isfinite(v))
+    lf, hf = p["LF"], p["HF"]
+
+    def clean(x):
+        return None if x is None or not np.isfinite(x) else float(x)
+
+    return {
+        "HRV_TINN": clean(tinn(rr)),
+        "HRV_LF": clean(lf),
+        "HRV_HF": clean(hf),
+        "HRV_VHF": clean(p["VHF"]),
+        "HRV_LFHF": clean(lf / hf) if np.isfinite(hf) and hf > 0 else None,
+        "HRV_LFn": clean(lf / tp) if tp > 0 else None,
+        "HRV_HFn": clean(hf / tp) if tp > 0 else None,
+        "HRV_LnHF": clean(np.log(hf)) if np.isfinite(hf) and hf > 0 else None,
+    }
+
+
 def frequency_features(peaks: DataFrame, group: Sequence[str], peak_ms: str = "peak_ms") -> DataFrame:
     """A11 (TINN) + A12 per chunk from its peaks: one row per group with FREQ_COLUMNS.
 
     LFn/HFn are shares of the total power VLF+LF+HF+VHF; LnHF = ln(HF); non-positive or empty powers -> NULL.
+    Peak times of a chunk (bounded) are gathered into an array and a scalar pandas UDF evaluates whole batches.
     """
     group = list(group)
-    schema = ", ".join(f"{n} {t}" for n, t in peaks.select(*group).dtypes)
-    schema += ", " + ", ".join(f"{c} double" for c in FREQ_COLUMNS)
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        ms = np.sort(pdf[peak_ms].to_numpy(dtype=np.float64))
-        rr = np.diff(ms)
-        p = band_powers(rr)
-        tp = sum(v for v in p.values() if np.isfinite(v))
-        lf, hf = p["LF"], p["HF"]
-        row = {c: pdf[c].iloc[0] for c in group}
-        row.update(
-            HRV_TINN=tinn(rr),
-            HRV_LF=lf,
-            HRV_HF=hf,
-            HRV_VHF=p["VHF"],
-            HRV_LFHF=lf / hf if np.isfinite(hf) and hf > 0 else np.nan,
-            HRV_LFn=lf / tp if tp > 0 else np.nan,
-            HRV_HFn=hf / tp if tp > 0 else np.nan,
-            HRV_LnHF=float(np.log(hf)) if np.isfinite(hf) and hf > 0 else np.nan,
-        )
-        return pd.DataFrame([row])
-
-    return peaks.select(*group, peak_ms).groupBy(*group).applyInPandas(run, schema)
+    out_type = T.StructType([T.StructField(c, T.DoubleType()) for c in FREQ_COLUMNS])
+
+    @F.pandas_udf(out_type)
+    def feats(times: pd.Series) -> pd.DataFrame:
+        return pd.DataFrame([_freq_row(v) for v in times], columns=list(FREQ_COLUMNS))
+
+    per_chunk = peaks.groupBy(*group).agg(F.collect_list(F.col(peak_ms)).alias("__ms"))
+    return per_chunk.select(*group, feats("__ms").alias("__f")).select(*group, "__f.*")
