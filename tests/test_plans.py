@@ -7,7 +7,7 @@ from __spark_entry__ import queries
 from conftest import SF_SMALL
 
 PYTHON_STAGES = ("ArrowEvalPython", "BatchEvalPython", "FlatMapGroupsInPandas", "MapInPandas", "PythonMapInArrow")
-PYTHON_QUERIES = {"stress_score", "peaks", "hrv_freq", "ppg_stress"}
+PYTHON_QUERIES = {"stress_score", "peaks", "hrv_freq", "ppg_stress", "reconstruction_error"}
 STREAM_QUERIES = {"stream_window_60s", "stream_daily_nutrients", "stream_sessions", "stream_dedup"}
 
 

@@ -78,7 +78,7 @@ def score_stress(
             outp[out] = res.to_numpy()
             yield outp
 
-    return df.select(*keep, F.col(features_col)).mapInPandas(run, schema)
+    return df.select(*keep, *([] if features_col in keep else [features_col])).mapInPandas(run, schema)
 
 
 def reconstruct(
@@ -99,7 +99,7 @@ def reconstruct(
             outp[out] = list(y)
             yield outp
 
-    return df.select(*keep, F.col(features_col)).mapInPandas(run, schema)
+    return df.select(*keep, *([] if features_col in keep else [features_col])).mapInPandas(run, schema)
 
 
 def layers_sql(src: str, keys: Sequence[str], x: str, layers: Sequence[Layer], last: str = "none",

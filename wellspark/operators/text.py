@@ -174,3 +174,27 @@ def search_pick(df: DataFrame, json_col: str) -> DataFrame:
 def kv_roundtrip(df: DataFrame, cols: Sequence[str], keys: Sequence[str]) -> DataFrame:
     """rows -> ``col = val, ...`` text, and the text parsed back to a string map."""
     return df.select(*keys, tx.kv_line(list(cols)).alias("kv_text")).withColumn("kv", tx.kv_parse("kv_text"))
+
+
+def message_parts(df: DataFrame, keys: Sequence[str], text_col: str) -> DataFrame:
+    """a message as ordered parts - text between attachments and the attachment paths - with empty text
+    parts dropped. Offsets are absolute (the reference reuses offsets of the whole reply on a shrinking string,
+    which misplaces every split after the first; here each split is where the match is)."""
+    t = F.col(text_col)
+    paths = F.regexp_extract_all(t, F.lit(tx.ATTACHMENT_PATTERN), F.lit(1))
+    pieces = F.split(t, tx.ATTACHMENT_PATTERN, -1)
+    items = F.transform(
+        F.sequence(F.lit(0), F.size(paths) * 2),
+        lambda k: F.when(
+            k % 2 == 0,
+            F.struct(F.lit("text").alias("kind"), F.element_at(pieces, F.floor(k / 2).cast("int") + 1).alias("content")),
+        ).otherwise(
+            F.struct(F.lit("attachment").alias("kind"),
+                     F.element_at(paths, F.floor((k - 1) / 2).cast("int") + 1).alias("content"))
+        ),
+    )
+    kept = F.filter(items, lambda x: F.length(x["content"]) > 0)
+    return df.select(*keys, F.posexplode(kept).alias("part_no", "__p")).select(
+        *keys, F.col("part_no").cast("long").alias("part_no"), F.col("__p.kind").alias("kind"),
+        F.col("__p.content").alias("content"),
+    )

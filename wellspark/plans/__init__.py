@@ -5,7 +5,7 @@ from __future__ import annotations
 import importlib
 
 # modules contributing QUERIES / ORACLES dicts
-_MODULES = ("basic", "nutrition", "signals", "text", "transcripts", "scoring", "ppg_chain", "streams")
+_MODULES = ("basic", "nutrition", "signals", "text", "transcripts", "scoring", "ppg_chain", "streams", "derived")
 
 
 def _load():
