@@ -35,8 +35,12 @@ TIME_FEATURES = (
 NONLINEAR_FEATURES = ("HRV_SD1", "HRV_SD2", "HRV_SD1SD2", "HRV_S")
 
 
-def time_domain(df: DataFrame, group: Sequence[str], rr: str = "rr", d: str = "d") -> DataFrame:
-    """A10: the fifteen time-domain features per group (NULL intervals ignored)."""
+def time_domain(
+    df: DataFrame, group: Sequence[str], rr: str = "rr", d: str = "d", extra: Sequence[Column] = ()
+) -> DataFrame:
+    """A10: the fifteen time-domain features per group (NULL intervals ignored).
+
+    ``extra`` aggregates are computed in the same pass (one shuffle for all per-chunk features)."""
     group = list(group)
     w = Window.partitionBy(*group)
     x = df.withColumn("__med", F.median(F.col(rr)).over(w))
@@ -55,6 +59,7 @@ def time_domain(df: DataFrame, group: Sequence[str], rr: str = "rr", d: str = "d
         F.count_if(F.abs(dd) > 20).alias("__nn20"),
         F.min(r).alias("HRV_MinNN"),
         F.max(r).alias("HRV_MaxNN"),
+        *extra,
     )
     return agg.withColumns(
         {

@@ -171,6 +171,14 @@ def band_powers(rr: np.ndarray) -> dict[str, float]:
 FREQ_COLUMNS = ("HRV_TINN", "HRV_LF", "HRV_HF", "HRV_VHF", "HRV_LFHF", "HRV_LFn", "HRV_HFn", "HRV_LnHF")
 
 
+def _hti(rr: np.ndarray) -> float | None:
+    rr = rr[np.isfinite(rr)]
+    if len(rr) == 0:
+        return None
+    counts = np.unique(np.floor(rr / HIST_BIN_MS), return_counts=True)[1]
+    return float(len(rr) / counts.max())
+
+
 def _freq_row(ms: np.ndarray) -> dict:
     ms = np.sort(np.asarray(ms, dtype=np.float64))
     rr = np.diff(ms)
@@ -190,9 +198,25 @@ def _freq_row(ms: np.ndarray) -> dict:
         "HRV_LFn": clean(lf / tp) if tp > 0 else None,
         "HRV_HFn": clean(hf / tp) if tp > 0 else None,
         "HRV_LnHF": clean(np.log(hf)) if np.isfinite(hf) and hf > 0 else None,
+        "HRV_HTI": _hti(rr),
     }
 
 
+def with_frequency_features(df: DataFrame, times_col: str, with_hti: bool = False) -> DataFrame:
+    """A11 (TINN, optionally HTI) + A12 from an array column of peak times (ms) per row - one pandas UDF call per
+    Arrow batch of rows. Adds FREQ_COLUMNS (and ``HRV_HTI``) and drops ``times_col``."""
+    cols = list(FREQ_COLUMNS) + (["HRV_HTI"] if with_hti else [])
+    out_type = T.StructType([T.StructField(c, T.DoubleType()) for c in cols])
+
+    @F.pandas_udf(out_type)
+    def feats(times: pd.Series) -> pd.DataFrame:
+        return pd.DataFrame([_freq_row(v) for v in times])[cols]
+
+    return df.withColumn("__f", feats(times_col)).select("*", *[F.col(f"__f.{c}").alias(c) for c in cols]).drop(
+        "__f", times_col
+    )
+
+
 def frequency_features(peaks: DataFrame, group: Sequence[str], peak_ms: str = "peak_ms") -> DataFrame:
     """A11 (TINN) + A12 per chunk from its peaks: one row per group with FREQ_COLUMNS.
 
@@ -200,11 +224,5 @@ def frequency_features(peaks: DataFrame, group: Sequence[str], peak_ms: str = "p
     Peak times of a chunk (bounded) are gathered into an array and a scalar pandas UDF evaluates whole batches.
     """
     group = list(group)
-    out_type = T.StructType([T.StructField(c, T.DoubleType()) for c in FREQ_COLUMNS])
-
-    @F.pandas_udf(out_type)
-    def feats(times: pd.Series) -> pd.DataFrame:
-        return pd.DataFrame([_freq_row(v) for v in times], columns=list(FREQ_COLUMNS))
-
     per_chunk = peaks.groupBy(*group).agg(F.collect_list(F.col(peak_ms)).alias("__ms"))
-    return per_chunk.select(*group, feats("__ms").alias("__f")).select(*group, "__f.*")
+    return with_frequency_features(per_chunk, "__ms")

@@ -65,17 +65,19 @@ def hrv_freq(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def chunk_features(p: DataFrame) -> DataFrame:
-    """All 30 scorer inputs per chunk from its peaks (time, geometric, frequency, non-linear, rate)."""
+    """All 30 scorer inputs per chunk from its peaks in one grouped pass: the time-domain aggregates, the chunk's
+    peak times (bounded array) and the mean rate are aggregated together; geometric and spectral features are
+    computed from the peak-time array by one batched pandas UDF; Poincaré features and the PSS slot follow."""
     g = ["user_id", "chunk_id"]
     w = Window.partitionBy(*g).orderBy("peak_no")  # bounded: peaks of one 60 s chunk
     rr = p.withColumn("rr", F.col("peak_ms") - F.lag("peak_ms").over(w))
     rr = rr.withColumn("d", F.col("rr") - F.lag("rr").over(w))
-    t = hrv.nonlinear(hrv.time_domain(rr, g))
-    hti = hrv.triangular_index(rr, g).select(*g, "HRV_HTI")
-    fq = _nan_to_null(pk.frequency_features(p, g), pk.FREQ_COLUMNS)
-    rate = p.groupBy(*g).agg(F.avg(F.when(~F.isnan("rate_bpm"), F.col("rate_bpm"))).alias("PPG_Rate_Mean"))
-    out = t.join(hti, g, "left").join(fq, g, "left").join(rate, g, "left")
-    return hrv.overwrite_pss(out)
+    t = hrv.time_domain(
+        rr, g,
+        extra=[F.collect_list("peak_ms").alias("__ms"), F.avg(F.col("rate_bpm")).alias("PPG_Rate_Mean")],
+    )
+    t = pk.with_frequency_features(t, "__ms", with_hti=True)
+    return hrv.overwrite_pss(hrv.nonlinear(t))
 
 
 def ppg_stress(spark: SparkSession, sf_dir: str) -> DataFrame:

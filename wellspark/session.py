@@ -11,10 +11,14 @@ import tempfile
 
 from pyspark.sql import SparkSession
 
-# Settings every plan relies on: UTC for timestamp arithmetic (DuckDB oracle is zone-less), AQE so joins
-# against data-sized sides are re-planned from runtime sizes (broadcast only when the shuffle output is
-# actually small, skew splitting for hot keys), and Arrow for the few Python stages.
+# Settings every plan relies on: UTC for timestamp arithmetic (DuckDB oracle is zone-less); no broadcast
+# decided from *estimated* sizes (an exploded or derived side can be estimated far too small), instead AQE
+# turns a shuffle join into a broadcast only after measuring the side's real shuffle output (below 32 MB),
+# splits skewed partitions otherwise; explicit broadcast() remains for fixed-size dimensions only; Arrow for
+# the few Python stages.
 BASE_CONF = {
+    "spark.sql.autoBroadcastJoinThreshold": "-1",
+    "spark.sql.adaptive.autoBroadcastJoinThreshold": "32m",
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
