@@ -81,23 +81,32 @@ def status_text(status: Column | str, text: Column | str, msg: str) -> Column:
     return F.when(_c(status) == 200, _c(text)).otherwise(F.lit(msg))
 
 
+def _may_have_url(t: Column) -> Column:
+    # cheap substring guard before the regex: most texts carry no link at all
+    low = F.lower(t)
+    return low.contains("http") | low.contains("data:image")
+
+
 def first_url(text: Column | str) -> Column:
     """F8: first http(s) or data-image URL, trailing punctuation stripped; NULL when none."""
-    m = F.regexp_extract(_c(text), URL_PATTERN, 1)
+    t = _c(text)
+    m = F.regexp_extract(t, URL_PATTERN, 1)
     stripped = F.regexp_replace(m, r"[).,;'\"]+$", "")
-    return F.when(m != "", stripped)
+    return F.when(_may_have_url(t) & (m != ""), stripped)
 
 
 def first_local_image(text: Column | str) -> Column:
     """first local image path at line start or after whitespace; NULL when none."""
-    m = F.regexp_extract(_c(text), LOCAL_IMAGE_PATTERN, 1)
-    return F.when(m != "", m)
+    t = _c(text)
+    m = F.regexp_extract(t, LOCAL_IMAGE_PATTERN, 1)
+    return F.when(t.contains("/") & (m != ""), m)
 
 
 def strip_image_refs(text: Column | str) -> Column:
     """remove URLs and local image paths, collapse whitespace."""
-    t = F.regexp_replace(F.coalesce(_c(text), F.lit("")), HTTP_URL_PATTERN, "")
-    t = F.regexp_replace(t, LOCAL_IMAGE_PATTERN, "")
+    t = F.coalesce(_c(text), F.lit(""))
+    t = F.when(t.contains("http"), F.regexp_replace(t, HTTP_URL_PATTERN, "")).otherwise(t)
+    t = F.when(t.contains("/"), F.regexp_replace(t, LOCAL_IMAGE_PATTERN, "")).otherwise(t)
     return collapse_ws(t)
 
 
