@@ -46,6 +46,10 @@ def test_nan_makes_slope_null_but_sum_skips(spark):
     rows = [(1, d, v) for d, v in zip(_days(3), (1.0, float("nan"), 3.0))]
     df = spark.createDataFrame(rows, "uid int, date date, y double")
     assert tr.summarise(df, ["uid"], "trend").first()["y"] is None
+    assert tr.summarise(df, ["uid"], "sum").first()["y"] == 4.0
+    assert tr.summarise(df, ["uid"], "average").first()["y"] == 2.0
+    all_nan = spark.createDataFrame([(1, dt.date(2023, 1, 1), float("nan"))], "uid int, date date, y double")
+    assert tr.summarise(all_nan, ["uid"], "sum").first()["y"] == 0.0
 
 
 def test_seconds_to_minutes(spark):

@@ -95,3 +95,17 @@ def test_result_store(spark):
     keys = spark.createDataFrame([("r1", "k1"), ("r1", "nope")], "run_id string, key string")
     found, missing = sinks.retrieve(spark, path, keys)
     assert found.count() == 1 and [r.key for r in missing.collect()] == ["nope"]
+
+
+def test_streaming_sleep_files(spark, tmpdir_path):
+    """ST1: files landing in the participant tree are picked up by the same reader in streaming mode."""
+    from wellspark.streaming import jobs
+
+    root = os.path.join(tmpdir_path, "affect")
+    header = ",".join(S.SLEEP_RAW)
+    for user in ("par_1", "par_2"):
+        _write(os.path.join(root, user, "oura", "sleep.csv"),
+               header + "\n2020-08-01,27690,1110,14550,7080,6060,240,14400,96,70.97,63,33,17.38,0.56\n")
+    stream = rd.read_daily_sleep(spark, root, streaming=True)
+    out = jobs.run_to_table(spark, stream.select("user_id", "date", "total_sleep_time"), "sleep_files")
+    assert sorted((r.user_id, r.total_sleep_time) for r in out.collect()) == [("par_1", 461.5), ("par_2", 461.5)]

@@ -52,10 +52,17 @@ def summarise(
     keys = list(keys)
     if measures is None:
         measures = measure_columns(df, exclude=keys)
+    types = dict(df.dtypes)
+
+    def skip_nan(m: str) -> Column:
+        # pandas mean/sum skip NaN as well as missing values; Spark would propagate NaN
+        c = F.col(m)
+        return F.nanvl(c, F.lit(None).cast(types[m])) if types.get(m) in ("double", "float") else c
+
     if how == "average":
-        aggs = [F.avg(F.col(m)).alias(m) for m in measures]
+        aggs = [F.avg(skip_nan(m)).alias(m) for m in measures]
     elif how == "sum":
-        aggs = [F.coalesce(F.sum(F.col(m)), F.lit(0)).alias(m) for m in measures]
+        aggs = [F.coalesce(F.sum(skip_nan(m)), F.lit(0)).alias(m) for m in measures]
     else:
         x = days_since_epoch(date_col)
         aggs = [_slope(m, x).alias(m) for m in measures]
