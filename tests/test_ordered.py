@@ -39,3 +39,21 @@ def test_custom_bucket(spark):
     plain = {r.id: r.rn for r in df.select("id", F.row_number().over(w).alias("rn")).collect()}
     got = row_number_across_buckets(df, ["user"], ["ts", "id"], "rn", bucket=F.date_trunc("hour", "ts"))
     assert {r.id: r.rn for r in got.collect()} == plain
+
+
+def test_lowest_sliding_mean_equals_whole_night_window(spark):
+    from wellspark.operators.derived import LOWEST_HR_WINDOW_US, lowest_sliding_mean
+
+    rnd = random.Random(7)
+    base = dt.datetime(2024, 1, 1)
+    rows = [(0 if rnd.random() < 0.7 else 1, base + dt.timedelta(seconds=rnd.randint(0, 2 * 86400)), rnd.random() * 100)
+            for _ in range(4000)]
+    df = spark.createDataFrame(rows, "user int, ts timestamp, v double")
+    us = F.unix_micros("ts")
+    w = Window.partitionBy("user", F.to_date("ts")).orderBy(us).rangeBetween(-(LOWEST_HR_WINDOW_US - 1), 0)
+    plain = (df.withColumn("a", F.avg("v").over(w)).groupBy("user", F.to_date("ts").alias("night"))
+             .agg(F.min("a").alias("m")))
+    got = lowest_sliding_mean(df, ["user"], F.to_date("ts"), "ts", "v")
+    a = {(r.user, r.night): round(r.m, 9) for r in plain.collect()}
+    b = {(r.user, r.night): round(r.lowest_5min_avg, 9) for r in got.collect()}
+    assert a == b

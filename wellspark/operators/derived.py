@@ -108,10 +108,28 @@ def visit_change(df: DataFrame, keys: Sequence[str], visit: str, measure: str, v
     return p.withColumn("change", F.col(f"`{last}`") - F.col(f"`{first}`"))
 
 
-def lowest_sliding_mean(df: DataFrame, keys: Sequence[str], night: Column, ts: str, value: str) -> DataFrame:
-    """Lowest 5-minute sliding average of ``value`` per key and night (window over one key-night)."""
+def lowest_sliding_mean(
+    df: DataFrame, keys: Sequence[str], night: Column, ts: str, value: str, bucket_us: int = 3600 * 1_000_000
+) -> DataFrame:
+    """Lowest 5-minute sliding average of ``value`` per key and night.
+
+    The range window runs inside hour buckets, not over a whole key-night: every row also goes, as a read-only
+    halo row, to the next hour bucket when it lies in the last 5 minutes of its own hour, so each window frame
+    is complete inside one bucket. Averages are kept for the bucket's own rows only, then the minimum per
+    key-night is a grouped aggregate. Exact, and a participant with most of the samples is split by hour.
+    """
+    keys = list(keys)
+    width = LOWEST_HR_WINDOW_US
     us = F.unix_micros(F.col(ts).cast("timestamp"))
-    x = df.withColumns({"__night": night, "__us": us})
-    w = Window.partitionBy(*keys, "__night").orderBy("__us").rangeBetween(-(LOWEST_HR_WINDOW_US - 1), 0)
-    x = x.withColumn("__avg", F.avg(value).over(w))
-    return x.groupBy(*keys, F.col("__night").alias("night")).agg(F.min("__avg").alias("lowest_5min_avg"))
+    x = df.select(*keys, night.alias("__night"), us.alias("__us"), F.col(value).alias("__v"))
+    x = x.withColumn("__hour", F.floor(F.col("__us") / F.lit(bucket_us)))
+    own = x.withColumn("__own", F.lit(True))
+    halo = (
+        x.where(F.col("__us") - F.col("__hour") * F.lit(bucket_us) >= F.lit(bucket_us - width))
+        .withColumn("__hour", F.col("__hour") + 1)
+        .withColumn("__own", F.lit(False))
+    )
+    both = own.unionByName(halo)
+    w = Window.partitionBy(*keys, "__night", "__hour").orderBy("__us").rangeBetween(-(width - 1), 0)
+    avgs = both.withColumn("__avg", F.avg("__v").over(w)).where(F.col("__own"))
+    return avgs.groupBy(*keys, F.col("__night").alias("night")).agg(F.min("__avg").alias("lowest_5min_avg"))
