@@ -72,22 +72,42 @@ def detect_peaks(signal: np.ndarray, hz: float = SAMPLING_HZ) -> np.ndarray:
     return np.asarray(peaks, dtype=np.int64)
 
 
+def refine_peaks(signal: np.ndarray, idx: np.ndarray, hz: float = SAMPLING_HZ) -> np.ndarray:
+    """Sub-sample peak positions by a parabola through each peak and its two neighbours (on the band-limited
+    signal), so intervals are not quantised to the 50 ms sample grid."""
+    if len(idx) == 0:
+        return idx.astype(np.float64)
+    filt = _bandpass(np.asarray(signal, dtype=np.float64), hz, *BAND_HZ)
+    pos = idx.astype(np.float64)
+    inner = (idx > 0) & (idx < len(filt) - 1)
+    i = idx[inner]
+    a, b, c = filt[i - 1], filt[i], filt[i + 1]
+    den = a - 2 * b + c
+    shift = np.where(np.abs(den) > 1e-12, 0.5 * (a - c) / np.where(den == 0, 1, den), 0.0)
+    pos[inner] = i + np.clip(shift, -0.5, 0.5)
+    return pos
+
+
 def _peak_arrays(signals: pd.Series, hz: float) -> pd.Series:
-    return pd.Series([detect_peaks(np.asarray(v, dtype=np.float64), hz) for v in signals])
+    out = []
+    for v in signals:
+        x = np.asarray(v, dtype=np.float64)
+        out.append(refine_peaks(x, detect_peaks(x, hz), hz))
+    return pd.Series(out)
 
 
 def peaks_per_chunk(
     samples: DataFrame, group: Sequence[str], order: str, signal: str, hz: float = SAMPLING_HZ
 ) -> DataFrame:
     """One row per detected peak: group columns, ``peak_no``, ``sample_index`` (row within the chunk,
-    ordered by ``order``), ``peak_ms`` (time since chunk start) and ``rate_bpm`` (instantaneous rate).
+    ordered by ``order``), ``peak_ms`` (sub-sample time since chunk start) and ``rate_bpm`` (instantaneous rate).
 
     Each chunk (at most 1200 samples, so a bounded group) is gathered into one ordered array; a scalar pandas
     UDF then runs the detector over whole Arrow batches of chunks - one Python call per batch, not per chunk.
     """
     group = list(group)
 
-    @F.pandas_udf(T.ArrayType(T.LongType()))
+    @F.pandas_udf(T.ArrayType(T.DoubleType()))
     def detect(signals: pd.Series) -> pd.Series:
         return _peak_arrays(signals, hz)
 
@@ -97,15 +117,15 @@ def peaks_per_chunk(
             lambda x: x["v"],
         ).alias("__sig")
     )
-    found = chunks.select(*group, F.posexplode(detect("__sig")).alias("peak_no", "sample_index"))
-    ms = F.col("sample_index") * F.lit(1000.0 / hz)
+    found = chunks.select(*group, F.posexplode(detect("__sig")).alias("peak_no", "__pos"))
+    ms = F.col("__pos") * F.lit(1000.0 / hz)
     from pyspark.sql import Window
 
     w = Window.partitionBy(*group).orderBy("peak_no")  # bounded: the peaks of one chunk
     return found.select(
         *group,
         F.col("peak_no").cast("long").alias("peak_no"),
-        F.col("sample_index").cast("long").alias("sample_index"),
+        F.round(F.col("__pos")).cast("long").alias("sample_index"),
         ms.alias("peak_ms"),
     ).withColumn("rate_bpm", F.try_divide(F.lit(60000.0), F.col("peak_ms") - F.lag("peak_ms").over(w)))
 
