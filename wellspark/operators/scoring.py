@@ -52,33 +52,42 @@ def forward(x: np.ndarray, layers: Sequence[Layer], last: str = "none") -> np.nd
 
 def score_stress(
     df: DataFrame,
-    features_col: str,
+    features_col: str | dict[str, str],
     encoder: Sequence[Layer],
     head: Sequence[Layer],
     keep: Sequence[str],
     out: str = "stress_level",
 ) -> DataFrame:
-    """``argmax(head(encoder(x)))`` per row as an int (first index on ties); NULL where x has NULLs."""
+    """``argmax(head(encoder(x)))`` per row as an int (first index on ties); NULL where x has NULLs.
+
+    ``features_col`` may map several output names to feature columns; all are scored in the same Python pass.
+    """
     keep = list(keep)
-    schema = ", ".join(f"{n} {t}" for n, t in df.select(*keep).dtypes) + f", {out} int"
+    targets = {out: features_col} if isinstance(features_col, str) else dict(features_col)
+    inputs = list(dict.fromkeys(targets.values()))
+    schema = ", ".join(f"{n} {t}" for n, t in df.select(*keep).dtypes)
+    schema += "".join(f", {o} int" for o in targets)
     enc = [(w.copy(), b.copy()) for w, b in encoder]
     hd = [(w.copy(), b.copy()) for w, b in head]
     n_in = enc[0][0].shape[1]
 
+    def level(vals: pd.Series) -> np.ndarray:
+        ok = vals.map(lambda v: v is not None and len(v) == n_in and not pd.isna(v).any()).to_numpy()
+        res = pd.Series(pd.array([None] * len(vals), dtype="Int32"))
+        if ok.any():
+            x = np.stack([np.asarray(v, dtype=np.float64) for v in vals[ok]])
+            probs = forward(forward(x, enc, "none"), hd, "sigmoid")
+            res[ok] = np.argmax(probs, axis=1).astype(np.int32)
+        return res.to_numpy()
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            vals = pdf[features_col]
-            ok = vals.map(lambda v: v is not None and len(v) == n_in and not pd.isna(v).any()).to_numpy()
-            res = pd.Series(pd.array([None] * len(pdf), dtype="Int32"))
-            if ok.any():
-                x = np.stack([np.asarray(v, dtype=np.float64) for v in vals[ok]])
-                probs = forward(forward(x, enc, "none"), hd, "sigmoid")
-                res[ok] = np.argmax(probs, axis=1).astype(np.int32)
             outp = pdf[keep].copy()
-            outp[out] = res.to_numpy()
+            for o, col in targets.items():
+                outp[o] = level(pdf[col].reset_index(drop=True))
             yield outp
 
-    return df.select(*keep, *([] if features_col in keep else [features_col])).mapInPandas(run, schema)
+    return df.select(*keep, *[c for c in inputs if c not in keep]).mapInPandas(run, schema)
 
 
 def reconstruct(

@@ -1,9 +1,10 @@
 """The wearable chain PPG -> segment -> chunks -> beats -> HRV -> scaling -> stress, on samples derived from
 ``events`` (the reference's deepest data path, SURVEY §3.2).
 
-Every event of a user contributes one second of a 20 Hz pulse signal (20 samples); the pulse frequency is the
-user's rate ``60 + user_id % 40`` bpm plus a slow respiratory component, and ``hr`` is 0 during 'error' events, so
-zero runs exist for the segment step. The sample table therefore grows with ``events``.
+Every event of a user contributes a stretch of a 20 Hz pulse signal (one second for the beat queries, twelve
+seconds inside the stress chain's segment); the pulse frequency is the user's rate ``60 + user_id % 40`` bpm plus a
+slow respiratory component, and ``hr`` is 0 during 'error' events with a value of at least 100, so zero runs exist
+for the segment step. The sample table therefore grows with ``events``.
 These queries use grouped Python (peak detection, spectra) and have no SQL oracle: the driver records row
 counts; tests check known-rate signals against brute-force expectations.
 """
@@ -23,28 +24,43 @@ from wellspark.sources.tables import table
 
 HZ = pk.SAMPLING_HZ
 SAMPLES_PER_EVENT = HZ  # one second per event
+SEGMENT_SAMPLES_PER_EVENT = 12 * HZ  # twelve seconds per event inside the stress chain's segment
 KEYS = ["user_id"]
 ORDER = ["ts", "event_id", "sample_no"]
 
 
-def ppg_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
-    ev = table(spark, sf_dir, "events").select("event_id", "user_id", "ts", "event_type")
+def _zero_event() -> F.Column:
+    return (F.col("event_type") == "error") & (F.col("value") >= 100)
+
+
+def explode_samples(ev: DataFrame, per_event: int) -> DataFrame:
+    """Pulse samples of each event: ``per_event`` rows at 20 Hz, continuous over the user's events."""
     ev = row_number_across_buckets(ev, KEYS, ["ts", "event_id"], "event_no")
-    s = ev.select("*", F.explode(F.sequence(F.lit(0), F.lit(SAMPLES_PER_EVENT - 1))).alias("sample_no"))
-    t = ((F.col("event_no") - 1) * SAMPLES_PER_EVENT + F.col("sample_no")) / F.lit(float(HZ))
+    s = ev.select("*", F.explode(F.sequence(F.lit(0), F.lit(per_event - 1))).alias("sample_no"))
+    t = ((F.col("event_no") - 1) * per_event + F.col("sample_no")) / F.lit(float(HZ))
     bpm = (F.lit(60) + F.col("user_id") % 40).cast("double")
     ppg_v = F.sin(F.lit(2 * math.pi) * bpm / 60.0 * t) + F.lit(0.05) * F.sin(F.lit(2 * math.pi * 0.25) * t)
     return s.select(
         "user_id", "event_id", "ts", F.col("sample_no").cast("int").alias("sample_no"),
         ppg_v.alias("ppg"),
-        F.when(F.col("event_type") == "error", F.lit(0.0)).otherwise(bpm).alias("hr"),
+        F.when(_zero_event(), F.lit(0.0)).otherwise(bpm).alias("hr"),
     )
 
 
+def ppg_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ev = table(spark, sf_dir, "events").select("event_id", "user_id", "ts", "event_type", "value")
+    return explode_samples(ev, SAMPLES_PER_EVENT)
+
+
 def _chunks(spark: SparkSession, sf_dir: str, segment: bool) -> DataFrame:
-    s = ppg_samples(spark, sf_dir)
-    if segment:
-        s = ppg.last_segment(s, KEYS, ORDER, F.col("hr") == 0)
+    if not segment:
+        return ppg.fixed_chunks(ppg_samples(spark, sf_dir), KEYS, ORDER, rows=ppg.CHUNK_ROWS)
+    # the segment is found on events first (cheap, hr is constant within an event), only its events are expanded
+    # to samples, and the sample-level segment then trims the closing zero run to its first sample
+    ev = table(spark, sf_dir, "events").select("event_id", "user_id", "ts", "event_type", "value")
+    ev_seg = ppg.last_segment(ev, KEYS, ["ts", "event_id"], _zero_event())
+    s = explode_samples(ev_seg, SEGMENT_SAMPLES_PER_EVENT)
+    s = ppg.last_segment(s, KEYS, ORDER, F.col("hr") == 0)
     return ppg.fixed_chunks(s, KEYS, ORDER, rows=ppg.CHUNK_ROWS)
 
 
@@ -81,14 +97,21 @@ def chunk_features(p: DataFrame) -> DataFrame:
 
 
 def ppg_stress(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The whole chain per user: last segment -> chunks -> beats -> features -> min-max mean -> stress level."""
+    """The whole chain per user: last segment -> chunks -> beats -> features -> min-max mean -> stress level
+    (NULL when a scaled feature is undefined) and the level with undefined scaled features taken as 0."""
     c = _chunks(spark, sf_dir, segment=True)
     p = pk.peaks_per_chunk(c, ["user_id", "chunk_id"], "row_no", "ppg")
     feats = chunk_features(p)
     scaled = hrv.minmax_mean(feats, KEYS, hrv.FEATURE_ORDER, rate_col="PPG_Rate_Mean")
-    vec = hrv.feature_vector(scaled)
-    scored = sc.score_stress(vec, "features", ENCODER, HEAD, keep=["user_id", "n_chunks", "Heart_Rate"])
-    return scored
+    vec = hrv.feature_vector(scaled).withColumn(
+        # undefined scaled features (constant across chunks, or a single chunk) taken as 0, the usual min-max
+        # convention; ``stress_level`` itself stays NULL for them
+        "features_zero_filled", F.transform("features", lambda x: F.coalesce(x, F.lit(0.0)))
+    )
+    return sc.score_stress(
+        vec, {"stress_level": "features", "stress_level_zero_filled": "features_zero_filled"}, ENCODER, HEAD,
+        keep=["user_id", "n_chunks", "Heart_Rate"],
+    )
 
 
 QUERIES = {"peaks": peaks, "hrv_freq": hrv_freq, "ppg_stress": ppg_stress}
