@@ -125,6 +125,18 @@ def measure_monthly(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def measure_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A5 with per-customer and grand totals (``rollup``), e.g. a yearly figure next to the monthly ones."""
+    o = table(spark, sf_dir, "orders")
+    out = tr.calendar_summary(o, ["o_custkey"], "o_orderdate", "year", ["o_totalprice"], hows=("sum",), rollup=True)
+    return out.select(
+        "o_custkey",
+        F.col("period").alias("year"),
+        F.col("n_rows").alias("n_orders"),
+        round_half_even("sum_o_totalprice", 2).alias("sum_totalprice"),
+    )
+
+
 def seconds_to_minutes(spark: SparkSession, sf_dir: str) -> DataFrame:
     ev = table(spark, sf_dir, "events").select("event_id", "value")
     out = sel.seconds_to_minutes(ev, ["value", "not_a_column"])
@@ -142,6 +154,7 @@ QUERIES = {
     "measure_trend": measure_trend,
     "measure_trend_line": measure_trend_line,
     "measure_monthly": measure_monthly,
+    "measure_rollup": measure_rollup,
     "seconds_to_minutes": seconds_to_minutes,
 }
 
@@ -196,6 +209,10 @@ ORACLES = {
                round_even(SUM(o_totalprice) * 100, 0) / 100 AS sum_totalprice,
                round_even(AVG(o_totalprice) * 10000, 0) / 10000 AS avg_totalprice
         FROM orders GROUP BY 1, 2""",
+    "measure_rollup": """
+        SELECT o_custkey, CAST(date_trunc('year', o_orderdate) AS DATE) AS year, COUNT(*) AS n_orders,
+               round_even(SUM(o_totalprice) * 100, 0) / 100 AS sum_totalprice
+        FROM orders GROUP BY ROLLUP (o_custkey, CAST(date_trunc('year', o_orderdate) AS DATE))""",
     "seconds_to_minutes": """
         SELECT event_id, round_even(value / 60 * 100, 0) / 100 AS value_minutes FROM events""",
 }

@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 from wellspark.operators import hrv, peaks as pk, ppg, scoring as sc
 from wellspark.operators.ordered import row_number_across_buckets
 from wellspark.plans.scoring import ENCODER, HEAD
+from wellspark.session import materialize
 from wellspark.sources.tables import table
 
 HZ = pk.SAMPLING_HZ
@@ -58,9 +59,11 @@ def _chunks(spark: SparkSession, sf_dir: str, segment: bool) -> DataFrame:
     # the segment is found on events first (cheap, hr is constant within an event), only its events are expanded
     # to samples, and the sample-level segment then trims the closing zero run to its first sample
     ev = table(spark, sf_dir, "events").select("event_id", "user_id", "ts", "event_type", "value")
-    ev_seg = ppg.last_segment(ev, KEYS, ["ts", "event_id"], _zero_event())
-    s = explode_samples(ev_seg, SEGMENT_SAMPLES_PER_EVENT)
-    s = ppg.last_segment(s, KEYS, ORDER, F.col("hr") == 0)
+    # each ordered step reads its input twice (bucket pass + carry pass); the chain's intermediate results are
+    # written to the shared checkpoint folder so no pass recomputes the steps before it
+    ev_seg = materialize(ppg.last_segment(ev, KEYS, ["ts", "event_id"], _zero_event()), "event_segment")
+    s = materialize(explode_samples(ev_seg, SEGMENT_SAMPLES_PER_EVENT), "segment_samples")
+    s = materialize(ppg.last_segment(s, KEYS, ORDER, F.col("hr") == 0), "sample_segment")
     return ppg.fixed_chunks(s, KEYS, ORDER, rows=ppg.CHUNK_ROWS)
 
 

@@ -87,3 +87,19 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     if base.startswith("file:"):
         base = base[len("file:"):]
     return os.path.join(base, name)
+
+
+def materialize(df, name: str = "intermediate"):
+    """Cut the lineage of an intermediate result: write it as a Parquet table under the shared checkpoint folder
+    (reliable storage, survives executor loss) and continue from the written table.
+
+    Used where a multi-pass operator reads its input more than once and that input is itself the output of such
+    operators: without the cut, every pass would recompute the whole upstream chain. Parquet keeps the write
+    columnar and lets later passes read only the columns they need.
+    """
+    import uuid
+
+    spark = df.sparkSession
+    path = scratch_path(spark, f"tables/{name}-{uuid.uuid4().hex[:12]}")
+    df.write.mode("overwrite").parquet(path)
+    return spark.read.parquet(path)
