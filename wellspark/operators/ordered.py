@@ -39,27 +39,25 @@ def lag_across_buckets(
     """``lag(value) over (partition by keys order by order)`` computed with bucket-local windows.
 
     The first row of a bucket takes the last value of the nearest earlier non-empty bucket of the same key.
+    Plan: one grouped ``max_by`` per (key, bucket) (combined map-side, so only one row per bucket and task is
+    shuffled), a window over that small table, a join back on (key, bucket) and the bucket-local window on the
+    join's partitioning - the full rows are shuffled once.
     """
     keys, order = list(keys), list(order)
     b = "__bucket"
-    df = df.withColumn(b, bucket if bucket is not None else day_bucket(order[0]))
-    w_in = Window.partitionBy(*keys, b).orderBy(*_cols(order))
-    df = df.withColumn("__prev_in", F.lag(value).over(w_in)).withColumn(
-        "__first_in", F.row_number().over(w_in) == 1
-    )
-    last = (
-        df.groupBy(*keys, b)
+    x = df.withColumn(b, bucket if bucket is not None else day_bucket(order[0]))
+    carry = (
+        x.groupBy(*keys, b)
         .agg(F.max_by(F.col(value), F.struct(*_cols(order))).alias("__last"))
-        .withColumn(
-            "__prev_bucket_last",
-            F.lag("__last").over(Window.partitionBy(*keys).orderBy(b)),
-        )
-        .select(*keys, b, "__prev_bucket_last")
+        .withColumn("__carry", F.lag("__last").over(Window.partitionBy(*keys).orderBy(b)))
+        .select(*keys, b, "__carry")
     )
-    joined = df.join(last, on=[*keys, b], how="left")
+    w_in = Window.partitionBy(*keys, b).orderBy(*_cols(order))
+    joined = x.join(carry, on=[*keys, b], how="left")
+    first_in = F.lag(F.lit(True)).over(w_in).isNull()
     return joined.withColumn(
-        out, F.when(F.col("__first_in"), F.col("__prev_bucket_last")).otherwise(F.col("__prev_in"))
-    ).drop("__prev_in", "__first_in", "__prev_bucket_last", b)
+        out, F.when(first_in, F.col("__carry")).otherwise(F.lag(value).over(w_in))
+    ).drop("__carry", b)
 
 
 def row_number_across_buckets(
@@ -71,15 +69,14 @@ def row_number_across_buckets(
 ) -> DataFrame:
     """1-based ``row_number() over (partition by keys order by order)`` without a whole-key window.
 
-    Offsets are a running sum of bucket counts (window over the small per-bucket table).
+    Offsets are a running sum of bucket counts (grouped count combined map-side, then a window over the small
+    per-bucket table), joined back before the bucket-local ``row_number``.
     """
     keys, order = list(keys), list(order)
     b = "__bucket"
-    df = df.withColumn(b, bucket if bucket is not None else day_bucket(order[0]))
-    w_in = Window.partitionBy(*keys, b).orderBy(*_cols(order))
-    df = df.withColumn("__rn_in", F.row_number().over(w_in))
+    x = df.withColumn(b, bucket if bucket is not None else day_bucket(order[0]))
     offsets = (
-        df.groupBy(*keys, b)
+        x.groupBy(*keys, b)
         .agg(F.count(F.lit(1)).alias("__n"))
         .withColumn(
             "__offset",
@@ -92,10 +89,11 @@ def row_number_across_buckets(
         )
         .select(*keys, b, "__offset")
     )
+    w_in = Window.partitionBy(*keys, b).orderBy(*_cols(order))
     return (
-        df.join(offsets, on=[*keys, b], how="inner")
-        .withColumn(out, (F.col("__rn_in") + F.col("__offset")).cast("long"))
-        .drop("__rn_in", "__offset", b)
+        x.join(offsets, on=[*keys, b], how="inner")
+        .withColumn(out, (F.row_number().over(w_in) + F.col("__offset")).cast("long"))
+        .drop("__offset", b)
     )
 
 
@@ -109,26 +107,22 @@ def lead_across_buckets(
 ) -> DataFrame:
     """``lead(v) over (partition by keys order by order)`` for each ``v`` in ``values``, with bucket-local windows.
 
-    The last row of a bucket takes the first row of the nearest later non-empty bucket of the same key.
+    The last row of a bucket takes the first row of the nearest later non-empty bucket of the same key (grouped
+    ``min_by`` per bucket, a window over the small table, join back, bucket-local window).
     Output columns: ``<prefix><v>``.
     """
     keys, order, values = list(keys), list(order), list(values)
     b = "__bucket"
-    df = df.withColumn(b, bucket if bucket is not None else day_bucket(order[0]))
-    w_in = Window.partitionBy(*keys, b).orderBy(*_cols(order))
-    df = df.withColumns({f"__n_{v}": F.lead(v).over(w_in) for v in values}).withColumn(
-        "__last_in", F.row_number().over(w_in.orderBy(*[F.col(c).desc() for c in order])) == 1
+    x = df.withColumn(b, bucket if bucket is not None else day_bucket(order[0]))
+    carry = (
+        x.groupBy(*keys, b)
+        .agg(F.min_by(F.struct(*[F.col(v) for v in values]), F.struct(*_cols(order))).alias("__first"))
+        .withColumn("__carry", F.lead("__first").over(Window.partitionBy(*keys).orderBy(b)))
+        .select(*keys, b, "__carry")
     )
-    first = df.groupBy(*keys, b).agg(
-        F.min_by(F.struct(*[F.col(v) for v in values]), F.struct(*_cols(order))).alias("__first")
-    )
-    first = first.withColumn(
-        "__next_first", F.lead("__first").over(Window.partitionBy(*keys).orderBy(b))
-    ).select(*keys, b, "__next_first")
-    joined = df.join(first, on=[*keys, b], how="left")
+    w_in = Window.partitionBy(*keys, b).orderBy(*_cols(order))
+    joined = x.join(carry, on=[*keys, b], how="left")
+    last_in = F.lead(F.lit(True)).over(w_in).isNull()
     return joined.withColumns(
-        {
-            f"{prefix}{v}": F.when(F.col("__last_in"), F.col(f"__next_first.{v}")).otherwise(F.col(f"__n_{v}"))
-            for v in values
-        }
-    ).drop("__last_in", "__next_first", b, *[f"__n_{v}" for v in values])
+        {f"{prefix}{v}": F.when(last_in, F.col(f"__carry.{v}")).otherwise(F.lead(v).over(w_in)) for v in values}
+    ).drop("__carry", b)
