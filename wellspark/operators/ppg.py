@@ -42,11 +42,13 @@ def last_segment(
     order: Sequence[str],
     is_zero: Column,
     bucket: Column | None = None,
+    closing_flag: str | None = None,
 ) -> DataFrame:
     """Rows from the second-last run start to the last run start of each key, both included.
 
     Keys with fewer than two starts give no rows (the reference fails with IndexError there).
     The two latest starts are found with grouped ``max`` over the start rows only (tiny), then joined back.
+    ``closing_flag`` names an optional boolean output column that is true on the closing row (the last start).
     """
     keys = list(keys)
     marked = mark_run_starts(df, keys, order, is_zero, "__start", bucket=bucket)
@@ -59,12 +61,14 @@ def last_segment(
         .groupBy(*keys)
         .agg(F.max("__pos").alias("__second"), F.first("__last").alias("__last"))
     )
-    return (
+    out = (
         marked.drop("__start")
         .join(second, on=keys, how="inner")
         .where((pos >= F.col("__second")) & (pos <= F.col("__last")))
-        .drop("__second", "__last")
     )
+    if closing_flag:
+        out = out.withColumn(closing_flag, pos == F.col("__last"))
+    return out.drop("__second", "__last")
 
 
 def fixed_chunks(

@@ -34,15 +34,28 @@ def _zero_event() -> F.Column:
     return (F.col("event_type") == "error") & (F.col("value") >= 100)
 
 
-def explode_samples(ev: DataFrame, per_event: int) -> DataFrame:
-    """Pulse samples of each event: ``per_event`` rows at 20 Hz, continuous over the user's events."""
+def explode_samples(ev: DataFrame, per_event: int, closing: str | None = None) -> DataFrame:
+    """Pulse samples of each event: ``per_event`` rows at 20 Hz, continuous over the user's events, with their
+    ``row_no`` in the user's sample order and the fixed-count ``chunk_id`` (W3).
+
+    Every event contributes the same number of samples, so the sample order ``(ts, event_id, sample_no)`` is the
+    event order refined by ``sample_no``: the sample row number follows from the event row number by arithmetic
+    and no ordered pass over the (``per_event`` times larger) sample table is needed. ``closing`` names a flag
+    column of ``ev`` marking an event of which only the first sample is kept (the closing run start of a segment,
+    always the user's last event, so earlier row numbers are unaffected).
+    """
     ev = row_number_across_buckets(ev, KEYS, ["ts", "event_id"], "event_no")
     s = ev.select("*", F.explode(F.sequence(F.lit(0), F.lit(per_event - 1))).alias("sample_no"))
-    t = ((F.col("event_no") - 1) * per_event + F.col("sample_no")) / F.lit(float(HZ))
+    if closing:
+        s = s.where(~F.col(closing) | (F.col("sample_no") == 0))
+    row_no = (F.col("event_no") - 1) * per_event + F.col("sample_no") + 1
+    t = (row_no - 1) / F.lit(float(HZ))
     bpm = (F.lit(60) + F.col("user_id") % 40).cast("double")
     ppg_v = F.sin(F.lit(2 * math.pi) * bpm / 60.0 * t) + F.lit(0.05) * F.sin(F.lit(2 * math.pi * 0.25) * t)
     return s.select(
         "user_id", "event_id", "ts", F.col("sample_no").cast("int").alias("sample_no"),
+        row_no.cast("long").alias("row_no"),
+        F.floor((row_no - 1) / F.lit(ppg.CHUNK_ROWS)).cast("long").alias("chunk_id"),
         ppg_v.alias("ppg"),
         F.when(_zero_event(), F.lit(0.0)).otherwise(bpm).alias("hr"),
     )
@@ -55,16 +68,17 @@ def ppg_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _chunks(spark: SparkSession, sf_dir: str, segment: bool) -> DataFrame:
     if not segment:
-        return ppg.fixed_chunks(ppg_samples(spark, sf_dir), KEYS, ORDER, rows=ppg.CHUNK_ROWS)
-    # the segment is found on events first (cheap, hr is constant within an event), only its events are expanded
-    # to samples, and the sample-level segment then trims the closing zero run to its first sample
+        return ppg_samples(spark, sf_dir)
+    # W1/W2 run on events (``hr`` is constant within an event, so sample-level run starts are the first samples
+    # of event-level starts): the segment is the events from the second-last start through the last start, and
+    # at sample level it ends with the *first* sample of the closing start event. Only the segment's events are
+    # expanded to samples. The event segment is read by several passes (bucket carry, row numbers), so it is
+    # written once to the shared checkpoint folder.
     ev = table(spark, sf_dir, "events").select("event_id", "user_id", "ts", "event_type", "value")
-    # each ordered step reads its input twice (bucket pass + carry pass); the chain's intermediate results are
-    # written to the shared checkpoint folder so no pass recomputes the steps before it
-    ev_seg = materialize(ppg.last_segment(ev, KEYS, ["ts", "event_id"], _zero_event()), "event_segment")
-    s = materialize(explode_samples(ev_seg, SEGMENT_SAMPLES_PER_EVENT), "segment_samples")
-    s = materialize(ppg.last_segment(s, KEYS, ORDER, F.col("hr") == 0), "sample_segment")
-    return ppg.fixed_chunks(s, KEYS, ORDER, rows=ppg.CHUNK_ROWS)
+    ev_seg = materialize(
+        ppg.last_segment(ev, KEYS, ["ts", "event_id"], _zero_event(), closing_flag="is_closing"), "event_segment"
+    )
+    return explode_samples(ev_seg, SEGMENT_SAMPLES_PER_EVENT, closing="is_closing")
 
 
 def peaks(spark: SparkSession, sf_dir: str) -> DataFrame:
