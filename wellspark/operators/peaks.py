@@ -113,7 +113,7 @@ def peaks_per_chunk(
 
     chunks = samples.groupBy(*group).agg(
         F.transform(
-            F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), F.col(signal).alias("v")))),
+            F.sort_array(F.collect_list(F.struct(F.col(order).alias("o"), F.col(signal).alias("v")))),
             lambda x: x["v"],
         ).alias("__sig")
     )

@@ -91,7 +91,7 @@ def lowest_hr(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def message_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """messages split into ordered text and attachment parts (absolute offsets, so every split is right)."""
-    d = table(spark, sf_dir, "documents")
+    d = table(spark, sf_dir, "documents", spread=True)
     msg = d.select("doc_id", attachment_message(F.col("doc_id"), F.col("lang"), F.col("source"), F.col("text")).alias("m"))
     return to.message_parts(msg, ["doc_id"], "m")
 

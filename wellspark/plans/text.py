@@ -17,7 +17,7 @@ SMALL_BUDGET_TOKENS = 1000  # a 1 000-token model budget: 4 000-character chunks
 
 
 def page_text(spark: SparkSession, sf_dir: str) -> DataFrame:
-    p = table(spark, sf_dir, "pages")
+    p = table(spark, sf_dir, "pages", spread=True)
     return to.page_text(p, "url", "html").select("page_id", "url_ok", "is_pdf", "text")
 
 
@@ -61,7 +61,7 @@ def attachment_message(doc_id: Column, lang: Column, source: Column, text: Colum
 
 
 def attachments(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = table(spark, sf_dir, "documents")
+    d = table(spark, sf_dir, "documents", spread=True)
     msg = d.select(
         "doc_id", attachment_message(F.col("doc_id"), F.col("lang"), F.col("source"), F.col("text")).alias("msg")
     )
@@ -79,7 +79,7 @@ def image_message(doc_id: Column, lang: Column, text: Column) -> Column:
 
 
 def image_refs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = table(spark, sf_dir, "documents")
+    d = table(spark, sf_dir, "documents", spread=True)
     msg = d.select("doc_id", image_message(F.col("doc_id"), F.col("lang"), F.col("text")).alias("msg"))
     return to.image_refs(msg, "msg").select("doc_id", "url", "local_path", "question", "route")
 

@@ -74,7 +74,7 @@ def reply_text(conv_id: Column, turn: Column, role: Column, text: Column) -> Col
 
 
 def _replies(spark: SparkSession, sf_dir: str) -> DataFrame:
-    c = table(spark, sf_dir, "conversations")
+    c = table(spark, sf_dir, "conversations", spread=True)
     t = F.coalesce(F.col("text"), F.lit(""))
     return c.select("conv_id", "turn", "role", reply_text(F.col("conv_id"), F.col("turn"), F.col("role"), t).alias("reply"))
 
@@ -114,7 +114,7 @@ def run_outcome(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def decision_text(spark: SparkSession, sf_dir: str) -> DataFrame:
-    c = table(spark, sf_dir, "conversations")
+    c = table(spark, sf_dir, "conversations", spread=True)
     t = F.coalesce(F.col("text"), F.lit(""))
     msg = F.when(
         F.col("role") == "assistant",
@@ -137,7 +137,7 @@ def react_message(conv_id: Column, role: Column, text: Column) -> Column:
 
 
 def react_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
-    c = table(spark, sf_dir, "conversations")
+    c = table(spark, sf_dir, "conversations", spread=True)
     t = F.coalesce(F.col("text"), F.lit(""))
     msgs = c.select("conv_id", "turn", react_message(F.col("conv_id"), F.col("role"), t).alias("msg"))
     out = tr.react_parse(msgs, "msg", [r[0] for r in TASK_REGISTRY])
@@ -145,7 +145,7 @@ def react_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _action_log(spark: SparkSession, sf_dir: str):
-    ev = table(spark, sf_dir, "events")
+    ev = table(spark, sf_dir, "events", spread=True)
     k = F.get_json_object(F.col("props"), "$.k").cast("long")
     actions = ev.select(
         F.to_date("ts").alias("run_id"),

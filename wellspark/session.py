@@ -15,7 +15,9 @@ from pyspark.sql import SparkSession
 # decided from *estimated* sizes (an exploded or derived side can be estimated far too small), instead AQE
 # turns a shuffle join into a broadcast only after measuring the side's real shuffle output (below 32 MB),
 # splits skewed partitions otherwise; explicit broadcast() remains for fixed-size dimensions only; Arrow for
-# the few Python stages.
+# the few Python stages. Streaming state lives in RocksDB (off-heap, spills to local disk, changelog
+# checkpoints to the shared checkpoint folder) rather than in executor heap maps, so large keyed state (all
+# customer-days, all open sessions) does not bound executor memory.
 BASE_CONF = {
     "spark.sql.autoBroadcastJoinThreshold": "-1",
     "spark.sql.adaptive.autoBroadcastJoinThreshold": "32m",
@@ -27,6 +29,9 @@ BASE_CONF = {
     "spark.sql.files.maxPartitionBytes": "128m",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
     "spark.sql.execution.arrow.maxRecordsPerBatch": "10000",
+    "spark.sql.streaming.stateStore.providerClass":
+        "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
+    "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true",
     "spark.ui.enabled": "false",
     "spark.ui.showConsoleProgress": "false",
 }
