@@ -39,9 +39,14 @@ def _c(c: Column | str) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
+# Fixed value: the ASCII whitespace set of Python's ``str.strip()`` / regex ``\s`` (space, tab, LF, VT, FF, CR).
+ASCII_WHITESPACE = " \t\n\x0b\x0c\r"
+
+
 def strip_ws(c: Column | str) -> Column:
-    """Python ``str.strip()`` for ASCII whitespace (Spark ``trim`` removes spaces only)."""
-    return F.regexp_replace(_c(c), r"^\s+|\s+$", "")
+    """Python ``str.strip()`` for ASCII whitespace (Spark ``trim`` removes spaces only); ``btrim`` with the
+    whitespace set, no regular expression."""
+    return F.btrim(_c(c), F.lit(ASCII_WHITESPACE))
 
 
 def collapse_ws(c: Column | str) -> Column:
