@@ -45,6 +45,12 @@ def explode_samples(ev: DataFrame, per_event: int, closing: str | None = None) -
     always the user's last event, so earlier row numbers are unaffected).
     """
     ev = row_number_across_buckets(ev, KEYS, ["ts", "event_id"], "event_no")
+    # AQE sizes the partitions of the event shuffle by the events' bytes, before the explode multiplies every row
+    # by ``per_event``: a whole table of events could land in one task and then become hundreds of times larger
+    # there. An explicit partition count (which AQE does not coalesce) on (user, event number) - no skew, a hot
+    # user's events spread evenly - keeps the generated samples spread over the cluster.
+    n = int(ev.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ev = ev.repartition(n, "user_id", "event_no")
     s = ev.select("*", F.explode(F.sequence(F.lit(0), F.lit(per_event - 1))).alias("sample_no"))
     if closing:
         s = s.where(~F.col(closing) | (F.col("sample_no") == 0))
