@@ -137,5 +137,43 @@ def ppg_stress(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {"peaks": peaks, "hrv_freq": hrv_freq, "ppg_stress": ppg_stress}
-ORACLES: dict[str, str] = {}
+def segment_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The stress chain up to beat detection (W1, W2, T4, W3 on samples): per user and 1200-sample chunk of the
+    last segment, the sample count, first and last sample row with their events, and zero-rate samples."""
+    c = _chunks(spark, sf_dir, segment=True)
+    return c.groupBy("user_id", "chunk_id").agg(
+        F.count(F.lit(1)).alias("n_samples"),
+        F.min("row_no").alias("first_row"),
+        F.max("row_no").alias("last_row"),
+        F.min_by("event_id", "row_no").alias("first_event"),
+        F.max_by("event_id", "row_no").alias("last_event"),
+        F.count_if(F.col("hr") == 0).alias("n_zero_samples"),
+    )
+
+
+QUERIES = {"peaks": peaks, "hrv_freq": hrv_freq, "ppg_stress": ppg_stress, "segment_chunks": segment_chunks}
+
+# The oracle expands every segment event into its samples (the closing start event into its first sample only)
+# and numbers them in order; no arithmetic shortcut, so it checks the Spark plan's row and chunk numbering.
+ORACLES: dict[str, str] = {
+    "segment_chunks": f"""
+      WITH ev AS (
+        SELECT event_id, user_id, (event_type = 'error' AND value >= 100) AS z,
+               row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS rn
+        FROM events),
+      m AS (SELECT *, z AND COALESCE(NOT lag(z) OVER (PARTITION BY user_id ORDER BY rn), TRUE) AS is_start FROM ev),
+      ranked AS (SELECT user_id, rn, row_number() OVER (PARTITION BY user_id ORDER BY rn DESC) AS k
+                 FROM m WHERE is_start),
+      b AS (SELECT user_id, MAX(CASE WHEN k = 1 THEN rn END) AS last_rn, MAX(CASE WHEN k = 2 THEN rn END) AS sec_rn
+            FROM ranked GROUP BY user_id HAVING COUNT(*) >= 2),
+      seg AS (SELECT m.user_id, m.event_id, m.z, m.rn,
+                     CASE WHEN m.rn = b.last_rn THEN 1 ELSE {SEGMENT_SAMPLES_PER_EVENT} END AS n
+              FROM m JOIN b USING (user_id) WHERE m.rn BETWEEN b.sec_rn AND b.last_rn),
+      smp AS (SELECT user_id, event_id, z, rn, unnest(range(0, n)) AS sample_no FROM seg),
+      numbered AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY rn, sample_no) AS row_no FROM smp)
+      SELECT user_id, (row_no - 1) // {ppg.CHUNK_ROWS} AS chunk_id, COUNT(*) AS n_samples,
+             MIN(row_no) AS first_row, MAX(row_no) AS last_row,
+             arg_min(event_id, row_no) AS first_event, arg_max(event_id, row_no) AS last_event,
+             COUNT(*) FILTER (WHERE z) AS n_zero_samples
+      FROM numbered GROUP BY 1, 2""",
+}
