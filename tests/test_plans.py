@@ -67,3 +67,13 @@ def test_spread_only_when_scan_has_few_splits(spark, tmpdir_path):
      .repartition(2 * slots).write.parquet(os.path.join(many, "pages.parquet")))
     big = table(spark, many, "pages", spread=True)
     assert "Exchange" not in _plan(big)
+
+
+def test_samples_spread_before_explode(spark):
+    """The pulse-sample explode multiplies rows after a shuffle whose partitions AQE sizes by the (small) event
+    rows; an explicit-count repartition on (user, event number) sits between them, so AQE cannot merge the
+    expanding stage into a few tasks."""
+    import re
+
+    plan = _plan(queries()["peaks"](spark, SF_SMALL))
+    assert re.search(r"Exchange hashpartitioning\(user_id#\d+L, event_no#\d+L, \d+\), REPARTITION_BY_NUM", plan)
