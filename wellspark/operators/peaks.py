@@ -96,6 +96,17 @@ def _peak_arrays(signals: pd.Series, hz: float) -> pd.Series:
     return pd.Series(out)
 
 
+def by_group(df: DataFrame, group: Sequence[str]) -> DataFrame:
+    """Hash-distribute rows on the grouping keys with the session's shuffle partition count before a grouped
+    Python stage. The grouped aggregation reuses this distribution (no extra exchange); an explicit count is not
+    coalesced by AQE, which would otherwise size the Python stage by the bytes shuffled (a few hundred bytes per
+    chunk) rather than by its CPU work and run it in one or two tasks. Groups are single chunks, so bounded.
+    Used where the input rows are few (peak times); raw samples keep the plain grouped aggregation, whose
+    map-side partial lists shrink the shuffle."""
+    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return df.repartition(n, *group)
+
+
 def peaks_per_chunk(
     samples: DataFrame, group: Sequence[str], order: str, signal: str, hz: float = SAMPLING_HZ
 ) -> DataFrame:
@@ -244,5 +255,5 @@ def frequency_features(peaks: DataFrame, group: Sequence[str], peak_ms: str = "p
     Peak times of a chunk (bounded) are gathered into an array and a scalar pandas UDF evaluates whole batches.
     """
     group = list(group)
-    per_chunk = peaks.groupBy(*group).agg(F.collect_list(F.col(peak_ms)).alias("__ms"))
+    per_chunk = by_group(peaks, group).groupBy(*group).agg(F.collect_list(F.col(peak_ms)).alias("__ms"))
     return with_frequency_features(per_chunk, "__ms")
