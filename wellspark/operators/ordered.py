@@ -40,8 +40,8 @@ def lag_across_buckets(
 
     The first row of a bucket takes the last value of the nearest earlier non-empty bucket of the same key.
     Plan: one grouped ``max_by`` per (key, bucket) (combined map-side, so only one row per bucket and task is
-    shuffled), a window over that small table, a join back on (key, bucket) and the bucket-local window on the
-    join's partitioning - the full rows are shuffled once.
+    shuffled) and a window over that small table give the carry; the bucket-local window runs on the full rows
+    (shuffled and sorted once) and is then joined with the carry on (key, bucket).
     """
     keys, order = list(keys), list(order)
     b = "__bucket"
@@ -53,11 +53,14 @@ def lag_across_buckets(
         .select(*keys, b, "__carry")
     )
     w_in = Window.partitionBy(*keys, b).orderBy(*_cols(order))
-    joined = x.join(carry, on=[*keys, b], how="left")
-    first_in = F.lag(F.lit(True)).over(w_in).isNull()
-    return joined.withColumn(
-        out, F.when(first_in, F.col("__carry")).otherwise(F.lag(value).over(w_in))
-    ).drop("__carry", b)
+    # window before the join: a sort-merge join then reuses the window's (key, bucket) partitioning and order,
+    # so the full rows are sorted once; a small carry table is broadcast by AQE instead
+    y = x.withColumns({"__lag_in": F.lag(value).over(w_in), "__first_in": F.lag(F.lit(True)).over(w_in).isNull()})
+    return (
+        y.join(carry, on=[*keys, b], how="left")
+        .withColumn(out, F.when(F.col("__first_in"), F.col("__carry")).otherwise(F.col("__lag_in")))
+        .drop("__lag_in", "__first_in", "__carry", b)
+    )
 
 
 def row_number_across_buckets(
@@ -91,9 +94,10 @@ def row_number_across_buckets(
     )
     w_in = Window.partitionBy(*keys, b).orderBy(*_cols(order))
     return (
-        x.join(offsets, on=[*keys, b], how="inner")
-        .withColumn(out, (F.row_number().over(w_in) + F.col("__offset")).cast("long"))
-        .drop("__offset", b)
+        x.withColumn("__rn_in", F.row_number().over(w_in))
+        .join(offsets, on=[*keys, b], how="inner")
+        .withColumn(out, (F.col("__rn_in") + F.col("__offset")).cast("long"))
+        .drop("__rn_in", "__offset", b)
     )
 
 
@@ -121,8 +125,19 @@ def lead_across_buckets(
         .select(*keys, b, "__carry")
     )
     w_in = Window.partitionBy(*keys, b).orderBy(*_cols(order))
-    joined = x.join(carry, on=[*keys, b], how="left")
-    last_in = F.lead(F.lit(True)).over(w_in).isNull()
-    return joined.withColumns(
-        {f"{prefix}{v}": F.when(last_in, F.col(f"__carry.{v}")).otherwise(F.lead(v).over(w_in)) for v in values}
-    ).drop("__carry", b)
+    y = x.withColumns(
+        {
+            **{f"__lead_{i}": F.lead(v).over(w_in) for i, v in enumerate(values)},
+            "__last_in": F.lead(F.lit(True)).over(w_in).isNull(),
+        }
+    )
+    return (
+        y.join(carry, on=[*keys, b], how="left")
+        .withColumns(
+            {
+                f"{prefix}{v}": F.when(F.col("__last_in"), F.col(f"__carry.{v}")).otherwise(F.col(f"__lead_{i}"))
+                for i, v in enumerate(values)
+            }
+        )
+        .drop(*[f"__lead_{i}" for i in range(len(values))], "__last_in", "__carry", b)
+    )
