@@ -57,3 +57,25 @@ def test_lowest_sliding_mean_equals_whole_night_window(spark):
     a = {(r.user, r.night): round(r.m, 9) for r in plain.collect()}
     b = {(r.user, r.night): round(r.lowest_5min_avg, 9) for r in got.collect()}
     assert a == b
+
+
+def test_last_segment_equals_plain_windows(spark):
+    """W1/W2 with the bucketed passes and the two-level top-2 equal the plain whole-key formulation."""
+    from wellspark.operators import ppg
+
+    df = _data(spark, 4000, seed=5).withColumn("z", F.col("v") < 0.3)
+    w = Window.partitionBy("user").orderBy("ts", "id")
+    m = df.withColumn("start", F.col("z") & F.coalesce(~F.lag("z").over(w), F.lit(True)))
+    rk = Window.partitionBy("user").orderBy(F.col("ts").desc(), F.col("id").desc())
+    s = m.where("start").withColumn("k", F.row_number().over(rk))
+    b = s.groupBy("user").agg(
+        F.max(F.when(F.col("k") == 1, F.struct("ts", "id"))).alias("last"),
+        F.max(F.when(F.col("k") == 2, F.struct("ts", "id"))).alias("sec"),
+    ).where(F.col("sec").isNotNull())
+    pos = F.struct("ts", "id")
+    plain = m.join(b, "user").where((pos >= F.col("sec")) & (pos <= F.col("last")))
+    expected = {(r.id, r.closing) for r in plain.select("id", (pos == F.col("last")).alias("closing")).collect()}
+    for bucket in (None, F.date_trunc("hour", "ts")):
+        got = ppg.last_segment(df, ["user"], ["ts", "id"], F.col("z"), bucket=bucket, closing_flag="closing")
+        assert {(r.id, r.closing) for r in got.select("id", "closing").collect()} == expected
+    assert len(expected) > 0

@@ -13,7 +13,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from wellspark.operators.ordered import lag_across_buckets, row_number_across_buckets
+from wellspark.operators.ordered import day_bucket, lag_across_buckets, row_number_across_buckets
 
 CHUNK_ROWS = 60 * 20  # 60 s at 20 Hz (fixed value of the reference)
 
@@ -47,23 +47,36 @@ def last_segment(
     """Rows from the second-last run start to the last run start of each key, both included.
 
     Keys with fewer than two starts give no rows (the reference fails with IndexError there).
-    The two latest starts are found with grouped ``max`` over the start rows only (tiny), then joined back.
+    The two latest starts come from the start rows only, in one pass and without a whole-key window: the two
+    latest of every (key, bucket) by a bucket-local window, then the two latest of those candidates per key (at
+    most two rows per bucket); the per-key bounds are joined back.
     ``closing_flag`` names an optional boolean output column that is true on the closing row (the last start).
     """
     keys = list(keys)
     marked = mark_run_starts(df, keys, order, is_zero, "__start", bucket=bucket)
     pos = _order_struct(order)
-    starts = marked.where("__start").select(*keys, pos.alias("__pos"))
-    last = starts.groupBy(*keys).agg(F.max("__pos").alias("__last"))
-    second = (
-        starts.join(last, on=keys)
-        .where(F.col("__pos") < F.col("__last"))
-        .groupBy(*keys)
-        .agg(F.max("__pos").alias("__second"), F.first("__last").alias("__last"))
+    b = bucket if bucket is not None else day_bucket(order[0])
+    starts = marked.where("__start").select(*keys, b.alias("__b"), pos.alias("__pos"))
+    latest_first = F.col("__pos").desc()
+    cand = (
+        starts.withColumn("__r", F.row_number().over(Window.partitionBy(*keys, "__b").orderBy(latest_first)))
+        .where(F.col("__r") <= 2)
+        .select(*keys, "__pos")
+    )
+    top2 = cand.withColumn("__r", F.row_number().over(Window.partitionBy(*keys).orderBy(latest_first))).where(
+        F.col("__r") <= 2
+    )
+    bounds = (
+        top2.groupBy(*keys)
+        .agg(
+            F.max(F.when(F.col("__r") == 1, F.col("__pos"))).alias("__last"),
+            F.max(F.when(F.col("__r") == 2, F.col("__pos"))).alias("__second"),
+        )
+        .where(F.col("__second").isNotNull())
     )
     out = (
         marked.drop("__start")
-        .join(second, on=keys, how="inner")
+        .join(bounds, on=keys, how="inner")
         .where((pos >= F.col("__second")) & (pos <= F.col("__last")))
     )
     if closing_flag:
