@@ -79,3 +79,15 @@ def test_last_segment_equals_plain_windows(spark):
         got = ppg.last_segment(df, ["user"], ["ts", "id"], F.col("z"), bucket=bucket, closing_flag="closing")
         assert {(r.id, r.closing) for r in got.select("id", "closing").collect()} == expected
     assert len(expected) > 0
+
+
+def test_null_order_timestamps_numbered_like_plain_window(spark):
+    """Rows with a NULL order timestamp (NULL day bucket) come first in a plain window; the bucketed operators
+    keep and number them the same way."""
+    df = _data(spark, 800, seed=9).withColumn("ts", F.when(F.col("id") % 50 == 0, F.lit(None)).otherwise(F.col("ts")))
+    w = Window.partitionBy("user").orderBy("ts", "id")
+    plain = {r.id: (r.rn, r.p) for r in df.select("id", F.row_number().over(w).alias("rn"),
+                                                    F.lag("v").over(w).alias("p")).collect()}
+    got = row_number_across_buckets(df, ["user"], ["ts", "id"], "rn")
+    got = lag_across_buckets(got, ["user"], ["ts", "id"], "v", "p")
+    assert {r.id: (r.rn, r.p) for r in got.select("id", "rn", "p").collect()} == plain

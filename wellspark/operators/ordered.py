@@ -95,8 +95,10 @@ def row_number_across_buckets(
     w_in = Window.partitionBy(*keys, b).orderBy(*_cols(order))
     return (
         x.withColumn("__rn_in", F.row_number().over(w_in))
-        .join(offsets, on=[*keys, b], how="inner")
-        .withColumn(out, (F.col("__rn_in") + F.col("__offset")).cast("long"))
+        # left join: rows of a NULL bucket (NULL order timestamp) find no offset row; they sort first, as in a
+        # plain window, so their offset is 0
+        .join(offsets, on=[*keys, b], how="left")
+        .withColumn(out, (F.col("__rn_in") + F.coalesce(F.col("__offset"), F.lit(0))).cast("long"))
         .drop("__rn_in", "__offset", b)
     )
 
