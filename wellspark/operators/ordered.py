@@ -115,7 +115,8 @@ def lead_across_buckets(
 
     The last row of a bucket takes the first row of the nearest later non-empty bucket of the same key (grouped
     ``min_by`` per bucket, a window over the small table, join back, bucket-local window).
-    Output columns: ``<prefix><v>``.
+    Output columns: ``<prefix><v>``. Known limit: rows with a NULL order timestamp (NULL day bucket) get no
+    carry, so the last of them has a NULL lead where a plain window would give the next bucket's first row.
     """
     keys, order, values = list(keys), list(order), list(values)
     b = "__bucket"
