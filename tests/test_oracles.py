@@ -7,12 +7,13 @@ import duckdb
 import pytest
 
 from __spark_entry__ import entry, oracle_sql, queries
+from wellspark.plans import all_oracles, all_queries
 from wellspark.sources.tables import TABLES
 
 from conftest import SF_SMALL
 
-QUERIES = queries()
-ORACLES = oracle_sql()
+QUERIES = all_queries()
+ORACLES = all_oracles()
 
 
 def _norm(v):
@@ -38,6 +39,10 @@ def test_every_query_has_an_oracle_or_is_declared_python():
     assert set(QUERIES) - set(ORACLES) == python_only
 
 
+def test_entry_exposes_the_plans():
+    assert set(QUERIES) <= set(queries()) and set(ORACLES) <= set(oracle_sql())
+
+
 def test_entry_runs(spark):
     df = entry(spark)
     assert df.columns == ["user_id", "trend_n_events", "trend_total_value"]

@@ -1,12 +1,11 @@
 """Spark session settings shared by tests, the bench and the operators.
 
-Nothing here is specific to local mode except the fallback checkpoint folder, which is only created when the
-session does not already name a shared ``spark.checkpoint.dir`` (as on a cluster).
+Nothing here is specific to local mode except the checkpoint folder of a local session that names none; a cluster
+session without ``spark.checkpoint.dir`` raises.
 """
 
 from __future__ import annotations
 
-import os
 import tempfile
 
 from pyspark.sql import SparkSession
@@ -63,35 +62,35 @@ def get_session(
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """Shared folder for checkpoints and intermediate tables.
+    """Shared folder for checkpoints and intermediate tables, as a whole URI.
 
-    Reads ``spark.checkpoint.dir`` from the session. Only when it is unset (local tests) a fresh folder under the
-    system temp dir is created and registered, so cluster jobs never write to a machine-local path.
+    Reads ``spark.checkpoint.dir`` from the session. Where it is unset, a local session (tests) gets a fresh folder
+    under the system temp dir; a cluster session raises, because a machine-local folder is not visible to the other
+    machines.
     """
     sc = spark.sparkContext
-    configured = sc.getConf().get("spark.checkpoint.dir", None)
-    if not configured:
-        try:
-            configured = spark.conf.get("spark.checkpoint.dir")
-        except Exception:  # noqa: BLE001 - unset conf raises
-            configured = None
     current = sc.getCheckpointDir()
     if current:
         return current
-    if configured:
-        sc.setCheckpointDir(configured)
-        return sc.getCheckpointDir() or configured
-    local = tempfile.mkdtemp(prefix="wellspark-ckpt-")
-    sc.setCheckpointDir(local)
-    return sc.getCheckpointDir() or local
+    configured = sc.getConf().get("spark.checkpoint.dir", None) or spark.conf.get("spark.checkpoint.dir", None)
+    if not configured:
+        if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        configured = "file://" + tempfile.mkdtemp(prefix="wellspark-ckpt-")
+    sc.setCheckpointDir(configured)
+    return sc.getCheckpointDir() or configured
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A sub-folder of the checkpoint folder for written intermediate tables and sink output."""
-    base = checkpoint_dir(spark)
-    if base.startswith("file:"):
-        base = base[len("file:"):]
-    return os.path.join(base, name)
+    return f"{checkpoint_dir(spark).rstrip('/')}/{name}"
+
+
+def drop_path(spark: SparkSession, path: str) -> None:
+    """Delete a folder that :func:`scratch_path` named, through Spark's own file system classes."""
+    jvm = spark._jvm
+    target = jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
 
 
 def materialize(df, name: str = "intermediate"):
@@ -100,11 +99,13 @@ def materialize(df, name: str = "intermediate"):
 
     Used where a multi-pass operator reads its input more than once and that input is itself the output of such
     operators: without the cut, every pass would recompute the whole upstream chain. Parquet keeps the write
-    columnar and lets later passes read only the columns they need.
+    columnar and lets later passes read only the columns they need. The table is read with the schema of ``df``, so
+    no file is opened to infer it. The folder lives as long as the checkpoint folder, since the lazy result still
+    reads it.
     """
     import uuid
 
     spark = df.sparkSession
     path = scratch_path(spark, f"tables/{name}-{uuid.uuid4().hex[:12]}")
     df.write.mode("overwrite").parquet(path)
-    return spark.read.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
