@@ -126,7 +126,8 @@ def full_sets(docs: DataFrame, wanted: DataFrame, n: int, id_col: str, text_col:
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(sets, pa.list_(pa.int64()))], ["cid", "grams"])
 
     rows_in = docs.select(F.col(id_col).cast("long").alias("cid"), F.col(text_col).alias("text"))
-    return rows_in.join(wanted, "cid", "left_semi").select("cid", "text").mapInArrow(run, "cid long, grams array<long>")
+    # a shuffle join at every size: the wanted ids grow with the data, so they are never broadcast
+    return rows_in.join(wanted.hint("merge"), "cid", "left_semi").select("cid", "text").mapInArrow(run, "cid long, grams array<long>")
 
 
 def block_links(cids: np.ndarray, blocks: np.ndarray, sets: list[np.ndarray], own: bool, num: int, den: int):
