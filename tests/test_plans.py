@@ -31,9 +31,9 @@ def test_column_pruning(spark):
     assert "ReadSchema: struct<event_id:bigint,value:double>" in plan
 
 
-def test_nation_broadcast(spark):
-    plan = _plan(queries()["profile_join"](spark, SF_SMALL))
-    assert "BroadcastHashJoin" in plan or "BroadcastExchange" in plan
+def test_attributes_are_not_broadcast_from_an_estimate(spark):
+    """The side's size is measured at run time (AQE); the initial plan shuffles."""
+    assert "BroadcastExchange" not in _plan(queries()["profile_join"](spark, SF_SMALL))
 
 
 def test_no_whole_user_window(spark):
@@ -46,29 +46,6 @@ def test_no_whole_user_window(spark):
                 pytest.fail(f"{name}: whole-user window: {line.strip()[:200]}")
 
 
-def test_spread_only_when_scan_has_few_splits(spark, tmpdir_path):
-    """``table(spread=True)``: a one-split table is hash-redistributed on its row key; a table already read in
-    at least as many splits as there are task slots keeps its scan partitioning (no extra shuffle at scale)."""
-    import os
-
-    from pyspark.sql import functions as F
-
-    from wellspark.sources.tables import table
-
-    small = table(spark, SF_SMALL, "pages", spread=True)
-    assert "Exchange hashpartitioning(page_id" in _plan(small)
-    assert small.rdd.getNumPartitions() == spark.sparkContext.defaultParallelism
-
-    slots = spark.sparkContext.defaultParallelism
-    many = os.path.join(tmpdir_path, "many")
-    os.makedirs(many)
-    (spark.range(0, 4000 * slots).select(F.col("id").alias("page_id"), F.lit("u").alias("url"),
-                                         F.lit("<p>x</p>").alias("html"))
-     .repartition(2 * slots).write.parquet(os.path.join(many, "pages.parquet")))
-    big = table(spark, many, "pages", spread=True)
-    assert "Exchange" not in _plan(big)
-
-
 def test_samples_spread_before_explode(spark):
     """The pulse-sample explode multiplies rows after a shuffle whose partitions AQE sizes by the (small) event
     rows; an explicit-count repartition on (user, event number) sits between them, so AQE cannot merge the

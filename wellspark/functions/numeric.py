@@ -30,8 +30,10 @@ def safe_div(num: Column | str, den: Column | str) -> Column:
 
 
 def pct_trunc(share: Column | str) -> Column:
-    """``int(x * 100)``: truncation toward zero, as an int."""
-    return (_c(share) * F.lit(100.0)).cast("int")
+    """``int(x * 100)``: truncation toward zero, as a bigint (NULL for infinities, NaN and what exceeds one)."""
+    x = _c(share) * F.lit(100.0)
+    whole = F.when(x < 0, F.ceil(x)).otherwise(F.floor(x))
+    return F.when(F.abs(x) < F.lit(9.2e18), whole)
 
 
 def days_since_epoch(c: Column | str) -> Column:

@@ -18,7 +18,11 @@ STOP_TAGS = ("STRATEGY_CHANGE", "STEP_SUCCESS", "STRATEGY_COMPLETE", "CONTENT")
 CODE_BLOCK = r"(?i)```python([\s\S]*?)``?"
 DECISION_MARKER = "Decision:"
 FINAL_ANSWER = "Final Answer:"
-TOOL_CALL = r"self\.execute_task\(\s*'([^']*)'\s*,\s*\[(.*?)\]\s*\)"
+TOOL_CALL = (
+    r"execute_task\(\s*(?:'([^']*)'|\"([^\"]*)\")\s*,\s*"
+    r"\[((?:[^\]'\"]|'[^']*'|\"[^\"]*\")*+)\]\s*\)"
+)
+QUOTED_ARGUMENT = r"'[^']*'|\"[^\"]*\"|[^,'\"\s][^,]*"
 DATAPIPE_REF = r"datapipe:([0-9a-f-]{36})"
 # ---------------------------------------------------------------------------------------------------------
 
@@ -62,16 +66,20 @@ def decision_text(text: Column | str) -> Column:
 
 
 def tool_calls(code: Column | str) -> Column:
-    """``array<struct<task, args>>`` of ``self.execute_task('<task>', [args])`` calls in order."""
+    """``array<struct<task, args>>`` of ``self.execute_task('<task>', [args])`` calls in order; names and
+    arguments in single or double quotes."""
     c = _c(code)
-    names = F.regexp_extract_all(c, F.lit(TOOL_CALL), F.lit(1))
-    args = F.regexp_extract_all(c, F.lit(TOOL_CALL), F.lit(2))
+    single = F.regexp_extract_all(c, F.lit(TOOL_CALL), F.lit(1))
+    double = F.regexp_extract_all(c, F.lit(TOOL_CALL), F.lit(2))
+    names = F.zip_with(single, double, lambda a, b: F.concat(F.coalesce(a, F.lit("")), F.coalesce(b, F.lit(""))))
+    args = F.regexp_extract_all(c, F.lit(TOOL_CALL), F.lit(3))
     return F.arrays_zip(names.alias("task"), args.alias("args"))
 
 
 def split_args(args: Column) -> Column:
-    """Argument list text ``'a', 'b'`` -> array of values with whitespace and quotes stripped."""
-    parts = F.split(args, ",", -1)
+    """Argument list text ``'a', 'b'`` -> array of values with whitespace and quotes stripped (F22); a comma inside quotes
+    belongs to its value."""
+    parts = F.regexp_extract_all(args, F.lit(QUOTED_ARGUMENT), F.lit(0))
     cleaned = F.transform(parts, lambda p: F.regexp_replace(p, r"^[\s'\"]+|[\s'\"]+$", ""))
     return F.when(F.length(F.regexp_replace(args, r"\s", "")) == 0, F.array().cast("array<string>")).otherwise(cleaned)
 

@@ -29,9 +29,11 @@ MAX_CHUNK_ANSWER_TOKENS = 2000
 
 # HTML: blocks whose text is not visible, then tags. Entity decoding runs after tag removal, '&amp;' last.
 INVISIBLE_BLOCKS = (
-    r"(?is)<!--.*?-->|<(script|style|template)[^>]*>.*?</(script|style|template)>|<!doctype[^>]*>"
+    r"(?is)<!--.*?-->|<(script|style|template)\b[^>]*>.*?</\1\s*>|<!doctype[^>]*>"
 )
-TAG_PATTERN = r"<[^>]*>"
+# a tag ends at the first '>' outside quotes (a lone quote counts as text)
+TAG_PATTERN = r"<(?:[^>\"']|\"[^\"]*\"|'[^']*')*+>|<[^>]*>"
+NUMERIC_ENTITY = r"&#(x?[0-9a-fA-F]{1,6});"
 ENTITIES = (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&nbsp;", " "), ("&amp;", "&"))
 
 
@@ -54,8 +56,23 @@ def collapse_ws(c: Column | str) -> Column:
     return strip_ws(F.regexp_replace(_c(c), r"\s+", " "))
 
 
+def decode_numeric(c: Column) -> Column:
+    """``&#8217;`` and ``&#x2019;`` to their characters; a number beyond Unicode stays as it is."""
+    def character(code: Column) -> Column:
+        point = F.when(F.lower(F.substr(code, F.lit(1), F.lit(1))) == "x", F.conv(F.substr(code, F.lit(2)), 16, 10))
+        point = point.otherwise(code).try_cast("bigint")
+        valid = (point > 0) & (point < 0x110000) & ~point.between(0xD800, 0xDFFF)
+        return F.when(valid, F.decode(F.unhex(F.lpad(F.hex(point), 8, "0")), "UTF-32"))
+
+    found = F.array_distinct(F.regexp_extract_all(c, F.lit(NUMERIC_ENTITY), F.lit(1)))
+    return F.when(F.instr(c, "&#") == 0, c).otherwise(F.aggregate(
+        found, c, lambda text, code: F.replace(
+            text, F.concat(F.lit("&#"), code, F.lit(";")),
+            F.coalesce(character(code), F.concat(F.lit("&#"), code, F.lit(";"))))))
+
+
 def decode_entities(c: Column | str) -> Column:
-    out = _c(c)
+    out = decode_numeric(_c(c))
     for ent, ch in ENTITIES:
         out = F.replace(out, F.lit(ent), F.lit(ch))
     return out
@@ -139,12 +156,16 @@ def kv_line(cols: list[str]) -> Column:
 
 def kv_parse(line: Column | str) -> Column:
     """``col = val, ...`` text -> map<string,string>: split on ',', then on '=', both sides stripped
-    (values stay strings)."""
+    (values stay strings). A part without '=' has a NULL value; of a repeated name the last value counts."""
     pairs = F.transform(
         F.split(_c(line), ","),
         lambda p: F.struct(
             strip_ws(F.element_at(F.split(p, "="), 1)).alias("k"),
-            strip_ws(F.element_at(F.split(p, "="), 2)).alias("v"),
+            strip_ws(F.try_element_at(F.split(p, "="), F.lit(2))).alias("v"),
         ),
     )
-    return F.map_from_entries(pairs)
+    last = F.filter(
+        pairs,
+        lambda p, i: ~F.exists(F.slice(pairs, i + 2, F.size(pairs)), lambda q: q["k"] == p["k"]),
+    )
+    return F.map_from_entries(last)

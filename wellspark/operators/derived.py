@@ -80,21 +80,20 @@ def glucose_summary(df: DataFrame, keys: Sequence[str], glucose: Column) -> Data
 
 def state_minutes(
     df: DataFrame, keys: Sequence[str], order: Sequence[str], ts: str, state: Column, period: Column,
-    cap_seconds: float,
+    max_gap: float | None = None,
 ) -> DataFrame:
     """Minutes spent per state (heart-rate zone, sleep stage) and period: each sample lasts until the next
-    sample of the key, capped at ``cap_seconds`` (the last sample of a key gets the cap). The next sample comes
-    from the bucketed ``lead`` (no whole-key window)."""
+    sample of the key; the last sample of a key lasts 0. ``max_gap`` (seconds) may bound a sample's time where a pause
+    means that nothing was measured. The next sample comes from the bucketed ``lead`` (no whole-key window)."""
     x = df.withColumns({"__state": state, "__period": period})
     x = lead_across_buckets(x, keys, order, [ts], prefix="__next_")
-    dur = F.least(
-        F.coalesce(
-            (F.unix_micros(F.col(f"__next_{ts}").cast("timestamp")) - F.unix_micros(F.col(ts).cast("timestamp")))
-            / F.lit(1e6),
-            F.lit(float(cap_seconds)),
-        ),
-        F.lit(float(cap_seconds)),
+    dur = F.coalesce(
+        (F.unix_micros(F.col(f"__next_{ts}").cast("timestamp")) - F.unix_micros(F.col(ts).cast("timestamp")))
+        / F.lit(1e6),
+        F.lit(0.0),
     )
+    if max_gap is not None:
+        dur = F.least(dur, F.lit(float(max_gap)))
     return x.groupBy(*keys, F.col("__period").alias("period"), F.col("__state").alias("state")).agg(
         (F.sum(dur) / F.lit(60.0)).alias("minutes"), F.count(F.lit(1)).alias("n_samples")
     )

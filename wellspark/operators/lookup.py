@@ -48,12 +48,9 @@ def attach_attributes(
     measures: DataFrame,
     participants: DataFrame,
     keys: Sequence[str],
-    bounded_rows: int | None = None,
 ) -> DataFrame:
     """Measures left-joined with participant attributes on the shared id.
 
-    ``bounded_rows`` states a known upper bound on the participant table (e.g. a fixed dimension); only then the
-    side is broadcast explicitly. Otherwise AQE decides from the runtime size and falls back to a shuffle join.
+    AQE broadcasts the side from its measured size or falls back to a shuffle join.
     """
-    side = F.broadcast(participants) if bounded_rows is not None and bounded_rows <= 1_000_000 else participants
-    return measures.join(side, on=list(keys), how="left")
+    return measures.join(participants, on=list(keys), how="left")

@@ -28,6 +28,12 @@ def _cols(names: Sequence[str]) -> list[Column]:
     return [F.col(n) for n in names]
 
 
+def _bucketed(df: DataFrame, keys: Sequence[str], bucket: Column) -> DataFrame:
+    """Add ``__group``: the keys and the bucket as one struct. Structs are equal when their fields are, NULLs
+    included, so windows and joins on it keep the rows of NULL keys and NULL order timestamps together."""
+    return df.withColumn("__group", F.struct(*[F.col(k) for k in keys], bucket.alias("__bucket")))
+
+
 def lag_across_buckets(
     df: DataFrame,
     keys: Sequence[str],
@@ -45,21 +51,21 @@ def lag_across_buckets(
     """
     keys, order = list(keys), list(order)
     b = "__bucket"
-    x = df.withColumn(b, bucket if bucket is not None else day_bucket(order[0]))
+    x = _bucketed(df, keys, bucket if bucket is not None else day_bucket(order[0]))
     carry = (
-        x.groupBy(*keys, b)
+        x.groupBy("__group")
         .agg(F.max_by(F.col(value), F.struct(*_cols(order))).alias("__last"))
-        .withColumn("__carry", F.lag("__last").over(Window.partitionBy(*keys).orderBy(b)))
-        .select(*keys, b, "__carry")
+        .withColumn("__carry", F.lag("__last").over(Window.partitionBy(*[F.col(f"__group.{k}") for k in keys]).orderBy(f"__group.{b}")))
+        .select("__group", "__carry")
     )
-    w_in = Window.partitionBy(*keys, b).orderBy(*_cols(order))
+    w_in = Window.partitionBy("__group").orderBy(*_cols(order))
     # window before the join: a sort-merge join then reuses the window's (key, bucket) partitioning and order,
     # so the full rows are sorted once; a small carry table is broadcast by AQE instead
     y = x.withColumns({"__lag_in": F.lag(value).over(w_in), "__first_in": F.lag(F.lit(True)).over(w_in).isNull()})
     return (
-        y.join(carry, on=[*keys, b], how="left")
+        y.join(carry, on="__group", how="left")
         .withColumn(out, F.when(F.col("__first_in"), F.col("__carry")).otherwise(F.col("__lag_in")))
-        .drop("__lag_in", "__first_in", "__carry", b)
+        .drop("__lag_in", "__first_in", "__carry", "__group")
     )
 
 
@@ -77,29 +83,27 @@ def row_number_across_buckets(
     """
     keys, order = list(keys), list(order)
     b = "__bucket"
-    x = df.withColumn(b, bucket if bucket is not None else day_bucket(order[0]))
+    x = _bucketed(df, keys, bucket if bucket is not None else day_bucket(order[0]))
     offsets = (
-        x.groupBy(*keys, b)
+        x.groupBy("__group")
         .agg(F.count(F.lit(1)).alias("__n"))
         .withColumn(
             "__offset",
             F.coalesce(
                 F.sum("__n").over(
-                    Window.partitionBy(*keys).orderBy(b).rowsBetween(Window.unboundedPreceding, -1)
+                    Window.partitionBy(*[F.col(f"__group.{k}") for k in keys]).orderBy(f"__group.{b}").rowsBetween(Window.unboundedPreceding, -1)
                 ),
                 F.lit(0),
             ),
         )
-        .select(*keys, b, "__offset")
+        .select("__group", "__offset")
     )
-    w_in = Window.partitionBy(*keys, b).orderBy(*_cols(order))
+    w_in = Window.partitionBy("__group").orderBy(*_cols(order))
     return (
         x.withColumn("__rn_in", F.row_number().over(w_in))
-        # left join: rows of a NULL bucket (NULL order timestamp) find no offset row; they sort first, as in a
-        # plain window, so their offset is 0
-        .join(offsets, on=[*keys, b], how="left")
+        .join(offsets, on="__group", how="left")
         .withColumn(out, (F.col("__rn_in") + F.coalesce(F.col("__offset"), F.lit(0))).cast("long"))
-        .drop("__rn_in", "__offset", b)
+        .drop("__rn_in", "__offset", "__group")
     )
 
 
@@ -115,19 +119,18 @@ def lead_across_buckets(
 
     The last row of a bucket takes the first row of the nearest later non-empty bucket of the same key (grouped
     ``min_by`` per bucket, a window over the small table, join back, bucket-local window).
-    Output columns: ``<prefix><v>``. Known limit: rows with a NULL order timestamp (NULL day bucket) get no
-    carry, so the last of them has a NULL lead where a plain window would give the next bucket's first row.
+    Output columns: ``<prefix><v>``.
     """
     keys, order, values = list(keys), list(order), list(values)
     b = "__bucket"
-    x = df.withColumn(b, bucket if bucket is not None else day_bucket(order[0]))
+    x = _bucketed(df, keys, bucket if bucket is not None else day_bucket(order[0]))
     carry = (
-        x.groupBy(*keys, b)
+        x.groupBy("__group")
         .agg(F.min_by(F.struct(*[F.col(v) for v in values]), F.struct(*_cols(order))).alias("__first"))
-        .withColumn("__carry", F.lead("__first").over(Window.partitionBy(*keys).orderBy(b)))
-        .select(*keys, b, "__carry")
+        .withColumn("__carry", F.lead("__first").over(Window.partitionBy(*[F.col(f"__group.{k}") for k in keys]).orderBy(f"__group.{b}")))
+        .select("__group", "__carry")
     )
-    w_in = Window.partitionBy(*keys, b).orderBy(*_cols(order))
+    w_in = Window.partitionBy("__group").orderBy(*_cols(order))
     y = x.withColumns(
         {
             **{f"__lead_{i}": F.lead(v).over(w_in) for i, v in enumerate(values)},
@@ -135,12 +138,12 @@ def lead_across_buckets(
         }
     )
     return (
-        y.join(carry, on=[*keys, b], how="left")
+        y.join(carry, on="__group", how="left")
         .withColumns(
             {
                 f"{prefix}{v}": F.when(F.col("__last_in"), F.col(f"__carry.{v}")).otherwise(F.col(f"__lead_{i}"))
                 for i, v in enumerate(values)
             }
         )
-        .drop(*[f"__lead_{i}" for i in range(len(values))], "__last_in", "__carry", b)
+        .drop(*[f"__lead_{i}" for i in range(len(values))], "__last_in", "__carry", "__group")
     )

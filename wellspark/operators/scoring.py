@@ -102,10 +102,16 @@ def reconstruct(
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            x = np.stack([np.asarray(v, dtype=np.float64) for v in pdf[features_col]]) if len(pdf) else np.zeros((0, 30))
-            y = forward(forward(x, enc, "none"), dec, "none") if len(pdf) else np.zeros((0, 30))
+            width = enc[0][0].shape[1]
+            good = [i for i, v in enumerate(pdf[features_col]) if v is not None and len(v) == width
+                    and not np.isnan(np.asarray(v, dtype=np.float64)).any()]
+            found: list = [None] * len(pdf)  # a vector that is NULL, of another width or with a NULL has none
+            if good:
+                x = np.stack([np.asarray(pdf[features_col].iloc[i], dtype=np.float64) for i in good])
+                for i, y in zip(good, forward(forward(x, enc, "none"), dec, "none")):
+                    found[i] = y
             outp = pdf[keep].copy()
-            outp[out] = list(y)
+            outp[out] = pd.Series(found, index=outp.index, dtype=object)
             yield outp
 
     return df.select(*keep, *([] if features_col in keep else [features_col])).mapInPandas(run, schema)

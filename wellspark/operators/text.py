@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from wellspark.functions import text as tx
 from wellspark.operators.ordered import lead_across_buckets
 
-HISTORY_BLOCK_TURNS = 512  # transcript text is emitted per block of turns, so no conversation is one giant value
+HISTORY_BLOCK_TURNS = 512  # turns that are sorted together on the way to a conversation's text
 
 
 def chunk_text(
@@ -86,9 +86,9 @@ def reply_pairs(
 def history_text(
     pairs: DataFrame, conv: str, turn: str, block_turns: int = HISTORY_BLOCK_TURNS
 ) -> DataFrame:
-    """transcript text ``\\n------------\\nUser: u\\nCHA: r\\n------------\\n`` per pair, concatenated in turn
-    order. Emitted per block of ``block_turns`` turns (one row for ordinary conversations), so the ordered
-    concatenation never gathers an unbounded group; blocks concatenated by ``block_no`` give the whole text."""
+    """one transcript text per conversation, ``\\n------------\\nUser: u\\nCHA: r\\n------------\\n`` per pair, concatenated in turn
+    order. Blocks of ``block_turns`` turns are put together first, so that only a block's turns are sorted at once and
+    the last step joins a few strings per conversation."""
     sep = tx.HISTORY_SEPARATOR
     piece = F.concat(
         F.lit(f"\n{sep}\nUser: "), F.col("user_text"), F.lit("\nCHA: "), F.col("reply_text"), F.lit(f"\n{sep}\n")
@@ -101,6 +101,11 @@ def history_text(
             F.count(F.lit(1)).alias("n_pairs"),
             F.expr(f"listagg(__piece, '') WITHIN GROUP (ORDER BY {turn})").alias("history"),
         )
+        .groupBy(conv)
+        .agg(
+            F.sum("n_pairs").alias("n_pairs"),
+            F.expr("listagg(history, '') WITHIN GROUP (ORDER BY block_no)").alias("history"),
+        )
     )
 
 

@@ -111,7 +111,10 @@ def resolve_refs(
     args = calls.select(*keys, *[k for k in run_keys if k not in keys], F.posexplode("args").alias("arg_no", "arg"))
     args = args.withColumn("ref_key", ps.datapipe_key(F.col("arg")))
     res = results.select(*run_keys, F.col("key").alias("ref_key"), F.col("data").alias("__data"))
-    out = args.join(res, on=[*run_keys, "ref_key"], how="left")
+    # plain arguments take no part in the join: their NULL key would gather them in one partition
+    plain = args.where("ref_key is null").withColumn("__data", F.lit(None).cast(res.schema["__data"].dataType))
+    joined = args.where("ref_key is not null").join(res, on=[*run_keys, "ref_key"], how="left")
+    out = joined.unionByName(plain.select(*joined.columns))
     return out.withColumns(
         {
             "resolved": F.when(F.col("ref_key").isNotNull(), F.col("__data").isNotNull()),
@@ -166,7 +169,7 @@ def react_parse(df: DataFrame, text_col: str, task_names: Sequence[str]) -> Data
     )
     both_finish_first = F.col("__fa") < F.expr(f"instr({text_col}, __full)")
     start = F.col("__fa") + F.lit(len(ps.FINAL_ANSWER))
-    rest = F.substr(t, start, F.lit(1 << 30))
+    rest = F.substr(t, start, F.length(t))
     nl2 = F.instr(rest, "\n\n")
     # Python's find(..) == -1 slices to the last-but-one character of the whole text
     head = F.when(nl2 > 0, F.substr(rest, F.lit(1), nl2 - 1)).otherwise(

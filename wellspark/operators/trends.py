@@ -84,11 +84,12 @@ def trend_line(
     when that table is small and splits skewed keys otherwise.
     """
     keys = list(keys)
-    x = days_since_epoch(date_col)
+    x, y = days_since_epoch(date_col), F.col(measure).cast("double")
     fit = df.groupBy(*keys).agg(
-        F.regr_slope(F.col(measure), x).alias("slope"),
-        F.avg(F.col(measure)).alias("__ybar"),
-        F.avg(x).alias("__xbar"),
+        # slope and means over the same rows (those with a value); a NaN makes the fit NULL, as in the slope alone
+        F.when(~F.bool_or(F.isnan(y)), F.regr_slope(y, x)).alias("slope"),
+        F.regr_avgy(y, x).alias("__ybar"),
+        F.regr_avgx(y, x).alias("__xbar"),
         F.min(x).alias("__x0"),
     )
     fit = fit.withColumn(

@@ -18,7 +18,6 @@ from wellspark.sources.tables import table
 
 RANGE_START, RANGE_END = "2024-01-05", "2024-01-12"
 SINGLE_DAY = "1997-08-23"
-NATION_ROWS = 25  # fixed-size dimension (TPC-H nation)
 
 
 def daily_events(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -72,7 +71,7 @@ def profile_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
     n = table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("c_nationkey"), "n_name")
     with_c = lk.attach_attributes(o, c, ["o_custkey"])
-    with_n = lk.attach_attributes(with_c, n, ["c_nationkey"], bounded_rows=NATION_ROWS)
+    with_n = lk.attach_attributes(with_c, n, ["c_nationkey"])
     return with_n.select("o_orderkey", "o_custkey", "c_name", "n_name", "o_totalprice")
 
 

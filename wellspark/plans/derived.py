@@ -15,7 +15,7 @@ from wellspark.functions import text as tx
 from wellspark.operators import derived as dv
 from wellspark.operators import scoring as sc
 from wellspark.operators import text as to
-from wellspark.plans.scoring import ENCODER
+from wellspark.plans.scoring import ENCODER, WINDOWS_SQL, windows
 from wellspark.plans.text import attachment_message
 from wellspark.sources.tables import table
 
@@ -23,7 +23,6 @@ DECODER_SEED = 3
 DECODER = sc.seeded_layers(sc.DECODER_SIZES, DECODER_SEED)
 INTENSITY = {"signup": "vigorous", "purchase": "moderate", "click": "walking"}
 STAGE = {"view": "light", "click": "rem", "purchase": "deep", "signup": "awake", "error": "awake"}
-ZONE_CAP_S, STAGE_CAP_S = 600.0, 1800.0
 
 
 def _ev(spark, sf_dir):
@@ -61,7 +60,7 @@ def _zone(v):
 def hr_zone_minutes(spark: SparkSession, sf_dir: str) -> DataFrame:
     ev = _ev(spark, sf_dir)
     out = dv.state_minutes(ev, ["user_id"], ["ts", "event_id"], "ts", _zone(F.col("value")),
-                           F.to_date("ts"), ZONE_CAP_S)
+                           F.to_date("ts"))
     return _r(out, ["minutes"]).select("user_id", F.col("period").alias("day"), F.col("state").alias("zone"),
                                        "minutes", F.col("n_samples").cast("long"))
 
@@ -69,8 +68,7 @@ def hr_zone_minutes(spark: SparkSession, sf_dir: str) -> DataFrame:
 def sleep_stage_minutes(spark: SparkSession, sf_dir: str) -> DataFrame:
     ev = _ev(spark, sf_dir)
     night = F.to_date(F.col("ts") - F.expr("INTERVAL 12 HOURS"))
-    out = dv.state_minutes(ev, ["user_id"], ["ts", "event_id"], "ts", _map(STAGE, F.col("event_type")), night,
-                           STAGE_CAP_S)
+    out = dv.state_minutes(ev, ["user_id"], ["ts", "event_id"], "ts", _map(STAGE, F.col("event_type")), night)
     return _r(out, ["minutes"]).select("user_id", F.col("period").alias("night"), F.col("state").alias("stage"),
                                        "minutes", F.col("n_samples").cast("long"))
 
@@ -91,7 +89,7 @@ def lowest_hr(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def message_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """messages split into ordered text and attachment parts (absolute offsets, so every split is right)."""
-    d = table(spark, sf_dir, "documents", spread=True)
+    d = table(spark, sf_dir, "documents")
     msg = d.select("doc_id", attachment_message(F.col("doc_id"), F.col("lang"), F.col("source"), F.col("text")).alias("m"))
     return to.message_parts(msg, ["doc_id"], "m")
 
@@ -112,13 +110,11 @@ def describe_events(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def reconstruction_error(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """M4: decoder(encoder(x)) and the distance to x, per embedding."""
-    e = table(spark, sf_dir, "embeddings")
-    feats = e.select("vec_id", F.slice("embedding", 1, 30).cast("array<double>").alias("x"))
-    rec = sc.reconstruct(feats, "x", ENCODER, DECODER, keep=["vec_id", "x"])
+    """M4: decoder(encoder(x)) and the distance to x, per window of every embedding."""
+    rec = sc.reconstruct(windows(spark, sf_dir), "x", ENCODER, DECODER, keep=["vec_id", "window_no", "x"])
     err = F.sqrt(F.aggregate(F.zip_with("x", "reconstruction", lambda a, b: (a - b) * (a - b)), F.lit(0.0),
                              lambda acc, v: acc + v))
-    return rec.select("vec_id", round_half_even(err, 6).alias("recon_error"))
+    return rec.select("vec_id", "window_no", round_half_even(err, 6).alias("recon_error"))
 
 
 QUERIES = {
@@ -143,26 +139,22 @@ def _case(m: dict, col: str) -> str:
     return "CASE " + " ".join(f"WHEN {col} = '{k}' THEN '{v}'" for k, v in m.items()) + " END"
 
 
-def _state_sql(state: str, period: str, cap: float, names: tuple[str, str]) -> str:
+def _state_sql(state: str, period: str, names: tuple[str, str]) -> str:
     return f"""
       WITH x AS (SELECT user_id, ts, {state} AS state, {period} AS period,
                    lead(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS nts FROM events)
       SELECT user_id, period AS {names[0]}, state AS {names[1]},
-             {_r4(f'SUM(least(COALESCE((epoch_us(nts) - epoch_us(ts)) / 1e6, {cap}), {cap})) / 60.0')} AS minutes,
+             {_r4(f'SUM(COALESCE((epoch_us(nts) - epoch_us(ts)) / 1e6, 0)) / 60.0')} AS minutes,
              COUNT(*) AS n_samples
       FROM x GROUP BY 1, 2, 3"""
 
 
 def _oracle_recon() -> str:
-    enc, enc_last = sc.layers_sql("embeddings", ["vec_id", "x"], "CAST(embedding[1:30] AS DOUBLE[])", ENCODER,
-                                  prefix="enc")
-    # carry x through the chain: layers_sql keeps the key columns
-    enc = [c.replace("SELECT vec_id, x, CAST(embedding[1:30] AS DOUBLE[]) AS h",
-                     "SELECT vec_id, CAST(embedding[1:30] AS DOUBLE[]) AS x, CAST(embedding[1:30] AS DOUBLE[]) AS h")
-           for c in enc]
-    dec, dec_last = sc.layers_sql(enc_last, ["vec_id", "x"], "h", DECODER, prefix="dec")
+    keys = ["vec_id", "window_no", "x"]  # x goes through the chain beside the activations
+    enc, enc_last = sc.layers_sql(WINDOWS_SQL, keys, "x", ENCODER, prefix="enc")
+    dec, dec_last = sc.layers_sql(enc_last, keys, "h", DECODER, prefix="dec")
     return ("WITH " + ",\n".join(enc + dec) +
-            f"\nSELECT vec_id, round_even(sqrt(list_sum(list_transform(list_zip(x, h), lambda p: (p[1] - p[2]) * (p[1] - p[2])))) * 1e6, 0) / 1e6 AS recon_error FROM {dec_last}")
+            f"\nSELECT vec_id, window_no, round_even(sqrt(list_sum(list_transform(list_zip(x, h), lambda p: (p[1] - p[2]) * (p[1] - p[2])))) * 1e6, 0) / 1e6 AS recon_error FROM {dec_last}")
 
 
 ORACLES = {
@@ -187,8 +179,8 @@ ORACLES = {
       FROM g GROUP BY user_id""",
     "hr_zone_minutes": _state_sql(
         "CASE WHEN value < 10 THEN 'below 1' WHEN value < 20 THEN '1' WHEN value < 35 THEN '2' ELSE '3' END",
-        "CAST(ts AS DATE)", ZONE_CAP_S, ("day", "zone")),
-    "sleep_stage_minutes": _state_sql(_case(STAGE, "event_type"), "CAST(ts - INTERVAL 12 HOUR AS DATE)", STAGE_CAP_S,
+        "CAST(ts AS DATE)", ("day", "zone")),
+    "sleep_stage_minutes": _state_sql(_case(STAGE, "event_type"), "CAST(ts - INTERVAL 12 HOUR AS DATE)",
                                       ("night", "stage")),
     "visit_change": f"""
       WITH p AS (SELECT o_custkey, AVG(o_totalprice) FILTER (WHERE o_orderstatus = 'F') AS f,

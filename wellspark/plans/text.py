@@ -17,7 +17,7 @@ SMALL_BUDGET_TOKENS = 1000  # a 1 000-token model budget: 4 000-character chunks
 
 
 def page_text(spark: SparkSession, sf_dir: str) -> DataFrame:
-    p = table(spark, sf_dir, "pages", spread=True)
+    p = table(spark, sf_dir, "pages")
     return to.page_text(p, "url", "html").select("page_id", "url_ok", "is_pdf", "text")
 
 
@@ -61,7 +61,7 @@ def attachment_message(doc_id: Column, lang: Column, source: Column, text: Colum
 
 
 def attachments(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = table(spark, sf_dir, "documents", spread=True)
+    d = table(spark, sf_dir, "documents")
     msg = d.select(
         "doc_id", attachment_message(F.col("doc_id"), F.col("lang"), F.col("source"), F.col("text")).alias("msg")
     )
@@ -79,7 +79,7 @@ def image_message(doc_id: Column, lang: Column, text: Column) -> Column:
 
 
 def image_refs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = table(spark, sf_dir, "documents", spread=True)
+    d = table(spark, sf_dir, "documents")
     msg = d.select("doc_id", image_message(F.col("doc_id"), F.col("lang"), F.col("text")).alias("msg"))
     return to.image_refs(msg, "msg").select("doc_id", "url", "local_path", "question", "route")
 
@@ -127,9 +127,14 @@ def _q(s: str) -> str:
     return s.replace("'", "''")
 
 
+# the same blocks for an engine without back-references: one alternative per element
+_INVISIBLE = "(?is)<!--.*?-->|<!doctype[^>]*>|" + "|".join(
+    rf"<{e}\b[^>]*>.*?</{e}\s*>" for e in ("script", "style", "template"))
+
+
 _VISIBLE = f"""
   {"".join("replace(" for _ in tx.ENTITIES)}array_to_string(list_filter(list_transform(
-    regexp_split_to_array(regexp_replace(html, '{_q(tx.INVISIBLE_BLOCKS)}', ' ', 'g'), '{tx.TAG_PATTERN}'),
+    regexp_split_to_array(regexp_replace(html, '{_INVISIBLE}', ' ', 'g'), '<[^>]*>'),
     lambda p: regexp_replace(p, '^\\s+|\\s+$', '', 'g')), lambda p: length(p) > 0), ' ')
   {"".join(f", '{_q(a)}', '{_q(b)}')" for a, b in tx.ENTITIES)}"""
 
@@ -178,10 +183,10 @@ ORACLES = {
   FROM documents""",
     "reply_pairs": f"WITH {_PAIRS} SELECT * FROM p",
     "history_text": f"""WITH {_PAIRS}
-  SELECT conv_id, CAST(turn // 512 AS BIGINT) AS block_no, COUNT(*) AS n_pairs,
+  SELECT conv_id, COUNT(*) AS n_pairs,
          string_agg(concat(chr(10), '------------', chr(10), 'User: ', user_text, chr(10), 'CHA: ', reply_text, chr(10),
                            '------------', chr(10)), '' ORDER BY turn) AS history
-  FROM p GROUP BY 1, 2""",
+  FROM p GROUP BY 1""",
     "attachments": f"""
   WITH m AS (SELECT doc_id, {_ATT_MSG} AS msg FROM documents),
   x AS (SELECT doc_id, regexp_extract_all(msg, '{_ATT}', 0) AS matches, regexp_split_to_array(msg, '{_ATT}') AS pieces

@@ -21,12 +21,12 @@ def records_json(df: DataFrame, date_cols=("date",)) -> DataFrame:
     for c, t in df.dtypes:
         if c in date_cols or t in ("date", "timestamp", "timestamp_ntz"):
             conv[c] = F.unix_millis(F.col(c).cast("timestamp"))
-    return df.withColumns(conv).select(F.to_json(F.struct(*df.columns)).alias("json"))
+    return df.withColumns(conv).select(F.to_json(F.struct(*df.columns), {"ignoreNullFields": "false"}).alias("json"))
 
 
 def columns_json(df: DataFrame, cols) -> DataFrame:
     """One JSON object per row over the listed columns (the reference's single feature object)."""
-    return df.withColumn("json", F.to_json(F.struct(*[F.col(c) for c in cols])))
+    return df.withColumn("json", F.to_json(F.struct(*[F.col(c) for c in cols]), {"ignoreNullFields": "false"}))
 
 
 def append_csv(df: DataFrame, path: str) -> None:
@@ -36,7 +36,7 @@ def append_csv(df: DataFrame, path: str) -> None:
 
 def envelope(data: Column, description: Column) -> Column:
     """The stored payload envelope ``{"data": ..., "description": ...}``."""
-    return F.to_json(F.struct(data.alias("data"), description.alias("description")))
+    return F.to_json(F.struct(data.alias("data"), description.alias("description")), {"ignoreNullFields": "false"})
 
 
 def store_results(spark: SparkSession, results: DataFrame, name: str) -> str:

@@ -11,29 +11,9 @@ TABLES = (
     "conversations"
 ).split()
 
-# Unique row key of each table: a hash of it spreads rows evenly (no key holds more than one row).
-ROW_KEYS = {
-    "region": ["r_regionkey"], "nation": ["n_nationkey"], "customer": ["c_custkey"], "supplier": ["s_suppkey"],
-    "part": ["p_partkey"], "orders": ["o_orderkey"], "lineitem": ["l_orderkey", "l_linenumber"],
-    "events": ["event_id"], "documents": ["doc_id"], "embeddings": ["vec_id"], "pages": ["page_id"],
-    "benchmark": ["item_id"], "labels": ["doc_id"], "conversations": ["conv_id", "turn"],
-}
-
-
-def table(spark: SparkSession, sf_dir: str, name: str, spread: bool = False) -> DataFrame:
-    """``<sf_dir>/<name>.parquet``; column pruning and filters are pushed into this scan by Catalyst.
-
-    ``spread=True`` is for readers followed by CPU-heavy per-row work (regular expressions over whole texts,
-    generated transcripts) before any shuffle: when the scan yields fewer input splits than the cluster has
-    task slots (a small table stored as one row group is read by a single task), the rows are redistributed by
-    a hash of the table's unique row key so every slot gets a share. A large table stored in many row groups
-    already has enough splits and is left as it is, so at scale this adds no shuffle.
-    """
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """``<sf_dir>/<name>.parquet``; column pruning and filters are pushed into this scan by Catalyst. The number of
+    input splits follows from ``spark.sql.files.maxPartitionBytes`` and the files' row groups."""
     if name not in TABLES:
         raise ValueError(f"unknown table {name!r}")
-    df = spark.read.parquet(os.path.join(sf_dir, f"{name}.parquet"))
-    if spread:
-        slots = spark.sparkContext.defaultParallelism
-        if df.rdd.getNumPartitions() < slots:
-            df = df.repartition(slots, *ROW_KEYS[name])
-    return df
+    return spark.read.parquet(os.path.join(sf_dir, f"{name}.parquet"))

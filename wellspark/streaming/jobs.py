@@ -69,12 +69,14 @@ def dedup(stream: DataFrame, id_cols: Sequence[str], ts: str, delay: str = "1 ho
 
 def run_to_table(
     spark: SparkSession, query_df: DataFrame, name: str, group_keys: Sequence[str] | None = None,
-    timeout_s: float = 600.0, mode: str = "update",
+    mode: str = "update",
 ) -> DataFrame:
     """Run a streaming DataFrame over everything available now and return its final result as a batch table.
 
-    ``group_keys`` given (aggregations): update mode through ``foreachBatch``; every batch appends its updated
-    rows with ``__batch``; the final value per group is the row of the latest batch.
+    Waits until the query has processed all its input; a failed query raises.
+
+    ``group_keys`` given (aggregations): update mode through ``foreachBatch``; every batch writes its updated rows
+    to a folder of its own (a retried batch overwrites it); the final value per group is the row of the latest batch.
     ``group_keys`` None (append-only streams): file sink in append mode.
     ``mode="complete"`` (session windows, which have no update mode): every batch writes the whole result; the
     last batch is kept. Complete mode keeps all groups in state, so it suits replays of bounded inputs; an
@@ -88,23 +90,23 @@ def run_to_table(
             query_df.writeStream.format("parquet").outputMode("append").option("path", out_path)
             .option("checkpointLocation", ckpt).trigger(availableNow=True).start()
         )
-        q.awaitTermination(timeout_s)
-        return spark.read.parquet(out_path)
+        q.awaitTermination()
+        return spark.read.schema(query_df.schema).parquet(out_path)
 
     def write_batch(batch: DataFrame, batch_id: int) -> None:
-        batch.withColumn("__batch", F.lit(batch_id)).write.mode("append").parquet(out_path)
+        batch.write.mode("overwrite").parquet(f"{out_path}/stream_batch={batch_id}")
 
     q = (
         query_df.writeStream.outputMode(mode).foreachBatch(write_batch)
         .option("checkpointLocation", ckpt).trigger(availableNow=True).start()
     )
-    q.awaitTermination(timeout_s)
-    written = spark.read.parquet(out_path)
+    q.awaitTermination()
+    written = spark.read.schema(query_df.schema.add("stream_batch", "long")).parquet(out_path)
     if mode == "complete":
-        last = written.agg(F.max("__batch").alias("__batch"))
-        return written.join(F.broadcast(last), "__batch").drop("__batch")  # one-row side
-    cols = [c for c in written.columns if c not in group_keys and c != "__batch"]
+        last = written.agg(F.max("stream_batch").alias("stream_batch"))
+        return written.join(F.broadcast(last), "stream_batch").drop("stream_batch")  # one-row side
+    cols = [c for c in written.columns if c not in group_keys and c != "stream_batch"]
     latest = written.groupBy(*group_keys).agg(
-        F.max_by(F.struct(*[F.col(c) for c in cols]), F.col("__batch")).alias("__v")
+        F.max_by(F.struct(*[F.col(c) for c in cols]), F.col("stream_batch")).alias("__v")
     )
     return latest.select(*group_keys, *[F.col(f"__v.{c}").alias(c) for c in cols])
