@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 SPACE = "▁"
-CACHE_WORDS = 500_000
+CACHE_WORDS = 600_000
 LOW = float("-inf")
 UNKNOWN_COST = 10.0  # below the lowest score of a piece, per unknown character
 
