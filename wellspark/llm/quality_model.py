@@ -72,14 +72,16 @@ def logit(p: Column) -> Column:
     return F.log(p / (1 - p))
 
 
-def strength(groups: DataFrame, total: str, n: str, prior: Column) -> DataFrame:
-    """One row: the number of pseudo-documents ``k`` of the prior, from the spread of the groups' means around it."""
+def strength(groups: DataFrame, total: str, n: str, prior: Column) -> Column:
+    """The number of pseudo-documents that the prior counts as, from the spread of the groups' means around it."""
     mean = F.col(total) / F.col(n)
     seen = F.sum(F.col(n) * (mean - prior) ** 2)  # weighted spread between the groups
     noise = F.sum(prior * (1 - prior))  # what it would be without any difference
     size = F.sum(F.col(n)) - F.sum(F.col(n) * F.col(n)) / F.sum(F.col(n))
     between = F.greatest((seen - noise) / F.greatest(size, F.lit(1.0)), F.lit(1e-4))
-    return groups.agg(F.greatest(F.lit(1.0), F.least(F.lit(1e4), F.avg(prior * (1 - prior)) / between - 1)).alias("k"))
+    found = groups.agg(F.greatest(F.lit(1.0), F.least(F.lit(1e4), F.avg(prior * (1 - prior)) / between - 1)).alias("k"))
+    k = found.first()["k"]
+    return F.lit(1.0 if k is None else k)
 
 
 def classify(docs: DataFrame, evidence: Column, host: Column, path: Column, id_col: str = "doc_id",
@@ -93,18 +95,17 @@ def classify(docs: DataFrame, evidence: Column, host: Column, path: Column, id_c
     scored = materialize(packed.select("doc_id", "host", "path", (1 / (1 + F.exp(-evidence))).alias("p_doc")), "scored")
     paths = materialize(scored.groupBy("host", "path").agg(F.sum("p_doc").alias("s"), F.count("*").alias("n")), "paths")
     hosts = paths.groupBy("host").agg(F.sum("s").alias("hs"), F.sum("n").alias("hn"))
-    whole = hosts.agg((F.sum("hs") / F.sum("hn")).alias("mu"))
-    hosts = hosts.crossJoin(F.broadcast(whole))  # one row: the global mean
-    hosts = hosts.crossJoin(F.broadcast(strength(hosts, "hs", "hn", F.col("mu"))))
-    hosts = materialize(hosts.withColumn("p_host", (F.col("hs") + F.col("k") * F.col("mu")) / (F.col("hn") + F.col("k")))
-                        .select("host", "p_host", "mu"), "hosts")
-    paths = paths.join(hosts, "host")
-    paths = paths.crossJoin(F.broadcast(strength(paths, "s", "n", F.col("p_host"))))
-    sites = materialize(paths.withColumn("p_path", (F.col("s") + F.col("k") * F.col("p_host")) / (F.col("n") + F.col("k")))
-                        .select("host", "path", "p_host", "p_path", "mu"), "sites")
+    mean = hosts.agg((F.sum("hs") / F.sum("hn")).alias("mu")).first()["mu"]
+    mu = F.lit(0.5 if mean is None else mean)  # one number; None for an empty table
+    k = strength(hosts, "hs", "hn", mu)
+    hosts = hosts.select("host", ((F.col("hs") + k * mu) / (F.col("hn") + k)).alias("p_host"))
+    paths = paths.join(materialize(hosts, "hosts"), "host")
+    k = strength(paths, "s", "n", F.col("p_host"))
+    sites = materialize(paths.withColumn("p_path", (F.col("s") + k * F.col("p_host")) / (F.col("n") + k))
+                        .select("host", "path", "p_host", "p_path"), "sites")
     bound = lambda c: F.greatest(F.lit(1e-6), F.least(F.lit(1 - 1e-6), c))
     joined = scored.join(sites, ["host", "path"])  # a hot site is a skewed key: adaptive execution splits it
-    odds = logit(bound(F.col("p_doc"))) + logit(bound(F.col("p_path"))) - logit(bound(F.col("mu")))
+    odds = logit(bound(F.col("p_doc"))) + logit(bound(F.col("p_path"))) - logit(bound(mu))
     return (joined.withColumn("quality", 1 / (1 + F.exp(-odds)))
             .select("doc_id", "p_doc", "p_host", "p_path", "quality", (F.col("quality") >= 0.5).alias("kept")))
 
