@@ -13,7 +13,7 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 
 from wellspark.llm import exact_dedup, ngram_join, packing, pii, toxicity
-from wellspark.llm.queries import CAPACITY, END_ID, token_pattern, vocabulary
+from wellspark.llm.queries import CAPACITY, END_ID, vocabulary
 from wellspark.session import materialize
 
 
@@ -40,7 +40,7 @@ def mask_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Operator 1: pieces of the documents' tokens with their sequence and place in it."""
-    pieces = packing.token_pieces(docs, vocabulary("byte_bpe_50k.tiktoken"), token_pattern(), CAPACITY, END_ID)
+    pieces = packing.token_pieces(docs, vocabulary("byte_bpe_50k.json"), CAPACITY, END_ID)
     return packing.pack(pieces, CAPACITY)
 
 

@@ -22,15 +22,9 @@ def vocabulary(name: str) -> str:
     return public_tokenizers.path(name)
 
 
-def token_pattern() -> str:
-    import public_tokenizers
-
-    return public_tokenizers.PATTERN
-
-
 def op1_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    pieces = packing.token_pieces(docs, vocabulary("byte_bpe_50k.tiktoken"), token_pattern(), CAPACITY, END_ID)
+    pieces = packing.token_pieces(docs, vocabulary("byte_bpe_50k.json"), CAPACITY, END_ID)
     return packing.pack(pieces, CAPACITY)
 
 
