@@ -276,6 +276,44 @@ def test_segments_are_the_best_ones():
         assert apart(got) and total(got) == pytest.approx(best)
 
 
+def test_expected_counts_equal_those_of_all_segmentations():
+    import itertools
+    import math
+    import random
+
+    rng = random.Random(2)
+    for _ in range(30):
+        found = sorted(((a, a + rng.randint(1, 6), rng.choice("xy"), True, [f"f{i}", "all"]) for i, a in
+                        enumerate(rng.sample(range(20), 6))), key=lambda c: (c[1], c[0], c[2]))
+        w = {f: rng.uniform(-1, 1) for f in [*(f"f{i}" for i in range(6)), "all", "None>x", "x>x", "x>y", "y>x"]}
+        whole, counts = 0.0, {}
+        for k in range(7):
+            for s in itertools.combinations(found, k):
+                if all(a[1] <= b[0] for a, b in zip(s, s[1:])):
+                    feats = [f for last, c in zip([None, *[c[2] for c in s]], s) for f in (*c[4], f"{last}>{c[2]}")]
+                    mass = math.exp(sum(w.get(f, 0.0) for f in feats))
+                    whole += mass
+                    for f in feats:
+                        counts[f] = counts.get(f, 0.0) + mass
+        log_whole, got = pii.expectations(found, w)
+        assert log_whole == pytest.approx(math.log(whole))
+        assert got == pytest.approx({f: c / whole for f, c in counts.items()})
+
+
+def test_learned_field_finds_named_and_issued_secrets():
+    key, hexes = "AKIA" + "Q7ZP" * 4, "0123456789abcdef" * 2
+    texts = [f"some words {key} more", f'token = "{hexes}" end', f"see {hexes}/page_one for a list", "mail a@b.cd now"]
+    lists = [pii.candidates(t) for t in texts * 20]
+    weights = pii.fit(lists)
+    found = [[s[0] for s in pii.spans(t, weights)[1]] for t in texts]
+    assert found == [["secret"], ["secret"], [], ["email"]]
+    assert pii.masked(texts[0], weights) == "some words [SECRET] more"
+    assert pii.spans(f"an unseen {key.lower()} here", weights)[1]
+    alone = pii.fit([pii.candidates(texts[3])])  # a sample without secrets
+    assert [s[0] for s in pii.spans(texts[0], alone)[1]] == ["secret"]
+    assert pii.fit([]) == pii.PRIOR
+
+
 def test_odd_rows_of_personal_data(spark, odd):
     rows = pii.find(odd, {}).collect()
     assert len(rows) == odd.count()
