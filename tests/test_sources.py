@@ -34,14 +34,19 @@ def test_sleep_and_activity_scans_with_path_keys(spark, tmpdir_path):
     act = rd.read_daily_activity(spark, root).first()
     assert (act.user_id, act.steps_count, act.medimum_acitivity_time) == ("par_2", 500.0, 60.0)
     assert rd.read_daily_sleep(spark, root, users=[" par_1 "]).count() == 2
+    assert rd.read_daily_sleep(spark, root, users=["par_1", "par_9"]).count() == 2  # par_9 has no file
+    nobody = rd.read_daily_sleep(spark, root, users=["par_9", "p{x,*}"])
+    assert nobody.collect() == [] and nobody.dtypes == sleep.dtypes
 
 
 def test_ppg_scan(spark, tmpdir_path):
     root = os.path.join(tmpdir_path, "affect")
     _write(os.path.join(root, "par_5", "samsung", "ppg.csv"),
-           "timestamp,ppg,hr\n1596240000000,0.5,0\n1596240000050,0.7,70\n")
+           "timestamp,ppg,hr\n1596240000000,0.5,0\n1596240000050,0.7049,70\n")
     df = rd.read_ppg(spark, root).orderBy("sample_no").collect()
     assert df[0].user_id == "par_5" and df[0].date.year == 2020 and df[1].hr == 70.0
+    assert df[1].ppg == 0.7  # two decimals
+    assert rd.read_ppg(spark, root, users=["nobody"]).count() == 0
 
 
 def test_string_tables(spark, tmpdir_path):
@@ -64,7 +69,7 @@ def test_nutrition_json_scan(spark, tmpdir_path):
                       "alt_measures": [{"serving_weight": 1, "measure": "cup", "seq": "null", "qty": 1}]},
                      {"food_name": "eggs", "nf_calories": 143, "nf_total_fat": None}]}
     _write(p, json.dumps(doc) + "\n" + json.dumps({"foods": []}) + "\n")
-    docs = rd.read_nutrition_docs(spark, p).withColumn("log_id", F.monotonically_increasing_id())
+    docs = rd.read_nutrition_docs(spark, p)
     totals = {round(r.Calories, 2) for r in nu.nested_totals(docs).collect()}
     assert totals == {265.0, 0.0}
     flat = nu.explode_foods(docs, ["log_id"])

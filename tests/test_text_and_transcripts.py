@@ -33,6 +33,34 @@ def test_tagged_reply_with_two_backtick_close(spark):
     assert (calls.task, calls.args) == ("affect_sleep_get", ["par_1", "2020-08-01", "2020-08-07"])
 
 
+def test_second_tag_on_a_line_and_repeated_tag(spark):
+    replies = ["[STRATEGY_CHANGE] yes [STEP_SUCCESS] no", "[STRATEGY_CHANGE] no\n[STEP_SUCCESS] yes\n[step_success]: no",
+               "note [STRATEGY_CHANGE] no\n [STEP_SUCCESS] yes\n[STRATEGY_COMPLETE] x [CONTENT] ```python\na``"]
+    df = spark.createDataFrame(list(enumerate(replies)), "i int, t string")
+    a, b, c = tr.parse_replies(df, "t").orderBy("i").collect()
+    assert a.parse_status == "missing_tag"
+    assert (b.parse_status, b.strategy_change, b.step_success) == ("ok", False, False)
+    assert (c.parse_status, c.step_success, c.code) == ("ok", True, "\na")
+
+
+def test_run_ends_with_success_error_or_limit(spark):
+    ok, bad = "ok", "bad_flag"
+    runs = {
+        "contradiction": [(ok, False, False), (ok, True, True), (ok, False, True)],
+        "bad": [(bad, None, None), (ok, False, True)],
+        "success": [(ok, True, True), ("missing_tag", False, False), (ok, True, False), (ok, False, True), (ok, False, False)],
+        "limit": [(ok, False, False)] * 12 + [(ok, False, True)],
+    }
+    rows = [(k, i, *p) for k, ps_ in runs.items() for i, p in enumerate(ps_)]
+    df = spark.createDataFrame(rows, "run string, i int, parse_status string, strategy_change boolean, step_success boolean")
+    out = {r.run: r for r in tr.run_outcome(df, ["run"], ["i"], bucket=F.floor(F.col("i") / 4)).collect()}
+    pick = lambda r: (r.attempts, r.skipped, r.errors, r.strategy_changes, r.failures, r.passes_after_end, r.success)
+    assert pick(out["contradiction"]) == (2, 0, 1, 0, 1, 1, False)
+    assert pick(out["bad"]) == (1, 0, 1, 0, 0, 1, False)
+    assert pick(out["success"]) == (4, 1, 0, 1, 1, 1, True)
+    assert pick(out["limit"]) == (11, 0, 0, 0, 11, 2, False)
+
+
 def test_react_outcomes(spark):
     texts = [
         "Thought: plan\nAction: affect_sleep_get\nAction Inputs: meal_plan\n",

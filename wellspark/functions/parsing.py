@@ -36,15 +36,20 @@ def normalise_tags(text: Column | str) -> Column:
     return F.regexp_replace(_c(text), r"(?i)\[(STRATEGY_CHANGE|STEP_SUCCESS|CONTENT)]\s*[-:]\s*", "[$1] ")
 
 
-def tag_present(text: Column, tag: str) -> Column:
-    return text.rlike(rf"(?i)\[{tag}]")
-
-
-def tag_section(text: Column, tag: str) -> Column:
-    """Text after ``[TAG]`` up to the next line starting with a known tag, or the end; stripped."""
-    stops = "|".join(STOP_TAGS)
-    pattern = rf"(?i)\[{tag}]([\s\S]*?)(?=\n\s*\[(?:{stops})]|$)"
-    return F.regexp_replace(F.regexp_extract(text, pattern, 1), r"^\s+|\s+$", "")
+def tag_sections(text: Column) -> Column:
+    """``array<struct<tag, body>>`` in order: the text is cut before every line that starts with a known tag, and in
+    each part the first reply tag takes all that follows it (a second one on the same line is part of its body)."""
+    parts = F.split(text, rf"(?i)\n\s*(?=\[(?:{'|'.join(STOP_TAGS)})])", -1)
+    tagged = rf"(?is)\[({'|'.join(TAGS)})](.*)"
+    return F.transform(parts, lambda p: F.struct(
+        F.upper(F.regexp_extract(p, tagged, 1)).alias("tag"),
+        F.regexp_replace(F.regexp_extract(p, tagged, 2), r"^\s+|\s+$", "").alias("body"),
+    ))
+
+
+def tag_section(sections: Column, tag: str) -> Column:
+    """The body of the last section of a tag, NULL where the tag is missing."""
+    return F.try_element_at(F.filter(sections, lambda s: s["tag"] == tag), F.lit(-1))["body"]
 
 
 def yes_no(section: Column) -> Column:

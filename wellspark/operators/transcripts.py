@@ -25,17 +25,15 @@ def parse_replies(df: DataFrame, text_col: str) -> DataFrame:
     Adds ``parse_status`` (ok / missing_tag / bad_flag / no_code), ``strategy_change``, ``step_success``,
     ``content`` and ``code``. ``missing_tag``: a flag tag is absent (the reference returns all-false);
     ``bad_flag``: a flag is neither yes nor no (the reference raises); ``no_code``: CONTENT without a python
-    block (the reference raises). A missing CONTENT tag gives empty code.
+    block (the reference raises). A missing CONTENT tag gives empty code. Of a repeated tag the last one counts.
     """
-    cleaned = ps.normalise_tags(text_col)
-    df = df.withColumn("__clean", cleaned)
-    c = F.col("__clean")
-    has_flags = ps.tag_present(c, "STRATEGY_CHANGE") & ps.tag_present(c, "STEP_SUCCESS")
-    sc = ps.yes_no(ps.tag_section(c, "STRATEGY_CHANGE"))
-    ss = ps.yes_no(ps.tag_section(c, "STEP_SUCCESS"))
-    has_content = ps.tag_present(c, "CONTENT")
-    content = F.when(has_content, ps.tag_section(c, "CONTENT")).otherwise(F.lit(""))
-    code = F.when(has_content, ps.first_code_block(ps.tag_section(c, "CONTENT"))).otherwise(F.lit(""))
+    df = df.withColumn("__sections", ps.tag_sections(ps.normalise_tags(text_col)))
+    section = lambda tag: ps.tag_section(F.col("__sections"), tag)
+    has_flags = section("STRATEGY_CHANGE").isNotNull() & section("STEP_SUCCESS").isNotNull()
+    sc, ss = ps.yes_no(section("STRATEGY_CHANGE")), ps.yes_no(section("STEP_SUCCESS"))
+    has_content = section("CONTENT").isNotNull()
+    content = F.coalesce(section("CONTENT"), F.lit(""))
+    code = F.when(has_content, ps.first_code_block(section("CONTENT"))).otherwise(F.lit(""))
     status = (
         F.when(~has_flags, F.lit("missing_tag"))
         .when(sc.isNull() | ss.isNull(), F.lit("bad_flag"))
@@ -48,7 +46,7 @@ def parse_replies(df: DataFrame, text_col: str) -> DataFrame:
         .withColumn("step_success", F.when(has_flags, ss).otherwise(F.lit(False)))
         .withColumn("content", F.when(has_flags, content).otherwise(F.lit("")))
         .withColumn("code", F.when(has_flags, code).otherwise(F.lit("")))
-        .drop("__clean")
+        .drop("__sections")
     )
 
 
@@ -201,33 +199,36 @@ def react_parse(df: DataFrame, text_col: str, task_names: Sequence[str]) -> Data
 
 
 def run_outcome(
-    passes: DataFrame, run_keys: Sequence[str], order: Sequence[str], bucket: Column | None = None
+    passes: DataFrame, run_keys: Sequence[str], order: Sequence[str], bucket: Column | None = None,
+    max_passes: int = MAX_PASSES,
 ) -> DataFrame:
     """Per run, the evaluation loop's result over parsed passes (``parse_replies`` output).
 
-    Pass 1 never counts as success; the loop stops at the first success or after MAX_PASSES passes.
-    Pass numbers come from the distributed row numbering (no whole-run window).
+    The flags of pass 1 count as no. The loop ends with the first success, with the first error (a bad flag, content
+    without code, or both flags yes after pass 1) or after ``max_passes`` passes; ``passes_after_end`` counts the
+    passes that it never comes to. Pass numbers come from the distributed row numbering (no whole-run window).
     """
     run_keys = list(run_keys)
     numbered = row_number_across_buckets(passes, run_keys, order, "pass_no", bucket=bucket)
     ok = F.col("parse_status") == "ok"
-    success = ok & F.col("step_success") & (F.col("pass_no") > 1)
+    later = F.col("pass_no") > 1
+    change, step = F.col("strategy_change") & later, F.col("step_success") & later
+    success = ok & step & ~change
+    error = F.col("parse_status").isin("bad_flag", "no_code") | (ok & step & change)
     first = numbered.groupBy(*run_keys).agg(
-        F.count(F.lit(1)).alias("n_passes"),
-        F.min(F.when(success, F.col("pass_no"))).alias("first_success"),
+        F.count(F.lit(1)).alias("n_passes"), F.min(F.when(success | error, F.col("pass_no"))).alias("__end")
     )
     j = numbered.join(first, on=run_keys, how="inner")
-    limit = F.least(F.coalesce(F.col("first_success"), F.col("n_passes")), F.lit(MAX_PASSES))
-    ev = F.col("pass_no") <= limit
-    later = F.col("pass_no") > 1
+    ev = F.col("pass_no") <= F.least(F.coalesce(F.col("__end"), F.col("n_passes")), F.lit(max_passes))
     return j.groupBy(*run_keys).agg(
         F.first("n_passes").alias("n_passes"),
         F.count_if(ev).alias("attempts"),
         F.count_if(ev & (F.col("parse_status") == "missing_tag")).alias("skipped"),
-        F.count_if(ev & F.col("parse_status").isin("bad_flag", "no_code")).alias("errors"),
-        F.count_if(ev & ok & later & F.col("strategy_change") & ~success).alias("strategy_changes"),
-        F.count_if(ev & ok & ~success & ~(later & F.col("strategy_change"))).alias("failures"),
-        F.max(F.col("first_success").isNotNull() & (F.col("first_success") <= MAX_PASSES)).alias("success"),
+        F.count_if(ev & error).alias("errors"),
+        F.count_if(ev & ok & change & ~step).alias("strategy_changes"),
+        F.count_if(ev & ok & ~change & ~step).alias("failures"),
+        F.count_if(~ev).alias("passes_after_end"),
+        F.max(ev & F.coalesce(success, F.lit(False))).alias("success"),
     )
 
 

@@ -69,8 +69,11 @@ def reply_text(conv_id: Column, turn: Column, role: Column, text: Column) -> Col
     content = F.when(h % 7 == 0, F.lit("")).otherwise(
         F.concat(F.lit("\n[CONTENT]: "), text, F.lit("\n```python\n"), code, F.lit("``"))
     )
-    first = F.when(h % 11 == 0, F.lit("")).otherwise(F.concat(F.lit("[STRATEGY_CHANGE]"), sep, flag1, F.lit("\n")))
-    return F.concat(first, F.lit("[step_success]: "), flag2, content)
+    # some replies hold two tags on one line, some repeat a tag
+    gap = F.when(h % 19 == 0, F.lit(" ")).otherwise(F.lit("\n"))
+    first = F.when(h % 11 == 0, F.lit("")).otherwise(F.concat(F.lit("[STRATEGY_CHANGE]"), sep, flag1, gap))
+    again = F.when(h % 17 == 0, F.lit("\n[STEP_SUCCESS] no")).otherwise(F.lit(""))
+    return F.concat(first, F.lit("[step_success]: "), flag2, content, again)
 
 
 def _replies(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -109,7 +112,7 @@ def run_outcome(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select(
         "conv_id", F.col("n_passes").cast("long"), F.col("attempts").cast("long"), F.col("skipped").cast("long"),
         F.col("errors").cast("long"), F.col("strategy_changes").cast("long"), F.col("failures").cast("long"),
-        "success",
+        F.col("passes_after_end").cast("long"), "success",
     )
 
 
@@ -228,11 +231,11 @@ def _values(rows) -> str:
 
 
 _STOPS = "|".join(ps.STOP_TAGS)
+_TAGGED = f"(?is)\\[({'|'.join(ps.TAGS)})\\](.*)"
 
 
 def _section(tag: str) -> str:
-    return (f"regexp_replace(regexp_extract(clean, '(?i)\\[{tag}\\]([\\s\\S]*?)(?:\\n\\s*\\[(?:{_STOPS})\\]|$)', 1),"
-            f" '^\\s+|\\s+$', '', 'g')")
+    return f"list_filter(parts, lambda p: p.tag = '{tag}')[-1].body"
 
 
 def _yes_no(sec: str) -> str:
@@ -247,7 +250,7 @@ _REPLIES = f"""
   rep AS (SELECT conv_id, turn, concat(
       CASE WHEN h % 11 = 0 THEN '' ELSE concat('[STRATEGY_CHANGE]',
            CASE WHEN h % 3 = 0 THEN ': ' WHEN h % 3 = 1 THEN ' - ' ELSE ' ' END,
-           CASE WHEN h % 2 = 0 THEN 'yes' ELSE 'No' END, chr(10)) END,
+           CASE WHEN h % 2 = 0 THEN 'yes' ELSE 'No' END, CASE WHEN h % 19 = 0 THEN ' ' ELSE chr(10) END) END,
       '[step_success]: ',
       CASE WHEN h % 5 = 0 THEN 'maybe' WHEN h % 5 = 1 THEN 'Yes' WHEN h % 5 = 2 THEN 'yes' WHEN h % 5 = 3 THEN 'no'
            ELSE 'Yes, done' END,
@@ -256,17 +259,23 @@ _REPLIES = f"""
            ''', ''2020-08-01'', ''2020-08-30''])', chr(10), 'self.execute_task(''',
            CASE WHEN role = 'assistant' THEN 'affect_ppg_analysis' WHEN role = 'user' THEN 'affect_stress_analysis'
                 ELSE 'affect_sleep_show' END,
-           ''', [''datapipe:', {_md5key('conv_id * 1000 + turn')}, '''])', chr(10), '``') END) AS reply
+           ''', [''datapipe:', {_md5key('conv_id * 1000 + turn')}, '''])', chr(10), '``') END,
+      CASE WHEN h % 17 = 0 THEN concat(chr(10), '[STEP_SUCCESS] no') ELSE '' END) AS reply
     FROM base),
   cl AS (SELECT conv_id, turn,
       regexp_replace(reply, '(?i)\\[(STRATEGY_CHANGE|STEP_SUCCESS|CONTENT)\\]\\s*[-:]\\s*', '[\\1] ', 'g') AS clean
     FROM rep),
-  sec AS (SELECT conv_id, turn, clean,
-      regexp_matches(clean, '(?i)\\[STRATEGY_CHANGE\\]') AND regexp_matches(clean, '(?i)\\[STEP_SUCCESS\\]') AS has_flags,
-      regexp_matches(clean, '(?i)\\[CONTENT\\]') AS has_content,
-      {_yes_no(_section('STRATEGY_CHANGE'))} AS sc, {_yes_no(_section('STEP_SUCCESS'))} AS ss,
-      {_section('CONTENT')} AS content
+  prt AS (SELECT conv_id, turn, list_transform(
+      string_split(regexp_replace(clean, '(?i)\\n\\s*(\\[(?:{_STOPS})\\])', chr(1) || '\\1', 'g'), chr(1)),
+      lambda p: {{'tag': upper(regexp_extract(p, '{_TAGGED}', 1)),
+                  'body': regexp_replace(regexp_extract(p, '{_TAGGED}', 2), '^\\s+|\\s+$', '', 'g')}}) AS parts
     FROM cl),
+  pck AS (SELECT conv_id, turn, {_section('STRATEGY_CHANGE')} AS sc_text, {_section('STEP_SUCCESS')} AS ss_text,
+      {_section('CONTENT')} AS content
+    FROM prt),
+  sec AS (SELECT conv_id, turn, content, sc_text IS NOT NULL AND ss_text IS NOT NULL AS has_flags,
+      content IS NOT NULL AS has_content, {_yes_no('sc_text')} AS sc, {_yes_no('ss_text')} AS ss
+    FROM pck),
   cod AS (SELECT *, CASE WHEN NOT has_content THEN ''
                           WHEN regexp_matches(content, '{_CODE}') THEN regexp_extract(content, '{_CODE}', 1) END AS code0
     FROM sec),
@@ -330,21 +339,24 @@ ORACLES = {
       FROM chk c LEFT JOIN firsts f ON f.conv_id = c.conv_id AND f.task = c.depends_on""",
     "run_outcome": f"""WITH {_REPLIES},
       num AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS pass_no FROM parsed),
-      fl AS (SELECT *, parse_status = 'ok' AND step_success AND pass_no > 1 AS succ FROM num),
-      fs AS (SELECT conv_id, COUNT(*) AS n_passes, MIN(CASE WHEN succ THEN pass_no END) AS first_success
-             FROM fl GROUP BY conv_id),
-      j AS (SELECT fl.*, fs.n_passes, fs.first_success,
-                   fl.pass_no <= least(COALESCE(fs.first_success, fs.n_passes), {tr.MAX_PASSES}) AS ev
-            FROM fl JOIN fs USING (conv_id))
-      SELECT conv_id, CAST(MAX(n_passes) AS BIGINT) AS n_passes,
+      fl AS (SELECT *, CASE
+               WHEN parse_status = 'missing_tag' THEN 'skipped'
+               WHEN parse_status <> 'ok' THEN 'error'
+               WHEN pass_no = 1 OR NOT (strategy_change OR step_success) THEN 'failure'
+               WHEN strategy_change AND step_success THEN 'error'
+               WHEN step_success THEN 'success' ELSE 'change' END AS what FROM num),
+      j AS (SELECT *, count(*) FILTER (WHERE what IN ('error', 'success'))
+                        OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) = 0
+                      AND pass_no <= {tr.MAX_PASSES} AS ev
+            FROM fl)
+      SELECT conv_id, CAST(COUNT(*) AS BIGINT) AS n_passes,
         CAST(COUNT(*) FILTER (WHERE ev) AS BIGINT) AS attempts,
-        CAST(COUNT(*) FILTER (WHERE ev AND parse_status = 'missing_tag') AS BIGINT) AS skipped,
-        CAST(COUNT(*) FILTER (WHERE ev AND parse_status IN ('bad_flag', 'no_code')) AS BIGINT) AS errors,
-        CAST(COUNT(*) FILTER (WHERE ev AND parse_status = 'ok' AND pass_no > 1 AND strategy_change AND NOT succ)
-             AS BIGINT) AS strategy_changes,
-        CAST(COUNT(*) FILTER (WHERE ev AND parse_status = 'ok' AND NOT succ
-                              AND NOT (pass_no > 1 AND strategy_change)) AS BIGINT) AS failures,
-        bool_or(first_success IS NOT NULL AND first_success <= {tr.MAX_PASSES}) AS success
+        CAST(COUNT(*) FILTER (WHERE ev AND what = 'skipped') AS BIGINT) AS skipped,
+        CAST(COUNT(*) FILTER (WHERE ev AND what = 'error') AS BIGINT) AS errors,
+        CAST(COUNT(*) FILTER (WHERE ev AND what = 'change') AS BIGINT) AS strategy_changes,
+        CAST(COUNT(*) FILTER (WHERE ev AND what = 'failure') AS BIGINT) AS failures,
+        CAST(COUNT(*) FILTER (WHERE NOT ev) AS BIGINT) AS passes_after_end,
+        bool_or(ev AND what = 'success') AS success
       FROM j GROUP BY conv_id""",
     "decision_text": """
       SELECT conv_id, turn, concat('Decision:', chr(10), string_split(

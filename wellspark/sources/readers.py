@@ -8,12 +8,14 @@ pruning once the data is rewritten as Parquet partitioned by ``user_id``/``date`
 from __future__ import annotations
 
 import os
+import re
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from wellspark.functions.numeric import round2
 from wellspark.operators import selecting as sel
 from wellspark.sources import schemas as S
 
@@ -36,6 +38,10 @@ def _csv_by_name(spark: SparkSession, path, keep: Sequence[str], types: T.Struct
     cast them to the declared types. All columns are read as text first (the header of the first file gives the
     names; ``enforceSchema=false`` makes every other file's header be checked against it, so a file with a
     different column order fails instead of being silently mis-mapped)."""
+    if not streaming and not _found(spark, path):  # nobody has such a file: no rows
+        fields = [T.StructField(c, types[c].dataType if c in types.names else T.StringType()) for c in keep]
+        place = T.StructType([T.StructField("file_path", T.StringType())])
+        return spark.createDataFrame([], T.StructType([T.StructField("_metadata", place), *fields]))
     header = spark.read.option("header", "true").csv(path).schema.fieldNames()
     missing = [c for c in keep if c not in header]
     if missing:
@@ -61,9 +67,22 @@ def _with_path_keys(df: DataFrame) -> DataFrame:
     )
 
 
-def _device_glob(root: str, device: str, file_name: str, users: Sequence[str] | None) -> str | list[str]:
+def _found(spark: SparkSession, path: str) -> bool:
+    """Whether any file matches a path pattern."""
+    pattern = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return bool(pattern.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(pattern))
+
+
+def _rounded(df: DataFrame) -> DataFrame:
+    """Fractions to two decimals, as the reference's get tasks return them."""
+    return df.withColumns({f.name: round2(f.name) for f in df.schema if isinstance(f.dataType, T.DoubleType)})
+
+
+def _device_glob(root: str, device: str, file_name: str, users: Sequence[str] | None) -> str:
+    """One pattern for all asked participants; one without a file gives no rows (a plain list of paths would fail)."""
     if users:
-        return [os.path.join(root, u.strip(), device, file_name) for u in users]
+        names = [re.sub(r"([\\*?\[\]{},])", r"\\\1", u.strip()) for u in users]
+        return os.path.join(root, "{" + ",".join(names) + "}", device, file_name)
     return os.path.join(root, "*", device, file_name)
 
 
@@ -75,7 +94,7 @@ def read_daily_sleep(
     raw = _csv_by_name(spark, path, S.SLEEP_RAW, S.SLEEP_RAW_SCHEMA, streaming)
     df = _with_path_keys(raw).select("user_id", "device", *S.SLEEP_RAW)
     df = df.toDF("user_id", "device", *S.SLEEP_NAMES).withColumn("date", sel.parse_day("date"))
-    return sel.seconds_to_minutes(df, S.SLEEP_SECONDS)
+    return _rounded(sel.seconds_to_minutes(df, S.SLEEP_SECONDS))
 
 
 def read_daily_activity(
@@ -85,7 +104,7 @@ def read_daily_activity(
     path = _device_glob(root, S.ACTIVITY_DEVICE, S.ACTIVITY_FILE, users)
     raw = _csv_by_name(spark, path, S.ACTIVITY_RAW, S.ACTIVITY_RAW_SCHEMA, streaming)
     df = _with_path_keys(raw).select("user_id", "device", *S.ACTIVITY_RAW)
-    return df.toDF("user_id", "device", *S.ACTIVITY_NAMES).withColumn("date", sel.parse_day("date"))
+    return _rounded(df.toDF("user_id", "device", *S.ACTIVITY_NAMES).withColumn("date", sel.parse_day("date")))
 
 
 def read_ppg(
@@ -98,7 +117,7 @@ def read_ppg(
     if not streaming:
         df = df.withColumn("sample_no", F.monotonically_increasing_id())
     df = df.withColumn("date", sel.parse_epoch_ms("timestamp")).drop("timestamp")
-    return df.select("user_id", "device", "date", "ppg", "hr", *(["sample_no"] if not streaming else []))
+    return _rounded(df.select("user_id", "device", "date", "ppg", "hr", *(["sample_no"] if not streaming else [])))
 
 
 def read_string_table(spark: SparkSession, path: str) -> DataFrame:
@@ -128,9 +147,9 @@ def read_sleep_datasets(spark: SparkSession, folder: str) -> DataFrame:
 
 def read_nutrition_docs(spark: SparkSession, path: str, multi_line: bool = False) -> DataFrame:
     """Nutrition service documents (one JSON object per line, or one per file with ``multi_line``);
-    ``log_id`` is the source file plus the line position."""
+    ``log_id`` tells the documents apart and rises with the lines of a file."""
     df = spark.read.schema(S.NUTRITION_DOC_SCHEMA).option("multiLine", str(multi_line).lower()).json(path)
-    return df.withColumn("source_file", F.col("_metadata.file_path"))
+    return df.withColumns({"source_file": F.col("_metadata.file_path"), "log_id": F.monotonically_increasing_id()})
 
 
 def read_lines(spark: SparkSession, path: str) -> DataFrame:
