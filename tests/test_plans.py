@@ -3,11 +3,11 @@ broadcast, and no operator sends a whole participant to one window task."""
 
 import pytest
 
-from __spark_entry__ import queries
+from wellspark.plans import all_queries as queries
 from conftest import SF_SMALL
 
 PYTHON_STAGES = ("ArrowEvalPython", "BatchEvalPython", "FlatMapGroupsInPandas", "MapInPandas", "PythonMapInArrow")
-PYTHON_QUERIES = {"stress_score", "peaks", "hrv_freq", "ppg_stress", "reconstruction_error"}
+PYTHON_QUERIES = {"stress_score", "ppg_stress", "reconstruction_error"}
 STREAM_QUERIES = {"stream_window_60s", "stream_daily_nutrients", "stream_sessions", "stream_dedup"}
 
 
@@ -44,13 +44,3 @@ def test_no_whole_user_window(spark):
         for line in plan.splitlines():
             if "Window [" in line and "windowspecdefinition(user_id, ts" in line:
                 pytest.fail(f"{name}: whole-user window: {line.strip()[:200]}")
-
-
-def test_samples_spread_before_explode(spark):
-    """The pulse-sample explode multiplies rows after a shuffle whose partitions AQE sizes by the (small) event
-    rows; an explicit-count repartition on (user, event number) sits between them, so AQE cannot merge the
-    expanding stage into a few tasks."""
-    import re
-
-    plan = _plan(queries()["peaks"](spark, SF_SMALL))
-    assert re.search(r"Exchange hashpartitioning\(user_id#\d+L, event_no#\d+L, \d+\), REPARTITION_BY_NUM", plan)

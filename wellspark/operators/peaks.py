@@ -1,22 +1,21 @@
-"""Beat detection and spectral / geometric HRV per chunk (W4, W6, A11 TINN, A12, A14).
-
-These need ordered signal processing inside one chunk (at most 1200 samples), so they run as grouped
-``applyInPandas`` functions over ``(key, chunk)`` groups - bounded groups, Arrow batches, NumPy inside.
-Methods follow published descriptions: Elgendi et al. 2013 (two moving averages over the squared, band-limited
-signal) for systolic peaks; Welch-style averaged periodogram of the 4 Hz-resampled interval series for the
-band powers; least-squares triangle fit of the interval histogram for TINN. SciPy/NeuroKit2 are not available,
-so values agree with those libraries only approximately (tests use signals with a known rate).
+"""Beat detection, rate and spectral / geometric HRV per chunk (W4, W6, A11, A12), as windows and array functions.
+
+Every step works inside one chunk (at most 60 s of samples), so frames, windows and arrays are bounded. Samples count
+in hundredths, sums of samples are whole numbers and so do not depend on the order of addition. Methods follow
+published descriptions: Elgendi et al. 2013 (two moving averages over the squared, band-limited signal) for systolic
+peaks; a periodogram of the intervals at their beat times over a fixed frequency grid for the band powers; the
+least-squares triangle of the interval histogram for TINN (Task Force 1996).
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
-import numpy as np
-import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
+
+from wellspark.functions.numeric import safe_div
 
 # ---------------------------------------------------------------------------------------------------------
 # Fixed method constants.
@@ -27,233 +26,181 @@ PEAK_WINDOW_S = 0.111
 BEAT_WINDOW_S = 0.667
 BEAT_OFFSET = 0.02
 MIN_DELAY_S = 0.3
-RESAMPLE_HZ = 4.0
 BANDS = {"VLF": (0.0033, 0.04), "LF": (0.04, 0.15), "HF": (0.15, 0.4), "VHF": (0.4, 0.5)}
 HIST_BIN_MS = 1000.0 / 128.0
 # ---------------------------------------------------------------------------------------------------------
+GRID_STEP_HZ = 0.01
+MIN_INTERVALS = 4  # fewer give no spectrum; TINN needs three
+
+FREQ_COLUMNS = ("HRV_TINN", "HRV_LF", "HRV_HF", "HRV_VHF", "HRV_LFHF", "HRV_LFn", "HRV_HFn", "HRV_LnHF")
+
+
+def widths(hz: float) -> dict[str, int]:
+    """Samples on each side of the moving averages, the shortest block and the shortest way between beats."""
+    return {
+        "short": int(hz / BAND_HZ[1] / 2), "long": int(hz / BAND_HZ[0] / 2), "peak": int(PEAK_WINDOW_S * hz / 2),
+        "beat": int(BEAT_WINDOW_S * hz / 2), "min_len": round(PEAK_WINDOW_S * hz), "delay": round(MIN_DELAY_S * hz),
+    }
 
 
-def _bandpass(x: np.ndarray, hz: float, lo: float, hi: float) -> np.ndarray:
-    n = len(x)
-    if n < 4:
-        return x - x.mean() if n else x
-    spec = np.fft.rfft(x - x.mean())
-    freqs = np.fft.rfftfreq(n, d=1.0 / hz)
-    spec[(freqs < lo) | (freqs > hi)] = 0.0
-    return np.fft.irfft(spec, n)
-
-
-def _moving_average(x: np.ndarray, width: int) -> np.ndarray:
-    width = max(int(width), 1)
-    return np.convolve(x, np.ones(width) / width, mode="same")
-
-
-def detect_peaks(signal: np.ndarray, hz: float = SAMPLING_HZ) -> np.ndarray:
-    """Indices of systolic peaks (Elgendi 2013)."""
-    if len(signal) < 3:
-        return np.zeros(0, dtype=np.int64)
-    filt = _bandpass(np.asarray(signal, dtype=np.float64), hz, *BAND_HZ)
-    sq = np.clip(filt, 0, None) ** 2
-    ma_peak = _moving_average(sq, round(PEAK_WINDOW_S * hz))
-    ma_beat = _moving_average(sq, round(BEAT_WINDOW_S * hz))
-    thr = ma_beat + BEAT_OFFSET * sq.mean()
-    blocks = ma_peak > thr
-    edges = np.diff(blocks.astype(np.int8), prepend=0, append=0)
-    starts, ends = np.flatnonzero(edges == 1), np.flatnonzero(edges == -1)
-    min_len = round(PEAK_WINDOW_S * hz)
-    min_delay = round(MIN_DELAY_S * hz)
-    peaks: list[int] = []
-    for s, e in zip(starts, ends):
-        if e - s < min_len:
-            continue
-        p = s + int(np.argmax(filt[s:e]))
-        if not peaks or p - peaks[-1] > min_delay:
-            peaks.append(p)
-    return np.asarray(peaks, dtype=np.int64)
-
-
-def refine_peaks(signal: np.ndarray, idx: np.ndarray, hz: float = SAMPLING_HZ) -> np.ndarray:
-    """Sub-sample peak positions by a parabola through each peak and its two neighbours (on the band-limited
-    signal), so intervals are not quantised to the 50 ms sample grid."""
-    if len(idx) == 0:
-        return idx.astype(np.float64)
-    filt = _bandpass(np.asarray(signal, dtype=np.float64), hz, *BAND_HZ)
-    pos = idx.astype(np.float64)
-    inner = (idx > 0) & (idx < len(filt) - 1)
-    i = idx[inner]
-    a, b, c = filt[i - 1], filt[i], filt[i + 1]
-    den = a - 2 * b + c
-    shift = np.where(np.abs(den) > 1e-12, 0.5 * (a - c) / np.where(den == 0, 1, den), 0.0)
-    pos[inner] = i + np.clip(shift, -0.5, 0.5)
-    return pos
-
-
-def _peak_arrays(signals: pd.Series, hz: float) -> pd.Series:
-    out = []
-    for v in signals:
-        x = np.asarray(v, dtype=np.float64)
-        out.append(refine_peaks(x, detect_peaks(x, hz), hz))
-    return pd.Series(out)
-
-
-def by_group(df: DataFrame, group: Sequence[str]) -> DataFrame:
-    """Hash-distribute rows on the grouping keys with the session's shuffle partition count before a grouped
-    Python stage. The grouped aggregation reuses this distribution (no extra exchange); an explicit count is not
-    coalesced by AQE, which would otherwise size the Python stage by the bytes shuffled (a few hundred bytes per
-    chunk) rather than by its CPU work and run it in one or two tasks. Groups are single chunks, so bounded.
-    Used where the input rows are few (peak times); raw samples keep the plain grouped aggregation, whose
-    map-side partial lists shrink the shuffle."""
-    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return df.repartition(n, *group)
+def grid(band: str) -> tuple[int, int]:
+    """First and last step of the frequency grid inside a band (lower bound included, upper excluded)."""
+    lo, hi = BANDS[band]
+    return math.ceil(round(lo / GRID_STEP_HZ, 6)), math.ceil(round(hi / GRID_STEP_HZ, 6)) - 1
 
 
 def peaks_per_chunk(
     samples: DataFrame, group: Sequence[str], order: str, signal: str, hz: float = SAMPLING_HZ
 ) -> DataFrame:
-    """One row per detected peak: group columns, ``peak_no``, ``sample_index`` (row within the chunk,
-    ordered by ``order``), ``peak_ms`` (sub-sample time since chunk start) and ``rate_bpm`` (instantaneous rate).
+    """One row per beat: group columns, ``peak_no`` from 0, ``sample_index`` (place in the chunk), ``peak_ms`` (since
+    the chunk's start, by a parabola through the peak and its neighbours), ``rate_bpm`` (from the interval before it)
+    and ``n_samples`` of the chunk.
 
-    Each chunk (at most 1200 samples, so a bounded group) is gathered into one ordered array; a scalar pandas
-    UDF then runs the detector over whole Arrow batches of chunks - one Python call per batch, not per chunk.
+    Samples without a value are left out. A block is a run of samples whose short average of the squared signal lies
+    above the long one; its highest sample is a beat unless the beat before it is too near.
+    """
+    group, k = list(group), widths(hz)
+    w = Window.partitionBy(*group).orderBy("__o")
+    whole = Window.partitionBy(*group)
+
+    def mean(c: str, half: int) -> Column:
+        return F.avg(c).over(w.rowsBetween(-half, half))
+
+    x = samples.select(*group, F.col(order).alias("__o"), F.rint(F.col(signal).cast("double") * 100).alias("__v"))
+    x = x.where(F.col("__v").isNotNull() & ~F.isnan("__v")).withColumn("__v", F.col("__v").cast("long"))
+    # the one exchange of all steps; its explicit count keeps adaptive execution from merging chunks, whose array work
+    # far outweighs their bytes, into a few tasks
+    x = x.repartition(int(x.sparkSession.conf.get("spark.sql.shuffle.partitions")), *group)
+    x = x.select(*group, "__o", F.row_number().over(w).alias("__i"), F.count(F.lit(1)).over(whole).alias("__n"),
+                 (mean("__v", k["short"]) - mean("__v", k["long"])).alias("__f"))
+    x = x.withColumn("__q", F.when(F.col("__f") > 0, F.floor(F.col("__f") * F.col("__f"))).otherwise(F.lit(0)))
+    x = x.withColumns({
+        "__high": mean("__q", k["peak"]) > mean("__q", k["beat"]) + F.lit(BEAT_OFFSET) * F.avg("__q").over(whole),
+        "__left": F.lag("__f").over(w), "__right": F.lead("__f").over(w),
+    })
+    starts = F.col("__high") & ~F.lag("__high", 1, False).over(w)
+    x = x.withColumn("__block", F.sum(starts.cast("int")).over(w)).where("__high")
+    top = F.max(F.struct("__f", (-F.col("__i")).alias("back"), "__left", "__right")).alias("__top")
+    blocks = x.groupBy(*group, "__block").agg(F.count(F.lit(1)).alias("__len"), F.max("__n").alias("__n"), top)
+    blocks = blocks.where(F.col("__len") >= k["min_len"])
+
+    a, b, c = F.col("__top.__left"), F.col("__top.__f"), F.col("__top.__right")
+    bend = a - F.lit(2.0) * b + c
+    shift = F.greatest(F.lit(-0.5), F.least(F.lit(0.5), safe_div(F.lit(0.5) * (a - c), bend)))
+    beat = F.struct((-F.col("__top.back") - 1).alias("i"), F.coalesce(shift, F.lit(0.0)).alias("shift"))
+    found = blocks.groupBy(*group).agg(F.max("__n").alias("n_samples"), F.sort_array(F.collect_list(beat)).alias("__all"))
+    spaced = F.aggregate(
+        F.slice("__all", 2, F.size("__all")), F.slice("__all", 1, 1),
+        lambda kept, p: F.when(p["i"] - F.element_at(kept, -1)["i"] > k["delay"], F.concat(kept, F.array(p)))
+        .otherwise(kept))
+    beats = found.select(*group, "n_samples", F.posexplode(spaced).alias("peak_no", "__p")).select(
+        *group, F.col("peak_no").cast("long").alias("peak_no"), F.col("__p.i").cast("long").alias("sample_index"),
+        ((F.col("__p.i") + F.col("__p.shift")) * F.lit(1000.0) / F.lit(float(hz))).alias("peak_ms"), "n_samples")
+    rr = F.col("peak_ms") - F.lag("peak_ms").over(Window.partitionBy(*group).orderBy("peak_no"))
+    return beats.withColumn("rate_bpm", safe_div(F.lit(60000.0), rr))
+
+
+def with_rate_share(peaks: DataFrame, group: Sequence[str], out: str = "rate_share") -> DataFrame:
+    """The part of every beat in the chunk's mean rate; its sum per chunk is the mean over all samples of the rate
+    interpolated linearly between beats and held before the first and after the last one.
+
+    The first beat takes the mean interval; a chunk with one beat has no rate.
     """
     group = list(group)
-
-    @F.pandas_udf(T.ArrayType(T.DoubleType()))
-    def detect(signals: pd.Series) -> pd.Series:
-        return _peak_arrays(signals, hz)
-
-    chunks = samples.groupBy(*group).agg(
-        F.transform(
-            F.sort_array(F.collect_list(F.struct(F.col(order).alias("o"), F.col(signal).alias("v")))),
-            lambda x: x["v"],
-        ).alias("__sig")
-    )
-    found = chunks.select(*group, F.posexplode(detect("__sig")).alias("peak_no", "__pos"))
-    ms = F.col("__pos") * F.lit(1000.0 / hz)
-    from pyspark.sql import Window
-
-    w = Window.partitionBy(*group).orderBy("peak_no")  # bounded: the peaks of one chunk
-    return found.select(
-        *group,
-        F.col("peak_no").cast("long").alias("peak_no"),
-        F.round(F.col("__pos")).cast("long").alias("sample_index"),
-        ms.alias("peak_ms"),
-    ).withColumn("rate_bpm", F.try_divide(F.lit(60000.0), F.col("peak_ms") - F.lag("peak_ms").over(w)))
-
-
-def tinn(rr: np.ndarray) -> float:
-    """Base width (ms) of the least-squares triangle fitted to the interval histogram."""
-    rr = rr[np.isfinite(rr)]
-    if len(rr) < 3:
-        return float("nan")
-    edges = np.arange(rr.min(), rr.max() + HIST_BIN_MS, HIST_BIN_MS)
-    if len(edges) < 3:
-        return float("nan")
-    hist, edges = np.histogram(rr, bins=edges)
-    centres = (edges[:-1] + edges[1:]) / 2
-    x_mode = int(np.argmax(hist))
-    y = hist[x_mode]
-    best, best_nm = np.inf, (0, len(hist) - 1)
-    for n in range(0, x_mode + 1):
-        for m in range(x_mode, len(hist)):
-            q = np.zeros(len(hist))
-            if x_mode > n:
-                q[n:x_mode + 1] = np.linspace(0, y, x_mode - n + 1)
-            if m > x_mode:
-                q[x_mode:m + 1] = np.linspace(y, 0, m - x_mode + 1)
-            q[x_mode] = y
-            err = float(np.sum((hist - q) ** 2))
-            if err < best:
-                best, best_nm = err, (n, m)
-    return float(centres[best_nm[1]] - centres[best_nm[0]])
-
-
-def band_powers(rr: np.ndarray) -> dict[str, float]:
-    """VLF/LF/HF/VHF powers (ms^2) of the 4 Hz-resampled interval series (averaged periodogram)."""
-    out = {k: float("nan") for k in BANDS}
-    rr = rr[np.isfinite(rr)]
-    if len(rr) < 4:
-        return out
-    t = np.cumsum(rr) / 1000.0
-    grid = np.arange(t[0], t[-1], 1.0 / RESAMPLE_HZ)
-    if len(grid) < 8:
-        return out
-    y = np.interp(grid, t, rr)
-    y = y - y.mean()
-    seg = min(len(y), 256)
-    step = max(seg // 2, 1)
-    win = np.hanning(seg)
-    scale = RESAMPLE_HZ * (win**2).sum()
-    psd, count = None, 0
-    for s in range(0, len(y) - seg + 1, step):
-        spec = np.abs(np.fft.rfft(y[s:s + seg] * win)) ** 2 / scale
-        psd = spec if psd is None else psd + spec
-        count += 1
-    psd = psd / count
-    psd[1:-1] *= 2
-    freqs = np.fft.rfftfreq(seg, 1.0 / RESAMPLE_HZ)
-    df = freqs[1] - freqs[0]
-    for name, (lo, hi) in BANDS.items():
-        sel = (freqs >= lo) & (freqs < hi)
-        out[name] = float(psd[sel].sum() * df)
-    return out
-
-
-FREQ_COLUMNS = ("HRV_TINN", "HRV_LF", "HRV_HF", "HRV_VHF", "HRV_LFHF", "HRV_LFn", "HRV_HFn", "HRV_LnHF")
-
-
-def _hti(rr: np.ndarray) -> float | None:
-    rr = rr[np.isfinite(rr)]
-    if len(rr) == 0:
-        return None
-    counts = np.unique(np.floor(rr / HIST_BIN_MS), return_counts=True)[1]
-    return float(len(rr) / counts.max())
-
-
-def _freq_row(ms: np.ndarray) -> dict:
-    ms = np.sort(np.asarray(ms, dtype=np.float64))
-    rr = np.diff(ms)
-    p = band_powers(rr)
-    tp = sum(v for v in p.values() if np.isfinite(v))
-    lf, hf = p["LF"], p["HF"]
-
-    def clean(x):
-        return None if x is None or not np.isfinite(x) else float(x)
-
-    return {
-        "HRV_TINN": clean(tinn(rr)),
-        "HRV_LF": clean(lf),
-        "HRV_HF": clean(hf),
-        "HRV_VHF": clean(p["VHF"]),
-        "HRV_LFHF": clean(lf / hf) if np.isfinite(hf) and hf > 0 else None,
-        "HRV_LFn": clean(lf / tp) if tp > 0 else None,
-        "HRV_HFn": clean(hf / tp) if tp > 0 else None,
-        "HRV_LnHF": clean(np.log(hf)) if np.isfinite(hf) and hf > 0 else None,
-        "HRV_HTI": _hti(rr),
-    }
+    w, whole = Window.partitionBy(*group).orderBy("peak_no"), Window.partitionBy(*group)
+    mean_rr = safe_div(F.max("peak_ms").over(whole) - F.min("peak_ms").over(whole), F.max("peak_no").over(whole))
+    p = peaks.withColumn("__r", F.coalesce("rate_bpm", safe_div(F.lit(60000.0), mean_rr)))
+    before, steps = F.lag("__r").over(w), F.col("sample_index") - F.lag("sample_index").over(w)
+    rise = F.col("__r") - before
+    share = F.when(F.col("peak_no") == 0, (F.col("sample_index") + 1) * F.col("__r")).otherwise(
+        steps * before + rise * (steps + 1) / F.lit(2.0))
+    tail = F.when(F.lead("peak_no").over(w).isNull(),
+                  (F.col("n_samples") - 1 - F.col("sample_index")) * F.col("__r")).otherwise(F.lit(0.0))
+    return p.withColumn(out, (share + tail) / F.col("n_samples")).drop("__r")
+
+
+def _base_point(bins: str, towards: int) -> Column:
+    """The histogram bin at which the triangle's side ``towards`` -1 or 1 of the mode meets zero (the nearest to the
+    outermost bin of equally good ones; the mode where nothing lies on that side).
+
+    Both sides' errors are independent. With width w, height Y and A = sum of counts times their distance from the
+    base point, the error is Y^2 (w - 1)(2 w - 1) / (6 w) - 2 Y A / w plus a constant.
+    """
+    mode, height = F.col("__mode"), F.col("__height").cast("double")
+    outer = F.array_min(F.transform(bins, lambda x: x["b"])) if towards < 0 else F.array_max(
+        F.transform(bins, lambda x: x["b"]))
+    reach = F.abs(mode - outer)
+
+    def fit(width: Column) -> Column:
+        base = mode + F.lit(towards) * width
+        weight = F.aggregate(
+            bins, F.lit(0).cast("long"),
+            lambda acc, x: acc + F.when((x["b"] != mode) & ((x["b"] - mode) * towards > 0)
+                                        & ((base - x["b"]) * towards > 0),
+                                        x["c"] * F.abs(base - x["b"])).otherwise(F.lit(0)))
+        wd = width.cast("double")
+        err = (height * height * (wd - 1.0) * (F.lit(2.0) * wd - 1.0) / (F.lit(6.0) * wd)
+               - F.lit(2.0) * height * weight.cast("double") / wd)
+        return F.struct(err.alias("err"), (-width).alias("nearer"), base.alias("base"))
+
+    fits = F.transform(F.sequence(F.lit(1).cast("long"), F.greatest(reach, F.lit(1))), fit)
+    return F.when(reach == 0, mode).otherwise(F.array_min(fits)["base"])
 
 
 def with_frequency_features(df: DataFrame, times_col: str, with_hti: bool = False) -> DataFrame:
-    """A11 (TINN, optionally HTI) + A12 from an array column of peak times (ms) per row - one pandas UDF call per
-    Arrow batch of rows. Adds FREQ_COLUMNS (and ``HRV_HTI``) and drops ``times_col``."""
-    cols = list(FREQ_COLUMNS) + (["HRV_HTI"] if with_hti else [])
-    out_type = T.StructType([T.StructField(c, T.DoubleType()) for c in cols])
-
-    @F.pandas_udf(out_type)
-    def feats(times: pd.Series) -> pd.DataFrame:
-        return pd.DataFrame([_freq_row(v) for v in times])[cols]
+    """A11 (TINN, optionally HTI) and A12 from an array column of beat times (ms) per row; drops ``times_col``.
 
-    return df.withColumn("__f", feats(times_col)).select("*", *[F.col(f"__f.{c}").alias(c) for c in cols]).drop(
-        "__f", times_col
-    )
+    LFn and HFn are shares of VLF + LF + HF + VHF, LnHF = ln(HF); too few intervals or an empty power give NULL.
+    """
+    keep = [c for c in df.columns if c != times_col]
+    n = F.greatest(F.size("__t") - 1, F.lit(0))
+    x = df.withColumn("__t", F.sort_array(times_col))
+    x = x.withColumn("__rr", F.zip_with(F.slice("__t", 2, n), F.slice("__t", 1, n), lambda b, a: b - a))
+    x = x.withColumns({
+        "__n": F.size("__rr"),
+        "__mean": safe_div(F.try_element_at("__t", F.lit(-1)) - F.try_element_at("__t", F.lit(1)), F.size("__rr")),
+        "__bins": F.transform("__rr", lambda r: F.floor(r / F.lit(HIST_BIN_MS)).cast("long")),
+    })
+    x = x.withColumn("__hist", F.transform(
+        F.array_sort(F.array_distinct("__bins")),
+        lambda b: F.struct(b.alias("b"), F.size(F.filter("__bins", lambda v: v == b)).cast("long").alias("c"))))
+    tallest = F.array_max(F.transform("__hist", lambda h: F.struct(h["c"].alias("c"), (-h["b"]).alias("back"))))
+    x = x.withColumns({"__height": tallest["c"], "__mode": -tallest["back"]})
+    x = x.withColumn("__wave", F.zip_with(
+        "__rr", F.slice("__t", 2, n), lambda r, t: F.struct((r - F.col("__mean")).alias("r"), (t / 1000.0).alias("t"))))
+
+    def power(step: Column) -> Column:
+        turn = F.lit(2 * math.pi * GRID_STEP_HZ) * step
+        part = lambda wave: F.aggregate(
+            "__wave", F.lit(0.0), lambda acc, s: acc + s["r"] * wave(turn * s["t"]))
+        re, im = part(F.cos), part(F.sin)
+        return re * re + im * im
+
+    last = grid("VHF")[1]
+    x = x.withColumn("__power", F.transform(F.sequence(F.lit(1), F.lit(last)), power))
+    scale = F.lit(2.0 * GRID_STEP_HZ) * F.col("__mean") / F.lit(1000.0) / F.col("__n")
+    enough = F.col("__n") >= MIN_INTERVALS
+
+    def band(name: str) -> Column:
+        lo, hi = grid(name)
+        total = F.aggregate(F.slice("__power", lo, hi - lo + 1), F.lit(0.0), lambda acc, p: acc + p)
+        return F.when(enough, scale * total)
+
+    x = x.withColumns({f"__{b}": band(b) for b in BANDS})
+    total = F.col("__VLF") + F.col("__LF") + F.col("__HF") + F.col("__VHF")
+    out = {
+        "HRV_TINN": F.when(F.col("__n") >= 3, (_base_point("__hist", 1) - _base_point("__hist", -1))
+                           * F.lit(HIST_BIN_MS)),
+        "HRV_LF": F.col("__LF"), "HRV_HF": F.col("__HF"), "HRV_VHF": F.col("__VHF"),
+        "HRV_LFHF": safe_div("__LF", "__HF"), "HRV_LFn": safe_div(F.col("__LF"), total),
+        "HRV_HFn": safe_div(F.col("__HF"), total), "HRV_LnHF": F.when(F.col("__HF") > 0, F.ln("__HF")),
+    }
+    if with_hti:
+        out["HRV_HTI"] = safe_div(F.col("__n").cast("double"), F.col("__height"))
+    return x.select(*keep, *[e.alias(c) for c, e in out.items()])
 
 
 def frequency_features(peaks: DataFrame, group: Sequence[str], peak_ms: str = "peak_ms") -> DataFrame:
-    """A11 (TINN) + A12 per chunk from its peaks: one row per group with FREQ_COLUMNS.
-
-    LFn/HFn are shares of the total power VLF+LF+HF+VHF; LnHF = ln(HF); non-positive or empty powers -> NULL.
-    Peak times of a chunk (bounded) are gathered into an array and a scalar pandas UDF evaluates whole batches.
-    """
-    group = list(group)
-    per_chunk = by_group(peaks, group).groupBy(*group).agg(F.collect_list(F.col(peak_ms)).alias("__ms"))
+    """A11 (TINN) and A12 per chunk from its beats (bounded): one row per group with FREQ_COLUMNS."""
+    per_chunk = peaks.groupBy(*group).agg(F.collect_list(peak_ms).alias("__ms"))
     return with_frequency_features(per_chunk, "__ms")

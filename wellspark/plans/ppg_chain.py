@@ -1,136 +1,89 @@
-"""The wearable chain PPG -> segment -> chunks -> beats -> HRV -> scaling -> stress, on samples derived from
-``events`` (the reference's deepest data path, SURVEY §3.2).
-
-Every event of a user contributes a stretch of a 20 Hz pulse signal (one second for the beat queries, twelve
-seconds inside the stress chain's segment); the pulse frequency is the user's rate ``60 + user_id % 40`` bpm plus a
-slow respiratory component, and ``hr`` is 0 during 'error' events with a value of at least 100, so zero runs exist
-for the segment step. The sample table therefore grows with ``events``.
-These queries use grouped Python (peak detection, spectra) and have no SQL oracle: the driver records row
-counts; tests check known-rate signals against brute-force expectations.
+"""The wearable chain signal -> segment -> chunks -> beats -> HRV -> scaling -> stress over ``events`` (the deepest data
+path, SURVEY §3.2).
+
+A user's ``value`` column in order of (ts, event_id) is the pulse signal, read as samples at 4 Hz; an 'error' event with
+a value of at least 100 plays ``hr == 0``. Beats and spectra are found in 60 s chunks (240 samples); the stress chain
+scales across chunks of 20 samples of the last segment, as users have some 70 samples each.
 """
 
 from __future__ import annotations
 
 import math
 
-from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from wellspark.functions.numeric import round2, round_half_even
 from wellspark.operators import hrv, peaks as pk, ppg, scoring as sc
-from wellspark.operators.ordered import row_number_across_buckets
 from wellspark.plans.scoring import ENCODER, HEAD
+from wellspark.plans.signals import TIME_FROM_INTERVALS
 from wellspark.session import materialize
 from wellspark.sources.tables import table
 
-HZ = pk.SAMPLING_HZ
-SAMPLES_PER_EVENT = HZ  # one second per event
-SEGMENT_SAMPLES_PER_EVENT = 12 * HZ  # twelve seconds per event inside the stress chain's segment
+HZ = 4
+CHUNK = 60 * HZ
+SEGMENT_CHUNK = 20
 KEYS = ["user_id"]
-ORDER = ["ts", "event_id", "sample_no"]
+GROUP = ["user_id", "chunk_id"]
+ORDER = ["ts", "event_id"]
+DIGITS = 6  # features are rounded before scaling, so that chunks alike stay alike whatever the order of a sum
 
 
-def _zero_event() -> F.Column:
-    return (F.col("event_type") == "error") & (F.col("value") >= 100)
+def _events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "events").select("event_id", "user_id", "ts", "event_type", "value")
 
 
-def explode_samples(ev: DataFrame, per_event: int, closing: str | None = None) -> DataFrame:
-    """Pulse samples of each event: ``per_event`` rows at 20 Hz, continuous over the user's events, with their
-    ``row_no`` in the user's sample order and the fixed-count ``chunk_id`` (W3).
-
-    Every event contributes the same number of samples, so the sample order ``(ts, event_id, sample_no)`` is the
-    event order refined by ``sample_no``: the sample row number follows from the event row number by arithmetic
-    and no ordered pass over the (``per_event`` times larger) sample table is needed. ``closing`` names a flag
-    column of ``ev`` marking an event of which only the first sample is kept (the closing run start of a segment,
-    always the user's last event, so earlier row numbers are unaffected).
-    """
-    ev = row_number_across_buckets(ev, KEYS, ["ts", "event_id"], "event_no")
-    # AQE sizes the partitions of the event shuffle by the events' bytes, before the explode multiplies every row
-    # by ``per_event``: a whole table of events could land in one task and then become hundreds of times larger
-    # there. An explicit partition count (which AQE does not coalesce) on (user, event number) - no skew, a hot
-    # user's events spread evenly - keeps the generated samples spread over the cluster.
-    n = int(ev.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    ev = ev.repartition(n, "user_id", "event_no")
-    s = ev.select("*", F.explode(F.sequence(F.lit(0), F.lit(per_event - 1))).alias("sample_no"))
-    if closing:
-        s = s.where(~F.col(closing) | (F.col("sample_no") == 0))
-    row_no = (F.col("event_no") - 1) * per_event + F.col("sample_no") + 1
-    t = (row_no - 1) / F.lit(float(HZ))
-    bpm = (F.lit(60) + F.col("user_id") % 40).cast("double")
-    ppg_v = F.sin(F.lit(2 * math.pi) * bpm / 60.0 * t) + F.lit(0.05) * F.sin(F.lit(2 * math.pi * 0.25) * t)
-    return s.select(
-        "user_id", "event_id", "ts", F.col("sample_no").cast("int").alias("sample_no"),
-        row_no.cast("long").alias("row_no"),
-        F.floor((row_no - 1) / F.lit(ppg.CHUNK_ROWS)).cast("long").alias("chunk_id"),
-        ppg_v.alias("ppg"),
-        F.when(_zero_event(), F.lit(0.0)).otherwise(bpm).alias("hr"),
-    )
+def _zero_event() -> F.Column:
+    return (F.col("event_type") == "error") & (F.col("value") >= 100)
 
 
-def ppg_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
-    ev = table(spark, sf_dir, "events").select("event_id", "user_id", "ts", "event_type", "value")
-    return explode_samples(ev, SAMPLES_PER_EVENT)
+def _segment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The last segment's events in chunks; written once, as the row numbers read it twice."""
+    seg = materialize(ppg.last_segment(_events(spark, sf_dir), KEYS, ORDER, _zero_event()), "event_segment")
+    return ppg.fixed_chunks(seg, KEYS, ORDER, rows=SEGMENT_CHUNK)
 
 
-def _chunks(spark: SparkSession, sf_dir: str, segment: bool) -> DataFrame:
-    if not segment:
-        return ppg_samples(spark, sf_dir)
-    # W1/W2 run on events (``hr`` is constant within an event, so sample-level run starts are the first samples
-    # of event-level starts): the segment is the events from the second-last start through the last start, and
-    # at sample level it ends with the *first* sample of the closing start event. Only the segment's events are
-    # expanded to samples. The event segment is read by several passes (bucket carry, row numbers), so it is
-    # written once to the shared checkpoint folder.
-    ev = table(spark, sf_dir, "events").select("event_id", "user_id", "ts", "event_type", "value")
-    ev_seg = materialize(
-        ppg.last_segment(ev, KEYS, ["ts", "event_id"], _zero_event(), closing_flag="is_closing"), "event_segment"
-    )
-    return explode_samples(ev_seg, SEGMENT_SAMPLES_PER_EVENT, closing="is_closing")
+def _peaks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    chunks = ppg.fixed_chunks(_events(spark, sf_dir), KEYS, ORDER, rows=CHUNK)
+    return pk.peaks_per_chunk(chunks, GROUP, "row_no", "value", HZ)
 
 
 def peaks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """W4/W6 over all samples of every user (chunks of 1200 samples)."""
-    c = _chunks(spark, sf_dir, segment=False)
-    return pk.peaks_per_chunk(c, ["user_id", "chunk_id"], "row_no", "ppg")
+    """W4 over all samples of every user, with the mean rate of the beat's chunk."""
+    p = pk.with_rate_share(_peaks(spark, sf_dir), GROUP)
+    chunk_rate = F.sum("rate_share").over(Window.partitionBy(*GROUP))
+    return p.select(*GROUP, "peak_no", "sample_index", round_half_even("peak_ms", 4).alias("peak_ms"),
+                    round_half_even("rate_bpm", 4).alias("rate_bpm"),
+                    round_half_even(chunk_rate, 4).alias("chunk_rate_bpm"))
 
 
-def _nan_to_null(df: DataFrame, cols) -> DataFrame:
-    return df.withColumns({c: F.when(~F.isnan(F.col(c)), F.col(c)) for c in cols})
+def hrv_freq(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A11 TINN and A12 per chunk."""
+    f = pk.frequency_features(_peaks(spark, sf_dir), GROUP)
+    return f.select(*GROUP, *[round_half_even(c, 4).alias(c) for c in pk.FREQ_COLUMNS])
 
 
-def hrv_freq(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A11 TINN + A12 per chunk."""
-    f = pk.frequency_features(peaks(spark, sf_dir), ["user_id", "chunk_id"])
-    return _nan_to_null(f, pk.FREQ_COLUMNS)
-
-
-def chunk_features(p: DataFrame) -> DataFrame:
-    """All 30 scorer inputs per chunk from its peaks in one grouped pass: the time-domain aggregates, the chunk's
-    peak times (bounded array) and the mean rate are aggregated together; geometric and spectral features are
-    computed from the peak-time array by one batched pandas UDF; Poincaré features and the PSS slot follow."""
-    g = ["user_id", "chunk_id"]
-    w = Window.partitionBy(*g).orderBy("peak_no")  # bounded: peaks of one 60 s chunk
-    rr = p.withColumn("rr", F.col("peak_ms") - F.lag("peak_ms").over(w))
+def chunk_features(p: DataFrame, group: list[str]) -> DataFrame:
+    """All 30 scorer inputs per chunk from its beats: time domain, mean rate and beat times in one grouped pass,
+    geometric and spectral features from the beat times, then Poincaré features and the PSS slot."""
+    w = Window.partitionBy(*group).orderBy("peak_no")  # bounded: the beats of one chunk
+    rr = pk.with_rate_share(p, group).withColumn("rr", F.col("peak_ms") - F.lag("peak_ms").over(w))
     rr = rr.withColumn("d", F.col("rr") - F.lag("rr").over(w))
-    t = hrv.time_domain(
-        rr, g,
-        extra=[F.collect_list("peak_ms").alias("__ms"), F.avg(F.col("rate_bpm")).alias("PPG_Rate_Mean")],
-    )
+    t = hrv.time_domain(rr, group, extra=[F.collect_list("peak_ms").alias("__ms"),
+                                          F.sum("rate_share").alias("PPG_Rate_Mean")])
     t = pk.with_frequency_features(t, "__ms", with_hti=True)
-    return hrv.overwrite_pss(hrv.nonlinear(t))
+    t = hrv.overwrite_pss(hrv.nonlinear(t))
+    return t.select(*group, *[round_half_even(c, DIGITS).alias(c) for c in hrv.FEATURE_ORDER])
 
 
 def ppg_stress(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The whole chain per user: last segment -> chunks -> beats -> features -> min-max mean -> stress level
-    (NULL when a scaled feature is undefined) and the level with undefined scaled features taken as 0."""
-    c = _chunks(spark, sf_dir, segment=True)
-    p = pk.peaks_per_chunk(c, ["user_id", "chunk_id"], "row_no", "ppg")
-    feats = chunk_features(p)
-    scaled = hrv.minmax_mean(feats, KEYS, hrv.FEATURE_ORDER, rate_col="PPG_Rate_Mean")
+    """The whole chain per user: last segment -> chunks -> beats -> features -> min-max mean, rounded to 2 decimals ->
+    stress level (NULL when a scaled feature is undefined, SURVEY Q14/Q15) and the level with undefined ones as 0."""
+    p = pk.peaks_per_chunk(_segment(spark, sf_dir), GROUP, "row_no", "value", HZ)
+    scaled = hrv.minmax_mean(chunk_features(p, GROUP), KEYS, hrv.FEATURE_ORDER, rate_col="PPG_Rate_Mean")
+    scaled = scaled.withColumns({c: round2(c) for c in (*hrv.FEATURE_ORDER, "Heart_Rate")})
     vec = hrv.feature_vector(scaled).withColumn(
-        # undefined scaled features (constant across chunks, or a single chunk) taken as 0, the usual min-max
-        # convention; ``stress_level`` itself stays NULL for them
-        "features_zero_filled", F.transform("features", lambda x: F.coalesce(x, F.lit(0.0)))
-    )
+        "features_zero_filled", F.transform("features", lambda x: F.coalesce(x, F.lit(0.0))))
     return sc.score_stress(
         vec, {"stress_level": "features", "stress_level_zero_filled": "features_zero_filled"}, ENCODER, HEAD,
         keep=["user_id", "n_chunks", "Heart_Rate"],
@@ -138,42 +91,165 @@ def ppg_stress(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def segment_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The stress chain up to beat detection (W1, W2, T4, W3 on samples): per user and 1200-sample chunk of the
-    last segment, the sample count, first and last sample row with their events, and zero-rate samples."""
-    c = _chunks(spark, sf_dir, segment=True)
-    return c.groupBy("user_id", "chunk_id").agg(
+    """The stress chain up to beat detection (W1, W2, T4, W3): per user and chunk of the last segment, the sample
+    count, first and last sample row with their events, and zero-rate samples."""
+    return _segment(spark, sf_dir).groupBy(*GROUP).agg(
         F.count(F.lit(1)).alias("n_samples"),
         F.min("row_no").alias("first_row"),
         F.max("row_no").alias("last_row"),
         F.min_by("event_id", "row_no").alias("first_event"),
         F.max_by("event_id", "row_no").alias("last_event"),
-        F.count_if(F.col("hr") == 0).alias("n_zero_samples"),
+        F.count_if(_zero_event()).alias("n_zero_samples"),
     )
 
 
 QUERIES = {"peaks": peaks, "hrv_freq": hrv_freq, "ppg_stress": ppg_stress, "segment_chunks": segment_chunks}
 
-# The oracle expands every segment event into its samples (the closing start event into its first sample only)
-# and numbers them in order; no arithmetic shortcut, so it checks the Spark plan's row and chunk numbering.
+
+# ---------------------------------------------------------------------------------------------------------
+# Oracles: the same chain from the events, with plain windows and one row per candidate.
+# ---------------------------------------------------------------------------------------------------------
+
+_ALL_SQL = """smp AS (
+  SELECT user_id, event_id, value, event_type, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS row_no
+  FROM events)"""
+
+_SEGMENT_SQL = """ev AS (
+  SELECT event_id, user_id, value, event_type, (event_type = 'error' AND value >= 100) AS z,
+         row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS rn
+  FROM events),
+m AS (SELECT *, z AND COALESCE(NOT lag(z) OVER (PARTITION BY user_id ORDER BY rn), TRUE) AS is_start FROM ev),
+ranked AS (SELECT user_id, rn, row_number() OVER (PARTITION BY user_id ORDER BY rn DESC) AS k FROM m WHERE is_start),
+bounds AS (SELECT user_id, MAX(CASE WHEN k = 1 THEN rn END) AS last_rn, MAX(CASE WHEN k = 2 THEN rn END) AS sec_rn
+      FROM ranked GROUP BY user_id HAVING COUNT(*) >= 2),
+smp AS (SELECT m.user_id, m.event_id, m.value, m.event_type, m.z,
+               row_number() OVER (PARTITION BY m.user_id ORDER BY m.rn) AS row_no
+        FROM m JOIN bounds b USING (user_id) WHERE m.rn BETWEEN b.sec_rn AND b.last_rn)"""
+
+
+def _beats_sql(rows: int) -> str:
+    k = pk.widths(HZ)
+    w = "PARTITION BY user_id, chunk_id ORDER BY row_no"
+
+    def mean(c: str, half: int) -> str:
+        frame = f"OVER ({w} ROWS BETWEEN {half} PRECEDING AND {half} FOLLOWING)"
+        return f"(SUM({c}) {frame})::DOUBLE / (COUNT(*) {frame})"
+
+    return f"""sig AS (SELECT user_id, (row_no - 1) // {rows} AS chunk_id, row_no, round_even(value * 100, 0)::BIGINT AS v
+        FROM smp WHERE value IS NOT NULL),
+flt AS (SELECT user_id, chunk_id, row_no, row_number() OVER ({w}) - 1 AS i,
+               COUNT(*) OVER (PARTITION BY user_id, chunk_id) AS n,
+               {mean('v', k['short'])} - {mean('v', k['long'])} AS f FROM sig),
+sqr AS (SELECT *, CASE WHEN f > 0 THEN floor(f * f)::BIGINT ELSE 0 END AS q,
+               lag(f) OVER ({w}) AS f0, lead(f) OVER ({w}) AS f2 FROM flt),
+hi AS (SELECT *, {mean('q', k['peak'])} > {mean('q', k['beat'])}
+             + {pk.BEAT_OFFSET}::DOUBLE * ((SUM(q) OVER (PARTITION BY user_id, chunk_id))::DOUBLE / n) AS high FROM sqr),
+blk AS (SELECT *, i - row_number() OVER ({w}) AS block FROM hi WHERE high),
+top AS (SELECT *, COUNT(*) OVER (PARTITION BY user_id, chunk_id, block) AS len,
+               row_number() OVER (PARTITION BY user_id, chunk_id, block ORDER BY f DESC, i) AS place FROM blk),
+cand AS (SELECT user_id, chunk_id, i, n,
+           COALESCE(greatest(-0.5::DOUBLE, least(0.5::DOUBLE,
+             0.5::DOUBLE * (f0 - f2) / NULLIF(f0 - 2.0::DOUBLE * f + f2, 0))), 0.0::DOUBLE) AS shift
+         FROM top WHERE place = 1 AND len >= {k['min_len']}),
+spaced AS (SELECT user_id, chunk_id, unnest(list_reduce(list_transform(list(i ORDER BY i), lambda p: [p]),
+             lambda a, b: CASE WHEN b[1] - a[len(a)] > {k['delay']} THEN list_concat(a, b) ELSE a END)) AS i
+           FROM cand GROUP BY user_id, chunk_id),
+beat AS (SELECT c.user_id, c.chunk_id, c.i, c.n, (c.i + c.shift) * 1000.0::DOUBLE / {float(HZ)}::DOUBLE AS ms,
+                row_number() OVER (PARTITION BY c.user_id, c.chunk_id ORDER BY c.i) - 1 AS peak_no
+         FROM cand c JOIN spaced USING (user_id, chunk_id, i)),
+gap AS (SELECT *, ms - lag(ms) OVER g AS rr,
+               (MAX(ms) OVER c - MIN(ms) OVER c) / NULLIF(MAX(peak_no) OVER c, 0) AS mean_rr
+        FROM beat WINDOW g AS (PARTITION BY user_id, chunk_id ORDER BY i), c AS (PARTITION BY user_id, chunk_id)),
+rate AS (SELECT *, 60000.0::DOUBLE / rr AS bpm, COALESCE(60000.0::DOUBLE / rr, 60000.0::DOUBLE / mean_rr) AS r FROM gap),
+every_sample AS (
+  SELECT user_id, chunk_id, j, max(i) FILTER (WHERE i <= j) AS i0, min(i) FILTER (WHERE i >= j) AS i1
+  FROM (SELECT user_id, chunk_id, i, unnest(range(0, n)) AS j
+        FROM (SELECT a.user_id, a.chunk_id, a.n, b.i FROM (SELECT DISTINCT user_id, chunk_id, n FROM rate) a
+              JOIN rate b USING (user_id, chunk_id)))
+  GROUP BY ALL),
+mean_rate AS (
+  SELECT e.user_id, e.chunk_id,
+         AVG(CASE WHEN i0 IS NULL THEN b.r WHEN i1 IS NULL OR i0 = i1 THEN a.r
+                  ELSE a.r + (b.r - a.r) * (j - i0) / (i1 - i0) END) AS chunk_rate
+  FROM every_sample e
+  LEFT JOIN rate a ON a.user_id = e.user_id AND a.chunk_id = e.chunk_id AND a.i = e.i0
+  LEFT JOIN rate b ON b.user_id = e.user_id AND b.chunk_id = e.chunk_id AND b.i = e.i1
+  GROUP BY 1, 2)"""
+
+
+def _freq_sql() -> str:
+    lo = {b: pk.grid(b) for b in pk.BANDS}
+    share = f"{2.0 * pk.GRID_STEP_HZ}::DOUBLE * any_value(mean_rr) / 1000.0::DOUBLE / any_value(n_rr)"
+    bands = ", ".join(f"{share} * SUM(p) FILTER (WHERE k BETWEEN {a} AND {z}) AS {b}" for b, (a, z) in lo.items())
+    return f"""seen AS (SELECT user_id, chunk_id, COUNT(rr) AS n_rr FROM rate GROUP BY 1, 2),
+wave AS (SELECT user_id, chunk_id, k, any_value(mean_rr) AS mean_rr, COUNT(*) AS n_rr,
+           power(SUM((rr - mean_rr) * cos({2 * math.pi * pk.GRID_STEP_HZ!r}::DOUBLE * k * (ms / 1000.0::DOUBLE))), 2)
+           + power(SUM((rr - mean_rr) * sin({2 * math.pi * pk.GRID_STEP_HZ!r}::DOUBLE * k * (ms / 1000.0::DOUBLE))), 2) AS p
+         FROM rate CROSS JOIN range(1, {lo['VHF'][1] + 1}) AS g(k) WHERE rr IS NOT NULL GROUP BY 1, 2, 3),
+band AS (SELECT user_id, chunk_id, {bands} FROM wave GROUP BY 1, 2 HAVING any_value(n_rr) >= {pk.MIN_INTERVALS}),
+hist AS (SELECT user_id, chunk_id, floor(rr / {pk.HIST_BIN_MS}::DOUBLE)::BIGINT AS b, COUNT(*) AS c
+         FROM rate WHERE rr IS NOT NULL GROUP BY 1, 2, 3),
+mode AS (SELECT user_id, chunk_id, arg_max(b, (c, -b)) AS x, MAX(c) AS y, MIN(b) AS b_min, MAX(b) AS b_max, SUM(c) AS n_rr
+         FROM hist GROUP BY 1, 2),
+base AS (SELECT *, unnest(generate_series(b_min, b_max)) AS e FROM mode),
+err AS (SELECT s.user_id, s.chunk_id, s.x, s.e, abs(s.x - s.e)::DOUBLE AS w, any_value(s.y)::DOUBLE AS y,
+               COALESCE(SUM(h.c * abs(h.b - s.e)), 0)::DOUBLE AS a
+        FROM base s LEFT JOIN hist h ON h.user_id = s.user_id AND h.chunk_id = s.chunk_id
+             AND ((h.b < s.x AND h.b > s.e) OR (h.b > s.x AND h.b < s.e))
+        WHERE s.e <> s.x GROUP BY 1, 2, 3, 4),
+fit AS (SELECT *, row_number() OVER (PARTITION BY user_id, chunk_id, e < x
+          ORDER BY y * y * (w - 1.0) * (2.0::DOUBLE * w - 1.0) / (6.0::DOUBLE * w) - 2.0::DOUBLE * y * a / w, w DESC) AS place
+        FROM err),
+tri AS (SELECT m.user_id, m.chunk_id, m.n_rr / m.y AS HRV_HTI, CASE WHEN m.n_rr >= 3 THEN
+          (COALESCE(MAX(f.e) FILTER (WHERE f.e > f.x), any_value(m.x))
+           - COALESCE(MAX(f.e) FILTER (WHERE f.e < f.x), any_value(m.x))) * {pk.HIST_BIN_MS}::DOUBLE END AS HRV_TINN
+        FROM mode m LEFT JOIN (SELECT * FROM fit WHERE place = 1) f USING (user_id, chunk_id)
+        GROUP BY m.user_id, m.chunk_id, m.n_rr, m.y),
+freq AS (SELECT s.user_id, s.chunk_id, HRV_TINN, HRV_HTI, LF AS HRV_LF, HF AS HRV_HF, VHF AS HRV_VHF,
+           LF / NULLIF(HF, 0) AS HRV_LFHF, LF / NULLIF(VLF + LF + HF + VHF, 0) AS HRV_LFn,
+           HF / NULLIF(VLF + LF + HF + VHF, 0) AS HRV_HFn, CASE WHEN HF > 0 THEN ln(HF) END AS HRV_LnHF
+         FROM seen s LEFT JOIN tri USING (user_id, chunk_id) LEFT JOIN band USING (user_id, chunk_id))"""
+
+
+def _rounded(x: str, digits: int) -> str:
+    return f"round_even(({x}) * {10 ** digits}, 0) / {10 ** digits}"
+
+
+def _stress_sql() -> str:
+    feats = ", ".join(f"{_rounded(c if c != 'HRV_PSS' else 'HRV_LF', DIGITS)} AS {c}" for c in hrv.FEATURE_ORDER)
+    scaled = ", ".join(_rounded(f"(AVG({c}) - MIN({c})) / NULLIF(MAX({c}) - MIN({c}), 0)", 2) for c in hrv.FEATURE_ORDER)
+    zero = "list_transform(x, lambda v: COALESCE(v, 0.0::DOUBLE))"
+    enc, e = sc.layers_sql("vec", ["user_id"], zero, ENCODER, "none", prefix="enc")
+    head, h = sc.layers_sql(e, ["user_id"], "h", HEAD, "sigmoid", prefix="head")
+    level = "CAST(list_position(h, list_max(h)) - 1 AS INTEGER)"
+    return f"""WITH {_SEGMENT_SQL}, {_beats_sql(SEGMENT_CHUNK)}, {_freq_sql()},
+rd AS (SELECT user_id, chunk_id, rr, rr - lag(rr) OVER (PARTITION BY user_id, chunk_id ORDER BY i) AS d,
+              median(rr) OVER (PARTITION BY user_id, chunk_id) AS med FROM rate),
+{TIME_FROM_INTERVALS},
+feat AS (SELECT user_id, chunk_id, {feats}
+         FROM (SELECT tn.* EXCLUDE (PPG_Rate_Mean), chunk_rate AS PPG_Rate_Mean,
+                      freq.* EXCLUDE (user_id, chunk_id)
+               FROM tn JOIN freq USING (user_id, chunk_id) JOIN mean_rate USING (user_id, chunk_id))),
+vec AS (SELECT user_id, COUNT(*) AS n_chunks, {_rounded('AVG(PPG_Rate_Mean)', 2)} AS Heart_Rate, [{scaled}] AS x
+        FROM feat GROUP BY user_id),
+{", ".join(enc + head)}
+SELECT user_id, n_chunks, Heart_Rate, CASE WHEN list_count(x) = {len(hrv.FEATURE_ORDER)} THEN {level} END AS stress_level,
+       {level} AS stress_level_zero_filled
+FROM vec JOIN {h} USING (user_id)"""
+
+
 ORACLES: dict[str, str] = {
-    "segment_chunks": f"""
-      WITH ev AS (
-        SELECT event_id, user_id, (event_type = 'error' AND value >= 100) AS z,
-               row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS rn
-        FROM events),
-      m AS (SELECT *, z AND COALESCE(NOT lag(z) OVER (PARTITION BY user_id ORDER BY rn), TRUE) AS is_start FROM ev),
-      ranked AS (SELECT user_id, rn, row_number() OVER (PARTITION BY user_id ORDER BY rn DESC) AS k
-                 FROM m WHERE is_start),
-      b AS (SELECT user_id, MAX(CASE WHEN k = 1 THEN rn END) AS last_rn, MAX(CASE WHEN k = 2 THEN rn END) AS sec_rn
-            FROM ranked GROUP BY user_id HAVING COUNT(*) >= 2),
-      seg AS (SELECT m.user_id, m.event_id, m.z, m.rn,
-                     CASE WHEN m.rn = b.last_rn THEN 1 ELSE {SEGMENT_SAMPLES_PER_EVENT} END AS n
-              FROM m JOIN b USING (user_id) WHERE m.rn BETWEEN b.sec_rn AND b.last_rn),
-      smp AS (SELECT user_id, event_id, z, rn, unnest(range(0, n)) AS sample_no FROM seg),
-      numbered AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY rn, sample_no) AS row_no FROM smp)
-      SELECT user_id, (row_no - 1) // {ppg.CHUNK_ROWS} AS chunk_id, COUNT(*) AS n_samples,
+    "peaks": f"""WITH {_ALL_SQL}, {_beats_sql(CHUNK)}
+      SELECT user_id, chunk_id, peak_no, i AS sample_index, {_rounded('ms', 4)} AS peak_ms,
+             {_rounded('bpm', 4)} AS rate_bpm, {_rounded('chunk_rate', 4)} AS chunk_rate_bpm
+      FROM rate JOIN mean_rate USING (user_id, chunk_id)""",
+    "hrv_freq": f"""WITH {_ALL_SQL}, {_beats_sql(CHUNK)}, {_freq_sql()}
+      SELECT user_id, chunk_id, {", ".join(f"{_rounded(c, 4)} AS {c}" for c in pk.FREQ_COLUMNS)} FROM freq""",
+    "ppg_stress": _stress_sql(),
+    "segment_chunks": f"""WITH {_SEGMENT_SQL}
+      SELECT user_id, (row_no - 1) // {SEGMENT_CHUNK} AS chunk_id, COUNT(*) AS n_samples,
              MIN(row_no) AS first_row, MAX(row_no) AS last_row,
              arg_min(event_id, row_no) AS first_event, arg_max(event_id, row_no) AS last_event,
              COUNT(*) FILTER (WHERE z) AS n_zero_samples
-      FROM numbered GROUP BY 1, 2""",
+      FROM smp GROUP BY 1, 2""",
 }

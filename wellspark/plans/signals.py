@@ -125,16 +125,16 @@ rd AS (SELECT user_id, chunk_id, rr,
               rr - lag(rr) OVER (PARTITION BY user_id, chunk_id ORDER BY ts, event_id) AS d,
               median(rr) OVER (PARTITION BY user_id, chunk_id) AS med
        FROM r)"""
-_TIME = f"""{_CHUNKS},
-t AS (
+# features per chunk from the intervals in ``rd`` (rr, successive difference d, the chunk's median med)
+TIME_FROM_INTERVALS = """t AS (
   SELECT user_id, chunk_id, COUNT(rr) AS n_rr,
     AVG(rr) AS HRV_MeanNN, stddev_samp(rr) AS HRV_SDNN, sqrt(AVG(d::DOUBLE * d)) AS HRV_RMSSD,
     stddev_samp(d) AS HRV_SDSD, median(rr::DOUBLE) AS HRV_MedianNN,
     1.4826::DOUBLE * median(abs(rr - med)::DOUBLE) AS HRV_MadNN,
     quantile_cont(rr::DOUBLE, 0.75) - quantile_cont(rr::DOUBLE, 0.25) AS HRV_IQRNN,
     quantile_cont(rr::DOUBLE, 0.8) AS HRV_Prc80NN,
-    COUNT(*) FILTER (WHERE abs(d) > 50) * 100.0::DOUBLE / COUNT(rr) AS HRV_pNN50,
-    COUNT(*) FILTER (WHERE abs(d) > 20) * 100.0::DOUBLE / COUNT(rr) AS HRV_pNN20,
+    COUNT(*) FILTER (WHERE abs(d) > 50) * 100.0::DOUBLE / NULLIF(COUNT(rr), 0) AS HRV_pNN50,
+    COUNT(*) FILTER (WHERE abs(d) > 20) * 100.0::DOUBLE / NULLIF(COUNT(rr), 0) AS HRV_pNN20,
     MIN(rr)::DOUBLE AS HRV_MinNN, MAX(rr)::DOUBLE AS HRV_MaxNN
   FROM rd GROUP BY user_id, chunk_id),
 tf AS (
@@ -149,6 +149,8 @@ tn AS (
          60000.0::DOUBLE / NULLIF(HRV_MeanNN, 0) AS PPG_Rate_Mean
   FROM tf)"""
 
+_TIME = f"{_CHUNKS},\n{TIME_FROM_INTERVALS}"
+
 _FEATS = list(hrv.TIME_FEATURES) + list(hrv.NONLINEAR_FEATURES)
 
 ORACLES = {
