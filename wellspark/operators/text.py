@@ -155,6 +155,14 @@ def image_refs(df: DataFrame, text_col: str) -> DataFrame:
     )
 
 
+def with_upload(refs: DataFrame, uploaded: str = "uploaded_path") -> DataFrame:
+    """F11 with uploads: over :func:`image_refs`, ``image`` is the URL, else the local path, else the uploaded image,
+    whose route is "uploaded"."""
+    return refs.withColumn("image", F.coalesce("url", "local_path", uploaded)).withColumn(
+        "route", F.when((F.col("route") == "text") & F.col(uploaded).isNotNull(), F.lit("uploaded"))
+        .otherwise(F.col("route")))
+
+
 def latest_upload(df: DataFrame, session: str, seq: str, path: str) -> DataFrame:
     """Per session, the most recent uploaded path that looks like an image (grouped ``max_by``, no window)."""
     suffix = r"(?i)\.(?:" + "|".join(tx.IMAGE_SUFFIXES) + r")$"

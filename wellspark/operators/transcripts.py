@@ -151,6 +151,14 @@ def evidence(
     ).withColumn("used", F.coalesce(F.col("__used"), F.lit(False))).drop("__payload", "__used")
 
 
+def evidence_per_run(blocks: DataFrame, run_keys: Sequence[str], order: str) -> DataFrame:
+    """J3 per run: the evidence blocks of :func:`evidence` joined in order, with their number."""
+    return blocks.groupBy(*run_keys).agg(
+        F.count(F.lit(1)).alias("n_actions"),
+        F.expr(f"listagg(evidence, '') WITHIN GROUP (ORDER BY {order})").alias("evidence"),
+    )
+
+
 def react_parse(df: DataFrame, text_col: str, task_names: Sequence[str]) -> DataFrame:
     """thought/action replies. Adds ``outcome`` (action / finish / error / malformed), ``task``,
     ``task_input`` and ``answer``."""
@@ -245,3 +253,11 @@ def tool_usage(checked: DataFrame, run_keys: Sequence[str], task_col: str = "tas
     if "dep_ok" in checked.columns:
         aggs.append(F.count_if(F.col("dep_ok") == F.lit(False)).alias("missing_dependency"))
     return checked.groupBy(task_col).agg(*aggs)
+
+
+def malformed_share(parsed: DataFrame, run_keys: Sequence[str]) -> DataFrame:
+    """Per run, the replies of :func:`parse_replies`, those without usable tags, flags or code, and their share."""
+    bad = F.count_if(F.col("parse_status") != "ok")
+    return parsed.groupBy(*run_keys).agg(
+        F.count(F.lit(1)).alias("n_replies"), bad.alias("n_malformed"),
+        (bad / F.count(F.lit(1))).alias("malformed_share"))

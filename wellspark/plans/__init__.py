@@ -5,7 +5,8 @@ from __future__ import annotations
 import importlib
 
 # modules contributing QUERIES / ORACLES dicts
-_MODULES = ("basic", "nutrition", "signals", "text", "transcripts", "scoring", "ppg_chain", "streams", "derived")
+_MODULES = ("basic", "nutrition", "signals", "text", "transcripts", "scoring", "ppg_chain", "streams", "derived",
+            "records")
 
 
 def _load():

@@ -118,8 +118,8 @@ def _r4(x: str) -> str:
     return f"round_even(({x}) * 10000, 0) / 10000"
 
 
-_FOODS = f"""foods AS (
-  SELECT l_orderkey, l_linenumber,
+FOODS_SQL = f"""foods AS (
+  SELECT l_orderkey, l_linenumber, l_shipdate,
     {_r2('l_extendedprice / 100.0::DOUBLE')} AS nf_calories,
     {_r2('l_quantity * 0.5::DOUBLE')} AS nf_total_fat,
     {_r2('l_quantity * l_discount * 2.0::DOUBLE')} AS nf_saturated_fat,
@@ -133,13 +133,13 @@ _FOODS = f"""foods AS (
     {_r2('l_extendedprice / 80.0::DOUBLE')} AS nf_p
   FROM lineitem)"""
 
-_TOTALS = f"""{_FOODS},
+_TOTALS = f"""{FOODS_SQL},
 totals AS (
   SELECT l_orderkey, COUNT(*) AS n_foods,
     {", ".join(f"{_r2(f'SUM(COALESCE({fl}, 0.0))')} AS {n}" for n, fl in nu.NUTRIENT_FIELDS.items())}
   FROM foods GROUP BY l_orderkey)"""
 
-_SHARES = """shares AS (
+SHARES_SQL = """shares AS (
   SELECT *, (Total_Carbohydrate * 4.0::DOUBLE) / Calories AS carb_share,
             (Total_Fat * 9.0::DOUBLE) / Calories AS fat_share,
             (Saturated_Fat * 9.0::DOUBLE) / Calories AS saturated_fat_share,
@@ -165,13 +165,7 @@ def _tmpl(template: str, **parts: str) -> str:
     return "concat(" + ", ".join(pieces) + ")"
 
 
-ORACLES = {
-    "nutrient_totals": f"WITH {_TOTALS} SELECT * FROM totals",
-    "nutrient_totals_nested": f"WITH {_TOTALS} SELECT * FROM totals",
-    "risk_rules": f"""WITH {_TOTALS}, {_SHARES}
-      SELECT l_orderkey, {_r4('carb_share')} AS carb_share, {_r4('fat_share')} AS fat_share,
-        {_r4('saturated_fat_share')} AS saturated_fat_share, {_r4('protein_share')} AS protein_share,
-        {_risk('carb_share > 0.45', _tmpl(nu.MSG_CARB, pct=_pct('carb_share')))} AS Total_Carbohydrate_Risk,
+RISKS_SQL = f"""{_risk('carb_share > 0.45', _tmpl(nu.MSG_CARB, pct=_pct('carb_share')))} AS Total_Carbohydrate_Risk,
         {_risk('fat_share < 0.2 OR fat_share > 0.35', _tmpl(nu.MSG_FAT, pct=_pct('fat_share')))} AS Total_Fat_Risk,
         {_risk('saturated_fat_share > 0.1', _tmpl(nu.MSG_SAT, pct=_pct('saturated_fat_share')))} AS Saturated_Fat_Risk,
         {_risk('protein_share < 0.15 OR protein_share > 0.2', _tmpl(nu.MSG_PROTEIN, pct=_pct('saturated_fat_share')))}
@@ -179,7 +173,16 @@ ORACLES = {
         {_risk('Sodium > 2300', _tmpl(nu.MSG_SODIUM, val='CAST(Sodium AS VARCHAR)'))} AS Sodium_Risk,
         {_risk('Sugars > 25', _tmpl(nu.MSG_SUGARS, val='CAST(Sugars AS VARCHAR)'))} AS Sugars_Risk,
         {_risk('Dietary_Fiber < 20 OR Dietary_Fiber > 35', _tmpl(nu.MSG_FIBER, val='CAST(Dietary_Fiber AS VARCHAR)'))}
-          AS Dietary_Fiber_Risk
+          AS Dietary_Fiber_Risk"""
+
+
+ORACLES = {
+    "nutrient_totals": f"WITH {_TOTALS} SELECT * FROM totals",
+    "nutrient_totals_nested": f"WITH {_TOTALS} SELECT * FROM totals",
+    "risk_rules": f"""WITH {_TOTALS}, {SHARES_SQL}
+      SELECT l_orderkey, {_r4('carb_share')} AS carb_share, {_r4('fat_share')} AS fat_share,
+        {_r4('saturated_fat_share')} AS saturated_fat_share, {_r4('protein_share')} AS protein_share,
+        {RISKS_SQL}
       FROM shares""",
     "unit_format": f"""WITH {_TOTALS}
       SELECT l_orderkey, {", ".join(n for n in nu.NUTRIENT_FIELDS if n not in nu.UNITS)},

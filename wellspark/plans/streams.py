@@ -9,7 +9,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from wellspark.functions.numeric import round_half_even
-from wellspark.plans.nutrition import foods_of
+from wellspark.operators import nutrition as nu
+from wellspark.plans.nutrition import FOODS_SQL, RISKS_SQL, SHARES_SQL, foods_of
 from wellspark.sources.tables import table
 from wellspark.streaming import jobs
 
@@ -31,6 +32,8 @@ def stream_window_60s(spark: SparkSession, sf_dir: str) -> DataFrame:
         round_half_even("sum_value", 2).alias("sum_value"),
         "min_value",
         "max_value",
+        round_half_even("mean_value", 2).alias("mean_value"),
+        round_half_even("mean_interval_ms", 4).alias("mean_interval_ms"),
     )
 
 
@@ -39,22 +42,13 @@ def stream_daily_nutrients(spark: SparkSession, sf_dir: str) -> DataFrame:
     f = foods_of(li).withColumn("l_shipdate", F.col("l_shipdate"))
     orders = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("l_orderkey"), "o_custkey")
     joined = f.join(orders, "l_orderkey")  # stream-static join: the static side is data-sized, AQE decides
-    agg = jobs.daily_totals(
-        joined, ["o_custkey"], "l_shipdate",
-        {"Calories": F.col("nf_calories"), "Total_Fat": F.col("nf_total_fat"),
-         "Sodium": F.col("nf_sodium"), "n_foods": F.lit(1)},
-    )
+    measures = {n: F.coalesce(F.col(c), F.lit(0.0)) for n, c in nu.NUTRIENT_FIELDS.items()}
+    agg = jobs.daily_totals(joined, ["o_custkey"], "l_shipdate", measures | {"n_foods": F.lit(1)})
     out = jobs.run_to_table(spark, agg, "daily_nutrients", group_keys=["o_custkey", "day_start"])
-    out = out.withColumns({c: round_half_even(c, 2) for c in ("Calories", "Total_Fat", "Sodium")})
-    fat_share = F.try_divide(F.col("Total_Fat") * F.lit(9.0), F.col("Calories"))
-    return out.select(
-        "o_custkey",
-        F.to_date(F.col("day_start")).alias("day"),
-        F.col("n_foods").cast("long").alias("n_foods"),
-        "Calories", "Total_Fat", "Sodium",
-        ((fat_share < 0.2) | (fat_share > 0.35)).alias("fat_risk"),
-        (F.col("Sodium") > 2300).alias("sodium_risk"),
-    )
+    out = out.withColumns({c: round_half_even(c, 2) for c in nu.NUTRIENT_FIELDS})
+    return nu.risk_rules(out).select(
+        "o_custkey", F.to_date(F.col("day_start")).alias("day"), F.col("n_foods").cast("long").alias("n_foods"),
+        *nu.NUTRIENT_FIELDS, *nu.RISK_COLUMNS)
 
 
 def stream_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -92,21 +86,19 @@ def _r2(x: str) -> str:
 
 ORACLES = {
     "stream_daily_nutrients": f"""
-      WITH f AS (SELECT l_orderkey, l_shipdate,
-                   {_r2('l_extendedprice / 100.0::DOUBLE')} AS cal, {_r2('l_quantity * 0.5::DOUBLE')} AS fat,
-                   {_r2('l_extendedprice * l_tax / 10.0::DOUBLE')} AS sodium
-                 FROM lineitem),
-      a AS (SELECT o.o_custkey, CAST(date_trunc('day', f.l_shipdate) AS DATE) AS day, COUNT(*) AS n_foods,
-                   {_r2('SUM(cal)')} AS Calories, {_r2('SUM(fat)')} AS Total_Fat, {_r2('SUM(sodium)')} AS Sodium
-            FROM f JOIN orders o ON f.l_orderkey = o.o_orderkey GROUP BY 1, 2)
-      SELECT o_custkey, day, n_foods, Calories, Total_Fat, Sodium,
-             (Total_Fat * 9.0::DOUBLE / NULLIF(Calories, 0) < 0.2 OR Total_Fat * 9.0::DOUBLE / NULLIF(Calories, 0) > 0.35)
-               AS fat_risk,
-             Sodium > 2300 AS sodium_risk
-      FROM a""",
+      WITH {FOODS_SQL},
+      totals AS (
+        SELECT o.o_custkey, CAST(f.l_shipdate AS DATE) AS day, COUNT(*) AS n_foods,
+          {", ".join(f"{_r2(f'SUM(COALESCE({fl}, 0.0))')} AS {n}" for n, fl in nu.NUTRIENT_FIELDS.items())}
+        FROM foods f JOIN orders o ON f.l_orderkey = o.o_orderkey
+        GROUP BY 1, 2), {SHARES_SQL}
+      SELECT o_custkey, day, n_foods, {", ".join(nu.NUTRIENT_FIELDS)}, {RISKS_SQL} FROM shares""",
     "stream_window_60s": """
       SELECT user_id, date_trunc('minute', ts) AS window_start, COUNT(*) AS n_events,
-             round_even(SUM(value) * 100, 0) / 100 AS sum_value, MIN(value) AS min_value, MAX(value) AS max_value
+             round_even(SUM(value) * 100, 0) / 100 AS sum_value, MIN(value) AS min_value, MAX(value) AS max_value,
+             round_even(AVG(value) * 100, 0) / 100 AS mean_value,
+             round_even((epoch_us(MAX(ts)) - epoch_us(MIN(ts))) / 1000.0::DOUBLE / NULLIF(COUNT(*) - 1, 0) * 10000, 0) / 10000
+               AS mean_interval_ms
       FROM events GROUP BY 1, 2""",
     "stream_sessions": """
       WITH g AS (SELECT user_id, ts,

@@ -82,18 +82,18 @@ def _replies(spark: SparkSession, sf_dir: str) -> DataFrame:
     return c.select("conv_id", "turn", "role", reply_text(F.col("conv_id"), F.col("turn"), F.col("role"), t).alias("reply"))
 
 
-def _parsed(spark: SparkSession, sf_dir: str) -> DataFrame:
+def parsed_replies(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tr.parse_replies(_replies(spark, sf_dir), "reply")
 
 
 def reply_tags(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _parsed(spark, sf_dir).select(
+    return parsed_replies(spark, sf_dir).select(
         "conv_id", "turn", "parse_status", "strategy_change", "step_success", "code"
     )
 
 
 def _calls(spark: SparkSession, sf_dir: str) -> DataFrame:
-    p = _parsed(spark, sf_dir).where(F.col("parse_status") == "ok")
+    p = parsed_replies(spark, sf_dir).where(F.col("parse_status") == "ok")
     calls = tr.extract_tool_calls(p, ["conv_id", "turn"], "code")
     checked = tr.check_registry(calls, registry(spark))
     return tr.dependency_check(checked, ["conv_id"], ["turn", "call_no"])
@@ -107,7 +107,7 @@ def tool_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def run_outcome(spark: SparkSession, sf_dir: str) -> DataFrame:
-    p = _parsed(spark, sf_dir)
+    p = parsed_replies(spark, sf_dir)
     out = tr.run_outcome(p, ["conv_id"], ["turn"], bucket=F.floor(F.col("turn") / F.lit(512)))
     return out.select(
         "conv_id", F.col("n_passes").cast("long"), F.col("attempts").cast("long"), F.col("skipped").cast("long"),
@@ -147,7 +147,7 @@ def react_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("conv_id", "turn", "outcome", "task", "task_input", "answer")
 
 
-def _action_log(spark: SparkSession, sf_dir: str):
+def action_log(spark: SparkSession, sf_dir: str):
     ev = table(spark, sf_dir, "events")
     k = F.get_json_object(F.col("props"), "$.k").cast("long")
     actions = ev.select(
@@ -173,17 +173,17 @@ def _action_log(spark: SparkSession, sf_dir: str):
 
 
 def action_refs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    _, _, refs = _action_log(spark, sf_dir)
+    _, _, refs = action_log(spark, sf_dir)
     return refs.select("event_id", "arg_no", "arg", "ref_key", "resolved", "value")
 
 
 def unused_results(spark: SparkSession, sf_dir: str) -> DataFrame:
-    _, results, refs = _action_log(spark, sf_dir)
+    _, results, refs = action_log(spark, sf_dir)
     return tr.unused_results(results, refs, ["run_id"]).select("run_id", "key")
 
 
 def evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
-    actions, results, refs = _action_log(spark, sf_dir)
+    actions, results, refs = action_log(spark, sf_dir)
     return tr.evidence(actions, results, refs, ["run_id"]).select("event_id", "used", "evidence")
 
 

@@ -24,7 +24,7 @@ from wellspark.session import scratch_path
 def windowed_stats(
     stream: DataFrame, keys: Sequence[str], ts: str, value: str, width: str = "60 seconds", delay: str = "10 minutes"
 ) -> DataFrame:
-    """ST2: count / mean / min / max of ``value`` per key and tumbling window."""
+    """ST2: count, sum, mean, min and max of ``value`` and the mean interval of the rows per key and tumbling window."""
     return (
         stream.withWatermark(ts, delay)
         .groupBy(*keys, F.window(F.col(ts), width).alias("w"))
@@ -33,9 +33,12 @@ def windowed_stats(
             F.sum(value).alias("sum_value"),
             F.min(value).alias("min_value"),
             F.max(value).alias("max_value"),
+            F.avg(value).alias("mean_value"),
+            F.try_divide((F.unix_micros(F.max(ts)) - F.unix_micros(F.min(ts))) / F.lit(1000.0),
+                         F.count(F.lit(1)) - 1).alias("mean_interval_ms"),
         )
         .select(*keys, F.col("w.start").alias("window_start"), F.col("w.end").alias("window_end"), "n",
-                "sum_value", "min_value", "max_value")
+                "sum_value", "min_value", "max_value", "mean_value", "mean_interval_ms")
     )
 
 
