@@ -314,6 +314,18 @@ def test_learned_field_finds_named_and_issued_secrets():
     assert pii.fit([]) == pii.PRIOR
 
 
+@pytest.mark.parametrize("form", ["commit {:040x} end", "see page-{:04d}-of-the-long-list-of-pages there"])
+def test_vouched_secrets_do_not_rest_on_the_sample(form):
+    weights = pii.fit([pii.candidates(form.format(i * 7919)) for i in range(1, 201)])  # unvouched strings, no credential
+    key, value = "AKIA" + "Q7ZP" * 4, "0123456789abcdef" * 2
+    text = f'some {key} and token = "{value}" end'
+    assert [text[a:b] for kind, a, b in pii.spans(text, weights)[1] if kind == "secret"] == [key, value]
+    assert pii.spans(form.format(7), weights)[1] == []
+    crossing = "password=abcdefghijkl4111 1111 1111 1111 end"  # a card that starts inside the value
+    assert pii.masked(crossing, weights) == "password=[SECRET] end"
+    assert [k for k, *_ in pii.spans("password: firstname.lastname@x.com", weights)[1]] == ["email"]
+
+
 def test_odd_rows_of_personal_data(spark, odd):
     rows = pii.find(odd, {}).collect()
     assert len(rows) == odd.count()

@@ -10,8 +10,8 @@ kinds jointly, in time linear in the candidates of a text.
 Weights maximise the conditional log-likelihood of gold segmentations (forward and backward sums over all segmentations
 give its gradient) on a sample of texts with a documented bound; gold segments come from the base rules, from values
 assigned to a credential's name and from strings in the format of an issuer's credentials. A ridge draws the weights to
-:data:`PRIOR`, so that a sample without such strings does not unlearn them. Spans of the base rules always stay; the field
-decides about all others and so adds the kind ``secret``.
+:data:`PRIOR`. Spans that a base rule, a credential's name or an issuer's format vouches for always stay, whatever the
+sample held (:func:`vouched_secrets`); the field decides about all others. Both add the kind ``secret``.
 
 Edge cases: null counts as empty; empty texts have no spans. Offsets are in code points. All scans are linear in the
 text. Ids are carried along; extra columns are ignored.
@@ -20,6 +20,7 @@ text. Ids are carried along; extra columns are ignored.
 from __future__ import annotations
 
 import bisect
+import itertools
 import math
 import re
 from collections import Counter
@@ -159,6 +160,17 @@ def gold(found: list) -> list:
     return sorted(out)
 
 
+def vouched_secrets(found: list) -> list:
+    """Secrets that a credential's name or an issuer's format vouches for, the outermost of nested ones. They do not rest
+    on the weights: the sample that these are fitted on may hold none."""
+    out, end = [], -1
+    for c in sorted((c for c in found if c[3] and c[2] == SECRET), key=lambda c: (c[0], -c[1])):
+        if c[0] >= end:
+            out.append(c)
+            end = c[1]
+    return out
+
+
 def log_sum(values: list[float]) -> float:
     top = max(values)
     return top + math.log(sum(math.exp(v - top) for v in values))
@@ -264,9 +276,24 @@ def spans(text: str | None, weights: dict[str, float]) -> tuple[list, list]:
     """(base spans, all spans), each (kind, start, end), by kind as listed, then start."""
     found = candidates(text or "")
     base = [(c[2], c[0], c[1]) for c in found if c[3] and c[2] != SECRET]
-    more = [(c[2], c[0], c[1]) for c in segment(found, weights) if c[2] == SECRET]
+    sure = vouched_secrets(found)
+    ends = [c[1] for c in sure]
+
+    def free(c) -> bool:
+        at = bisect.bisect_right(ends, c[0])  # the first vouched secret that ends behind the candidate's start
+        return at == len(sure) or sure[at][0] >= c[1]
+
+    more = [(c[2], c[0], c[1]) for c in segment([c for c in found if free(c)], weights) if c[2] == SECRET]
     # a span of the field that crosses a base span yields to it
     more = [m for m in more if all(m[2] <= b[1] or b[2] <= m[1] or (m[1] <= b[1] and b[2] <= m[2]) for b in base)]
+    # a vouched one only yields to a longer base span that covers all of it
+    places = sorted((b[1], b[2]) for b in base)
+    reach = list(itertools.accumulate((b for _, b in places), max))
+    same = set(places)
+    for a, b, *_ in sure:
+        at = bisect.bisect_right(places, (a, math.inf))  # the base spans that start at or before a
+        if not at or reach[at - 1] < b or (a, b) in same:
+            more.append((SECRET, a, b))
     order = lambda s: ((*KINDS, SECRET).index(s[0]), s[1])
     return sorted(base, key=order), sorted(base + more, key=order)
 
