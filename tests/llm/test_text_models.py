@@ -326,6 +326,14 @@ def test_vouched_secrets_do_not_rest_on_the_sample(form):
     assert [k for k, *_ in pii.spans("password: firstname.lastname@x.com", weights)[1]] == ["email"]
 
 
+@pytest.mark.parametrize("n", [256, 257, 800, 100_000])
+def test_long_secrets_are_whole_segments(n):
+    value = ("eyJhbGciOi4x.aB3-" * (n // 17 + 1))[: n - 1] + "Z"
+    assert pii.masked(f"token = {value} end", pii.PRIOR) == "token = [SECRET] end"
+    free = value.replace(".", "_")
+    assert [c[:3] for c in pii.candidates(f"see {free} end")] == [(4, 4 + n, "secret")]
+
+
 def test_odd_rows_of_personal_data(spark, odd):
     rows = pii.find(odd, {}).collect()
     assert len(rows) == odd.count()

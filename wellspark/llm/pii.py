@@ -3,9 +3,9 @@
 Candidates are whole spans: the matches of the base patterns of each kind, and assignments or free strings that may be
 secrets. A segment's score is the weighted sum of features of the *whole* span (its kind, length, share of digits,
 distinct characters, the word in front of it, checks such as the Luhn sum) plus a transition weight from the kind of
-the segment before it. Entities are bounded in length by the patterns that propose them, so the dynamic programme over
-the sorted candidates - best segmentation that ends at or before each boundary, per last kind - chooses boundaries and
-kinds jointly, in time linear in the candidates of a text.
+the segment before it. Candidates are maximal runs of any length, so nothing of a long credential is left over; the
+dynamic programme over the sorted candidates - best segmentation that ends at or before each boundary, per last kind -
+chooses boundaries and kinds jointly, in time linear in the candidates of a text.
 
 Weights maximise the conditional log-likelihood of gold segmentations (forward and backward sums over all segmentations
 give its gradient) on a sample of texts with a documented bound; gold segments come from the base rules, from values
@@ -39,8 +39,8 @@ KINDS = ("email", "ip", "card", "phone")
 SECRET = "secret"
 # Names of credentials that a value may be assigned to.
 NAMES = frozenset("token key secret password passwd apikey api_key access_key auth credential".split())
-ASSIGNED = re.compile(r"([A-Za-z_]{3,32})\x20?[=:]\x20?[\"']?([A-Za-z0-9+/_.=-]{12,256})")
-FREE = re.compile(r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_-]{20,256}(?![A-Za-z0-9+/_=-])")
+ASSIGNED = re.compile(r"([A-Za-z_]{3,32})\x20?[=:]\x20?[\"']?([A-Za-z0-9+/_.=-]{12,}+)")
+FREE = re.compile(r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_-]{20,}+(?![A-Za-z0-9+/_=-])")
 # Public formats of issued credentials, in any case (texts may be upper- or lower-cased).
 ISSUED = re.compile(r"(?:AKIA|ASIA)[0-9A-Z]{16}|gh[pousr]_[0-9A-Z]{36}|glpat-[0-9A-Z_-]{20,}|xox[abpr]-[0-9A-Z-]{15,}"
                     r"|[rs]k_live_[0-9A-Z]{16,}|AIza[0-9A-Z_-]{35}", re.IGNORECASE)
