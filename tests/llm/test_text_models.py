@@ -334,6 +334,27 @@ def test_long_secrets_are_whole_segments(n):
     assert [c[:3] for c in pii.candidates(f"see {free} end")] == [(4, 4 + n, "secret")]
 
 
+KEY = "AKIA" + "Q7ZP" * 4
+
+
+@pytest.mark.parametrize("text, secret", [
+    (f"AWSAccessKeyId={KEY}&Expires=1", KEY), (f"id={KEY}", KEY), (f"user={KEY.lower()} x", KEY.lower()),
+    (f"path/{KEY}", KEY), (f"s3://{KEY}/", KEY), (f"{KEY}_ x", KEY), (f"+{KEY}-", KEY), (f"see {KEY}.", KEY),
+    ("ASIA" + "QZPX" * 4, "ASIA" + "QZPX" * 4), (f"a/glpat-{'x1' * 10}/b", "glpat-" + "x1" * 10),
+    ("env: API_KEY=abcdefghijkl", "abcdefghijkl"), ("a=b_c=user_token='abc.defghijkl'", "abc.defghijkl"),
+    (f"env: API_KEY=x/{KEY}", f"x/{KEY}"), (f"x{KEY}", None), (f"{KEY}7", None)])
+def test_issued_and_named_secrets_wherever_they_stand(text, secret):
+    weights = {"secret|bias": -9.0}
+    assert [text[a:b] for _, a, b in pii.spans(text, weights)[1]] == ([secret] if secret else [])
+    assert pii.masked(text, weights) == (text.replace(secret, "[SECRET]") if secret else text)
+
+
+def test_many_assignments_in_one_run_take_linear_time():
+    text = "key=" * 100_000 + "abcdefghijklmnop " + "abc=" * 100_000 + f"{KEY}/" * 10_000
+    found = [s for s in pii.spans(text, {})[1] if s[0] == "secret"]
+    assert (found[0][1:], len(found)) == ((4, 400_016), 10_001)
+
+
 def test_odd_rows_of_personal_data(spark, odd):
     rows = pii.find(odd, {}).collect()
     assert len(rows) == odd.count()

@@ -39,11 +39,13 @@ KINDS = ("email", "ip", "card", "phone")
 SECRET = "secret"
 # Names of credentials that a value may be assigned to.
 NAMES = frozenset("token key secret password passwd apikey api_key access_key auth credential".split())
-ASSIGNED = re.compile(r"([A-Za-z_]{3,32})\x20?[=:]\x20?[\"']?([A-Za-z0-9+/_.=-]{12,}+)")
-FREE = re.compile(r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_-]{20,}+(?![A-Za-z0-9+/_=-])")
-# Public formats of issued credentials, in any case (texts may be upper- or lower-cased).
-ISSUED = re.compile(r"(?:AKIA|ASIA)[0-9A-Z]{16}|gh[pousr]_[0-9A-Z]{36}|glpat-[0-9A-Z_-]{20,}|xox[abpr]-[0-9A-Z-]{15,}"
-                    r"|[rs]k_live_[0-9A-Z]{16,}|AIza[0-9A-Z_-]{35}", re.IGNORECASE)
+# The value is only looked at, so that a name inside the value of another name is met as well.
+ASSIGNED = re.compile(r"([A-Za-z_]{3,32})\x20?[=:]\x20?[\"']?(?=[A-Za-z0-9+/_.=-]{12})")
+VALUE = re.compile(r"[A-Za-z0-9+/_.=-]+")
+RUN = re.compile(r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{20,}+")
+# Public formats of issued credentials, in any case (texts may be upper- or lower-cased), of 20 characters at least.
+ISSUED = re.compile(r"(?<![0-9A-Z])(?:(?:AKIA|ASIA)[0-9A-Z]{16}|gh[pousr]_[0-9A-Z]{36}|glpat-[0-9A-Z_-]{20,}"
+                    r"|xox[abpr]-[0-9A-Z-]{15,}|[rs]k_live_[0-9A-Z]{16,}|AIza[0-9A-Z_-]{35})(?![0-9A-Z])", re.IGNORECASE)
 LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 PRIOR = {f"{SECRET}|named:True": 2.0, f"{SECRET}|issued:True": 2.0}
 MARKS = {"email": "[EMAIL]", "ip": "[IP]", "card": "[CARD]", "phone": "[PHONE]", SECRET: "[SECRET]"}
@@ -90,17 +92,25 @@ def matches(text: str):
 
 
 def secrets(text: str):
-    """(start, end, assigned to a credential's name) of strings that may be secrets."""
+    """(start, end, assigned to a credential's name) of strings that may be secrets: values of credentials' names (the
+    outermost of nested ones), free strings with a digit, and issued credentials wherever they stand in a run."""
     seen = set()
     if "=" in text or ":" in text:
+        end = 0
         for m in ASSIGNED.finditer(text):
             name = m.group(1).lower()
-            if any(part in NAMES for part in (name, *name.split("_"))):
-                seen.add(m.span(2))
-                yield *m.span(2), True
-    for m in FREE.finditer(text):
-        if m.span() not in seen and any(c in "0123456789" for c in m.group()):
+            if m.end() >= end and any(part in NAMES for part in (name, *name.split("_"))):
+                end = VALUE.match(text, m.end()).end()
+                seen.add((m.end(), end))
+                yield m.end(), end, True
+    for m in RUN.finditer(text):
+        run = m.group()
+        if m.span() not in seen and "=" not in run and any(c in "0123456789" for c in run):
+            seen.add(m.span())
             yield *m.span(), False
+        for i in ISSUED.finditer(text, *m.span()):
+            if i.span() not in seen:
+                yield *i.span(), False
 
 
 def shape(text: str, start: int, end: int) -> list[str]:
