@@ -76,6 +76,20 @@ def test_query_against_the_tokenizer_and_the_layout(spark, texts):
     assert n >= -(-sum(lengths) // 1024)
 
 
+def test_pieces_against_the_tokenizer_as_loaded(spark):
+    texts = ["<|endoftext|>", "one <|endoftext|> two<|endoftext|>\nthree", "<|endoftext |> and < |endoftext|>", "one two\n",
+             "word " * 1500 + "<|endoftext|>" + " word" * 1500, "x<|endoftext|><|endoftext|> \n y", None]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    rows = packing.token_pieces(docs, PATH, 1024, 2).collect()
+    tok = Tokenizer.from_file(PATH)
+    for doc, text in enumerate(texts):
+        ids = np.array([*tok.encode(text or "", add_special_tokens=False).ids, 2], dtype="<u4")
+        pieces = sorted((r for r in rows if r["doc_id"] == doc), key=lambda r: r["piece"])
+        assert sum(p["length"] for p in pieces) == len(ids)
+        for p in pieces:
+            assert p["ids_crc32"] == zlib.crc32(ids[p["start"] : p["start"] + p["length"]].tobytes())
+
+
 @pytest.mark.parametrize("lengths", [[], [1], [10] * 7, [3] * 50, [1, 2, 3, 4, 5, 6, 7, 8, 9, 10] * 9, [6, 4, 6, 4, 5]])
 def test_pack_small_cases(spark, lengths):
     rows = [(i, 0, 0, n, 0) for i, n in enumerate(lengths)]

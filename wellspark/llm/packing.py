@@ -46,15 +46,18 @@ class WordIds:
     is cut there and each word is encoded once, with the space or newline in front of it, and remembered. All unseen
     words of a text go to the tokenizer as one string; as a word holds no other space or newline, its ids start at the
     only token that begins with one. Stretches with other white space are encoded by themselves. Strings of special
-    tokens are ordinary text.
+    tokens are ordinary text, or with ``as_loaded`` get their own ids, as the file says: a text that holds one is then
+    encoded by itself.
     """
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, as_loaded: bool = False):
         from tokenizers import Tokenizer
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # one string a call: Spark's tasks are the parallelism
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        added = self.tokenizer.get_added_tokens_decoder().values()
+        self.alone = [t.content for t in added if as_loaded or not t.special]
+        self.tokenizer.encode_special_tokens = not as_loaded
         size = self.tokenizer.get_vocab_size()
         names = [self.tokenizer.id_to_token(i) or "" for i in range(size)]
         # byte-level files write a space as U+0120 and a newline as U+010A
@@ -84,6 +87,8 @@ class WordIds:
         return known
 
     def encode(self, text: str) -> bytes:
+        if any(token in text for token in self.alone):
+            return self.whole(text)
         lines = [line.split(" ") for line in text.split("\n")]
         heads = self.learn({words[0] for words in lines}, "\n")
         tails = None if heads is None else self.learn({w for words in lines for w in words[1:]}, " ")
@@ -103,12 +108,13 @@ class WordIds:
 
 @lru_cache(maxsize=2)
 def word_ids(path: str) -> WordIds:
-    return WordIds(path)
+    return WordIds(path, as_loaded=True)
 
 
 def token_pieces(docs: DataFrame, tokenizer: str, capacity: int = 1024, end_id: int = 2,
                  id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per piece of each document's ids (text ids, then ``end_id``).
+    """One row per piece of each document's ids (text ids by the tokenizer as loaded from its file, without the special
+    tokens it would add, then ``end_id``).
 
     Only documents longer than ``capacity`` are cut, into pieces of exactly ``capacity`` ids of which the first may be
     shorter. ``ids_crc32`` is the CRC of the piece's ids as unsigned little-endian 32-bit numbers.
