@@ -5,10 +5,11 @@ from collections import defaultdict
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from tokenizers import Tokenizer
 
-from wellspark.llm import packing
+from wellspark.llm import chunks, packing
 from wellspark.llm.queries import op1_best_fit_packing
 
 from .conftest import SF
@@ -50,7 +51,7 @@ def check_layout(rows, capacity):
     "x  y z\n\nw z\tq r \n s", "a \x1cb c", "\u0120 x \u010a\ny", "a\u0085b c\x0bd e "])
 def test_ids_of_a_text_equal_the_tokenizer(text):
     want = np.array(bpe().encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
-    assert packing.WordIds(PATH).encode(text) == want
+    assert chunks.ByteLevel(PATH).encode(pa.array([text]))[0].tobytes() == want
 
 
 def test_query_against_the_tokenizer_and_the_layout(spark, texts):

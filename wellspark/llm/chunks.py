@@ -17,8 +17,9 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-SLICE_BYTES = 4 << 20  # texts handled at once; a longer text is a slice of its own
-MEMORY_BYTES = 48 << 20
+SLICE_BYTES = 2 << 20  # texts handled at once; a longer text is a slice of its own
+MEMORY_BYTES = 32 << 20
+CALL_BYTES = 1 << 16  # unseen chunks given to a tokenizer at once, as its results take many times their room
 LONGEST_KEPT = 200  # bytes of a chunk that is remembered
 
 SPACE = np.zeros(256, bool)
@@ -43,6 +44,7 @@ def slices(batches, size: int = SLICE_BYTES):
             before = ends[at - 1] if at else 0
             stop = max(at + 1, int(np.searchsorted(ends, before + size, "right")))
             yield batch.column(0).slice(at, stop - at), texts.slice(at, stop - at)
+            pa.default_memory_pool().release_unused()  # several workers share an executor's memory
             at = stop
 
 
@@ -118,6 +120,7 @@ class Memory:
     """Encodings of chunks, learned by ``learn(chunks) -> encodings`` (both arrays of byte strings).
 
     Two Arrow columns of at most ``budget`` bytes in all; beyond that, the half that was used longest ago goes.
+    ``learn`` gets some tens of kilobytes of chunks at a time.
     """
 
     def __init__(self, learn, budget: int = MEMORY_BYTES):
@@ -135,12 +138,15 @@ class Memory:
             return self.rows, at
         self.used[at[~new]] = self.clock
         unseen = keys.filter(pa.array(new))
-        learned = self.learn(unseen)
+        learned = pa.concat_arrays([self.learn(part) for part in calls(unseen)])
         at = np.where(new, len(self.rows) + np.cumsum(new) - 1, at)
         rows = pa.concat_arrays([self.rows, learned])
-        short = pa.array(np.diff(parts(unseen)[1]) <= LONGEST_KEPT)
-        self.keys = pa.concat_arrays([self.keys, unseen.filter(short)])
-        self.rows = pa.concat_arrays([self.rows, learned.filter(short)])
+        short = np.diff(parts(unseen)[1]) <= LONGEST_KEPT
+        if short.all():
+            self.keys, self.rows = pa.concat_arrays([self.keys, unseen]), rows
+        else:
+            self.keys = pa.concat_arrays([self.keys, unseen.filter(pa.array(short))])
+            self.rows = pa.concat_arrays([self.rows, learned.filter(pa.array(short))])
         self.used = np.append(self.used, np.full(len(self.keys) - len(self.used), self.clock, np.int32))
         if self.keys.nbytes + self.rows.nbytes > self.budget:
             late = np.zeros(len(self.used), bool)
@@ -150,6 +156,15 @@ class Memory:
         return rows, at
 
 
+def calls(keys: pa.Array):
+    """The chunks in consecutive groups of about ``CALL_BYTES``."""
+    ends, at = np.cumsum(np.diff(parts(keys)[1])), 0
+    while at < len(keys):
+        stop = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + CALL_BYTES, "right")))
+        yield keys.slice(at, stop - at)
+        at = stop
+
+
 def gather(rows: pa.Array, numbers: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The numbered rows (little-endian uint32) in one array, and each one's offset in it."""
     data, offsets = parts(rows.take(pa.array(numbers)))

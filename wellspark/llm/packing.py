@@ -22,93 +22,16 @@ carried along and never used as a key; an empty table gives an empty result; col
 
 from __future__ import annotations
 
-import os
-import re
 import zlib
-from functools import lru_cache
 
-import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from wellspark.llm import chunks
 from wellspark.session import materialize
 
-CACHE_WORDS = 700_000  # distinct words a Python worker remembers before it starts afresh (bounded memory only)
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
-CUT = re.compile(r"(?<=\S)([ \n])(?=\S)")  # a single space or newline between two non-space characters
-
-
-class WordIds:
-    """Token ids of whole texts as little-endian uint32 bytes, from a byte-level BPE file of ``tokenizers``.
-
-    Such a BPE never merges across a single space or newline that stands between two non-space characters, so a text
-    is cut there and each word is encoded once, with the space or newline in front of it, and remembered. All unseen
-    words of a text go to the tokenizer as one string; as a word holds no other space or newline, its ids start at the
-    only token that begins with one. Stretches with other white space are encoded by themselves. Strings of special
-    tokens are ordinary text, or with ``as_loaded`` get their own ids, as the file says: a text that holds one is then
-    encoded by itself.
-    """
-
-    def __init__(self, path: str, as_loaded: bool = False):
-        from tokenizers import Tokenizer
-
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # one string a call: Spark's tasks are the parallelism
-        self.tokenizer = Tokenizer.from_file(path)
-        added = self.tokenizer.get_added_tokens_decoder().values()
-        self.alone = [t.content for t in added if as_loaded or not t.special]
-        self.tokenizer.encode_special_tokens = not as_loaded
-        size = self.tokenizer.get_vocab_size()
-        names = [self.tokenizer.id_to_token(i) or "" for i in range(size)]
-        # byte-level files write a space as U+0120 and a newline as U+010A
-        self.opens = {sep: np.array([name.startswith(mark) for name in names])
-                      for sep, mark in ((" ", "\u0120"), ("\n", "\u010a"))}
-        self.known: dict[str, dict[str, bytes]] = {" ": {}, "\n": {}}
-
-    def whole(self, text: str) -> bytes:
-        [found] = self.tokenizer.encode_batch_fast([text], add_special_tokens=False)  # without offsets
-        return np.array(found.ids, dtype="<u4").tobytes()
-
-    def learn(self, words: set[str], sep: str) -> dict[str, bytes] | None:
-        """The ids of ``sep + word`` by word, with those of ``words`` among them; None if a word is empty or starts or
-        ends in white space."""
-        known = self.known[sep]
-        unseen = words.difference(known)
-        if unseen:
-            if not all(w and not w[0].isspace() and not w[-1].isspace() for w in unseen):
-                return None
-            if len(known) + len(unseen) > CACHE_WORDS:
-                known.clear()
-                unseen = words
-            body = self.whole(sep + sep.join(unseen))
-            starts = 4 * np.flatnonzero(self.opens[sep][np.frombuffer(body, dtype="<u4")])
-            cuts = [*starts.tolist(), len(body)]
-            known.update((word, body[a:b]) for word, a, b in zip(unseen, cuts[:-1], cuts[1:], strict=True))
-        return known
-
-    def encode(self, text: str) -> bytes:
-        if any(token in text for token in self.alone):
-            return self.whole(text)
-        lines = [line.split(" ") for line in text.split("\n")]
-        heads = self.learn({words[0] for words in lines}, "\n")
-        tails = None if heads is None else self.learn({w for words in lines for w in words[1:]}, " ")
-        if heads is not None and tails is not None:
-            later = tails.__getitem__
-            return b"".join([heads[words[0]] + b"".join(map(later, words[1:])) for words in lines])[4:]
-        return self.encode_stretches(text)
-
-    def encode_stretches(self, text: str) -> bytes:
-        """The same for a text with other white space: words as before, longer stretches by themselves."""
-        first, *rest = CUT.split(text)
-        pairs = list(zip(rest[::2], rest[1::2]))
-        odd = {w for _, w in pairs if " " in w or "\n" in w or w[-1].isspace()}
-        known = {sep: self.learn({w for s, w in pairs if s == sep and w not in odd}, sep) for sep in self.known}
-        return self.whole(first) + b"".join([self.whole(s + w) if w in odd else known[s][w] for s, w in pairs])
-
-
-@lru_cache(maxsize=2)
-def word_ids(path: str) -> WordIds:
-    return WordIds(path, as_loaded=True)
 
 
 def token_pieces(docs: DataFrame, tokenizer: str, capacity: int = 1024, end_id: int = 2,
@@ -122,12 +45,13 @@ def token_pieces(docs: DataFrame, tokenizer: str, capacity: int = 1024, end_id:
     end = int(end_id).to_bytes(4, "little")
 
     def run(batches):
-        encode = word_ids(tokenizer).encode
-        for batch in batches:
-            ids, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
+        codec = chunks.codec(chunks.ByteLevel, tokenizer, True)
+        for ids, texts in chunks.slices(batches):
+            tokens, at = codec.encode(texts)
+            at = at.tolist()
             rows = []
-            for doc_id, text in zip(ids, texts):
-                body = encode(text or "") + end
+            for doc_id, low, high in zip(ids.to_pylist(), at, at[1:]):
+                body = tokens[low:high].tobytes() + end
                 n = len(body) // 4
                 cuts = [0, *range((n - 1) % capacity + 1, n + 1, capacity)]
                 rows += [(doc_id, k, a, b - a, zlib.crc32(body[4 * a : 4 * b]))

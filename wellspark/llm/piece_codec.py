@@ -5,8 +5,9 @@ every boundary it extends the pieces of a trie, so only boundaries within the lo
 When the back-pointer paths of all those boundaries pass through one common boundary, the ids up to it are final, are
 committed, and everything before it is forgotten: memory is bounded by the stretch without such a convergence, not by
 the text. Where no piece of the vocabulary holds a space after another character, nor a line end, all paths converge
-in front of every single space and around line ends; the ids of such a stretch depend on it alone and are remembered
-per distinct word.
+in front of every single space and around line ends; the ids of such a chunk depend on it alone and are remembered per
+distinct chunk (:mod:`wellspark.llm.chunks`). Short chunks that a batch brings anew are searched all at once, one array
+step per boundary and piece length; longer ones by the stream.
 
 A space becomes U+2581, and one is put in front of the text, as the model asks. A character in no piece is written as
 the byte pieces of its UTF-8 form, and so is U+2581 itself when it occurs in the text; decoding therefore gives back
@@ -23,13 +24,52 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from wellspark.llm import chunks
+
 SPACE = "▁"
-CACHE_WORDS = 600_000
 LOW = float("-inf")
 UNKNOWN_COST = 10.0  # below the lowest score of a piece, per unknown character
+TOGETHER = 48  # characters of a chunk up to which many are searched at once
+FOREIGN = 0x110000  # the code of U+2581 where a text itself holds it: in no piece
+
+
+class Links:
+    """The trie's edges as one open-addressed table, (node, character) to node, read for many pairs at once."""
+
+    def __init__(self, edges: list[tuple[int, int, int]]):
+        self.bits = max(4, (2 * len(edges)).bit_length())
+        self.keys = np.full(1 << self.bits, -1, np.int64)
+        self.nodes = np.zeros(1 << self.bits, np.int32)
+        left = np.array(edges, np.int64).reshape(-1, 3)
+        keys, nodes = left[:, 0] << 21 | left[:, 1], left[:, 2]
+        at = self.home(keys)
+        while len(keys):
+            free = self.keys[at] < 0
+            self.keys[at[free]], self.nodes[at[free]] = keys[free], nodes[free]  # of several for one slot the last
+            again = self.keys[at] != keys
+            keys, nodes, at = keys[again], nodes[again], (at[again] + 1) & (len(self.keys) - 1)
+
+    def home(self, keys: np.ndarray) -> np.ndarray:
+        mixed = keys.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+        return (mixed >> np.uint64(64 - self.bits)).astype(np.int64)
+
+    def __call__(self, nodes: np.ndarray, codes: np.ndarray) -> np.ndarray:
+        """The nodes below ``nodes`` by ``codes``, -1 where there is none."""
+        keys = nodes.astype(np.int64) << 21 | codes
+        at = self.home(keys)
+        out = np.full(len(keys), -1, np.int32)
+        open_ = np.arange(len(keys))
+        while len(open_):
+            there = self.keys[at]
+            found = there == keys
+            out[open_[found]] = self.nodes[at[found]]
+            on = ~found & (there >= 0)
+            open_, keys, at = open_[on], keys[on], (at[on] + 1) & (len(self.keys) - 1)
+        return out
 
 
 class Pieces:
@@ -61,8 +101,22 @@ class Pieces:
         self.single = {p for p, _, _ in normal if len(p) == 1}
         self.longest = max((len(p) for p, _, _ in normal), default=1)
         self.splits = not any(SPACE in p.lstrip(SPACE) or "\n" in p for p, _, _ in normal)
-        self.spaced, self.first = _Words(self, SPACE), _Words(self, "")
-        self.newline = self.whole("\n")
+        edges, self.piece_at, self.score_at = [], [-1], [0.0]
+        level = [(0, self.trie)]
+        while level:
+            below = []
+            for node, kids in level:
+                for c, (more, i, score) in kids.items():
+                    edges.append((node, ord(c), len(self.piece_at)))
+                    below.append((len(self.piece_at), more))
+                    self.piece_at.append(i)
+                    self.score_at.append(score)
+            level = below
+        self.links, self.piece_at, self.score_at = Links(edges), np.array(self.piece_at), np.array(self.score_at)
+        self.known = np.zeros(FOREIGN + 1, bool)
+        self.known[[ord(c) for c in self.single]] = True
+        self.table = pa.array(self.bytes_of, pa.large_binary())
+        self.memory = chunks.Memory(self.learn)
 
     def whole(self, text: str) -> bytes:
         """Ids (as little-endian uint32) of a text in which each U+2581 stands for a space."""
@@ -128,44 +182,149 @@ class Pieces:
         out.reverse()
         return array("I", out).tobytes()
 
-    def encode(self, text: str) -> bytes:
-        if not text:
-            return b""
-        if SPACE in text:
-            return self._rare(text)
-        if self.splits and "  " not in text and " \n" not in text and text[-1] != " " and text[0] != " ":
-            spaced, first, out = self.spaced.__getitem__, self.first, []
-            for k, line in enumerate(text.split("\n")):
-                words = line.split(" ")
-                out.append((first[words[0]] if k else spaced(words[0]) if words[0] else self.whole(SPACE))
-                           + b"".join(map(spaced, words[1:])))
-            return self.newline.join(out)
-        return self.whole(SPACE + text.replace(" ", SPACE))
-
-    def _rare(self, text: str) -> bytes:
-        """A text with U+2581 in it: that goes to its bytes, the stretches between are encoded by themselves."""
+    def learn(self, keys: pa.Array) -> pa.Array:
+        """The ids of unseen chunks: short ones all together, the others by the stream."""
+        texts = keys.cast(pa.large_string()).to_pylist()
+        short = np.array([len(t) <= TOGETHER for t in texts])
+        rows = [self.search([t for t in texts if len(t) <= TOGETHER]),
+                pa.array([self.alone(t) for t in texts if len(t) > TOGETHER], pa.large_binary())]
+        order = np.argsort(~short, kind="stable")
+        return pa.concat_arrays(rows).take(pa.array(np.argsort(order)))
+
+    def alone(self, text: str) -> bytes:
+        """A chunk by the stream. U+2581 in it goes to its bytes, the stretches between are encoded by themselves."""
         mark = array("I", [self.byte_ids[b] for b in SPACE.encode()]).tobytes()
-        parts = (" " + text).split(SPACE)
-        return mark.join([self.whole(part.replace(" ", SPACE)) for part in parts])
+        return mark.join([self.whole(part.replace(" ", SPACE)) for part in text.split(SPACE)])
+
+    def search(self, texts: list[str]) -> pa.Array:
+        """The same best segmentation for many short chunks: one array step per boundary and piece length.
+
+        The chunks are sorted by length, so that those with a character at some place are the first ones.
+        """
+        if not texts:
+            return pa.array([], pa.large_binary())
+        order = sorted(range(len(texts)), key=lambda i: -len(texts[i]))
+        lengths = np.array([len(texts[i]) for i in order])
+        codes = np.frombuffer("".join([texts[i] for i in order]).encode("utf-32-le"), np.uint32).astype(np.int64)
+        codes[codes == ord(SPACE)] = FOREIGN
+        codes[codes == 32] = ord(SPACE)
+        first = np.cumsum(lengths) - lengths  # the place of each chunk's first character
+        n, room = len(codes), np.repeat(lengths + first, lengths) - np.arange(len(codes))  # characters up to the end
+        at, node, steps = np.arange(n), np.zeros(n, np.int32), []
+        for k in range(self.longest):  # pieces of k + 1 characters from every place
+            node = self.links(node, codes[at + k])
+            on = (node >= 0) & (room[at] > k)
+            at, node = at[on], node[on]
+            gain = np.full(n, LOW)
+            gain[at] = np.where(self.piece_at[node] >= 0, self.score_at[node], LOW)
+            ids = np.full(n, -1, np.int32)
+            ids[at] = self.piece_at[node]
+            steps.append((gain, ids))
+            on = room[at] > k + 1
+            at, node = at[on], node[on]
+            if not len(at):
+                break
+        unknown = ~self.known[codes]
+        # boundaries: place p of chunk c is p + c, so that each chunk has one more than characters
+        base = first + np.arange(len(first))
+        score = np.full(n + len(first), LOW)
+        score[base] = 0.0
+        start, piece = np.zeros(len(score), np.int32), np.full(len(score), -1, np.int32)
+        for t in range(int(lengths[0])):
+            m = int(np.searchsorted(-lengths, -t, "left"))  # chunks longer than t
+            here, place = base[:m] + t, first[:m] + t
+            odd = np.flatnonzero(unknown[place])
+            self.better(score, start, piece, here[odd], score[here[odd]] + self.unknown, 1, -1)
+            for k, (gain, ids) in enumerate(steps):
+                own = gain[place]
+                some = np.flatnonzero(own > LOW)
+                self.better(score, start, piece, here[some], score[here[some]] + own[some], k + 1, ids[place[some]])
+        at, whose, ids = lengths.copy(), [], []
+        chunk = np.arange(len(first))
+        while len(chunk):  # back from all ends at once, one piece a step
+            p = base[chunk] + at[chunk]
+            whose.append(chunk)
+            ids.append(piece[p])
+            at[chunk] -= start[p]
+            chunk = chunk[at[chunk] > 0]
+        whose, ids = np.concatenate(whose)[::-1], np.concatenate(ids)[::-1]
+        by = np.argsort(whose, kind="stable")
+        whose, ids = whose[by], ids[by]
+        odd = np.unique(whose[ids < 0])
+        ends = np.concatenate([[0], np.cumsum(np.bincount(whose, minlength=len(first)))])
+        rows = chunks.binaries(ids.astype(np.uint32).view(np.uint8), 4 * ends)
+        if len(odd):  # with characters that no piece holds: those as their bytes
+            rows = rows.to_pylist()
+            for c in odd.tolist():
+                rows[c] = self.with_bytes(texts[order[c]], start[base[c] :], piece[base[c] :])
+            rows = pa.array(rows, pa.large_binary())
+        return rows.take(pa.array(np.argsort(order)))
+
+    def with_bytes(self, text: str, start: np.ndarray, piece: np.ndarray) -> bytes:
+        ids, p = [], len(text)
+        while p:
+            if piece[p] >= 0:
+                ids.append(int(piece[p]))
+            else:
+                ids.extend(self.byte_ids[b] for b in reversed(text[p - 1].encode()))
+            p -= int(start[p])
+        return array("I", reversed(ids)).tobytes()
+
+    @staticmethod
+    def better(score, start, piece, here, value, length, ids) -> None:
+        """Take the boundaries ``length`` behind ``here`` from there where that scores more; no two are the same."""
+        to = here + length
+        on = value > score[to]
+        to = to[on]
+        score[to], start[to] = value[on], length
+        piece[to] = ids if isinstance(ids, int) else ids[on]
+
+    def encode_texts(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts in one array, and the offsets of the texts in it. An empty text has none."""
+        lead = pc.if_else(pc.equal(pc.binary_length(texts), 0), "", " ")
+        data, offsets = chunks.flat(pc.binary_join_element_wise(lead, texts, ""))
+        starts = (chunks.before_separators(data, offsets) if self.splits
+                  else np.flatnonzero(chunks.text_starts(data, offsets)))
+        return chunks.encoded(data, offsets, starts, self.memory)
+
+    def encode(self, text: str) -> bytes:
+        return self.encode_texts(pa.array([text]))[0].tobytes()
+
+    def decode_lists(self, lists: pa.Array) -> pa.Array:
+        """The texts of lists of ids; null for null."""
+        counts = pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False)
+        pieces = self.table.take(lists.flatten())
+        if pieces.null_count:
+            raise ValueError("an id without a piece")
+        data, at = chunks.parts(pieces)
+        ends = at[np.concatenate([[0], np.cumsum(counts)])]
+        lead = ends[:-1][np.diff(ends) > 0]  # encoding puts a space in front of a text
+        body = np.delete(data, lead).tobytes()
+        ends = ends - np.concatenate([[0], np.cumsum(np.diff(ends) > 0)])
+        valid = lists.is_valid()
+        if (data[lead] == 32).all() and decodes(body, ends):
+            texts = pa.LargeStringArray.from_buffers(len(lists), pa.py_buffer(ends.astype(np.int64)),
+                                                     pa.py_buffer(body)).cast(pa.string())
+        else:  # bytes that are no text: by themselves
+            texts = pa.array([self.decode(row) if row else "" for row in lists.to_pylist()], pa.string())
+        return pc.if_else(valid, texts, pa.scalar(None, pa.string()))
 
     def decode(self, ids) -> str:
         """The text of ``ids``; the space that encoding puts in front is taken off."""
         return b"".join(map(self.bytes_of.__getitem__, ids)).decode("utf-8", "replace")[1:]
 
 
-class _Words(dict):
-    def __init__(self, pieces: Pieces, lead: str):
-        super().__init__()
-        self.pieces, self.lead = pieces, lead
-
-    def __missing__(self, word: str) -> bytes:
-        if len(self) > CACHE_WORDS:
-            self.clear()
-        self[word] = ids = self.pieces.whole(self.lead + word)
-        return ids
+def decodes(body: bytes, ends: np.ndarray) -> bool:
+    """Whether the bytes are UTF-8 and every end stands between two characters."""
+    try:
+        body.decode()
+    except UnicodeDecodeError:
+        return False
+    inner = ends[ends < len(body)]
+    return not ((np.frombuffer(body, np.uint8)[inner] & 0xC0) == 0x80).any()
 
 
-@lru_cache(maxsize=2)
+@lru_cache(maxsize=1)
 def pieces_of(path: str) -> Pieces:
     return Pieces(path)
 
@@ -174,15 +333,16 @@ def encode(docs: DataFrame, model: str, id_col: str = "doc_id", text_col: str =
     """doc_id, ids (array of int)."""
 
     def run(batches):
-        codec = pieces_of(model)
+        codec = chunks.codec(Pieces, model)
         for batch in batches:
-            for at in range(0, batch.num_rows, 500):
-                part = batch.slice(at, 500)
-                found = [None if t is None else codec.encode(t) for t in part.column(1).to_pylist()]
-                ends = np.cumsum([0] + [len(b or b"") // 4 for b in found]).astype(np.int32)
-                values = pa.array(np.frombuffer(b"".join(b or b"" for b in found), dtype=np.int32))
-                lists = pa.ListArray.from_arrays(ends, values, mask=pa.array([b is None for b in found]))
-                yield pa.RecordBatch.from_arrays([part.column(0), lists], ["doc_id", "ids"])
+            known = batch.column(1).is_valid()
+            for rows, texts in chunks.slices([pa.RecordBatch.from_arrays(
+                    [pa.StructArray.from_arrays([batch.column(0), known], ["id", "known"]), batch.column(1)],
+                    ["row", "text"])]):
+                lists = chunks.int_lists(*codec.encode_texts(texts))
+                ids, there = rows.flatten()
+                yield pa.RecordBatch.from_arrays(
+                    [ids, pc.if_else(there, lists, pa.scalar(None, lists.type))], ["doc_id", "ids"])
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     return rows.mapInArrow(run, "doc_id long, ids array<int>")
@@ -192,12 +352,11 @@ def decode(encoded: DataFrame, model: str, id_col: str = "doc_id", ids_col: str
     """doc_id, ids, text."""
 
     def run(batches):
-        codec = pieces_of(model)
+        codec = chunks.codec(Pieces, model)
         for batch in batches:
             for at in range(0, batch.num_rows, 500):
                 part = batch.slice(at, 500)
-                texts = [None if i is None else codec.decode(i) for i in part.column(1).to_pylist()]
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(texts, pa.string())],
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), codec.decode_lists(part.column(1))],
                                                  ["doc_id", "ids", "text"])
 
     rows = encoded.select(F.col(id_col).cast("long").alias("doc_id"), F.col(ids_col).alias("ids"))

@@ -25,6 +25,7 @@ from __future__ import annotations
 import json
 import os
 import re
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -46,20 +47,29 @@ class WordEnds:
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark's tasks are the parallelism
+        from tokenizers import Tokenizer
+
+        self.path, self.tokenizer = path, Tokenizer.from_file(path)
+        self.suffix = getattr(self.tokenizer.model, "end_of_word_suffix", None) or ""
+        self.special = {t.content: i for i, t in self.tokenizer.get_added_tokens_decoder().items()}
+        self.between = next(iter(self.special), None)
+        self.memory = chunks.Memory(self.learn)
+
+    @cached_property
+    def names(self) -> list[str]:
+        return [self.tokenizer.id_to_token(i) for i in range(self.tokenizer.get_vocab_size())]
+
+    @cached_property
+    def models(self):
+        """The file's model for stretches that do not end their word, and for those that do."""
         from tokenizers import Tokenizer, models
 
-        self.tokenizer = Tokenizer.from_file(path)
-        with open(path, encoding="utf-8") as f:
+        with open(self.path, encoding="utf-8") as f:
             model = json.load(f)["model"]
-        self.suffix = model.get("end_of_word_suffix") or ""
         merges = [tuple(m) if isinstance(m, list) else tuple(m.split(" ")) for m in model["merges"]]
         options = {"end_of_word_suffix": self.suffix} if self.suffix else {}
-        self.closed = Tokenizer(models.BPE(vocab=model["vocab"], merges=merges, **options))
-        self.open = Tokenizer(models.BPE(vocab=model["vocab"], merges=merges))
-        self.special = {t.content: i for i, t in self.tokenizer.get_added_tokens_decoder().items()}
-        self.names = [self.tokenizer.id_to_token(i) for i in range(self.tokenizer.get_vocab_size())]
-        self.between = next(iter(self.special), None)
-        self.memory = chunks.Memory(self.learn)
+        return (Tokenizer(models.BPE(vocab=model["vocab"], merges=merges)),
+                Tokenizer(models.BPE(vocab=model["vocab"], merges=merges, **options)))
 
     def whole(self, text: str) -> np.ndarray:
         [found] = self.tokenizer.encode_batch_fast([text], add_special_tokens=False)  # without offsets
@@ -99,7 +109,7 @@ class WordEnds:
 
     def stretch(self, symbols: str, last: bool) -> list[int]:
         """The ids of a stretch of symbols; ``last`` if a word ends with it."""
-        [found] = (self.closed if last else self.open).encode_batch_fast([symbols], add_special_tokens=False)
+        [found] = self.models[last].encode_batch_fast([symbols], add_special_tokens=False)
         return found.ids
 
     def join(self, left: list[int], right: list[int], last: bool, window: int = WINDOW) -> list[int]:
