@@ -20,7 +20,7 @@ Ids and extra columns as in the other operators: carried, ignored.
 from __future__ import annotations
 
 from array import array
-from functools import lru_cache
+from functools import cached_property, lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -40,12 +40,13 @@ FOREIGN = 0x110000  # the code of U+2581 where a text itself holds it: in no pie
 class Links:
     """The trie's edges as one open-addressed table, (node, character) to node, read for many pairs at once."""
 
-    def __init__(self, edges: list[tuple[int, int, int]]):
+    def __init__(self, edges: dict[int, int]):
+        """``edges``: node << 21 | character to node."""
         self.bits = max(4, (2 * len(edges)).bit_length())
         self.keys = np.full(1 << self.bits, -1, np.int64)
         self.nodes = np.zeros(1 << self.bits, np.int32)
-        left = np.array(edges, np.int64).reshape(-1, 3)
-        keys, nodes = left[:, 0] << 21 | left[:, 1], left[:, 2]
+        keys = np.fromiter(edges, np.int64, len(edges))
+        nodes = np.fromiter(edges.values(), np.int32, len(edges))
         at = self.home(keys)
         while len(keys):
             free = self.keys[at] < 0
@@ -79,7 +80,6 @@ class Pieces:
         import sentencepiece
 
         model = sentencepiece.SentencePieceProcessor(model_file=path)
-        self.trie: dict = {}
         self.bytes_of: list[bytes | None] = [None] * model.vocab_size()
         self.byte_ids = [0] * 256
         normal = []
@@ -92,32 +92,46 @@ class Pieces:
                 normal.append((piece, i, model.get_score(i)))
                 self.bytes_of[i] = piece.replace(SPACE, " ").encode()
         self.unknown = min((s for _, _, s in normal), default=0.0) - UNKNOWN_COST
-        for piece, i, score in normal:  # a node is [children, id or -1, score]
-            kids = self.trie
-            for c in piece:
-                node = kids.setdefault(c, [{}, -1, 0.0])
-                kids = node[0]
-            node[1:] = [i, score]
+        self.normal = normal
         self.single = {p for p, _, _ in normal if len(p) == 1}
         self.longest = max((len(p) for p, _, _ in normal), default=1)
         self.splits = not any(SPACE in p.lstrip(SPACE) or "\n" in p for p, _, _ in normal)
-        edges, self.piece_at, self.score_at = [], [-1], [0.0]
-        level = [(0, self.trie)]
-        while level:
-            below = []
-            for node, kids in level:
-                for c, (more, i, score) in kids.items():
-                    edges.append((node, ord(c), len(self.piece_at)))
-                    below.append((len(self.piece_at), more))
-                    self.piece_at.append(i)
-                    self.score_at.append(score)
-            level = below
-        self.links, self.piece_at, self.score_at = Links(edges), np.array(self.piece_at), np.array(self.score_at)
-        self.known = np.zeros(FOREIGN + 1, bool)
-        self.known[[ord(c) for c in self.single]] = True
         self.table = pa.array(self.bytes_of, pa.large_binary())
         self.memory = chunks.Memory(self.learn)
 
+    # what only one of the searches, or no decoding worker, needs is made when it is first asked for
+
+    @cached_property
+    def trie(self) -> dict:
+        """The pieces for the stream; a node is [children, id or -1, score]."""
+        trie: dict = {}
+        for piece, i, score in self.normal:
+            kids = trie
+            for c in piece:
+                node = kids.setdefault(c, [{}, -1, 0.0])
+                kids = node[0]
+            node[1:] = [i, score]
+        return trie
+
+    @cached_property
+    def links(self) -> tuple[Links, np.ndarray, np.ndarray, np.ndarray]:
+        """The same for many chunks at once: edges, the id and score of each node, and the characters in a piece."""
+        edges: dict[int, int] = {}
+        ids, scores = [-1], [0.0]
+        for piece, i, score in self.normal:
+            node = 0
+            for c in piece:
+                key = node << 21 | ord(c)
+                node = edges.get(key)
+                if node is None:
+                    node = edges[key] = len(ids)
+                    ids.append(-1)
+                    scores.append(0.0)
+            ids[node], scores[node] = i, score
+        known = np.zeros(FOREIGN + 1, bool)
+        known[[ord(c) for c in self.single]] = True
+        return Links(edges), np.array(ids, np.int32), np.array(scores), known
+
     def whole(self, text: str) -> bytes:
         """Ids (as little-endian uint32) of a text in which each U+2581 stands for a space."""
         return b"".join(self.stream(text))
@@ -208,23 +222,24 @@ class Pieces:
         codes = np.frombuffer("".join([texts[i] for i in order]).encode("utf-32-le"), np.uint32).astype(np.int64)
         codes[codes == ord(SPACE)] = FOREIGN
         codes[codes == 32] = ord(SPACE)
+        links, piece_at, score_at, known = self.links
         first = np.cumsum(lengths) - lengths  # the place of each chunk's first character
         n, room = len(codes), np.repeat(lengths + first, lengths) - np.arange(len(codes))  # characters up to the end
         at, node, steps = np.arange(n), np.zeros(n, np.int32), []
         for k in range(self.longest):  # pieces of k + 1 characters from every place
-            node = self.links(node, codes[at + k])
+            node = links(node, codes[at + k])
             on = (node >= 0) & (room[at] > k)
             at, node = at[on], node[on]
             gain = np.full(n, LOW)
-            gain[at] = np.where(self.piece_at[node] >= 0, self.score_at[node], LOW)
+            gain[at] = np.where(piece_at[node] >= 0, score_at[node], LOW)
             ids = np.full(n, -1, np.int32)
-            ids[at] = self.piece_at[node]
+            ids[at] = piece_at[node]
             steps.append((gain, ids))
             on = room[at] > k + 1
             at, node = at[on], node[on]
             if not len(at):
                 break
-        unknown = ~self.known[codes]
+        unknown = ~known[codes]
         # boundaries: place p of chunk c is p + c, so that each chunk has one more than characters
         base = first + np.arange(len(first))
         score = np.full(n + len(first), LOW)
