@@ -5,6 +5,11 @@ Every helper returns a Column, so the work stays inside whole-stage codegen; no
 
 from __future__ import annotations
 
+import functools
+import json
+from collections.abc import Callable
+from html.entities import html5
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -27,14 +32,20 @@ DEFAULT_MAX_TOKENS = 10000
 MAX_CHUNK_ANSWER_TOKENS = 2000
 # ---------------------------------------------------------------------------------------------------------
 
-# HTML: blocks whose text is not visible, then tags. Entity decoding runs after tag removal, '&amp;' last.
+# HTML: blocks whose text is not visible, then tags; references are decoded in the text between them.
 INVISIBLE_BLOCKS = (
     r"(?is)<!--.*?-->|<(script|style|template)\b[^>]*>.*?</\1\s*>|<!doctype[^>]*>"
 )
 # a tag ends at the first '>' outside quotes (a lone quote counts as text)
 TAG_PATTERN = r"<(?:[^>\"']|\"[^\"]*\"|'[^']*')*+>|<[^>]*>"
-NUMERIC_ENTITY = r"&#(x?[0-9a-fA-F]{1,6});"
-ENTITIES = (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&nbsp;", " "), ("&amp;", "&"))
+# the character references of HTML5 (the standard library's table: names with their ';', older ones also without it)
+NAMED_ENTITIES = html5
+OLD_NAMES = sorted({len(n) for n in html5 if not n.endswith(";")}, reverse=True)  # lengths of names without ';'
+NUMBER_PATTERN = "^#(?:[0-9]+|[xX][0-9a-fA-F]+);?"
+NAME_PATTERN = "^[^\\t\\n\\f <&#;]{1,32};?"
+# numbers that mean another character: 128 to 159 are read as Windows-1252, as browsers do, and some are none at all
+REPLACED_NUMBERS = {0: "\ufffd", 13: "\r"} | {
+    n: bytes([n]).decode("cp1252", "ignore") or chr(n) for n in range(128, 160)}
 
 
 def _c(c: Column | str) -> Column:
@@ -43,6 +54,7 @@ def _c(c: Column | str) -> Column:
 
 # Fixed value: the ASCII whitespace set of Python's ``str.strip()`` / regex ``\s`` (space, tab, LF, VT, FF, CR).
 ASCII_WHITESPACE = " \t\n\x0b\x0c\r"
+UNICODE_EDGES = r"(?U)^[\s\x1c-\x1f]+|[\s\x1c-\x1f]+$"  # what ``str.strip()`` takes off
 
 
 def strip_ws(c: Column | str) -> Column:
@@ -56,35 +68,64 @@ def collapse_ws(c: Column | str) -> Column:
     return strip_ws(F.regexp_replace(_c(c), r"\s+", " "))
 
 
-def decode_numeric(c: Column) -> Column:
-    """``&#8217;`` and ``&#x2019;`` to their characters; a number beyond Unicode stays as it is."""
-    def character(code: Column) -> Column:
-        point = F.when(F.lower(F.substr(code, F.lit(1), F.lit(1))) == "x", F.conv(F.substr(code, F.lit(2)), 16, 10))
-        point = point.otherwise(code).try_cast("bigint")
-        valid = (point > 0) & (point < 0x110000) & ~point.between(0xD800, 0xDFFF)
-        return F.when(valid, F.decode(F.unhex(F.lpad(F.hex(point), 8, "0")), "UTF-32"))
+def let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)`` with ``value`` computed once: a lambda's body would compute an outer expression per element."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
+def numbered_character(n: Column) -> Column:
+    """The character that HTML gives a number (NULL: too large for a number)."""
+    special = F.from_json(F.lit(json.dumps({str(n): c for n, c in REPLACED_NUMBERS.items()})), "map<string,string>")
+    none = functools.reduce(lambda a, b: a | b, [
+        n < 9, n == 11, n.between(14, 31), n.between(127, 159), n.between(64976, 65007), n % 65536 >= 65534])
+    return (F.when(n.isNull() | (n > 0x10FFFF) | n.between(0xD800, 0xDFFF), F.lit("\ufffd"))
+            .when((n == 0) | (n == 13) | n.between(128, 159), F.try_element_at(special, n.cast("string")))
+            .when(none, F.lit(""))
+            .otherwise(F.decode(F.unhex(F.lpad(F.hex(n), 8, "0")), "UTF-32")))
+
+
+def decode_reference(part: Column) -> Column:
+    """The text behind one '&' with the reference that it opens decoded; '&' is put back where it opens none.
 
-    found = F.array_distinct(F.regexp_extract_all(c, F.lit(NUMERIC_ENTITY), F.lit(1)))
-    return F.when(F.instr(c, "&#") == 0, c).otherwise(F.aggregate(
-        found, c, lambda text, code: F.replace(
-            text, F.concat(F.lit("&#"), code, F.lit(";")),
-            F.coalesce(character(code), F.concat(F.lit("&#"), code, F.lit(";"))))))
+    A name is looked up whole; if there is none, its longest beginning among the older names without ';' counts.
+    """
+    by_letter: dict[str, dict[str, str]] = {}
+    for name, character in NAMED_ENTITIES.items():
+        by_letter.setdefault(name[0], {})[name] = character
+    names = F.from_json(F.lit(json.dumps(by_letter)), "map<string,map<string,string>>")  # folded to one literal
+
+    def rest(n) -> Column:
+        return F.substr(part, (F.length(n) if isinstance(n, Column) else F.lit(n)) + 1)
+
+    number, name = F.regexp_extract(part, NUMBER_PATTERN, 0), F.regexp_extract(part, NAME_PATTERN, 0)
+    digits = F.regexp_replace(number, "[#;]", "")
+    value = F.when(F.lower(digits).startswith("x"), F.conv(F.substr(digits, F.lit(2)), 16, 10)).otherwise(digits)
+    known = F.try_element_at(names, F.substr(part, F.lit(1), F.lit(1)))
+    older = [F.when(F.length(name) >= n, F.concat(F.try_element_at(known, F.substr(part, F.lit(1), F.lit(n))), rest(n)))
+             for n in OLD_NAMES]
+    named = F.coalesce(F.concat(F.try_element_at(known, name), rest(name)), *older, F.concat(F.lit("&"), part))
+    return F.when(number != "", F.concat(numbered_character(value.try_cast("bigint")), rest(number))).otherwise(named)
 
 
 def decode_entities(c: Column | str) -> Column:
-    out = decode_numeric(_c(c))
-    for ent, ch in ENTITIES:
-        out = F.replace(out, F.lit(ent), F.lit(ch))
-    return out
+    """Every character reference of HTML5 decoded in one pass over the pieces between '&'; nothing is read twice."""
+    t = _c(c)
+
+    def decoded(parts: Column) -> Column:
+        later = F.transform(F.slice(parts, F.lit(2), F.size(parts)), decode_reference)
+        return F.concat(F.element_at(parts, 1), F.array_join(later, ""))
+
+    return F.when(F.instr(t, "&") == 0, t).otherwise(let(F.split(t, "&", -1), decoded))
 
 
 def html_visible_text(html: Column | str) -> Column:
-    """visible text nodes, each stripped, empties dropped, joined by one space."""
+    """visible text nodes, each decoded and stripped (of Unicode white space too), empties dropped, joined by one
+    space."""
     cleaned = F.regexp_replace(_c(html), INVISIBLE_BLOCKS, " ")
     parts = F.split(cleaned, TAG_PATTERN)
-    stripped = F.transform(parts, lambda p: F.regexp_replace(p, r"^\s+|\s+$", ""))
+    stripped = F.transform(parts, lambda p: F.regexp_replace(decode_entities(p), UNICODE_EDGES, ""))
     kept = F.filter(stripped, lambda p: F.length(p) > 0)
-    return decode_entities(F.array_join(kept, " "))
+    return F.array_join(kept, " ")
 
 
 def url_scheme_ok(url: Column | str) -> Column:
@@ -159,13 +200,33 @@ def kv_parse(line: Column | str) -> Column:
     (values stay strings). A part without '=' has a NULL value; of a repeated name the last value counts."""
     pairs = F.transform(
         F.split(_c(line), ","),
-        lambda p: F.struct(
+        lambda p, i: F.struct(
             strip_ws(F.element_at(F.split(p, "="), 1)).alias("k"),
+            i.alias("i"),
             strip_ws(F.try_element_at(F.split(p, "="), F.lit(2))).alias("v"),
         ),
     )
-    last = F.filter(
-        pairs,
-        lambda p, i: ~F.exists(F.slice(pairs, i + 2, F.size(pairs)), lambda q: q["k"] == p["k"]),
-    )
-    return F.map_from_entries(last)
+
+    def last_of_each(pairs: Column) -> Column:  # sorted by name and place, a name's last one has another behind it
+        return F.filter(pairs, lambda p, i: F.coalesce(F.try_element_at(pairs, i + 2)["k"] != p["k"], F.lit(True)))
+
+    last = let(F.array_sort(pairs), last_of_each)
+    placed = F.array_sort(F.transform(last, lambda p: F.struct(p["i"].alias("i"), p["k"].alias("k"), p["v"].alias("v"))))
+    return F.map_from_entries(F.transform(placed, lambda p: F.struct(p["k"].alias("k"), p["v"].alias("v"))))
+
+
+def running_totals(numbers: Column, block: int = 64) -> Column:
+    """For an array of numbers the sums of those before each, in blocks, so that long arrays take no quadratic time."""
+    total = lambda xs: F.aggregate(xs, F.lit(0).cast("long"), lambda acc, x: acc + x)
+
+    def of_blocks(blocks: Column) -> Column:
+        def offsets(sums: Column) -> Column:
+            return F.flatten(F.transform(blocks, lambda b, k: let(
+                total(F.slice(sums, F.lit(1), k)),
+                lambda before: F.transform(b, lambda x, i: before + total(F.slice(b, F.lit(1), i))))))
+
+        return let(F.transform(blocks, total), offsets)
+
+    cut = lambda xs: F.transform(
+        F.sequence(F.lit(0), F.size(xs) - 1, F.lit(block)), lambda s: F.slice(xs, s + 1, F.lit(block)))
+    return let(numbers, lambda xs: F.when(F.size(xs) > 0, let(cut(xs), of_blocks)).otherwise(F.slice(xs, 1, 0)))

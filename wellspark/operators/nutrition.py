@@ -155,8 +155,18 @@ def _msg(template: str, **parts: Column) -> Column:
 
 
 def number_text(c: Column) -> Column:
-    """Python ``f"{x}"`` for a double in the ordinary range (1e-3 <= |x| < 1e7): e.g. ``43.0``, ``1432.77``."""
-    return c.cast("string")
+    """Python ``f"{x}"`` for a double: ``43.0``, ``12345678.5``, ``1e+16``, ``1e-05``. The digits are those of the JVM,
+    which beyond some 1e17 are not always the shortest."""
+    shortest = c.cast("string")  # the same digits, in scientific form outside 1e-3 to 1e7
+    plain = F.regexp_replace(shortest.try_cast("decimal(38,20)").cast("string"), "0+$", "")
+    plain = F.when(plain.endswith("."), F.concat(plain, F.lit("0"))).otherwise(plain)
+    mantissa = F.regexp_replace(F.substring_index(shortest, "E", 1), r"\.0$", "")
+    power = F.substring_index(shortest, "E", -1).try_cast("int")
+    scientific = F.concat(mantissa, F.lit("e"), F.when(power < 0, F.lit("-")).otherwise(F.lit("+")),
+                          F.lpad(F.abs(power).cast("string"), F.greatest(F.lit(2), F.length(F.abs(power).cast("string"))), F.lit("0")))
+    size = F.abs(c)
+    return (F.when(~shortest.contains("E"), shortest).when((size >= 1e-4) & (size < 1e16), plain)
+            .otherwise(scientific))
 
 
 def risk_rules(totals: DataFrame, messages: str = "reference") -> DataFrame:
@@ -206,6 +216,11 @@ def format_totals(df: DataFrame, suffix: str = "_text") -> DataFrame:
     )
 
 
+def normalised_name(c: Column) -> Column:
+    """A food's name lower-cased, stripped and with single spaces."""
+    return F.lower(F.regexp_replace(F.regexp_replace(c.cast("string"), r"\s+", " "), r"^ | $", ""))
+
+
 def price_foods(
     log: DataFrame,
     nutrients: DataFrame,
@@ -217,16 +232,21 @@ def price_foods(
 ) -> DataFrame:
     """Food log joined to a per-serving nutrient table on the food, values times servings.
 
-    Text names are compared lower-cased with whitespace collapsed (``normalise_names``); numeric ids as they are.
-    Unknown foods keep NULL nutrients (left join). The nutrient table is data-sized, so AQE decides between
-    broadcast and shuffle join from its runtime size.
+    Text names are compared lower-cased with whitespace collapsed (``normalise_names``); numeric ids as they are. Of
+    several foods with one normalised name the first in order of the written name, then of all other columns, counts,
+    so that a log row stays one row. Unknown foods keep NULL nutrients (left join). The nutrient table is data-sized,
+    so AQE decides between broadcast and shuffle join from its runtime size.
     """
     def norm(c: Column) -> Column:
-        if not normalise_names:
-            return c
-        return F.lower(F.regexp_replace(F.regexp_replace(c.cast("string"), r"\s+", " "), r"^ | $", ""))
-
-    t = nutrients.withColumn("__food", norm(F.col(table_food_col))).drop(table_food_col)
+        return normalised_name(c) if normalise_names else c
+
+    others = [c for c in nutrients.columns if c != table_food_col]
+    t = nutrients.withColumn("__food", norm(F.col(table_food_col)))
+    if normalise_names:
+        t = t.groupBy("__food").agg(F.min(F.struct(table_food_col, *others)).alias("__row")).select(
+            "__food", *[F.col(f"__row.{c}").alias(c) for c in others])
+    else:
+        t = t.drop(table_food_col)
     lg = log.withColumn("__food", norm(F.col(log_food_col)))
     out = lg.join(t, on="__food", how="left")
     return out.withColumns({c: F.col(c) * F.col(servings_col) for c in per_serving}).drop("__food")

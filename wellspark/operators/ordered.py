@@ -34,6 +34,14 @@ def _bucketed(df: DataFrame, keys: Sequence[str], bucket: Column) -> DataFrame:
     return df.withColumn("__group", F.struct(*[F.col(k) for k in keys], bucket.alias("__bucket")))
 
 
+def join_back(df: DataFrame, small: DataFrame, keys: Sequence[str], how: str = "inner") -> DataFrame:
+    """``df`` joined with a per-key table on the keys as one struct, so that the rows of NULL keys find theirs, as in a
+    plain window."""
+    others = [c for c in small.columns if c not in set(keys)]
+    side = small.select(F.struct(*_cols(keys)).alias("__key"), *others)
+    return df.withColumn("__key", F.struct(*_cols(keys))).join(side, on="__key", how=how).drop("__key")
+
+
 def lag_across_buckets(
     df: DataFrame,
     keys: Sequence[str],

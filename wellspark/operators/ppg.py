@@ -13,7 +13,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from wellspark.operators.ordered import day_bucket, lag_across_buckets, row_number_across_buckets
+from wellspark.operators.ordered import day_bucket, join_back, lag_across_buckets, row_number_across_buckets
 
 CHUNK_ROWS = 60 * 20  # 60 s at 20 Hz (fixed value of the reference)
 
@@ -74,11 +74,8 @@ def last_segment(
         )
         .where(F.col("__second").isNotNull())
     )
-    out = (
-        marked.drop("__start")
-        .join(bounds, on=keys, how="inner")
-        .where((pos >= F.col("__second")) & (pos <= F.col("__last")))
-    )
+    out = join_back(marked.drop("__start"), bounds, keys).where(
+        (pos >= F.col("__second")) & (pos <= F.col("__last")))
     if closing_flag:
         out = out.withColumn(closing_flag, pos == F.col("__last"))
     return out.drop("__second", "__last")
@@ -96,6 +93,25 @@ def fixed_chunks(
     return out.withColumn("chunk_id", F.floor((F.col("row_no") - 1) / F.lit(rows)).cast("long"))
 
 
+def time_chunks(
+    df: DataFrame,
+    keys: Sequence[str],
+    ts: str,
+    seconds: float = CHUNK_ROWS / 20,
+    out: str = "chunk_id",
+) -> DataFrame:
+    """W3 by time: ``chunk_id = floor((ts - the key's first ts) / seconds)``, whatever the sampling rate and however long
+    a pause (a pause leaves chunk numbers out). Rows without a time have no chunk (NULL).
+
+    The first times are a grouped minimum (combined map-side), joined back; no window, and no row number.
+    """
+    keys = list(keys)
+    first = df.groupBy(*keys).agg(F.min(micros(ts)).alias("__us0"))
+    length = F.lit(int(round(seconds * 1_000_000)))
+    return join_back(df, first, keys).withColumn(
+        out, F.floor((micros(ts) - F.col("__us0")) / length).cast("long")).drop("__us0")
+
+
 def micros(ts: str) -> Column:
     return F.unix_micros(F.col(ts).cast("timestamp"))
 

@@ -115,27 +115,26 @@ def attachments(df: DataFrame, keys: Sequence[str], text_col: str) -> DataFrame:
     Offsets come from the split pieces: start of match k = lengths of pieces 0..k + lengths of matches 0..k-1.
     """
     t = F.col(text_col)
-    matches = F.regexp_extract_all(t, F.lit(tx.ATTACHMENT_PATTERN), F.lit(0))
-    pieces = F.split(t, tx.ATTACHMENT_PATTERN, -1)
-
-    def total_len(arr: Column) -> Column:
-        return F.aggregate(arr, F.lit(0), lambda acc, s: acc + F.length(s))
-
-    rows = F.transform(
-        matches,
-        lambda m, i: F.struct(
-            F.regexp_extract(m, tx.ATTACHMENT_PATTERN, 1).alias("path"),
-            (total_len(F.slice(pieces, F.lit(1), i + 1)) + total_len(F.slice(matches, F.lit(1), i))).alias("start"),
-            F.length(m).alias("__len"),
-        ),
-    )
-    out = df.select(*keys, F.posexplode(rows).alias("att_no", "__a"))
+    found = F.struct(F.regexp_extract_all(t, F.lit(tx.ATTACHMENT_PATTERN), F.lit(0)).alias("whole"),
+                     F.regexp_extract_all(t, F.lit(tx.ATTACHMENT_PATTERN), F.lit(1)).alias("path"),
+                     F.split(t, tx.ATTACHMENT_PATTERN, -1).alias("pieces"))
+
+    def placed(m: Column) -> Column:
+        both = F.zip_with(F.slice(m["pieces"], F.lit(1), F.size(m["whole"])), m["whole"],
+                          lambda piece, whole: F.length(piece) + F.length(whole))
+        ends = F.transform(F.arrays_zip(tx.running_totals(both).alias("before"), both.alias("both"),
+                                        m["whole"].alias("whole"), m["path"].alias("path")),
+                           lambda x: F.struct(x["path"].alias("path"), F.length(x["whole"]).alias("length"),
+                                              (x["before"] + x["both"]).alias("end")))
+        return F.when(F.size(m["whole"]) > 0, ends)
+
+    out = df.select(*keys, F.posexplode(tx.let(found, placed)).alias("att_no", "__a"))
     return out.select(
         *keys,
         "att_no",
         F.col("__a.path").alias("path"),
-        F.col("__a.start").cast("long").alias("start_pos"),
-        (F.col("__a.start") + F.col("__a.__len")).cast("long").alias("end_pos"),
+        (F.col("__a.end") - F.col("__a.length")).cast("long").alias("start_pos"),
+        F.col("__a.end").cast("long").alias("end_pos"),
     )
 
 

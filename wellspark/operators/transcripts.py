@@ -13,7 +13,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from wellspark.functions import parsing as ps
-from wellspark.operators.ordered import row_number_across_buckets
+from wellspark.operators.ordered import join_back, row_number_across_buckets
+from wellspark.session import materialize, path_exists
 
 MAX_PASSES = 11  # evaluated passes per question (fixed value of the reference loop)
 EVIDENCE_RULE = "\n------------------\n"
@@ -217,16 +218,12 @@ def run_outcome(
     passes that it never comes to. Pass numbers come from the distributed row numbering (no whole-run window).
     """
     run_keys = list(run_keys)
-    numbered = row_number_across_buckets(passes, run_keys, order, "pass_no", bucket=bucket)
     ok = F.col("parse_status") == "ok"
     later = F.col("pass_no") > 1
     change, step = F.col("strategy_change") & later, F.col("step_success") & later
     success = ok & step & ~change
     error = F.col("parse_status").isin("bad_flag", "no_code") | (ok & step & change)
-    first = numbered.groupBy(*run_keys).agg(
-        F.count(F.lit(1)).alias("n_passes"), F.min(F.when(success | error, F.col("pass_no"))).alias("__end")
-    )
-    j = numbered.join(first, on=run_keys, how="inner")
+    j = _numbered_passes(passes, run_keys, order, bucket, success, error)
     ev = F.col("pass_no") <= F.least(F.coalesce(F.col("__end"), F.col("n_passes")), F.lit(max_passes))
     return j.groupBy(*run_keys).agg(
         F.first("n_passes").alias("n_passes"),
@@ -240,6 +237,50 @@ def run_outcome(
     )
 
 
+def _numbered_passes(
+    passes: DataFrame, run_keys: list[str], order: Sequence[str], bucket: Column | None, success: Column, error: Column
+) -> DataFrame:
+    """The passes with their number, their run's number of passes and the number of the pass that ends the loop."""
+    numbered = row_number_across_buckets(passes, run_keys, order, "pass_no", bucket=bucket)
+    first = numbered.groupBy(*run_keys).agg(
+        F.count(F.lit(1)).alias("n_passes"), F.min(F.when(success | error, F.col("pass_no"))).alias("__end"))
+    return join_back(numbered, first, run_keys)
+
+
+def succeeded_passes(
+    passes: DataFrame, run_keys: Sequence[str], order: Sequence[str], bucket: Column | None = None,
+    max_passes: int = MAX_PASSES,
+) -> DataFrame:
+    """Per run, the pass that ends its loop in success (at most one), with ``pass_no``; the rules of
+    :func:`run_outcome`."""
+    ok = F.col("parse_status") == "ok"
+    later = F.col("pass_no") > 1
+    change, step = F.col("strategy_change") & later, F.col("step_success") & later
+    success = ok & step & ~change
+    error = F.col("parse_status").isin("bad_flag", "no_code") | (ok & step & change)
+    j = _numbered_passes(passes, list(run_keys), order, bucket, success, error)
+    return j.where(success & (F.col("pass_no") == F.col("__end")) & (F.col("pass_no") <= max_passes)).drop(
+        "__end", "n_passes")
+
+
+def append_history(actions: DataFrame, path: str, keys: Sequence[str]) -> DataFrame:
+    """Append the actions of succeeded passes to the history table at ``path`` and return the whole history.
+
+    ``keys`` name an action (run, pass and call number). Actions that the history has are left out by an anti-join that
+    takes NULL keys as equal, and rows that repeat within ``actions`` are kept once, so an append that is run again,
+    after a lost job or with an overlapping batch, adds nothing. The history is read before it is written: the rows to
+    add go through a written table.
+    """
+    spark, keys = actions.sparkSession, list(keys)
+    fresh = actions.dropDuplicates()
+    if path_exists(spark, path):
+        known = spark.read.schema(actions.schema).parquet(path).select(F.struct(*keys).alias("__key")).distinct()
+        fresh = fresh.withColumn("__key", F.struct(*keys)).join(known, on="__key", how="left_anti").drop("__key")
+        fresh = materialize(fresh, "history")
+    fresh.write.mode("append").parquet(path)
+    return spark.read.schema(actions.schema).parquet(path)
+
+
 def tool_usage(checked: DataFrame, run_keys: Sequence[str], task_col: str = "task") -> DataFrame:
     """Per tool: calls, distinct runs, unknown-tool, wrong-arity and missing-dependency counts."""
     run = F.concat_ws("\u0001", *[F.col(k).cast("string") for k in run_keys])

@@ -15,6 +15,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from wellspark.operators.ordered import join_back
 from wellspark.functions.numeric import days_since_epoch, round_half_even
 from wellspark.operators.selecting import measure_columns
 
@@ -95,7 +96,7 @@ def trend_line(
     fit = fit.withColumn(
         "intercept", F.col("__ybar") - F.col("slope") * (F.col("__xbar") - F.col("__x0"))
     ).select(*keys, "slope", "intercept", "__x0")
-    out = df.join(fit, on=keys, how="inner")
+    out = join_back(df, fit, keys)
     return out.withColumn(
         "fitted", F.col("intercept") + F.col("slope") * (x - F.col("__x0"))
     ).drop("__x0")

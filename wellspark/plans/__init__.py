@@ -6,7 +6,7 @@ import importlib
 
 # modules contributing QUERIES / ORACLES dicts
 _MODULES = ("basic", "nutrition", "signals", "text", "transcripts", "scoring", "ppg_chain", "streams", "derived",
-            "records")
+            "records", "files")
 
 
 def _load():

@@ -101,7 +101,20 @@ def food_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def food_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """J7 on names: each part type as eaten (written in other letters and spaces), priced through the parts' names, of
+    which many are the same once normalised."""
+    part = table(spark, sf_dir, "part")
+    log = part.select("p_partkey", F.concat(F.lit("  "), F.upper(F.replace("p_name", F.lit(" "), F.lit("   "))))
+                      .alias("food"), F.col("p_size").cast("double").alias("servings"))
+    log = log.withColumn("food", F.when(F.col("p_partkey") % 10 == 0, F.concat("food", F.lit(" pie"))).otherwise(F.col("food")))
+    per_serving = part.select("p_name", round2(F.col("p_retailprice") / F.lit(100.0)).alias("calories"))
+    priced = nu.price_foods(log, per_serving, "food", "p_name", "servings", ["calories"])
+    return priced.select("p_partkey", "food", round2("calories").alias("calories"))
+
+
 QUERIES = {
+    "food_names": food_names,
     "nutrient_totals": nutrient_totals,
     "nutrient_totals_nested": nutrient_totals_nested,
     "risk_rules": risk_rules,
@@ -188,6 +201,12 @@ ORACLES = {
       SELECT l_orderkey, {", ".join(n for n in nu.NUTRIENT_FIELDS if n not in nu.UNITS)},
         {", ".join(f"concat(CAST({n} AS VARCHAR), '{u}') AS {n}" for n, u in nu.UNITS.items())}
       FROM totals""",
+    "food_names": f"""
+      WITH t AS (SELECT p_name, MIN({_r2('p_retailprice / 100.0::DOUBLE')}) AS calories FROM part GROUP BY 1),
+      l AS (SELECT p_partkey, p_name, p_size, concat('  ', upper(replace(p_name, ' ', '   ')),
+              CASE WHEN p_partkey % 10 = 0 THEN ' pie' ELSE '' END) AS food FROM part)
+      SELECT p_partkey, food, CASE WHEN p_partkey % 10 <> 0 THEN {_r2('calories * p_size')} END AS calories
+      FROM l JOIN t USING (p_name)""",
     "food_join": f"""
       SELECT l.l_orderkey,
         {_r2('SUM(' + _r2('p.p_retailprice / 100.0::DOUBLE') + ' * l.l_quantity)')} AS Calories,

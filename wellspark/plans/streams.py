@@ -13,6 +13,7 @@ from wellspark.operators import nutrition as nu
 from wellspark.plans.nutrition import FOODS_SQL, RISKS_SQL, SHARES_SQL, foods_of
 from wellspark.sources.tables import table
 from wellspark.streaming import jobs
+from wellspark.streaming.zero_runs import zero_run_sessions
 
 
 def _stream(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -21,10 +22,10 @@ def _stream(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.readStream.schema(schema).option("basePath", sf_dir).parquet(os.path.join(sf_dir, f"{name}.parquet*"))
 
 
-def stream_window_60s(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _windows(spark: SparkSession, sf_dir: str, width: str, name: str) -> DataFrame:
     ev = _stream(spark, sf_dir, "events").withColumn("ts", F.col("ts").cast("timestamp"))
-    agg = jobs.windowed_stats(ev, ["user_id"], "ts", "value")
-    out = jobs.run_to_table(spark, agg, "window60", group_keys=["user_id", "window_start"])
+    agg = jobs.windowed_stats(ev, ["user_id"], "ts", "value", width=width)
+    out = jobs.run_to_table(spark, agg, name, group_keys=["user_id", "window_start"])
     return out.select(
         "user_id",
         F.col("window_start").cast("timestamp_ntz").alias("window_start"),
@@ -33,10 +34,22 @@ def stream_window_60s(spark: SparkSession, sf_dir: str) -> DataFrame:
         "min_value",
         "max_value",
         round_half_even("mean_value", 2).alias("mean_value"),
-        round_half_even("mean_interval_ms", 4).alias("mean_interval_ms"),
+        *[round_half_even(c, 4).alias(c) for c in ("mean_interval_ms", *RR_METRICS)],
     )
 
 
+RR_METRICS = ("sdnn_ms", "rmssd_ms", "pnn50")
+
+
+def stream_window_60s(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _windows(spark, sf_dir, "60 seconds", "window60")
+
+
+def stream_window_day(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same job in windows of a day, which hold several events of a user."""
+    return _windows(spark, sf_dir, "1 day", "window1d")
+
+
 def stream_daily_nutrients(spark: SparkSession, sf_dir: str) -> DataFrame:
     li = _stream(spark, sf_dir, "lineitem").withColumn("l_shipdate", F.col("l_shipdate").cast("timestamp"))
     f = foods_of(li).withColumn("l_shipdate", F.col("l_shipdate"))
@@ -53,8 +66,8 @@ def stream_daily_nutrients(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def stream_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
     ev = _stream(spark, sf_dir, "events").withColumn("ts", F.col("ts").cast("timestamp"))
-    agg = jobs.sessions(ev, ["user_id"], "ts", gap="30 minutes")
-    out = jobs.run_to_table(spark, agg, "sessions", group_keys=["user_id", "session_start"], mode="complete")
+    out = jobs.run_closed(
+        spark, ev, "ts", lambda s: jobs.sessions(s, [jobs.MARK, "user_id"], "ts", gap="30 minutes"), "sessions")
     return out.select(
         "user_id",
         F.col("session_start").cast("timestamp_ntz").alias("session_start"),
@@ -63,6 +76,20 @@ def stream_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def stream_zero_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sessions from one run of 'error' events to the next, by keyed state and event-time timers."""
+    ev = _stream(spark, sf_dir, "events").withColumn("ts", F.col("ts").cast("timestamp"))
+    zero = F.col("event_type") == "error"
+    out = jobs.run_closed(
+        spark, ev, "ts",
+        lambda s: zero_run_sessions(s, [jobs.MARK, "user_id"], "ts", "event_id", zero, "value"), "zero-runs")
+    return out.select(
+        "user_id", F.col("session_start").cast("timestamp_ntz").alias("session_start"),
+        F.col("start_tie").alias("start_event"), F.col("session_end").cast("timestamp_ntz").alias("session_end"),
+        F.col("end_tie").alias("end_event"), F.col("n").alias("n_events"),
+        round_half_even("total", 2).alias("sum_value"))
+
+
 def stream_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Events delivered twice (two replays of the same files) -> one row per event after dedup."""
     a = _stream(spark, sf_dir, "events")
@@ -75,8 +102,10 @@ def stream_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "stream_window_60s": stream_window_60s,
+    "stream_window_day": stream_window_day,
     "stream_daily_nutrients": stream_daily_nutrients,
     "stream_sessions": stream_sessions,
+    "stream_zero_runs": stream_zero_runs,
     "stream_dedup": stream_dedup,
 }
 
@@ -84,6 +113,27 @@ def _r2(x: str) -> str:
     return f"round_even(({x}) * 100, 0) / 100"
 
 
+def _r4(x: str) -> str:
+    return f"round_even(({x}) * 10000, 0) / 10000"
+
+
+def _windows_sql(unit: str) -> str:
+    w = "PARTITION BY user_id, window_start ORDER BY ts, event_id"
+    return f"""
+      WITH e AS (SELECT *, date_trunc('{unit}', ts) AS window_start FROM events),
+      i AS (SELECT *, floor((epoch_us(ts) - lag(epoch_us(ts)) OVER ({w})) / 1000)::DOUBLE AS rr FROM e),
+      d AS (SELECT *, rr - lag(rr) OVER ({w}) AS d FROM i)
+      SELECT user_id, window_start, COUNT(*) AS n_events,
+             {_r2("SUM(value)")} AS sum_value, MIN(value) AS min_value, MAX(value) AS max_value,
+             {_r2("AVG(value)")} AS mean_value,
+             {_r4("(epoch_us(MAX(ts)) - epoch_us(MIN(ts))) / 1000.0::DOUBLE / NULLIF(COUNT(*) - 1, 0)")}
+               AS mean_interval_ms,
+             {_r4("stddev_samp(rr)")} AS sdnn_ms,
+             {_r4("CASE WHEN COUNT(rr) > 1 THEN sqrt(AVG(d * d)) END")} AS rmssd_ms,
+             {_r4("100.0::DOUBLE * COUNT(*) FILTER (WHERE abs(d) > 50) / NULLIF(COUNT(rr), 0)")} AS pnn50
+      FROM d GROUP BY 1, 2"""
+
+
 ORACLES = {
     "stream_daily_nutrients": f"""
       WITH {FOODS_SQL},
@@ -93,13 +143,20 @@ ORACLES = {
         FROM foods f JOIN orders o ON f.l_orderkey = o.o_orderkey
         GROUP BY 1, 2), {SHARES_SQL}
       SELECT o_custkey, day, n_foods, {", ".join(nu.NUTRIENT_FIELDS)}, {RISKS_SQL} FROM shares""",
-    "stream_window_60s": """
-      SELECT user_id, date_trunc('minute', ts) AS window_start, COUNT(*) AS n_events,
-             round_even(SUM(value) * 100, 0) / 100 AS sum_value, MIN(value) AS min_value, MAX(value) AS max_value,
-             round_even(AVG(value) * 100, 0) / 100 AS mean_value,
-             round_even((epoch_us(MAX(ts)) - epoch_us(MIN(ts))) / 1000.0::DOUBLE / NULLIF(COUNT(*) - 1, 0) * 10000, 0) / 10000
-               AS mean_interval_ms
-      FROM events GROUP BY 1, 2""",
+    "stream_window_60s": _windows_sql("minute"),
+    "stream_window_day": _windows_sql("day"),
+    "stream_zero_runs": """
+      WITH m AS (SELECT *, event_type = 'error' AS z, row_number() OVER w AS rn,
+                   event_type = 'error' AND COALESCE(lag(event_type) OVER w <> 'error', TRUE) AS is_start
+                 FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)),
+           s AS (SELECT user_id, ts, event_id, rn, lead(ts) OVER w AS end_ts, lead(event_id) OVER w AS end_event,
+                   lead(rn) OVER w AS end_rn
+                 FROM m WHERE is_start WINDOW w AS (PARTITION BY user_id ORDER BY rn))
+      SELECT s.user_id, s.ts AS session_start, s.event_id AS start_event, any_value(s.end_ts) AS session_end,
+             any_value(s.end_event) AS end_event, COUNT(*) AS n_events,
+             round_even(SUM(m.value) * 100, 0) / 100 AS sum_value
+      FROM s JOIN m ON m.user_id = s.user_id AND m.rn BETWEEN s.rn AND s.end_rn
+      WHERE s.end_rn IS NOT NULL GROUP BY 1, 2, 3""",
     "stream_sessions": """
       WITH g AS (SELECT user_id, ts,
                    CASE WHEN lag(ts) OVER (PARTITION BY user_id ORDER BY ts) IS NULL

@@ -13,6 +13,7 @@ from wellspark.functions import text as tx
 from wellspark.operators import text as to
 from wellspark.sources.tables import table
 
+FETCH_FAILED = "The page could not be fetched."
 SMALL_BUDGET_TOKENS = 1000  # a 1 000-token model budget: 4 000-character chunks
 
 
@@ -21,6 +22,15 @@ def page_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return to.page_text(p, "url", "html").select("page_id", "url_ok", "is_pdf", "text")
 
 
+def fetched_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """P17 over stored fetches: the visible text of a page that was fetched, else the message of a failed fetch. A page
+    whose URL has a fragment plays a failed fetch (404), every other one 200."""
+    p = table(spark, sf_dir, "pages").withColumn(
+        "status", F.when(F.col("url").contains("#"), F.lit(404)).otherwise(F.lit(200)))
+    text = tx.status_text("status", tx.html_visible_text("html"), FETCH_FAILED)
+    return p.select("page_id", "status", F.length(text).cast("long").alias("n_chars"), F.md5(text).alias("text_md5"))
+
+
 def text_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = table(spark, sf_dir, "documents").select("doc_id", "text")
     return to.chunk_text(d, ["doc_id"], "text").withColumn("chunk_no", F.col("chunk_no").cast("long"))
@@ -111,6 +121,7 @@ def kv_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "page_text": page_text,
+    "fetched_text": fetched_text,
     "text_chunks": text_chunks,
     "text_chunks_1k": text_chunks_1k,
     "token_budget": token_budget,
@@ -132,17 +143,38 @@ _INVISIBLE = "(?is)<!--.*?-->|<!doctype[^>]*>|" + "|".join(
     rf"<{e}\b[^>]*>.*?</{e}\s*>" for e in ("script", "style", "template"))
 
 
-_VISIBLE = f"""
-  {"".join("replace(" for _ in tx.ENTITIES)}array_to_string(list_filter(list_transform(
+def _map(entries: dict[str, str]) -> str:
+    quoted = lambda xs: ", ".join(f"'{_q(x)}'" for x in xs)
+    return f"map([{quoted(entries)}], [{quoted(entries.values())}])"
+
+
+_EDGES = "^[\\s\\p{Z}\\x1c-\\x1f\\x{85}]+|[\\s\\p{Z}\\x1c-\\x1f\\x{85}]+$"
+_NUMBER = "^#([0-9]+|[xX][0-9a-fA-F]+);?"
+_NAME = "^[^\\t\\n\\f <&#;]{1,32};?"
+_VALUE = f"""TRY_CAST(CASE WHEN regexp_matches(p, '^#[xX]') THEN '0x' || substr(regexp_extract(p, '{_NUMBER}', 1), 2)
+  ELSE regexp_extract(p, '{_NUMBER}', 1) END AS BIGINT)"""
+# the character of a number v, as browsers read it
+_CHARACTER = """CASE WHEN v IS NULL OR v > 1114111 OR v BETWEEN 55296 AND 57343 THEN chr(65533)
+  WHEN numbers[v::VARCHAR] IS NOT NULL THEN numbers[v::VARCHAR]
+  WHEN v < 9 OR v = 11 OR v BETWEEN 14 AND 31 OR v = 127 OR v BETWEEN 64976 AND 65007 OR v % 65536 >= 65534 THEN ''
+  ELSE chr(v::INTEGER) END"""
+_OLDER = ", ".join(f"names[substr(p, 1, {n})] || substr(p, {n + 1})" for n in tx.OLD_NAMES)
+_DECODED = f"""array_to_string(list_transform(string_split(node, '&'), lambda p, i:
+    CASE WHEN i = 1 THEN p
+         WHEN regexp_matches(p, '{_NUMBER}')
+         THEN list_transform([{_VALUE}], lambda v: {_CHARACTER})[1] || regexp_replace(p, '{_NUMBER}', '')
+         ELSE COALESCE(names[regexp_extract(p, '{_NAME}')] || regexp_replace(p, '{_NAME}', ''), {_OLDER}, '&' || p)
+    END), '')"""
+_VISIBLE = f"""array_to_string(list_filter(list_transform(
     regexp_split_to_array(regexp_replace(html, '{_INVISIBLE}', ' ', 'g'), '<[^>]*>'),
-    lambda p: regexp_replace(p, '^\\s+|\\s+$', '', 'g')), lambda p: length(p) > 0), ' ')
-  {"".join(f", '{_q(a)}', '{_q(b)}')" for a, b in tx.ENTITIES)}"""
+    lambda node: regexp_replace({_DECODED}, '{_EDGES}', '', 'g')), lambda p: length(p) > 0), ' ')"""
 
 _PAGES = f"""
   WITH u AS (SELECT page_id, html,
                     COALESCE(lower(NULLIF(regexp_extract(url, '^([A-Za-z][A-Za-z0-9+.-]*):', 1), '')) IN ('http', 'https'),
                              FALSE) AS url_ok,
-                    lower(url) LIKE '%.pdf' AS is_pdf
+                    lower(url) LIKE '%.pdf' AS is_pdf, {_map(tx.NAMED_ENTITIES)} AS names,
+                    {_map({str(n): c for n, c in tx.REPLACED_NUMBERS.items()})} AS numbers
              FROM pages)
   SELECT page_id, url_ok, is_pdf, CASE WHEN url_ok AND NOT is_pdf THEN {_VISIBLE} END AS text FROM u"""
 
@@ -173,6 +205,12 @@ _PATH_RE2 = "(?:^|\\s)(/[^ \\n\\t]+\\.(?:jpg|jpeg|png|webp|gif|bmp))"
 
 ORACLES = {
     "page_text": _PAGES,
+    "fetched_text": f"""
+  WITH s AS (SELECT *, CASE WHEN contains(url, '#') THEN 404 ELSE 200 END AS status,
+               {_map(tx.NAMED_ENTITIES)} AS names, {_map({str(n): c for n, c in tx.REPLACED_NUMBERS.items()})} AS numbers
+             FROM pages),
+  t AS (SELECT page_id, status, CASE WHEN status = 200 THEN {_VISIBLE} ELSE '{FETCH_FAILED}' END AS text FROM s)
+  SELECT page_id, status, CAST(length(text) AS BIGINT) AS n_chars, md5(text) AS text_md5 FROM t""",
     "text_chunks": _chunks(10000 * 4),
     "text_chunks_1k": _chunks(SMALL_BUDGET_TOKENS * 4),
     "token_budget": """

@@ -7,11 +7,14 @@ an md5-derived 36-character key, run = calendar day); ``event_type`` is the task
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from wellspark.functions import parsing as ps
 from wellspark.operators import transcripts as tr
+from wellspark.session import materialize, scratch_path
 from wellspark.sources.tables import table
 
 # Fixed task registry of the reference's wearable tasks: name, number of inputs, declared dependency.
@@ -116,6 +119,21 @@ def run_outcome(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def action_history(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The calls of each run's succeeded pass, appended to a history table in two overlapping batches, of which the
+    second comes twice, as after a lost job."""
+    done = tr.succeeded_passes(parsed_replies(spark, sf_dir), ["conv_id"], ["turn"],
+                               bucket=F.floor(F.col("turn") / F.lit(512)))
+    calls = tr.extract_tool_calls(done, ["conv_id", "pass_no"], "code")
+    calls = materialize(calls.select("conv_id", "pass_no", "call_no", "task", F.concat_ws(", ", "args").alias("inputs")),
+                        "calls")
+    path = scratch_path(spark, f"tables/action-history-{uuid.uuid4().hex[:12]}")
+    keys = ["conv_id", "pass_no", "call_no"]
+    tr.append_history(calls.where(F.col("task") == "affect_ppg_get"), path, keys)
+    tr.append_history(calls, path, keys)
+    return tr.append_history(calls, path, keys)
+
+
 def decision_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = table(spark, sf_dir, "conversations")
     t = F.coalesce(F.col("text"), F.lit(""))
@@ -207,6 +225,7 @@ QUERIES = {
     "reply_tags": reply_tags,
     "tool_calls": tool_calls,
     "run_outcome": run_outcome,
+    "action_history": action_history,
     "decision_text": decision_text,
     "react_parse": react_parse,
     "action_refs": action_refs,
@@ -303,6 +322,20 @@ _CALLS = f"""{_REPLIES},
           FROM calls c LEFT JOIN reg ON c.task = reg.task),
   firsts AS (SELECT conv_id, task, min(turn * 1000000 + call_no) AS first_pos FROM calls GROUP BY 1, 2)"""
 
+# the evaluation loop: what each pass is, and whether the loop comes to it (ev)
+_LOOP = f"""
+      num AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS pass_no FROM parsed),
+      fl AS (SELECT *, CASE
+               WHEN parse_status = 'missing_tag' THEN 'skipped'
+               WHEN parse_status <> 'ok' THEN 'error'
+               WHEN pass_no = 1 OR NOT (strategy_change OR step_success) THEN 'failure'
+               WHEN strategy_change AND step_success THEN 'error'
+               WHEN step_success THEN 'success' ELSE 'change' END AS what FROM num),
+      j AS (SELECT *, count(*) FILTER (WHERE what IN ('error', 'success'))
+                        OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) = 0
+                      AND pass_no <= {tr.MAX_PASSES} AS ev
+            FROM fl)"""
+
 _EVENTS_LOG = f"""
   acts AS (SELECT CAST(ts AS DATE) AS run_id, event_id, event_type AS task, {_md5key('event_id')} AS key,
                   [concat('datapipe:', {_md5key("event_id - 1 - CAST(json_extract_string(props, '$.k') AS BIGINT) % 3")}),
@@ -337,18 +370,14 @@ ORACLES = {
              CASE WHEN c.depends_on IS NOT NULL
                   THEN COALESCE(f.first_pos < c.turn * 1000000 + c.call_no, FALSE) END AS dep_ok
       FROM chk c LEFT JOIN firsts f ON f.conv_id = c.conv_id AND f.task = c.depends_on""",
-    "run_outcome": f"""WITH {_REPLIES},
-      num AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS pass_no FROM parsed),
-      fl AS (SELECT *, CASE
-               WHEN parse_status = 'missing_tag' THEN 'skipped'
-               WHEN parse_status <> 'ok' THEN 'error'
-               WHEN pass_no = 1 OR NOT (strategy_change OR step_success) THEN 'failure'
-               WHEN strategy_change AND step_success THEN 'error'
-               WHEN step_success THEN 'success' ELSE 'change' END AS what FROM num),
-      j AS (SELECT *, count(*) FILTER (WHERE what IN ('error', 'success'))
-                        OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) = 0
-                      AND pass_no <= {tr.MAX_PASSES} AS ev
-            FROM fl)
+    "action_history": f"""WITH {_REPLIES}, {_LOOP},
+      ex AS (SELECT conv_id, pass_no, regexp_extract_all(code, '{_TOOL}', 1) AS names,
+               regexp_extract_all(code, '{_TOOL}', 2) AS argl FROM j WHERE ev AND what = 'success')
+      SELECT conv_id, pass_no, CAST(i AS BIGINT) AS call_no, names[i + 1] AS task,
+        array_to_string(list_transform(string_split(argl[i + 1], ','),
+          lambda a: trim(regexp_replace(a, '^\\s*[''"]|[''"]\\s*$', '', 'g'))), ', ') AS inputs
+      FROM (SELECT *, unnest(generate_series(0, len(names) - 1)) AS i FROM ex)""",
+    "run_outcome": f"""WITH {_REPLIES}, {_LOOP}
       SELECT conv_id, CAST(COUNT(*) AS BIGINT) AS n_passes,
         CAST(COUNT(*) FILTER (WHERE ev) AS BIGINT) AS attempts,
         CAST(COUNT(*) FILTER (WHERE ev AND what = 'skipped') AS BIGINT) AS skipped,

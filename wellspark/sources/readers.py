@@ -1,8 +1,9 @@
 """Scans (S1-S9, ST1 sources): CSV trees with keys from the path, nested JSON, line text, binary files.
 
-Layout of the wearable files: ``<root>/<user_id>/<device>/<file>.csv``. One scan reads every participant; the
-user id and device come from ``_metadata.file_path``, so selecting participants is a filter (and partition
-pruning once the data is rewritten as Parquet partitioned by ``user_id``/``date``).
+Layout of the wearable files: ``<root>/<user_id>/<device>/<file>.csv``, or the tree that ``sinks.write_device_tree``
+writes, ``<root>/user_id=<id>/device=<device>/file=<file>.csv/part-*``. One scan reads every participant; the user id
+and device come from ``_metadata.file_path``, so selecting participants is a filter (and partition pruning once the
+data is rewritten as Parquet partitioned by ``user_id``/``date``).
 """
 
 from __future__ import annotations
@@ -19,7 +20,9 @@ from wellspark.functions.numeric import round2
 from wellspark.operators import selecting as sel
 from wellspark.sources import schemas as S
 
-PATH_KEYS = r".*/([^/]+)/([^/]+)/[^/]+$"
+PATH_KEYS = r".*/(?:user_id=)?([^/]+)/(?:device=)?([^/]+)/[^/]+$"
+PART_FOLDER = r"/file=[^/]*(/[^/]*)$"
+ROWS_OF_TASK = (1 << 33) - 1  # the bits of monotonically_increasing_id that count a task's rows
 
 
 def _csv(spark: SparkSession, schema: T.StructType, path, streaming: bool = False):
@@ -27,6 +30,7 @@ def _csv(spark: SparkSession, schema: T.StructType, path, streaming: bool = Fals
     return (
         reader.schema(schema)
         .option("header", "true")
+        .option("escape", '"')  # a quote inside a value is doubled, as pandas and most writers do
         .option("nullValue", S.MISSING)
         .option("mode", "PERMISSIVE")
         .csv(path)
@@ -51,6 +55,7 @@ def _csv_by_name(spark: SparkSession, path, keep: Sequence[str], types: T.Struct
         reader.schema(S.all_string(header))
         .option("header", "true")
         .option("enforceSchema", "false")
+        .option("escape", '"')
         .option("nullValue", S.MISSING)
         .csv(path)
     )
@@ -61,7 +66,7 @@ def _csv_by_name(spark: SparkSession, path, keep: Sequence[str], types: T.Struct
 
 
 def _with_path_keys(df: DataFrame) -> DataFrame:
-    p = F.col("_metadata.file_path")
+    p = F.regexp_replace(F.col("_metadata.file_path"), PART_FOLDER, "$1")
     return df.withColumns(
         {"user_id": F.regexp_extract(p, PATH_KEYS, 1), "device": F.regexp_extract(p, PATH_KEYS, 2)}
     )
@@ -82,8 +87,11 @@ def _device_glob(root: str, device: str, file_name: str, users: Sequence[str] |
     """One pattern for all asked participants; one without a file gives no rows (a plain list of paths would fail)."""
     if users:
         names = [re.sub(r"([\\*?\[\]{},])", r"\\\1", u.strip()) for u in users]
-        return os.path.join(root, "{" + ",".join(names) + "}", device, file_name)
-    return os.path.join(root, "*", device, file_name)
+        names = [form + n for n in names for form in ("", "user_id=")]
+    else:
+        names = ["*"]
+    forms = (names, [device, f"device={device}"], [file_name, f"file={file_name}"])
+    return os.path.join(root, *["{" + ",".join(f) + "}" if len(f) > 1 else f[0] for f in forms])
 
 
 def read_daily_sleep(
@@ -110,12 +118,18 @@ def read_daily_activity(
 def read_ppg(
     spark: SparkSession, root: str = S.DEFAULT_DATA_DIR, users: Sequence[str] | None = None, streaming: bool = False
 ) -> DataFrame:
-    """S3: PPG samples; ``date`` = epoch-ms ``timestamp`` as a timestamp; ``sample_no`` keeps file order (Q25)."""
+    """S3: PPG samples; ``date`` = epoch-ms ``timestamp`` as a timestamp; ``sample_no`` keeps file order (Q25).
+
+    A file is read in splits, which tasks take in any order. A sample's number is its split's first byte plus its place
+    in the task: a line has several bytes, so the numbers of a split end before the next split's first byte.
+    """
     raw = _csv_by_name(spark, _device_glob(root, S.PPG_DEVICE, S.PPG_FILE, users), S.PPG_RAW, S.PPG_RAW_SCHEMA,
                        streaming)
     df = _with_path_keys(raw)
     if not streaming:
-        df = df.withColumn("sample_no", F.monotonically_increasing_id())
+        row = F.monotonically_increasing_id().bitwiseAND(F.lit(ROWS_OF_TASK))
+        place = F.col("_metadata.file_block_start") if "file_block_start" in df.select("_metadata.*").columns else F.lit(0)
+        df = df.withColumn("sample_no", place + row)
     df = df.withColumn("date", sel.parse_epoch_ms("timestamp")).drop("timestamp")
     return _rounded(df.select("user_id", "device", "date", "ppg", "hr", *(["sample_no"] if not streaming else [])))
 
@@ -139,10 +153,11 @@ def read_participants(spark: SparkSession, path: str) -> DataFrame:
 def read_sleep_datasets(spark: SparkSession, folder: str) -> DataFrame:
     """Every ``<id>_additional_sleep_data.csv`` of a folder, all strings, ``id`` from the file name."""
     path = os.path.join(folder, f"*{S.SLEEP_DATASET_SUFFIX}.csv")
+    if not _found(spark, path):  # nobody has such a file: no rows
+        return spark.createDataFrame([], S.all_string(("sleep_id", "start_time", "id")))
     df = read_string_table(spark, path)
-    return df.withColumn(
-        "id", F.regexp_extract(F.col("_metadata.file_name"), f"^(.*){S.SLEEP_DATASET_SUFFIX}", 1)
-    )
+    name = rf"/(?:file=)?([^/]*){S.SLEEP_DATASET_SUFFIX}\.csv(?:/[^/]*)?$"
+    return df.withColumn("id", F.regexp_extract(F.col("_metadata.file_path"), name, 1))
 
 
 def read_nutrition_docs(spark: SparkSession, path: str, multi_line: bool = False) -> DataFrame:

@@ -8,6 +8,7 @@ table under the session's shared checkpoint folder, keyed by ``(run_id, key)``.
 from __future__ import annotations
 
 import os
+from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -31,7 +32,27 @@ def columns_json(df: DataFrame, cols) -> DataFrame:
 
 def append_csv(df: DataFrame, path: str) -> None:
     """Append rows to a CSV folder (header on every part file, as each append writes its own file)."""
-    df.write.mode("append").option("header", "true").csv(path)
+    df.write.mode("append").option("header", "true").option("escape", '"').csv(path)
+
+
+def write_device_tree(df: DataFrame, root: str, device: str, file_name: str, user_col: str = "user_id",
+                      order: Sequence[str] = ()) -> None:
+    """The wearable layout as a partitioned CSV tree, one folder per participant, that the S1 to S3 readers take.
+
+    Rows of one participant meet in one task and are written in the order of the columns named in ``order``, which are
+    not written themselves."""
+    placed = df.withColumns({"user_id": F.col(user_col).cast("string"), "device": F.lit(device), "file": F.lit(file_name)})
+    if user_col != "user_id":
+        placed = placed.drop(user_col)
+    tree = ("user_id", "device", "file")
+    placed = placed.repartition("user_id").sortWithinPartitions(*tree, *order)  # the writer sorts by the folders itself
+    kept = [c for c in df.columns if c != user_col and c not in order]
+    placed.select(*kept, *tree).write.mode("append").partitionBy(*tree).option("header", "true").csv(root)
+
+
+def write_json_lines(json: DataFrame, path: str, col: str = "json") -> None:
+    """One JSON text per line."""
+    json.select(col).write.mode("overwrite").text(path)
 
 
 def envelope(data: Column, description: Column) -> Column:

@@ -2,18 +2,20 @@
 
 * ``windowed_stats``  ST2: per-key tumbling windows (60 s = one 1200-sample chunk at 20 Hz) with a watermark.
 * ``daily_totals``    ST3: running per-key daily sums, rules applied after aggregation by the caller.
-* ``sessions``        ST4: ``session_window`` per key (inactivity gap).
+* ``sessions``        ST4: ``session_window`` per key (inactivity gap); by zero runs in ``streaming.zero_runs``.
 * ``dedup``           ST5: ``dropDuplicatesWithinWatermark`` on an event id.
 * ``run_to_table``    drives any of them to completion with ``availableNow`` and a fault-tolerant sink:
                       aggregations are written per micro-batch in update mode (with the batch id), so the
                       latest version of every group is recovered by one grouped ``max_by`` when read back;
                       checkpoints and output live under the session's shared checkpoint folder.
+* ``run_closed``      drives an append-mode job to completion and then closes what the watermark left open, so that
+                      state holds open groups only and still no group is lost at the end of the input.
 """
 
 from __future__ import annotations
 
 import uuid
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -21,11 +23,43 @@ from pyspark.sql import functions as F
 from wellspark.session import scratch_path
 
 
+def interval_metrics(times: Column) -> dict[str, Column]:
+    """SDNN, RMSSD (ms) and pNN50 (percent) of the intervals between sorted times (microseconds).
+
+    Intervals are whole milliseconds (W5); equal times are an interval of 0. Too few intervals give NULL.
+    """
+    pairs = F.greatest(F.size(times) - 1, F.lit(0))
+    rr = F.zip_with(F.slice(times, 2, pairs), F.slice(times, F.lit(1), pairs),
+                    lambda b, a: F.floor((b - a) / F.lit(1000)).cast("double"))
+
+    def metric(rr: Column) -> Column:
+        n = F.size(rr)
+        total = lambda xs, f: F.aggregate(xs, F.lit(0.0), lambda acc, x: acc + f(x))
+        later = F.greatest(n - 1, F.lit(0))
+        d = F.zip_with(F.slice(rr, 2, later), F.slice(rr, F.lit(1), later), lambda b, a: b - a)
+        mean = F.try_divide(total(rr, lambda x: x), n)
+        spread = F.element_at(F.transform(F.array(mean), lambda m: total(rr, lambda x: (x - m) * (x - m))), 1)
+        far = F.size(F.filter(d, lambda x: F.abs(x) > 50))
+        return F.struct(
+            F.when(n > 1, F.sqrt(spread / (n - 1))).alias("sdnn_ms"),
+            F.when(n > 1, F.sqrt(total(d, lambda x: x * x) / (n - 1))).alias("rmssd_ms"),
+            F.when(n > 0, F.lit(100.0) * far / n).alias("pnn50"))
+
+    found = F.element_at(F.transform(F.array(rr), metric), 1)  # the intervals are computed once
+    return {c: found[c] for c in ("sdnn_ms", "rmssd_ms", "pnn50")}
+
+
 def windowed_stats(
     stream: DataFrame, keys: Sequence[str], ts: str, value: str, width: str = "60 seconds", delay: str = "10 minutes"
 ) -> DataFrame:
-    """ST2: count, sum, mean, min and max of ``value`` and the mean interval of the rows per key and tumbling window."""
-    return (
+    """ST2: count, sum, mean, min and max of ``value``, the mean interval of the rows and the metrics of their intervals
+    (SDNN, RMSSD, pNN50) per key and tumbling window.
+
+    The times of a window are kept in its state, sorted when read: rows of any order within the watermark's delay and
+    rows of equal time are in. A window holds rate times width of them (1,200 at 20 Hz and 60 s).
+    """
+    times = F.array_sort(F.collect_list(F.unix_micros(ts))).alias("times")
+    stats = (
         stream.withWatermark(ts, delay)
         .groupBy(*keys, F.window(F.col(ts), width).alias("w"))
         .agg(
@@ -36,10 +70,12 @@ def windowed_stats(
             F.avg(value).alias("mean_value"),
             F.try_divide((F.unix_micros(F.max(ts)) - F.unix_micros(F.min(ts))) / F.lit(1000.0),
                          F.count(F.lit(1)) - 1).alias("mean_interval_ms"),
+            times,
         )
-        .select(*keys, F.col("w.start").alias("window_start"), F.col("w.end").alias("window_end"), "n",
-                "sum_value", "min_value", "max_value", "mean_value", "mean_interval_ms")
     )
+    return stats.withColumns(interval_metrics(F.col("times"))).select(
+        *keys, F.col("w.start").alias("window_start"), F.col("w.end").alias("window_end"), "n", "sum_value",
+        "min_value", "max_value", "mean_value", "mean_interval_ms", "sdnn_ms", "rmssd_ms", "pnn50")
 
 
 def daily_totals(
@@ -70,6 +106,40 @@ def dedup(stream: DataFrame, id_cols: Sequence[str], ts: str, delay: str = "1 ho
     return stream.withWatermark(ts, delay).dropDuplicatesWithinWatermark(list(id_cols))
 
 
+MARK = "is_end_mark"
+END_OF_TIME = "2200-01-01 00:00:00"  # within the nanosecond times of pandas, which keyed state reads
+
+
+def run_closed(
+    spark: SparkSession, stream: DataFrame, ts: str, build: Callable[[DataFrame], DataFrame], name: str
+) -> DataFrame:
+    """Run ``build(stream)``, an append-mode job that groups by :data:`MARK` besides its keys, over everything available
+    and return its rows as a batch table, those still open at the end of the input included.
+
+    The job reads the stream together with a folder of end marks, empty at first. When the input is used up, one mark
+    at the end of time is written there and the query goes on from its checkpoint: the watermark passes every row, all
+    groups close and are emitted, each once. A stream that goes on later simply leaves the mark out. Marks are a group
+    of their own, which never closes. A run that is lost goes on from its checkpoint in the same way.
+    """
+    run = f"{name}-{uuid.uuid4().hex[:12]}"
+    out_path, marks_path, ckpt = (scratch_path(spark, f"streams/{run}/{p}") for p in ("out", "marks", "checkpoint"))
+    schema = stream.withColumn(MARK, F.lit(False)).schema
+    spark.createDataFrame([], schema).write.parquet(marks_path)
+    marks = spark.readStream.schema(schema).parquet(marks_path)
+    found = build(stream.withColumn(MARK, F.lit(False)).unionByName(marks))
+
+    def go_on() -> None:
+        found.writeStream.format("parquet").outputMode("append").option("path", out_path).option(
+            "checkpointLocation", ckpt).trigger(availableNow=True).start().awaitTermination()
+
+    go_on()
+    mark = [F.lit(END_OF_TIME).cast(f.dataType).alias(f.name) if f.name == ts else F.lit(True).alias(MARK)
+            if f.name == MARK else F.lit(None).cast(f.dataType).alias(f.name) for f in schema]
+    spark.range(1).select(*mark).write.mode("append").parquet(marks_path)
+    go_on()
+    return spark.read.schema(found.schema).parquet(out_path).where(~F.col(MARK)).drop(MARK)
+
+
 def run_to_table(
     spark: SparkSession, query_df: DataFrame, name: str, group_keys: Sequence[str] | None = None,
     mode: str = "update",
@@ -81,9 +151,8 @@ def run_to_table(
     ``group_keys`` given (aggregations): update mode through ``foreachBatch``; every batch writes its updated rows
     to a folder of its own (a retried batch overwrites it); the final value per group is the row of the latest batch.
     ``group_keys`` None (append-only streams): file sink in append mode.
-    ``mode="complete"`` (session windows, which have no update mode): every batch writes the whole result; the
-    last batch is kept. Complete mode keeps all groups in state, so it suits replays of bounded inputs; an
-    unbounded stream of sessions runs in append mode and emits each session when the watermark closes it.
+    ``mode="complete"``: every batch writes the whole result and the last batch is kept; all groups stay in state, so
+    this suits replays of bounded inputs only. Sessions run in append mode (:func:`run_closed`).
     """
     run = f"{name}-{uuid.uuid4().hex[:12]}"
     out_path = scratch_path(spark, f"streams/{run}/out")
