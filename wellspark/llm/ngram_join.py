@@ -32,7 +32,7 @@ from wellspark.session import materialize
 GOLDEN = np.uint64(0x9E3779B97F4A7C15)
 MIX1, MIX2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 BLOCK_CLASSES, BLOCK_GRAMS = 256, 400_000
-CACHE_WORDS = 700_000
+CACHE_WORDS = 200_000  # some 40 MB; a word beyond is one hash call
 
 
 def banding(threshold: float, recall: float, rows: int = 5) -> tuple[int, int]:

@@ -339,8 +339,14 @@ def masked(text: str | None, weights: dict[str, float]) -> str | None:
 
 def mask(docs: DataFrame, weights: dict[str, float], text_col: str = "text", length_col: str | None = "n_chars") -> DataFrame:
     """``docs`` with masked texts (and their new length in ``length_col``, where there is such a column)."""
-    run = F.pandas_udf(lambda texts: texts.map(lambda t: masked(t, weights)), "string")
-    out = docs.withColumn(text_col, run(F.col(text_col)))
+
+    def run(batches):
+        for batch in batches:
+            at = batch.schema.get_field_index(text_col)
+            texts = [masked(t.as_py(), weights) for t in batch.column(at)]
+            yield batch.set_column(at, batch.schema.field(at), pa.array(texts, batch.schema.field(at).type))
+
+    out = docs.mapInArrow(run, docs.schema)
     if length_col in docs.columns:
         kind = docs.schema[length_col].dataType
         out = out.withColumn(length_col, F.length(text_col).cast(kind))
