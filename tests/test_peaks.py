@@ -64,9 +64,8 @@ def test_features_match_loops(spark, seed):
     df = spark.createDataFrame([(1, [float(v) for v in t])], "k int, t array<double>")
     got = pk.with_frequency_features(df, "t", with_hti=True).collect()[0]
     rr = np.diff(t)
-    power = [np.abs(np.sum((rr - rr.mean()) * np.exp(-2j * math.pi * 0.01 * k * t[1:] / 1000))) ** 2 for k in range(50)]
-    scale = 2 * 0.01 * rr.mean() / 1000 / len(rr)
-    lf, hf = scale * sum(power[4:15]), scale * sum(power[15:40])
+    power = 0.01 * welch(np.interp(np.arange(t[1], t[-1], 250.0), t[1:], rr))
+    lf, hf = sum(power[4:15]), sum(power[15:40])
     assert got.HRV_LF == pytest.approx(lf) and got.HRV_HF == pytest.approx(hf)
     assert got.HRV_LFHF == pytest.approx(lf / hf) and got.HRV_LnHF == pytest.approx(math.log(hf))
     bins = np.floor(rr / HIST)
@@ -74,6 +73,39 @@ def test_features_match_loops(spark, seed):
     assert got.HRV_TINN == pytest.approx(_triangle(rr))
 
 
+def welch(x, points=128, hz=4.0):
+    """Density at 0.00, 0.01 ... 0.49 Hz."""
+    n = min(len(x), points)
+    w = 0.5 - 0.5 * np.cos(2 * math.pi * np.arange(n) / n)
+    turn = np.exp(-2j * math.pi * 0.01 * np.outer(np.arange(50), np.arange(n)) / hz)
+    parts = [x[s : s + n] for s in range(0, len(x) - n + 1, n // 2)]
+    return np.mean([2 * np.abs(turn @ (w * (p - p.mean()))) ** 2 / (hz * (w * w).sum()) for p in parts], axis=0)
+
+
+@pytest.mark.parametrize("rhythm,band,other", [(0.1, "HRV_LF", "HRV_HF"), (0.25, "HRV_HF", "HRV_LF")])
+def test_a_rhythm_lands_in_its_band(spark, rhythm, band, other):
+    t, times = 0.0, [0.0]
+    while t < 60_000:
+        t += 800 + 50 * math.sin(2 * math.pi * rhythm * t / 1000)
+        times.append(t)
+    got = pk.with_frequency_features(spark.createDataFrame([(1, times)], "k int, t array<double>"), "t").first()
+    assert got[band] > 20 * got[other] and got[band] == pytest.approx(50 ** 2 / 2, rel=0.25)  # half the squared amplitude
+
+
+def test_twenty_hertz_with_every_width_active(spark):
+    """A pulse wave with a second, lower wave per beat and a slow drift, at the reference's rate: all six widths count."""
+    widths = pk.widths(20)
+    assert all(widths.values())
+    times = np.arange(1200) / 20
+    beats = np.cumsum(np.r_[0.4, np.tile([0.8, 0.9, 1.0], 22)])
+    beats = beats[beats < 59]
+    wave = sum(np.exp(-((times - b) / 0.12) ** 2) + 0.3 * np.exp(-((times - b - 0.35) / 0.1) ** 2) for b in beats)
+    signal = 100 + 10 * wave + 3 * np.sin(2 * math.pi * 0.05 * times)
+    df = spark.createDataFrame([(1, i, float(v)) for i, v in enumerate(signal)], "k int, i int, v double")
+    found = sorted(r.peak_ms / 1000 for r in pk.peaks_per_chunk(df, ["k"], "i", "v", 20).collect())
+    assert len(found) == len(beats) and np.abs(np.array(found) - beats).max() < 0.05
+
+
 def test_low_frequency_modulation(spark):
     t, times = 0.0, [0.0]
     while t < 60_000:

@@ -7,7 +7,7 @@ from wellspark.plans import all_queries as queries
 from conftest import SF_SMALL
 
 PYTHON_STAGES = ("ArrowEvalPython", "BatchEvalPython", "FlatMapGroupsInPandas", "MapInPandas", "PythonMapInArrow")
-PYTHON_QUERIES = {"stress_score", "ppg_stress", "reconstruction_error"}
+PYTHON_QUERIES = {"stress_score", "ppg_stress", "ppg_stress_5s", "ppg_stress_lines", "reconstruction_error"}
 STREAM_QUERIES = {"stream_window_60s", "stream_daily_nutrients", "stream_sessions", "stream_dedup"}
 
 

@@ -3,8 +3,8 @@
 Every step works inside one chunk (at most 60 s of samples), so frames, windows and arrays are bounded. Samples count
 in hundredths, sums of samples are whole numbers and so do not depend on the order of addition. Methods follow
 published descriptions: Elgendi et al. 2013 (two moving averages over the squared, band-limited signal) for systolic
-peaks; a periodogram of the intervals at their beat times over a fixed frequency grid for the band powers; the
-least-squares triangle of the interval histogram for TINN (Task Force 1996).
+peaks; Welch's averaged periodogram (1967) of the intervals, resampled evenly, over a fixed frequency grid for the band
+powers; the least-squares triangle of the interval histogram for TINN (Task Force 1996).
 """
 
 from __future__ import annotations
@@ -16,6 +16,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from wellspark.functions.numeric import safe_div
+from wellspark.functions.text import let
 
 # ---------------------------------------------------------------------------------------------------------
 # Fixed method constants.
@@ -30,6 +31,8 @@ BANDS = {"VLF": (0.0033, 0.04), "LF": (0.04, 0.15), "HF": (0.15, 0.4), "VHF": (0
 HIST_BIN_MS = 1000.0 / 128.0
 # ---------------------------------------------------------------------------------------------------------
 GRID_STEP_HZ = 0.01
+RESAMPLE_MS = 250  # the intervals' even grid: 4 Hz, twice what the highest band needs and more
+WELCH_POINTS = 128  # 32 s, the longest segment; segments overlap by half
 MIN_INTERVALS = 4  # fewer give no spectrum; TINN needs three
 
 FREQ_COLUMNS = ("HRV_TINN", "HRV_LF", "HRV_HF", "HRV_VHF", "HRV_LFHF", "HRV_LFn", "HRV_HFn", "HRV_LnHF")
@@ -147,6 +150,58 @@ def _base_point(bins: str, towards: int) -> Column:
     return F.when(reach == 0, mode).otherwise(F.array_min(fits)["base"])
 
 
+def resampled(times: Column, rr: Column) -> Column:
+    """The intervals on an even grid of RESAMPLE_MS from the first one's end, linearly between interval ends and up to
+    the last one, which is left out. ``times`` are the beats (one more than intervals)."""
+    step = F.lit(float(RESAMPLE_MS))
+    first = F.element_at(times, 2)
+
+    def between(k: Column) -> Column:
+        t0, t1 = F.element_at(times, k + 2), F.element_at(times, k + 3)
+        r0, r1 = F.element_at(rr, k + 1), F.element_at(rr, k + 2)
+        low, high = F.ceil((t0 - first) / step), F.ceil((t1 - first) / step) - 1
+        points = F.transform(F.sequence(low, F.greatest(low, high)),
+                             lambda j: r0 + (r1 - r0) * ((j * step - (t0 - first)) / (t1 - t0)))
+        return F.when(high >= low, points).otherwise(F.slice(points, F.lit(1), F.lit(0)))
+
+    return F.flatten(F.transform(F.sequence(F.lit(0), F.size(rr) - 2), between))
+
+
+def welch_power(points: Column, first: int, last: int) -> Column:
+    """Power density (units^2 / Hz) of evenly sampled points at the steps ``first`` to ``last`` of the frequency grid:
+    the mean over segments of at most WELCH_POINTS points, half overlapping, each less its mean and under a Hann
+    window."""
+    hz = 1000.0 / RESAMPLE_MS
+    turn = 2 * math.pi * GRID_STEP_HZ / hz
+    length = F.least(F.size(points), F.lit(WELCH_POINTS))
+    hop = F.greatest(F.expr("1"), F.floor(length / 2).cast("int"))
+    n_segments = F.floor((F.size(points) - length) / hop).cast("int") + 1
+    hann = lambda i: F.lit(0.5) - F.lit(0.5) * F.cos(F.lit(2 * math.pi) * i / length)
+
+    def windowed(s: Column) -> Column:
+        segment = F.slice(points, s * hop + 1, length)
+        mean = F.aggregate(segment, F.lit(0.0), lambda acc, x: acc + x) / length
+        return let(mean, lambda m: F.transform(
+            segment, lambda x, i: F.struct((hann(i) * (x - m)).alias("y"), i.cast("double").alias("i"))))
+
+    def density(segments: Column) -> Column:
+        weight = F.aggregate(F.sequence(F.lit(0), length - 1), F.lit(0.0), lambda acc, i: acc + hann(i) * hann(i))
+
+        def at(k: Column) -> Column:
+            def of(segment: Column) -> Column:
+                part = lambda wave: F.aggregate(
+                    segment, F.lit(0.0), lambda acc, p: acc + p["y"] * wave(F.lit(turn) * k * p["i"]))
+                re, im = part(F.cos), part(F.sin)
+                return re * re + im * im
+
+            return F.aggregate(F.transform(segments, of), F.lit(0.0), lambda acc, x: acc + x)
+
+        return let(weight, lambda w: F.transform(
+            F.sequence(F.lit(first), F.lit(last)), lambda k: F.lit(2.0) * at(k) / (F.lit(hz) * w * n_segments)))
+
+    return let(F.transform(F.sequence(F.lit(0), n_segments - 1), windowed), density)
+
+
 def with_frequency_features(df: DataFrame, times_col: str, with_hti: bool = False) -> DataFrame:
     """A11 (TINN, optionally HTI) and A12 from an array column of beat times (ms) per row; drops ``times_col``.
 
@@ -158,7 +213,6 @@ def with_frequency_features(df: DataFrame, times_col: str, with_hti: bool = Fals
     x = x.withColumn("__rr", F.zip_with(F.slice("__t", 2, n), F.slice("__t", 1, n), lambda b, a: b - a))
     x = x.withColumns({
         "__n": F.size("__rr"),
-        "__mean": safe_div(F.try_element_at("__t", F.lit(-1)) - F.try_element_at("__t", F.lit(1)), F.size("__rr")),
         "__bins": F.transform("__rr", lambda r: F.floor(r / F.lit(HIST_BIN_MS)).cast("long")),
     })
     x = x.withColumn("__hist", F.transform(
@@ -166,25 +220,15 @@ def with_frequency_features(df: DataFrame, times_col: str, with_hti: bool = Fals
         lambda b: F.struct(b.alias("b"), F.size(F.filter("__bins", lambda v: v == b)).cast("long").alias("c"))))
     tallest = F.array_max(F.transform("__hist", lambda h: F.struct(h["c"].alias("c"), (-h["b"]).alias("back"))))
     x = x.withColumns({"__height": tallest["c"], "__mode": -tallest["back"]})
-    x = x.withColumn("__wave", F.zip_with(
-        "__rr", F.slice("__t", 2, n), lambda r, t: F.struct((r - F.col("__mean")).alias("r"), (t / 1000.0).alias("t"))))
-
-    def power(step: Column) -> Column:
-        turn = F.lit(2 * math.pi * GRID_STEP_HZ) * step
-        part = lambda wave: F.aggregate(
-            "__wave", F.lit(0.0), lambda acc, s: acc + s["r"] * wave(turn * s["t"]))
-        re, im = part(F.cos), part(F.sin)
-        return re * re + im * im
-
     last = grid("VHF")[1]
-    x = x.withColumn("__power", F.transform(F.sequence(F.lit(1), F.lit(last)), power))
-    scale = F.lit(2.0 * GRID_STEP_HZ) * F.col("__mean") / F.lit(1000.0) / F.col("__n")
     enough = F.col("__n") >= MIN_INTERVALS
+    x = x.withColumn("__points", F.when(enough, resampled(F.col("__t"), F.col("__rr"))))
+    x = x.withColumn("__power", F.when(F.size("__points") > 1, welch_power(F.col("__points"), 1, last)))
 
     def band(name: str) -> Column:
         lo, hi = grid(name)
         total = F.aggregate(F.slice("__power", lo, hi - lo + 1), F.lit(0.0), lambda acc, p: acc + p)
-        return F.when(enough, scale * total)
+        return total * F.lit(GRID_STEP_HZ)
 
     x = x.withColumns({f"__{b}": band(b) for b in BANDS})
     total = F.col("__VLF") + F.col("__LF") + F.col("__HF") + F.col("__VHF")

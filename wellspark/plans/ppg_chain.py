@@ -1,9 +1,11 @@
 """The wearable chain signal -> segment -> chunks -> beats -> HRV -> scaling -> stress over ``events`` (the deepest data
 path, SURVEY §3.2).
 
-A user's ``value`` column in order of (ts, event_id) is the pulse signal, read as samples at 4 Hz; an 'error' event with
-a value of at least 100 plays ``hr == 0``. Beats and spectra are found in 60 s chunks (240 samples); the stress chain
-scales across chunks of 20 samples of the last segment, as users have some 70 samples each.
+Two tables play the pulse signal, read as samples at 4 Hz: a user's ``value`` in ``events`` in order of (ts, event_id),
+where an 'error' event with a value of at least 100 plays ``hr == 0`` (some 70 samples a user), and in ``lineitem`` the
+prices of ten devices (suppliers by their last digit) in order of shipping, thousands of samples each, where rare lines
+of a quantity of 49 or 50 play it. Chunks are 60 s; the stress chain cuts them by time. A segment shorter than two chunks has no
+scaled features, so its stress level is NULL; ``ppg_stress_5s`` cuts the short segments of ``events`` every 5 s instead.
 """
 
 from __future__ import annotations
@@ -15,14 +17,15 @@ from pyspark.sql import functions as F
 
 from wellspark.functions.numeric import round2, round_half_even
 from wellspark.operators import hrv, peaks as pk, ppg, scoring as sc
+from wellspark.operators.ordered import row_number_across_buckets
 from wellspark.plans.scoring import ENCODER, HEAD
 from wellspark.plans.signals import TIME_FROM_INTERVALS
 from wellspark.session import materialize
 from wellspark.sources.tables import table
 
 HZ = 4
-CHUNK = 60 * HZ
-SEGMENT_CHUNK = 20
+SECONDS = 60
+CHUNK = SECONDS * HZ
 KEYS = ["user_id"]
 GROUP = ["user_id", "chunk_id"]
 ORDER = ["ts", "event_id"]
@@ -33,14 +36,25 @@ def _events(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "events").select("event_id", "user_id", "ts", "event_type", "value")
 
 
-def _zero_event() -> F.Column:
-    return (F.col("event_type") == "error") & (F.col("value") >= 100)
+def _event_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
+    zero = (F.col("event_type") == "error") & (F.col("value") >= 100)
+    return _events(spark, sf_dir).select("event_id", "user_id", "ts", "value", zero.alias("zero"))
 
 
-def _segment(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The last segment's events in chunks; written once, as the row numbers read it twice."""
-    seg = materialize(ppg.last_segment(_events(spark, sf_dir), KEYS, ORDER, _zero_event()), "event_segment")
-    return ppg.fixed_chunks(seg, KEYS, ORDER, rows=SEGMENT_CHUNK)
+def _line_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
+    zero = (F.col("l_quantity") >= 49) & (F.col("l_linenumber") == 1) & (F.col("l_discount") == 0)
+    return table(spark, sf_dir, "lineitem").select(
+        (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("event_id"), (F.col("l_suppkey") % 10).alias("user_id"),
+        F.col("l_shipdate").alias("ts"), (F.col("l_extendedprice") / 1000).alias("value"), zero.alias("zero"))
+
+
+def _segment(samples: DataFrame, seconds: int) -> DataFrame:
+    """The last segment's samples in chunks of so many seconds of the sampling clock; written once, as the row numbers
+    and the first times read it again."""
+    seg = materialize(ppg.last_segment(samples, KEYS, ORDER, F.col("zero")), "segment")
+    numbered = row_number_across_buckets(seg, KEYS, ORDER, "row_no")
+    clock = F.timestamp_micros((F.col("row_no") - 1) * (1_000_000 // HZ))
+    return ppg.time_chunks(numbered.withColumn("clock", clock), KEYS, "clock", seconds)
 
 
 def _peaks(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -76,10 +90,10 @@ def chunk_features(p: DataFrame, group: list[str]) -> DataFrame:
     return t.select(*group, *[round_half_even(c, DIGITS).alias(c) for c in hrv.FEATURE_ORDER])
 
 
-def ppg_stress(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _stress(samples: DataFrame, seconds: int = SECONDS) -> DataFrame:
     """The whole chain per user: last segment -> chunks -> beats -> features -> min-max mean, rounded to 2 decimals ->
     stress level (NULL when a scaled feature is undefined, SURVEY Q14/Q15) and the level with undefined ones as 0."""
-    p = pk.peaks_per_chunk(_segment(spark, sf_dir), GROUP, "row_no", "value", HZ)
+    p = pk.peaks_per_chunk(_segment(samples, seconds), GROUP, "row_no", "value", HZ)
     scaled = hrv.minmax_mean(chunk_features(p, GROUP), KEYS, hrv.FEATURE_ORDER, rate_col="PPG_Rate_Mean")
     scaled = scaled.withColumns({c: round2(c) for c in (*hrv.FEATURE_ORDER, "Heart_Rate")})
     vec = hrv.feature_vector(scaled).withColumn(
@@ -90,20 +104,46 @@ def ppg_stress(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def segment_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The stress chain up to beat detection (W1, W2, T4, W3): per user and chunk of the last segment, the sample
-    count, first and last sample row with their events, and zero-rate samples."""
-    return _segment(spark, sf_dir).groupBy(*GROUP).agg(
+def ppg_stress(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _stress(_event_samples(spark, sf_dir))
+
+
+def ppg_stress_5s(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _stress(_event_samples(spark, sf_dir), SHORT_SECONDS)
+
+
+def ppg_stress_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The chain over segments of many minutes."""
+    return _stress(_line_samples(spark, sf_dir))
+
+
+SHORT_SECONDS = 5
+
+
+def _chunks_of(samples: DataFrame, seconds: int = SECONDS) -> DataFrame:
+    return _segment(samples, seconds).groupBy(*GROUP).agg(
         F.count(F.lit(1)).alias("n_samples"),
         F.min("row_no").alias("first_row"),
         F.max("row_no").alias("last_row"),
         F.min_by("event_id", "row_no").alias("first_event"),
         F.max_by("event_id", "row_no").alias("last_event"),
-        F.count_if(_zero_event()).alias("n_zero_samples"),
+        F.count_if("zero").alias("n_zero_samples"),
     )
 
 
-QUERIES = {"peaks": peaks, "hrv_freq": hrv_freq, "ppg_stress": ppg_stress, "segment_chunks": segment_chunks}
+def segment_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The stress chain up to beat detection (W1, W2, T4, W3): per user and chunk of the last segment, the sample
+    count, first and last sample row with their events, and zero-rate samples."""
+    return _chunks_of(_event_samples(spark, sf_dir), SHORT_SECONDS)
+
+
+def segment_chunks_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _chunks_of(_line_samples(spark, sf_dir))
+
+
+QUERIES = {"peaks": peaks, "hrv_freq": hrv_freq, "ppg_stress": ppg_stress, "ppg_stress_5s": ppg_stress_5s,
+           "ppg_stress_lines": ppg_stress_lines, "segment_chunks": segment_chunks,
+           "segment_chunks_lines": segment_chunks_lines}
 
 
 # ---------------------------------------------------------------------------------------------------------
@@ -114,15 +154,22 @@ _ALL_SQL = """smp AS (
   SELECT user_id, event_id, value, event_type, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS row_no
   FROM events)"""
 
-_SEGMENT_SQL = """ev AS (
-  SELECT event_id, user_id, value, event_type, (event_type = 'error' AND value >= 100) AS z,
+_EVENT_SAMPLES = """ev AS (
+  SELECT event_id, user_id, value, (event_type = 'error' AND value >= 100) AS z,
          row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS rn
   FROM events),
-m AS (SELECT *, z AND COALESCE(NOT lag(z) OVER (PARTITION BY user_id ORDER BY rn), TRUE) AS is_start FROM ev),
+"""
+_LINE_SAMPLES = """ev AS (
+  SELECT l_orderkey * 10 + l_linenumber AS event_id, l_suppkey % 10 AS user_id, l_extendedprice / 1000 AS value,
+         (l_quantity >= 49 AND l_linenumber = 1 AND l_discount = 0) AS z,
+         row_number() OVER (PARTITION BY l_suppkey % 10 ORDER BY l_shipdate, l_orderkey * 10 + l_linenumber) AS rn
+  FROM lineitem),
+"""
+_SEGMENT_SQL = """m AS (SELECT *, z AND COALESCE(NOT lag(z) OVER (PARTITION BY user_id ORDER BY rn), TRUE) AS is_start FROM ev),
 ranked AS (SELECT user_id, rn, row_number() OVER (PARTITION BY user_id ORDER BY rn DESC) AS k FROM m WHERE is_start),
 bounds AS (SELECT user_id, MAX(CASE WHEN k = 1 THEN rn END) AS last_rn, MAX(CASE WHEN k = 2 THEN rn END) AS sec_rn
       FROM ranked GROUP BY user_id HAVING COUNT(*) >= 2),
-smp AS (SELECT m.user_id, m.event_id, m.value, m.event_type, m.z,
+smp AS (SELECT m.user_id, m.event_id, m.value, m.z,
                row_number() OVER (PARTITION BY m.user_id ORDER BY m.rn) AS row_no
         FROM m JOIN bounds b USING (user_id) WHERE m.rn BETWEEN b.sec_rn AND b.last_rn)"""
 
@@ -179,14 +226,31 @@ mean_rate AS (
 
 def _freq_sql() -> str:
     lo = {b: pk.grid(b) for b in pk.BANDS}
-    share = f"{2.0 * pk.GRID_STEP_HZ}::DOUBLE * any_value(mean_rr) / 1000.0::DOUBLE / any_value(n_rr)"
-    bands = ", ".join(f"{share} * SUM(p) FILTER (WHERE k BETWEEN {a} AND {z}) AS {b}" for b, (a, z) in lo.items())
+    step, hz = f"{float(pk.RESAMPLE_MS)}::DOUBLE", 1000.0 / pk.RESAMPLE_MS
+    turn = f"{2 * math.pi * pk.GRID_STEP_HZ / hz!r}::DOUBLE * k * i"
+    hann = f"(0.5::DOUBLE - 0.5::DOUBLE * cos({2 * math.pi!r}::DOUBLE * i / len))"
+    bands = ", ".join(f"{pk.GRID_STEP_HZ}::DOUBLE * SUM(p) FILTER (WHERE k BETWEEN {a} AND {z}) AS {b}"
+                      for b, (a, z) in lo.items())
     return f"""seen AS (SELECT user_id, chunk_id, COUNT(rr) AS n_rr FROM rate GROUP BY 1, 2),
-wave AS (SELECT user_id, chunk_id, k, any_value(mean_rr) AS mean_rr, COUNT(*) AS n_rr,
-           power(SUM((rr - mean_rr) * cos({2 * math.pi * pk.GRID_STEP_HZ!r}::DOUBLE * k * (ms / 1000.0::DOUBLE))), 2)
-           + power(SUM((rr - mean_rr) * sin({2 * math.pi * pk.GRID_STEP_HZ!r}::DOUBLE * k * (ms / 1000.0::DOUBLE))), 2) AS p
-         FROM rate CROSS JOIN range(1, {lo['VHF'][1] + 1}) AS g(k) WHERE rr IS NOT NULL GROUP BY 1, 2, 3),
-band AS (SELECT user_id, chunk_id, {bands} FROM wave GROUP BY 1, 2 HAVING any_value(n_rr) >= {pk.MIN_INTERVALS}),
+ivl AS (SELECT user_id, chunk_id, rr AS r0, lead(rr) OVER g AS r1, ms AS t0, lead(ms) OVER g AS t1,
+          first_value(ms) OVER g AS first
+        FROM rate WHERE rr IS NOT NULL WINDOW g AS (PARTITION BY user_id, chunk_id ORDER BY i)),
+pts AS (SELECT user_id, chunk_id, j, r0 + (r1 - r0) * ((j * {step} - (t0 - first)) / (t1 - t0)) AS x
+        FROM (SELECT *, unnest(range(ceil((t0 - first) / {step})::BIGINT, ceil((t1 - first) / {step})::BIGINT)) AS j
+              FROM ivl JOIN seen USING (user_id, chunk_id) WHERE r1 IS NOT NULL AND n_rr >= {pk.MIN_INTERVALS})),
+size AS (SELECT user_id, chunk_id, len, greatest(1, len // 2) AS hop, (m - len) // greatest(1, len // 2) + 1 AS n_seg
+         FROM (SELECT user_id, chunk_id, COUNT(*) AS m, least(COUNT(*), {pk.WELCH_POINTS}) AS len FROM pts GROUP BY 1, 2)
+         WHERE m > 1),
+seg AS (SELECT user_id, chunk_id, s, len, n_seg, j - s * hop AS i, x - AVG(x) OVER (PARTITION BY user_id, chunk_id, s) AS x
+        FROM (SELECT *, unnest(range(0, n_seg)) AS s FROM size) JOIN pts USING (user_id, chunk_id)
+        WHERE j BETWEEN s * hop AND s * hop + len - 1),
+win AS (SELECT user_id, chunk_id, s, n_seg, i, {hann} * x AS y,
+          SUM({hann} * {hann}) OVER (PARTITION BY user_id, chunk_id, s) AS w FROM seg),
+wave AS (SELECT user_id, chunk_id, k, s, any_value(n_seg) AS n_seg,
+           2.0::DOUBLE * (power(SUM(y * cos({turn})), 2) + power(SUM(y * sin({turn})), 2))
+             / ({hz}::DOUBLE * any_value(w) * any_value(n_seg)) AS p
+         FROM win CROSS JOIN range(1, {lo['VHF'][1] + 1}) AS g(k) GROUP BY 1, 2, 3, 4),
+band AS (SELECT user_id, chunk_id, {bands} FROM wave GROUP BY 1, 2),
 hist AS (SELECT user_id, chunk_id, floor(rr / {pk.HIST_BIN_MS}::DOUBLE)::BIGINT AS b, COUNT(*) AS c
          FROM rate WHERE rr IS NOT NULL GROUP BY 1, 2, 3),
 mode AS (SELECT user_id, chunk_id, arg_max(b, (c, -b)) AS x, MAX(c) AS y, MIN(b) AS b_min, MAX(b) AS b_max, SUM(c) AS n_rr
@@ -215,14 +279,14 @@ def _rounded(x: str, digits: int) -> str:
     return f"round_even(({x}) * {10 ** digits}, 0) / {10 ** digits}"
 
 
-def _stress_sql() -> str:
+def _stress_sql(samples: str, seconds: int) -> str:
     feats = ", ".join(f"{_rounded(c if c != 'HRV_PSS' else 'HRV_LF', DIGITS)} AS {c}" for c in hrv.FEATURE_ORDER)
     scaled = ", ".join(_rounded(f"(AVG({c}) - MIN({c})) / NULLIF(MAX({c}) - MIN({c}), 0)", 2) for c in hrv.FEATURE_ORDER)
     zero = "list_transform(x, lambda v: COALESCE(v, 0.0::DOUBLE))"
     enc, e = sc.layers_sql("vec", ["user_id"], zero, ENCODER, "none", prefix="enc")
     head, h = sc.layers_sql(e, ["user_id"], "h", HEAD, "sigmoid", prefix="head")
     level = "CAST(list_position(h, list_max(h)) - 1 AS INTEGER)"
-    return f"""WITH {_SEGMENT_SQL}, {_beats_sql(SEGMENT_CHUNK)}, {_freq_sql()},
+    return f"""WITH {samples}{_SEGMENT_SQL}, {_beats_sql(seconds * HZ)}, {_freq_sql()},
 rd AS (SELECT user_id, chunk_id, rr, rr - lag(rr) OVER (PARTITION BY user_id, chunk_id ORDER BY i) AS d,
               median(rr) OVER (PARTITION BY user_id, chunk_id) AS med FROM rate),
 {TIME_FROM_INTERVALS},
@@ -238,6 +302,15 @@ SELECT user_id, n_chunks, Heart_Rate, CASE WHEN list_count(x) = {len(hrv.FEATURE
 FROM vec JOIN {h} USING (user_id)"""
 
 
+def _chunks_sql(samples: str, seconds: int) -> str:
+    return f"""WITH {samples}{_SEGMENT_SQL}
+      SELECT user_id, (row_no - 1) // {seconds * HZ} AS chunk_id, COUNT(*) AS n_samples,
+             MIN(row_no) AS first_row, MAX(row_no) AS last_row,
+             arg_min(event_id, row_no) AS first_event, arg_max(event_id, row_no) AS last_event,
+             COUNT(*) FILTER (WHERE z) AS n_zero_samples
+      FROM smp GROUP BY 1, 2"""
+
+
 ORACLES: dict[str, str] = {
     "peaks": f"""WITH {_ALL_SQL}, {_beats_sql(CHUNK)}
       SELECT user_id, chunk_id, peak_no, i AS sample_index, {_rounded('ms', 4)} AS peak_ms,
@@ -245,11 +318,9 @@ ORACLES: dict[str, str] = {
       FROM rate JOIN mean_rate USING (user_id, chunk_id)""",
     "hrv_freq": f"""WITH {_ALL_SQL}, {_beats_sql(CHUNK)}, {_freq_sql()}
       SELECT user_id, chunk_id, {", ".join(f"{_rounded(c, 4)} AS {c}" for c in pk.FREQ_COLUMNS)} FROM freq""",
-    "ppg_stress": _stress_sql(),
-    "segment_chunks": f"""WITH {_SEGMENT_SQL}
-      SELECT user_id, (row_no - 1) // {SEGMENT_CHUNK} AS chunk_id, COUNT(*) AS n_samples,
-             MIN(row_no) AS first_row, MAX(row_no) AS last_row,
-             arg_min(event_id, row_no) AS first_event, arg_max(event_id, row_no) AS last_event,
-             COUNT(*) FILTER (WHERE z) AS n_zero_samples
-      FROM smp GROUP BY 1, 2""",
+    "ppg_stress": _stress_sql(_EVENT_SAMPLES, SECONDS),
+    "ppg_stress_5s": _stress_sql(_EVENT_SAMPLES, SHORT_SECONDS),
+    "ppg_stress_lines": _stress_sql(_LINE_SAMPLES, SECONDS),
+    "segment_chunks": _chunks_sql(_EVENT_SAMPLES, SHORT_SECONDS),
+    "segment_chunks_lines": _chunks_sql(_LINE_SAMPLES, SECONDS),
 }
