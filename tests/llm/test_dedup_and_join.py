@@ -68,6 +68,35 @@ def test_the_anti_join_does_not_shuffle_the_index(spark):
     assert "SortMergeJoin" in plan and plan.count("Exchange hashpartitioning") == 1
 
 
+def test_the_index_is_neither_shuffled_nor_sorted_after_three_appends(spark):
+    index = exact_dedup.new_index(spark, buckets=4)
+    for k in range(3):
+        index.append(spark.createDataFrame([(b"%d" % (100 * k + i), i) for i in range(50)], "digest binary, first_id long"))
+    assert index.generations == [0, 1, 2]
+    groups = spark.createDataFrame([(b"%d" % i, i) for i in range(40, 160)], "digest binary, first_id long")
+    with exact_dedup.sorted_bucket_scans(spark):
+        plan = index.found(groups)._jdf.queryExecution().executedPlan().toString()
+        got = {bytes(r["digest"]): r["seen_id"] for r in index.found(groups).collect()}
+    assert plan.count("SortMergeJoin") == 3
+    assert plan.count("Exchange hashpartitioning") == 1 and len([x for x in plan.split("\n") if "Sort [" in x]) == 1
+    assert got == {b"%d" % i: i % 100 if i % 100 < 50 else None for i in range(40, 160)}
+
+
+def test_a_batch_that_is_run_again_gives_the_same(spark):
+    index = exact_dedup.new_index(spark, buckets=4)
+    batches = [spark.createDataFrame([(10 * b + i, f"text {i % 4 + b}") for i in range(6)], "doc_id long, text string")
+               for b in range(9)]
+    first = [sorted(map(tuple, exact_dedup.dedup(docs, index).collect())) for docs in batches]
+    rows = index.read().count()
+    again = [sorted(map(tuple, exact_dedup.dedup(docs, index).collect())) for docs in batches]
+    assert again == first and index.read().count() == rows == 12
+    assert len(index.generations) <= exact_dedup.MOST_GENERATIONS  # merged on the way
+    reopened = exact_dedup.DigestIndex(spark, index.table, index.path, 4)
+    assert reopened.generations == index.generations
+    other = exact_dedup.dedup(batches[0], reopened, batch="another").collect()
+    assert all(r["seen_before"] and not r["kept"] for r in other)
+
+
 def brute_groups(texts):
     sets = {}
     for doc, text in texts.items():

@@ -30,7 +30,7 @@ def op1_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    found = exact_dedup.dedup(docs, exact_dedup.new_index(spark))
+    found = exact_dedup.dedup(docs, exact_dedup.new_index(spark, exact_dedup.buckets_for(docs.count())))
     return found.select("doc_id", "keep_id", "group_size", "kept", F.lower(F.hex("digest")).alias("text_sha256"))
 
 
