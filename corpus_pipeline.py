@@ -25,7 +25,7 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Operator 2: of equal texts (A-Z lower-cased) the document with the largest id stays."""
-    return exact_dedup.keep_first_copies(docs, exact_dedup.new_index(spark))
+    return exact_dedup.keep_first_copies(docs, exact_dedup.new_index(spark, exact_dedup.buckets_for(docs.count())))
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
