@@ -1,5 +1,6 @@
 import base64
 import hashlib
+import math
 import re
 import zlib
 from collections import Counter
@@ -198,17 +199,82 @@ def test_quality_model_on_labelled_documents(spark, labels):
     assert all(0 < r["p_path"] < 1 and 0 <= r["quality"] <= 1 for r in rows.values())
 
 
-def test_sparse_sites_are_shrunk(spark, labels):
+def test_quality_of_held_out_labels(spark, documents, labels):
+    """Evidence and site records from three quarters of the labels; the others are judged without theirs."""
     from pyspark.sql import functions as F
 
-    rows = [(i, "good " * 60, "big", "p") for i in range(200)] + [(999, "x", "tiny", "q"), (None, None, None, None)]
+    held = F.pmod(F.xxhash64("doc_id"), F.lit(4)) == 0
+    used = labels.where(~held)
+    found = quality_model.classify(documents, quality_model.learn(documents, used), used, F.col("source"),
+                                   F.concat_ws("/", "source", "lang"))
+    pairs = labels.where(held & F.col("quality").isNotNull()).select("doc_id", F.col("quality").alias("label"))
+    pairs = pairs.join(found, "doc_id").select("label", "kept").collect()
+    assert len(pairs) > 50 and sum(r["kept"] == bool(r["label"]) for r in pairs) >= 0.95 * len(pairs)
+
+
+def test_site_records_against_brute_force(spark):
+    from pyspark.sql import functions as F
+
+    rows = [(i, "word " * 60, f"h{i % 7 % 3}", f"p{i % 7}") for i in range(300)]
+    rows += [(999, "x", "tiny", "q"), (None, None, None, None), (None, "y", "h0", "p0"), (5, "again", "h2", "p5"), (5, "again", "h2", "p5")]
     docs = spark.createDataFrame(rows, "doc_id long, text string, host string, path string")
-    evidence = F.when(F.col("n_words") > 50, F.lit(2.0)).otherwise(F.lit(-2.0))
-    got = {r["doc_id"]: r for r in quality_model.classify(docs, evidence, F.col("host"), F.col("path")).collect()}
-    assert len(got) == 202
-    assert got[0]["p_host"] > got[999]["p_host"] > got[999]["p_doc"]  # the tiny host stays near the global mean
-    assert quality_model.classify(docs.limit(0), evidence, F.col("host"), F.col("path")).count() == 0
-    assert quality_model.learn(docs, labels.limit(0)) is not None
+    marked = [(i, int(i % 7 != 0)) for i in range(0, 300, 2)] + [(4, 0), (None, 1), (7, None), (12345, 1)]
+    labels = spark.createDataFrame(marked, "doc_id long, quality int")
+    evidence = F.when(F.col("n_words") > 50, F.lit(1.0)).otherwise(F.lit(-1.0))
+    got = quality_model.classify(docs, evidence, labels, F.col("host"), F.col("path")).collect()
+    assert len(got) == len(rows)
+    mark = {}
+    for i, q in marked:
+        if i is not None and q is not None:
+            mark[i] = min(q, mark.get(i, 1))
+    sites = {(i, h or "", p or "") for i, _, h, p in rows if i in mark}
+    hosts, paths = {}, {}
+    for i, h, p in sites:
+        paths.setdefault((h, p), []).append(mark[i])
+    for i, h in {(i, h) for i, h, _ in sites}:
+        hosts.setdefault(h, []).append(mark[i])
+    mu = sum(map(sum, hosts.values())) / sum(map(len, hosts.values()))
+
+    def strength(groups):  # [(labels of the group, prior)]
+        n = [len(g) for g, _ in groups]
+        seen = sum(len(g) * (sum(g) / len(g) - m) ** 2 for g, m in groups)
+        noise = sum(m * (1 - m) for _, m in groups)
+        between = max((seen - noise) / max(sum(n) - sum(x * x for x in n) / sum(n), 1.0), 1e-4)
+        return max(1.0, min(1e4, sum(m * (1 - m) for _, m in groups) / len(groups) / between - 1))
+
+    kh = strength([(g, mu) for g in hosts.values()])
+    whole = {h: (sum(g) + kh * mu) / (len(g) + kh) for h, g in hosts.items()}
+    kp = strength([(g, whole[h]) for (h, _), g in paths.items()])
+    text = {(i, h, p): t for i, t, h, p in rows}
+    for r in got:
+        for i, h, p in {(i, h or "", p or "") for i, _, h, p in rows if i == r["doc_id"]}:
+            own = mark.get(i)
+            hs, ps = hosts.get(h, []), paths.get((h, p), [])
+            less = lambda g: (sum(g) - (own or 0), len(g) - (own is not None))
+            p_host = (less(hs)[0] + kh * mu) / (less(hs)[1] + kh)
+            p_path = (less(ps)[0] + kp * p_host) / (less(ps)[1] + kp)
+            if r["p_host"] == pytest.approx(p_host) and r["p_path"] == pytest.approx(p_path):
+                odds = math.log(r["p_doc"] / (1 - r["p_doc"])) + math.log(p_path / (1 - p_path)) - math.log(mu / (1 - mu))
+                assert r["quality"] == pytest.approx(1 / (1 + math.exp(-odds)))
+                break
+        else:
+            raise AssertionError(r)
+    tiny = next(r for r in got if r["doc_id"] == 999)
+    assert tiny["p_host"] == tiny["p_path"] == pytest.approx(mu)  # a site without labels is what its parent is
+    assert len(text) < len(rows)
+
+
+def test_odd_rows_of_quality(spark, odd, labels):
+    from pyspark.sql import functions as F
+
+    mixed = spark.createDataFrame([(1, 0), (1, 1), (None, 1), (4, None), (5, 1), (7, 1)], "doc_id long, quality int")
+    for marks in (mixed, labels.limit(0)):
+        found = quality_model.classify(odd, quality_model.learn(odd, marks), marks, F.col("source"), F.col("lang"))
+        rows = found.collect()
+        assert len(rows) == odd.count() and all(0 < r["p_path"] < 1 and 0 <= r["quality"] <= 1 for r in rows)
+    assert all(r["kept"] for r in rows)  # no labels, no ground to drop any
+    none = odd.limit(0)
+    assert quality_model.classify(none, F.lit(0.0), mixed, F.col("source"), F.col("lang")).count() == 0
 
 
 # ---- personal data -----------------------------------------------------------------------------------------------

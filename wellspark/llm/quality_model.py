@@ -2,17 +2,20 @@
 
 1. A logistic model over the text's statistics gives each document a probability of being good. It is fitted by
    Newton steps on a sample of labelled documents of a documented bound.
-2. Grouped aggregation sums those probabilities per path and per host. A host's posterior mean is shrunk to the global
-   mean, a path's to its host's; the strength of the shrinkage is estimated from the spread between the groups (method
-   of moments), so that a site with few documents says little.
-3. The document's log odds and those of its path, relative to the global mean, are added.
+2. Grouped aggregation counts the good and bad labels per path and per host. A host's share of good ones is shrunk to
+   the global share and a path's to its host's (Beta priors around the parent); the strength of the shrinkage is
+   estimated from the spread between the groups (method of moments), so that a site with few labels says little and
+   one without labels what its parent says. A labelled document's own label is left out of the counts that judge it.
+3. The document's log odds and those of its path, relative to the global share, are added: the text speaks through the
+   first only, the site's labels through the second only.
 
 Host and path come from a URL column, or from any two columns; for tables without URLs, ``source`` is the host and
 ``source/lang`` the path below it.
 
-Edge cases: null texts have no words and are judged on that; null hosts or paths form a group of their own; without
-labels of both kinds every document gets the global probability 0.5 as its own evidence and is kept. Ids are carried
-along; extra columns are ignored.
+Edge cases: null texts have no words and are judged on that; null hosts or paths form a group of their own. Of several
+labels of one document the lowest counts, null labels and labels of null or unknown ids are left out; a document that
+occurs in several rows of one path counts once there. Without labels of both kinds a document's own evidence is 0.5;
+without any label all are kept. Ids are carried along, null and repeated ones too; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -45,18 +48,23 @@ def fit(rows: np.ndarray, good: np.ndarray, ridge: float = 1.0, steps: int = 30)
     return w, mean, dev
 
 
+def marks_of(labels: DataFrame, id_col: str = "doc_id", label_col: str = "quality") -> DataFrame:
+    """(id, good 0 or 1), one row per labelled id."""
+    return (labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull())
+            .groupBy(F.col(id_col).cast("long").alias("id")).agg(F.min(label_col).cast("int").alias("good")))
+
+
 def learn(docs: DataFrame, labels: DataFrame, most: int = 6000, id_col: str = "doc_id", text_col: str = "text",
           label_col: str = "quality") -> Column:
     """The document evidence as a column expression over the statistics (log odds), from about ``most`` labels."""
-    marks = (labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull())
-             .groupBy(F.col(id_col).cast("long").alias("id")).agg(F.min(label_col).cast("int").alias("good")))
+    marks = marks_of(labels, id_col, label_col)
     million = 1_000_000
     share = math.ceil(million * most / max(marks.count(), 1))
     sample = marks.where(F.pmod(F.xxhash64("id"), F.lit(million)) < share)
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     stats = with_stats(texts.join(F.broadcast(sample.select("id")), "id", "left_semi"), "id", "text")
     known = features()
-    rows = (stats.join(sample, F.col("doc_id") == F.col("id"))
+    rows = (stats.dropDuplicates(["doc_id"]).join(sample, F.col("doc_id") == F.col("id"))
             .select("good", *[known[k].alias(k) for k in INPUTS]).collect())
     table = np.array([tuple(r) for r in rows], dtype=float).reshape(len(rows), 1 + len(INPUTS))
     if len(set(table[:, 0])) < 2:
@@ -84,28 +92,39 @@ def strength(groups: DataFrame, total: str, n: str, prior: Column) -> Column:
     return F.lit(1.0 if k is None else k)
 
 
-def classify(docs: DataFrame, evidence: Column, host: Column, path: Column, id_col: str = "doc_id",
-             text_col: str = "text") -> DataFrame:
-    """doc_id, p_doc, p_host, p_path, quality, kept."""
+def classify(docs: DataFrame, evidence: Column, labels: DataFrame, host: Column, path: Column, id_col: str = "doc_id",
+             text_col: str = "text", label_col: str = "quality") -> DataFrame:
+    """doc_id, p_doc, p_host, p_path, quality, kept. ``labels``: id_col and label_col (0 or 1)."""
     plain = docs.select(F.col(id_col).alias("id_"), F.col(text_col).alias("text_"),
                         F.coalesce(host.cast("string"), F.lit("")).alias("host"),
                         F.coalesce(path.cast("string"), F.lit("")).alias("path"))
     # the text's statistics with host and path carried through as one struct beside the id
     packed = with_stats_and(plain)
     scored = materialize(packed.select("doc_id", "host", "path", (1 / (1 + F.exp(-evidence))).alias("p_doc")), "scored")
-    paths = materialize(scored.groupBy("host", "path").agg(F.sum("p_doc").alias("s"), F.count("*").alias("n")), "paths")
-    hosts = paths.groupBy("host").agg(F.sum("s").alias("hs"), F.sum("n").alias("hn"))
+    marks = marks_of(labels, id_col, label_col)
+    known = scored.where("doc_id IS NOT NULL").join(marks, F.col("doc_id") == F.col("id"), "left").drop("id")
+    nameless = scored.where("doc_id IS NULL").withColumn("good", F.lit(None).cast("int"))  # they would all meet in one task
+    judged = materialize(known.unionByName(nameless), "judged")
+
+    once = judged.where("good IS NOT NULL").select("doc_id", "host", "path", "good").distinct()
+    paths = materialize(once.groupBy("host", "path").agg(F.sum("good").alias("s"), F.count("*").alias("n")), "paths")
+    hosts = once.select("doc_id", "host", "good").distinct().groupBy("host").agg(
+        F.sum("good").alias("hs"), F.count("*").alias("hn"))
+    hosts = materialize(hosts, "hosts")
     mean = hosts.agg((F.sum("hs") / F.sum("hn")).alias("mu")).first()["mu"]
-    mu = F.lit(0.5 if mean is None else mean)  # one number; None for an empty table
-    k = strength(hosts, "hs", "hn", mu)
-    hosts = hosts.select("host", ((F.col("hs") + k * mu) / (F.col("hn") + k)).alias("p_host"))
-    paths = paths.join(materialize(hosts, "hosts"), "host")
-    k = strength(paths, "s", "n", F.col("p_host"))
-    sites = materialize(paths.withColumn("p_path", (F.col("s") + k * F.col("p_host")) / (F.col("n") + k))
-                        .select("host", "path", "p_host", "p_path"), "sites")
-    bound = lambda c: F.greatest(F.lit(1e-6), F.least(F.lit(1 - 1e-6), c))
-    joined = scored.join(sites, ["host", "path"])  # a hot site is a skewed key: adaptive execution splits it
-    odds = logit(bound(F.col("p_doc"))) + logit(bound(F.col("p_path"))) - logit(bound(mu))
+    bound = lambda c: F.greatest(F.lit(1e-3), F.least(F.lit(1 - 1e-3), c))
+    mu = F.lit(0.5 if mean is None else min(max(mean, 1e-3), 1 - 1e-3))  # one number; None without labels
+    k_host = strength(hosts, "hs", "hn", mu)
+    of_host = lambda s, n: (s + k_host * mu) / (n + k_host)
+    k_path = strength(paths.join(hosts.select("host", of_host(F.col("hs"), F.col("hn")).alias("p_host")), "host"),
+                      "s", "n", F.col("p_host"))
+    # sites are joined on skewed keys: adaptive execution splits a hot one on the documents' side
+    joined = judged.join(hosts, "host", "left").join(paths, ["host", "path"], "left")
+    own, has = F.coalesce(F.col("good"), F.lit(0)), F.col("good").isNotNull().cast("int")
+    less = lambda total, part: F.greatest(F.coalesce(F.col(total), F.lit(0)) - part, F.lit(0))
+    joined = joined.withColumn("p_host", of_host(less("hs", own), less("hn", has)))
+    joined = joined.withColumn("p_path", (less("s", own) + k_path * F.col("p_host")) / (less("n", has) + k_path))
+    odds = logit(F.greatest(F.lit(1e-6), F.least(F.lit(1 - 1e-6), F.col("p_doc")))) + logit(bound(F.col("p_path"))) - logit(mu)
     return (joined.withColumn("quality", 1 / (1 + F.exp(-odds)))
             .select("doc_id", "p_doc", "p_host", "p_path", "quality", (F.col("quality") >= 0.5).alias("kept")))
 

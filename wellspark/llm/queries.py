@@ -60,8 +60,9 @@ def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op5_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source", "lang")
-    evidence = quality_model.learn(docs, table(spark, sf_dir, "labels"))
-    return quality_model.classify(docs, evidence, F.col("source"), F.concat_ws("/", "source", "lang"))
+    labels = table(spark, sf_dir, "labels")
+    evidence = quality_model.learn(docs, labels)
+    return quality_model.classify(docs, evidence, labels, F.col("source"), F.concat_ws("/", "source", "lang"))
 
 
 def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
