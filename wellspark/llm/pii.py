@@ -8,10 +8,10 @@ dynamic programme over the sorted candidates - best segmentation that ends at or
 chooses boundaries and kinds jointly, in time linear in the candidates of a text.
 
 Weights maximise the conditional log-likelihood of gold segmentations (forward and backward sums over all segmentations
-give its gradient) on a sample of texts with a documented bound; gold segments come from the base rules, from values
-assigned to a credential's name and from strings in the format of an issuer's credentials. A ridge draws the weights to
-:data:`PRIOR`. Spans that a base rule, a credential's name or an issuer's format vouches for always stay, whatever the
-sample held (:func:`vouched_secrets`); the field decides about all others. Both add the kind ``secret``.
+give its gradient) on labelled texts of :mod:`wellspark.llm.pii_examples`, in which secrets and look-alikes such as
+checksums, identifiers and page slugs stand in equal contexts. So a string is judged the same in every corpus. A ridge
+draws the weights to :data:`PRIOR`. Values assigned to a credential's name and strings in an issuer's format are fixed
+segments of the programme: it places the others around them. The field adds the kind ``secret``; base spans always stay.
 
 Edge cases: null counts as empty; empty texts have no spans. Offsets are in code points. All scans are linear in the
 text. Ids are carried along; extra columns are ignored.
@@ -24,11 +24,14 @@ import itertools
 import math
 import re
 from collections import Counter
+from functools import lru_cache
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from wellspark.llm import pii_examples
+
 # Fixed patterns of the base kinds. A local part ends at the @, so it is found from there; digit runs are entered at
 # their start only, which gives the same matches in linear time.
 DOMAIN = re.compile(r"@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
@@ -47,6 +50,8 @@ RUN = re.compile(r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{20,}+")
 ISSUED = re.compile(r"(?<![0-9A-Z])(?:(?:AKIA|ASIA)[0-9A-Z]{16}|gh[pousr]_[0-9A-Z]{36}|glpat-[0-9A-Z_-]{20,}"
                     r"|xox[abpr]-[0-9A-Z-]{15,}|[rs]k_live_[0-9A-Z]{16,}|AIza[0-9A-Z_-]{35})(?![0-9A-Z])", re.IGNORECASE)
 LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
+HASH_NAMES = frozenset("commit sha sha1 sha256 sha512 md5 crc checksum hash digest revision rev uuid guid etag build id".split())
+FIXED = 1e6  # above any sum of weights
 PRIOR = {f"{SECRET}|named:True": 2.0, f"{SECRET}|issued:True": 2.0}
 MARKS = {"email": "[EMAIL]", "ip": "[IP]", "card": "[CARD]", "phone": "[PHONE]", SECRET: "[SECRET]"}
 
@@ -121,10 +126,15 @@ def shape(text: str, start: int, end: int) -> list[str]:
     marks = {c: span.count(c) for c in set(span)}
     entropy = -sum(k / n * math.log2(k / n) for k in marks.values())
     before = re.split(r"[^\w]+", text[max(0, start - 24) : start].rstrip(" =:\"'"))[-1].lower()
+    parts = [p for p in re.split(r"[-_+/=.]+|(?<=[a-z])(?=[A-Z])|(?<=[A-Za-z])(?=[0-9])", span) if p]
+    spoken = sum(len(p) for p in parts if len(p) > 2 and p.isalpha() and any(c in "aeiouyAEIOUY" for c in p[1:]) and p[1:].islower())
+    case = "both" if span.upper() != span and span.lower() != span else "one"
     return [
         f"length:{min(n.bit_length(), 9)}", f"digits:{4 * digits // n}", f"entropy:{int(2 * entropy)}",
         f"letters:{4 * sum(c.isalpha() for c in span) // n}", f"mixed:{digits > 0 and digits < n}",
         f"named:{any(p in NAMES for p in (before, *before.split('_')))}", f"issued:{bool(ISSUED.fullmatch(span))}",
+        f"hex:{all(c in '0123456789abcdef-' for c in span.lower())}", f"case:{case}", f"parts:{min(len(parts), 6) // 2}",
+        f"spoken:{4 * spoken // n}", f"hashed:{before in HASH_NAMES}", f"path:{span.count('/') > 1}",
     ]
 
 
@@ -137,15 +147,16 @@ def candidates(text: str) -> list[tuple[int, int, str, bool, list[str]]]:
     return sorted(out, key=lambda c: (c[1], c[0], c[2]))
 
 
-def segment(found: list, weights: dict[str, float]) -> list:
-    """The best set of non-overlapping candidates: dynamic programme over candidates in order of their end."""
+def segment(found: list, weights: dict[str, float], fixed: frozenset = frozenset()) -> list:
+    """The best set of non-overlapping candidates: dynamic programme over candidates in order of their end. Those whose
+    (start, end, kind) is in ``fixed`` are in every segmentation that has room for them."""
     if not found:
         return []
     ends = [c[1] for c in found]
     #: best[i][kind]: (score, chain) over the first i candidates with `kind` chosen last; None for none chosen yet
     best: list[dict] = [{None: (0.0, None)}]
     for i, (start, _, kind, _, feats) in enumerate(found):
-        own = sum(weights.get(f, 0.0) for f in feats)
+        own = sum(weights.get(f, 0.0) for f in feats) + (FIXED if found[i][:3] in fixed else 0.0)
         lo = bisect.bisect_right(ends, start, 0, i)  # the candidates that end at or before this one starts
         now = dict(best[i])
         last, (score, chain) = max(best[lo].items(), key=lambda e: e[1][0] + weights.get(f"{e[0]}>{kind}", 0.0))
@@ -256,30 +267,20 @@ def fit(lists: list[list], steps: int = 60, ridge: float = 0.01, rate: float = 0
     return dict(sorted(weights.items()))
 
 
-def learn(docs: DataFrame, most: int = 2000, per_doc: int = 2000, id_col: str = "doc_id", text_col: str = "text") -> dict[str, float]:
-    """Weights from about ``most`` documents (chosen by a hash of the id), at most ``per_doc`` candidates of each: these
-    two bound the sample that the field is fitted on."""
-    rows = (docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-            .where(F.col("text").isNotNull() & F.col("id").isNotNull()))
-    million = 1_000_000
-    share = math.ceil(million * most / max(rows.count(), 1))
-    texts = rows.where(F.pmod(F.xxhash64("id", F.lit(7)), F.lit(million)) < share)
+def labelled(text: str, gold_spans: list[tuple[str, str]]) -> list:
+    """The candidates of a training text, marked where they are one of its (kind, span text)."""
+    wanted = set(gold_spans)
+    return [(a, b, kind, (kind, text[a:b]) in wanted, feats) for a, b, kind, _, feats in candidates(text)]
+
+
+@lru_cache(maxsize=4)
+def _learned(n: int, seed: int) -> tuple[tuple[str, float], ...]:
+    return tuple(fit([labelled(t, g) for t, g in pii_examples.examples(n, seed)]).items())
 
-    def run(batches):
-        for batch in batches:
-            out = [(i, c) for i, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist())
-                   for c in candidates(t)[:per_doc]]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([o[0] for o in out], pa.int64()), pa.array([o[1][0] for o in out], pa.int64()),
-                 pa.array([o[1][1] for o in out], pa.int64()), pa.array([o[1][2] for o in out], pa.string()),
-                 pa.array([o[1][3] for o in out], pa.bool_()), pa.array([o[1][4] for o in out], pa.list_(pa.string()))],
-                ["id", "start", "end", "kind", "ok", "features"])
 
-    schema = "id long, start long, end long, kind string, ok boolean, features array<string>"
-    lists: dict[int, list] = {}
-    for r in texts.select(F.col("id").cast("long"), "text").mapInArrow(run, schema).collect():
-        lists.setdefault(r["id"], []).append((r["start"], r["end"], r["kind"], r["ok"], list(r["features"])))
-    return fit([sorted(found, key=lambda c: (c[1], c[0], c[2])) for _, found in sorted(lists.items())])
+def learn(n: int = 800, seed: int = 9) -> dict[str, float]:
+    """Weights from ``n`` training texts (a few seconds on the driver, whatever the corpus; once a process)."""
+    return dict(_learned(n, seed))
 
 
 def spans(text: str | None, weights: dict[str, float]) -> tuple[list, list]:
@@ -288,12 +289,14 @@ def spans(text: str | None, weights: dict[str, float]) -> tuple[list, list]:
     base = [(c[2], c[0], c[1]) for c in found if c[3] and c[2] != SECRET]
     sure = vouched_secrets(found)
     ends = [c[1] for c in sure]
+    fixed = frozenset(c[:3] for c in sure)
 
     def free(c) -> bool:
         at = bisect.bisect_right(ends, c[0])  # the first vouched secret that ends behind the candidate's start
         return at == len(sure) or sure[at][0] >= c[1]
 
-    more = [(c[2], c[0], c[1]) for c in segment([c for c in found if free(c)], weights) if c[2] == SECRET]
+    chosen = segment([c for c in found if free(c) or c[:3] in fixed], weights, fixed)
+    more = [(c[2], c[0], c[1]) for c in chosen if c[2] == SECRET and c[:3] not in fixed]
     # a span of the field that crosses a base span yields to it
     more = [m for m in more if all(m[2] <= b[1] or b[2] <= m[1] or (m[1] <= b[1] and b[2] <= m[2]) for b in base)]
     # a vouched one only yields to a longer base span that covers all of it

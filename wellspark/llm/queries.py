@@ -89,11 +89,13 @@ def span_list(spans: str) -> Column:
 
 def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    found = pii.find(docs, pii.learn(docs))
+    found = pii.find(docs, pii.learn())
     number = lambda kind: F.size(F.filter("base", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
     return found.select("doc_id", *[number(k) for k in pii.KINDS],
                         F.sha2(F.encode(span_list("base"), "utf-8"), 256).alias("base_sha256"),
-                        span_list("spans").alias("spans"))
+                        span_list("spans").alias("spans"),
+                        F.size(F.filter("spans", lambda s: s["kind"] == pii.SECRET)).cast("long").alias("n_secret"),
+                        (F.size("spans") > 0).alias("has_pii"))
 
 
 def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
