@@ -3,6 +3,7 @@ from collections import Counter, defaultdict
 
 import duckdb
 import numpy as np
+import pytest
 
 from wellspark.llm import exact_dedup, ngram_join
 from wellspark.llm.components import components
@@ -162,6 +163,25 @@ def test_large_groups_are_compared_in_blocks(spark, monkeypatch):
     assert kept == {v[0] for v in want.values()}
 
 
+@pytest.mark.parametrize("chained", [4, 10 ** 6])
+def test_a_long_chain_of_shared_buckets_is_compared_bucket_by_bucket(spark, monkeypatch, chained):
+    """Windows that slide over one text: neighbours are similar, the ends have nothing in common."""
+    words = [f"w{i}" for i in range(2600)]
+    texts = {i: " ".join(words[6 * i : 6 * i + 120]) for i in range(400)}
+    texts |= {1000 + i: t for i, t in enumerate(list(texts.values())[:30])}
+    monkeypatch.setattr(ngram_join, "BLOCK_CLASSES", 16)
+    monkeypatch.setattr(ngram_join, "CHAINED", chained)
+    compared = []
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    real = ngram_join._blocks
+    monkeypatch.setattr(ngram_join, "_blocks", lambda grouped, *a: compared.append(grouped) or real(grouped, *a))
+    got = {r["doc_id"]: (r["class_id"], r["set_id"], r["n_copies"], r["n_links"])
+           for r in ngram_join.ngram_join(docs, small=2).collect()}
+    assert got == brute_groups(texts) and len({v[0] for v in got.values()}) == 1
+    sizes = [r["count"] for r in compared[0].groupBy("grp").count().collect()]
+    assert max(sizes) < 40 if chained == 4 else max(sizes) > 300  # the work is that of the buckets, not of the chain
+
+
 def test_odd_rows_of_the_join(spark, odd):
     got = {r["doc_id"]: r for r in ngram_join.ngram_join(odd).collect()}
     assert sorted(got) == [1, 2, 3, 4, 5, 6, 7, 8, 9]

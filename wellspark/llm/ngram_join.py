@@ -4,10 +4,13 @@
    same set are one *class*, named by its smallest document id; only classes are compared, so copies cost nothing.
 2. MinHash banding: ``bands`` x ``rows`` minima per class, with the counts chosen for a target recall at the threshold
    (:func:`banding`). Classes meet in a shuffle on the band hashes.
-3. A band bucket of at most ``small`` classes gives its pairs directly. Larger buckets are merged into components of
-   shared buckets; a component is cut into blocks, every two blocks meet in one task, which verifies all their pairs
-   on the full sets and returns per class the number of links (no pair rows). So every candidate is verified, however
-   many classes share a bucket, and no task holds more than two blocks.
+3. A band bucket of at most ``small`` classes gives its pairs directly. Larger ones are compared in *groups* without
+   pair rows: a group is cut into blocks, every two blocks meet in one task, which verifies all their pairs on the full
+   sets and returns per class the number of links. Buckets that overlap closely are one group (a component of shared
+   buckets with at most CHAINED times as many classes as its largest bucket, so that near copies, which share most of
+   their buckets, are compared once); in a longer chain of buckets every bucket is a group, and a pair counts in the
+   first bucket that both classes are in. So every candidate is verified, however many classes share a bucket, the work
+   never exceeds that of the buckets by more than CHAINED squared, and no task holds more than two blocks.
 4. Groups of near-duplicates are the connected components of the verified links.
 
 Edge cases: a text of fewer than n words is one n-gram of all its words; null, empty and white-space texts have no
@@ -32,6 +35,8 @@ from wellspark.session import materialize
 GOLDEN = np.uint64(0x9E3779B97F4A7C15)
 MIX1, MIX2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 BLOCK_CLASSES, BLOCK_GRAMS = 256, 400_000
+CHAINED = 4
+SALTS = 32  # tasks that a band bucket is dealt to at least when its members look for their smallest
 CACHE_WORDS = 200_000  # some 40 MB; a word beyond is one hash call
 
 
@@ -130,9 +135,11 @@ def full_sets(docs: DataFrame, wanted: DataFrame, n: int, id_col: str, text_col:
     return rows_in.join(wanted.hint("merge"), "cid", "left_semi").select("cid", "text").mapInArrow(run, "cid long, grams array<long>")
 
 
-def block_links(cids: np.ndarray, blocks: np.ndarray, sets: list[np.ndarray], own: bool, num: int, den: int):
+def block_links(cids: np.ndarray, blocks: np.ndarray, sets: list[np.ndarray], own: bool, num: int, den: int,
+                keys: list[np.ndarray] | None = None, group: int = 0):
     """All pairs of two blocks (of one if ``own``): links per class, and for each linked class the smallest class it is
-    connected to inside these blocks."""
+    connected to inside these blocks. With ``keys`` (the sorted groups of each class, empty for a class of one group)
+    a pair counts only where ``group`` is the first that both have."""
     m = len(cids)
     flat = np.concatenate(sets)
     who = np.repeat(np.arange(m), [len(s) for s in sets])
@@ -157,6 +164,10 @@ def block_links(cids: np.ndarray, blocks: np.ndarray, sets: list[np.ndarray], ow
     np.fill_diagonal(link, False)
     if not own:
         link &= blocks[:, None] != blocks[None, :]
+    if keys is not None and any(len(k) for k in keys):
+        for a, b in np.argwhere(np.triu(link)).tolist():
+            if len(keys[a]) and np.intersect1d(keys[a], keys[b])[0] != group:
+                link[a, b] = link[b, a] = False
     root = cids.copy()
     while True:  # smallest id among the neighbours, again and again
         low = np.where(link, root[None, :], np.iinfo(np.int64).max).min(axis=1, initial=np.iinfo(np.int64).max)
@@ -186,23 +197,35 @@ def ngram_join(docs: DataFrame, n: int = 5, threshold: Fraction = Fraction(4, 5)
     met = materialize(keyed.groupBy("key").agg(F.count("*").alias("members")).where("members > 1"), "buckets")
     keyed = materialize(keyed.join(met, "key"), "candidates")
 
-    # buckets too large for direct pairs: one component of shared buckets is compared block by block
-    large = keyed.where(F.col("members") > small)
-    lead = large.groupBy("key").agg(F.min("cid").alias("lead"))
-    hot = materialize(
-        components(large.join(lead, "key").select(F.col("cid").alias("a"), F.col("lead").alias("b")), "hot")
-        .select(F.col("node").alias("cid"), F.col("root").alias("comp")), "hot")
-
-    # direct pairs, unless the block comparison of a component has them already
+    # buckets too large for direct pairs: components of shared buckets, by edges to a smallest member
+    large = keyed.where(F.col("members") > small).withColumn("salt", F.pmod(F.xxhash64("cid"), F.lit(SALTS)))
+    lead = materialize(large.groupBy("key", "salt").agg(F.min("cid").alias("lead")), "leads")
+    top = lead.groupBy("key").agg(F.min("lead").alias("top"))
+    edges = (large.join(lead, ["key", "salt"]).select(F.col("cid").alias("a"), F.col("lead").alias("b"))
+             .unionByName(lead.join(top, "key").select(F.col("lead").alias("a"), F.col("top").alias("b"))))
+    hot = materialize(components(edges, "hot").select(F.col("node").alias("cid"), F.col("root").alias("comp")), "hot")
+    # a component much larger than its largest bucket is a chain: there each bucket is compared by itself
+    size = hot.groupBy("comp").agg(F.count("*").alias("n"))
+    widest = top.join(hot, F.col("top") == F.col("cid")).join(met, "key").groupBy("comp").agg(
+        F.max("members").alias("widest"))
+    chained = size.join(widest, "comp").select("comp", (F.col("n") > CHAINED * F.col("widest")).alias("chain"))
+    hot = materialize(hot.join(chained, "comp"), "hot_groups")
+    grouped = hot.where("NOT chain").select("cid", F.col("comp").alias("grp"), F.array().cast("array<long>").alias("keys"))
+    in_chain = large.join(hot.where("chain").select("cid"), "cid").select("cid", F.col("key").alias("grp"))
+    every = in_chain.groupBy("cid").agg(F.sort_array(F.collect_list("grp")).alias("keys"))  # a class has `bands` at most
+    grouped = materialize(grouped.unionByName(in_chain.join(every, "cid").select("cid", "grp", "keys")), "groups")
+
+    # direct pairs, unless the block comparison of a group has them already
     listed = (keyed.where(F.col("members") <= small).groupBy("key")
               .agg(F.sort_array(F.collect_list(F.struct("cid", "grams"))).alias("m")))
     pairs = (listed.select(F.explode(F.expr(
         "flatten(transform(m, (x, i) -> transform(slice(m, i + 2, size(m)), y -> struct(x.cid as a, x.grams as na, "
         "y.cid as b, y.grams as nb))))")).alias("p")).select("p.*")
         .where((F.least("na", "nb") * den >= F.greatest("na", "nb") * num) & (F.col("a") != F.col("b"))).distinct())
-    pairs = (pairs.join(hot.select(F.col("cid").alias("a"), F.col("comp").alias("ca")), "a", "left")
-             .join(hot.select(F.col("cid").alias("b"), F.col("comp").alias("cb")), "b", "left")
-             .where("ca is null or cb is null or ca != cb").select("a", "b"))
+    side = lambda c: grouped.groupBy("cid").agg(
+        F.collect_list("grp").alias(f"g{c}")).withColumnRenamed("cid", c)
+    pairs = (pairs.join(side("a"), "a", "left").join(side("b"), "b", "left")
+             .where("ga IS NULL OR gb IS NULL OR NOT arrays_overlap(ga, gb)").select("a", "b"))
     pairs = materialize(pairs, "pairs")
 
     wanted = pairs.select(F.col("a").alias("cid")).union(pairs.select("b")).union(hot.select("cid")).distinct()
@@ -214,7 +237,7 @@ def ngram_join(docs: DataFrame, n: int = 5, threshold: Fraction = Fraction(4, 5)
                 .where(F.col("inter") * den >= (F.size("ga") + F.size("gb") - F.col("inter")) * num)
                 .select("a", "b"))
     verified = materialize(verified, "links")
-    dealt = materialize(_blocks(hot, classes, sets, num, den), "block_links")
+    dealt = materialize(_blocks(grouped, classes, sets, num, den), "block_links")
 
     counts = (verified.select(F.col("a").alias("cid"), F.lit(1).cast("long").alias("links"))
               .unionByName(verified.select(F.col("b").alias("cid"), F.lit(1).cast("long").alias("links")))
@@ -238,26 +261,31 @@ def ngram_join(docs: DataFrame, n: int = 5, threshold: Fraction = Fraction(4, 5)
                  F.max("n_copies").alias("n_copies"), F.max("n_links").alias("n_links")))
 
 
-def _blocks(hot: DataFrame, classes: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
-    """cid, links, root: the verified links inside each component, one row per class and pair of blocks."""
-    sized = hot.join(classes.select("cid", "grams"), "cid").withColumnRenamed("grams", "weight")
-    total = sized.groupBy("comp").agg(F.greatest(F.ceil(F.count("*") / BLOCK_CLASSES),
-                                                 F.ceil(F.sum("weight") / BLOCK_GRAMS)).alias("blocks"))
-    member = (sized.join(total, "comp").withColumn("mine", F.pmod(F.xxhash64("cid"), F.col("blocks")))
+def _blocks(grouped: DataFrame, classes: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
+    """cid, links, root: the verified links inside each group, one row per class and pair of blocks."""
+    sized = grouped.join(classes.select("cid", F.col("grams").alias("weight")), "cid")
+    total = sized.groupBy("grp").agg(F.greatest(F.ceil(F.count("*") / BLOCK_CLASSES),
+                                                F.ceil(F.sum("weight") / BLOCK_GRAMS)).alias("blocks"))
+    member = (sized.join(total, "grp").withColumn("mine", F.pmod(F.xxhash64("cid"), F.col("blocks")))
               .withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
-              .select("cid", "comp", "mine", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j")))
+              .select("cid", "grp", "keys", "mine", F.least("mine", "other").alias("i"),
+                      F.greatest("mine", "other").alias("j")))
+
+    def lists_of(table: pa.Table, column: str) -> list[np.ndarray]:
+        lists = table.column(column).combine_chunks()
+        values, offsets = lists.values.to_numpy(), lists.offsets.to_numpy()
+        return [values[a:b] for a, b in zip(offsets, offsets[1:])]
 
     def compare(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
         own = key[1].as_py() == key[2].as_py()
         cids = table.column("cid").to_numpy()
-        lists = table.column("grams").combine_chunks()
-        values, offsets = lists.values.to_numpy().view(np.uint64), lists.offsets.to_numpy()
-        parts = [values[a:b] for a, b in zip(offsets, offsets[1:])]
-        links, root = block_links(cids, table.column("mine").to_numpy(), parts, own, num, den)
+        sets = [s.view(np.uint64) for s in lists_of(table, "grams")]
+        links, root = block_links(cids, table.column("mine").to_numpy(), sets, own, num, den,
+                                  lists_of(table, "keys"), key[0].as_py())
         some = links > 0
         return pa.table({"cid": cids[some], "links": links[some].astype(np.int64), "root": root[some]})
 
-    return (member.join(sets, "cid").select("comp", "i", "j", "cid", "mine", "grams").groupBy("comp", "i", "j")
+    return (member.join(sets, "cid").select("grp", "i", "j", "cid", "mine", "keys", "grams").groupBy("grp", "i", "j")
             .applyInArrow(compare, "cid long, links long, root long"))
 
 
