@@ -40,6 +40,58 @@ def test_known_word_before_ngrams():
     assert b.predict("x 12")[0] == "a" and b.predict("12 ½")[0] == "und"
 
 
+def test_language_against_plain_counting(spark, documents):
+    from pyspark.sql import functions as F
+
+    train = F.crc32(F.col("doc_id").cast("string")) % 3 != 1
+    model = language_id.learn(documents, train)
+    rows = documents.collect()
+    words = {}
+    for r in rows:
+        if zlib.crc32(str(r["doc_id"]).encode()) % 3 != 1 and r["lang"]:
+            words.setdefault(r["lang"], Counter()).update(re.findall(r"[^\W\d_]+", r["text"].lower()))
+    want = {}
+    for lang, counted in words.items():
+        tables = {0: counted, **{k: Counter() for k in range(1, 7)}}
+        for word, n in counted.items():
+            spaced = f" {word} "
+            for k in range(1, 7):
+                for i in range(len(spaced) - k + 1):
+                    tables[k][spaced[i : i + k]] += n
+        for k, table in tables.items():
+            total, kept = sum(table.values()), sorted(((-n, g) for g, n in table.items() if n > 1))[:20_000]
+            want |= {(lang, k, g): -math.log10(-n / total) for n, g in kept}
+    got = {(lang, k, g): cost for lang, k, g, cost in model}
+    assert set(got) == set(want) and all(got[x] == pytest.approx(want[x]) for x in want)
+
+    langs = sorted(words)
+    cost = lambda lang, k, g: want.get((lang, k, g), 7.0)
+    found = {r["doc_id"]: r for r in language_id.identify(documents.limit(60), model).collect()}
+    for r in rows:
+        if r["doc_id"] not in found:
+            continue
+        means = []
+        text_words = re.findall(r"[^\W\d_]+", (r["text"] or "").lower())
+        for lang in langs:
+            total = 0.0
+            for w in text_words:
+                if any((x, 0, w) in want for x in langs):
+                    total += cost(lang, 0, w)
+                    continue
+                for k in range(6, 0, -1):
+                    grams = [f" {w} "[i : i + k] for i in range(len(w) + 3 - k)]
+                    some = [g for g in grams if any((x, k, g) in want for x in langs)]
+                    if some:
+                        total += sum(cost(lang, k, g) for g in some) / len(some)
+                        break
+                else:
+                    total += 7.0
+            means.append(total / len(text_words) if text_words else 0)
+        order = sorted(means)
+        if text_words and (len(order) < 2 or order[1] - order[0] > 1e-4):
+            assert found[r["doc_id"]]["lang_pred"] == langs[means.index(order[0])]
+
+
 def test_odd_rows_of_language(spark, odd):
     from pyspark.sql import functions as F
 
@@ -479,6 +531,21 @@ def test_toxicity_of_labelled_documents(spark, labels):
     assert sum(r["rejected"] for t, r in known if t) >= 0.7 * sum(t for t, _ in known)
 
 
+def test_toxicity_of_held_out_labels(spark):
+    from pyspark.sql import functions as F
+
+    documents, labels = (spark.read.parquet(f"/root/testdata/sf0.1/{t}.parquet") for t in ("documents", "labels"))
+    held = F.pmod(F.xxhash64("doc_id"), F.lit(4)) == 0
+    model = toxicity.learn(documents, labels.where(~held))
+    found = toxicity.score(documents, model)
+    pairs = labels.where(held).select("doc_id", "toxic").join(found, "doc_id").collect()
+    bad = [r["rejected"] for r in pairs if r["toxic"]]
+    good = [r["rejected"] for r in pairs if r["toxic"] == 0]
+    assert len(bad) > 80 and sum(bad) >= 0.7 * len(bad) and sum(good) <= 0.01 * len(good)
+    assert all(r["p_toxic"] == pytest.approx(model.severity(model.find(t))[1]) for r, t in zip(
+        *(lambda rows: (rows, [r["text"] for r in rows]))(found.join(documents.select("doc_id", "text"), "doc_id").limit(50).collect())))
+
+
 def test_cumulative_link_orders_the_grades():
     import numpy as np
 

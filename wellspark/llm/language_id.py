@@ -7,8 +7,9 @@ score per language is the mean over all its words; the smallest mean wins.
 
 Learning is grouped counting over a sample of labelled documents with a documented bound per language
 (``docs_per_lang``, by a hash of the id); of each language the ``top`` most frequent words and n-grams of each length
-are kept, so the model's size depends on these parameters and the number of languages, not on the corpus. Prediction
-reads whole texts, row by row.
+are kept, and of these only what the sample holds twice or more, as a single sighting is no frequency. So the model's
+size depends on these parameters and the number of languages, not on the corpus. Prediction reads whole texts, row by
+row.
 
 Edge cases: a null text, or one without a letter, is ``und`` with score 0; so is every text if nothing could be
 learned. Null languages and null texts are not learned from. Ties go to the alphabetically first language. Ids are

@@ -16,13 +16,13 @@ ignored; texts of any length are read whole.
 from __future__ import annotations
 
 import base64
-from functools import lru_cache
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-CACHE_WORDS = 700_000
+from wellspark.llm import chunks
 
 
 class LongestMatch:
@@ -78,35 +78,40 @@ class LongestMatch:
         return n
 
 
-class _Counts(dict):
-    def __init__(self, match: LongestMatch):
-        super().__init__()
-        self.match = match
+class Counter:
+    """Words and tokens of chunks by a rank file; a chunk may hold several words, as white space beyond ASCII splits."""
 
-    def __missing__(self, word: str) -> int:
-        if len(self) > CACHE_WORDS:
-            self.clear()
-        n = self.match.count(b" " + word.encode())
-        self[word] = n = 1 if n is None else n
-        return n
+    def __init__(self, path: str):
+        with open(path, "rb") as f:
+            self.match = LongestMatch([base64.b64decode(line.split()[0]) for line in f])
+        self.memory = chunks.Memory(self.learn)
 
+    def learn(self, keys: pa.Array) -> pa.Array:
+        found = np.zeros((len(keys), 2), np.uint32)
+        for i, key in enumerate(keys.to_pylist()):
+            words = key.decode().split()
+            counts = [self.match.count(b" " + w.encode()) for w in words]
+            found[i] = len(words), sum(1 if n is None else n for n in counts)
+        return chunks.binaries(found.reshape(-1).view(np.uint8), 8 * np.arange(len(keys) + 1))
 
-@lru_cache(maxsize=2)
-def word_counts(path: str) -> _Counts:
-    with open(path, "rb") as f:
-        return _Counts(LongestMatch([base64.b64decode(line.split()[0]) for line in f]))
+    def counts(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The words and the tokens of each text."""
+        data, offsets = chunks.flat(texts)
+        numbers, ends = chunks.encoded(data, offsets, chunks.after_spaces(data, offsets), self.memory)
+        sums = np.concatenate([np.zeros((1, 2), np.int64), np.cumsum(numbers.reshape(-1, 2), axis=0, dtype=np.int64)])
+        of_text = np.diff(sums[ends // 2], axis=0)
+        return of_text[:, 0], of_text[:, 1]
 
 
 def token_counts(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_words, n_tokens. ``vocabulary`` is the path of a rank file (base64 piece and rank per line)."""
 
     def run(batches):
-        count = word_counts(vocabulary).__getitem__
-        for batch in batches:
-            words = [(t or "").split() for t in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array([len(w) for w in words], pa.int64()),
-                 pa.array([sum(map(count, w)) for w in words], pa.int64())], ["doc_id", "n_words", "n_tokens"])
+        counter = chunks.codec(Counter, vocabulary)
+        for ids, texts in chunks.slices(batches):
+            n_words, n_tokens = counter.counts(texts)
+            yield pa.RecordBatch.from_arrays([ids, pa.array(n_words), pa.array(n_tokens)],
+                                             ["doc_id", "n_words", "n_tokens"])
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     return rows.mapInArrow(run, "doc_id long, n_words long, n_tokens long")
