@@ -26,7 +26,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from wellspark.llm.text_stats import features, with_stats
+from wellspark.llm.text_stats import features, sampled_texts, with_stats
 from wellspark.session import materialize
 
 #: the statistics used here (the repeated windows are left to the quality rules)
@@ -61,10 +61,9 @@ def learn(docs: DataFrame, labels: DataFrame, most: int = 6000, id_col: str = "d
     million = 1_000_000
     share = math.ceil(million * most / max(marks.count(), 1))
     sample = marks.where(F.pmod(F.xxhash64("id"), F.lit(million)) < share)
-    texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    stats = with_stats(texts.join(F.broadcast(sample.select("id")), "id", "left_semi"), "id", "text")
+    stats = with_stats(sampled_texts(docs, sample, id_col, text_col), "id", "text")
     known = features()
-    rows = (stats.dropDuplicates(["doc_id"]).join(sample, F.col("doc_id") == F.col("id"))
+    rows = (stats.join(sample, F.col("doc_id") == F.col("id"))
             .select("good", *[known[k].alias(k) for k in INPUTS]).collect())
     table = np.array([tuple(r) for r in rows], dtype=float).reshape(len(rows), 1 + len(INPUTS))
     if len(set(table[:, 0])) < 2:

@@ -21,7 +21,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from wellspark.llm.text_stats import features, with_stats
+from wellspark.llm.text_stats import features, sampled_texts, with_stats
 
 Condition = tuple[str, str, float]  # feature, "<=" or ">", threshold
 
@@ -101,22 +101,21 @@ def as_expression(rules: list[list[Condition]]) -> Column:
 
 
 def learn(docs: DataFrame, labels: DataFrame, most: int = 6000, id_col: str = "doc_id", text_col: str = "text",
-          label_col: str = "quality") -> list[list[Condition]]:
-    """Learn the decision list from at most about ``most`` labelled documents (quality 1: good, 0: bad)."""
+          label_col: str = "quality", bins: int = 24, longest: int = 4, most_rules: int = 12) -> list[list[Condition]]:
+    """Learn the decision list from at most about ``most`` labelled documents (quality 1: good, 0: bad): at most
+    ``most_rules`` rules of ``longest`` conditions, whose thresholds are among ``bins`` quantiles of a statistic."""
     marks = (labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull())
              .groupBy(F.col(id_col).cast("long").alias("id")).agg((1 - F.min(label_col)).cast("int").alias("bad")))
     n = marks.count()
     million = 1_000_000
     share = math.ceil(million * most / max(n, 1))
     sample = marks.where(F.pmod(F.xxhash64("id"), F.lit(million)) < share)
-    texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    # the sample is bounded by `most`, so it may be broadcast
-    stats = with_stats(texts.join(F.broadcast(sample.select("id")), "id", "left_semi"), "id", "text")
+    stats = with_stats(sampled_texts(docs, sample, id_col, text_col), "id", "text")
     known = features()
     rows = (stats.join(sample, F.col("doc_id") == F.col("id"))
             .select("bad", (F.pmod(F.xxhash64("doc_id", F.lit(1)), F.lit(3)) == 0).alias("prune"),
                     *[c.alias(k) for k, c in known.items()]).collect())
-    return learn_list([r.asDict() for r in rows], list(known))
+    return learn_list([r.asDict() for r in rows], list(known), bins, longest, most_rules)
 
 
 def judge(docs: DataFrame, rules: list[list[Condition]], id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -36,6 +36,13 @@ def repeated_words(words: str) -> str:
             f"when size(array_distinct({windows})) = size({words}) - 2 then 0L else {covered} end")
 
 
+def sampled_texts(docs: DataFrame, sample: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(id, text) of the sampled ids (column ``id``, of a bounded number, so that it may be broadcast). An id that
+    several rows have stands once, with its least text, so that the rows are bounded by the sample too."""
+    texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
+    return texts.join(F.broadcast(sample.select("id")), "id", "left_semi").groupBy("id").agg(F.min("text").alias("text"))
+
+
 def with_stats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep_key: bool = False) -> DataFrame:
     """doc_id (``keep_key``: of any type, as it is), n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_lines, n_distinct, n_upper, n_chars."""
     key = F.col(id_col) if keep_key else F.col(id_col).cast("long")

@@ -6,8 +6,9 @@ ones, by how many of these words they hold (the labels say only toxic or not, so
 One weight per feature is shared by the three ordered thresholds: P(grade <= k) = sigmoid(threshold_k - w.x). The
 document's severity is the expected grade; it is rejected if a grade of 1 or more is likelier than 0.
 
-Learning reads a sample of labelled documents of a documented bound (``most``) and keeps at most ``top`` features, so
-the model is small whatever the corpus; every document's whole text is scored, in batches.
+Learning reads a sample of labelled documents of a documented bound (``most``) and keeps at most ``top`` features that at
+least ``least_docs`` toxic documents hold and whose bound exceeds ``least_odds``, so the model is small whatever the
+corpus; every document's whole text is scored, in batches.
 
 Edge cases: null and empty texts have no features. Without toxic labels nothing is rejected. Null labels are not
 learned from; a document with several labels is toxic if any says so. Ids are carried along; extra columns are ignored.
@@ -24,6 +25,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from wellspark.llm.text_stats import sampled_texts
+
 WORD = re.compile(r"[^\W\d_]+")
 STEMS = (4, 5)
 GRADES = 3
@@ -105,7 +108,7 @@ def fit_cumulative(x: np.ndarray, y: np.ndarray, times: np.ndarray, grades: int
 
 
 def learn(docs: DataFrame, labels: DataFrame, most: int = 10_000, top: int = 800, least_docs: int = 3,
-          id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> Model:
+          least_odds: float = 2.5, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> Model:
     """Choose the features and fit the model on about ``most`` labelled documents."""
     harmless = Model({}, [20.0, 21.0, 22.0])
     marks = (labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull())
@@ -113,8 +116,7 @@ def learn(docs: DataFrame, labels: DataFrame, most: int = 10_000, top: int = 800
     million = 1_000_000
     share = math.ceil(million * most / max(marks.count(), 1))
     sample = marks.where(F.pmod(F.xxhash64("id"), F.lit(million)) < share)
-    texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    known = texts.join(F.broadcast(sample), "id").where("text is not null")  # bounded by `most`
+    known = sampled_texts(docs, sample, id_col, text_col).join(F.broadcast(sample), "id").where("text is not null")
     sizes = {r["toxic"]: r["n"] for r in known.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
     bad, good = sizes.get(1, 0), sizes.get(0, 0)
     if not bad or not good:
@@ -134,7 +136,7 @@ def learn(docs: DataFrame, labels: DataFrame, most: int = 10_000, top: int = 800
     a, b = F.col("a") + 0.5, F.col("b") + 0.5
     odds = F.log(a / (bad + 1 - a)) - F.log(b / (good + 1 - b))
     bound = odds - F.sqrt(1 / a + 1 / b)
-    chosen = [r["feature"] for r in counted.withColumn("bound", bound).where("bound > 2.5")
+    chosen = [r["feature"] for r in counted.withColumn("bound", bound).where(F.col("bound") > least_odds)
               .orderBy(F.desc("bound"), "feature").limit(top).collect()]
     if not chosen:
         return harmless
