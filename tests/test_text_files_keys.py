@@ -151,6 +151,25 @@ def test_numbers_print_as_in_python(spark):
     assert got == [str(v) for v in values] + [None]
 
 
+def test_whole_totals_print_without_a_fraction(spark):
+    foods = spark.createDataFrame([(1, 14.0, 0.0, 0.5), (1, 3.0, None, 0.5), (2, 28.66, 0.0, None), (2, 14.34, 0.0, 1.0)],
+                                  "log int, nf_total_fat double, nf_dietary_fiber double, nf_sugars double")
+    rows = nutrition.format_totals(nutrition.food_totals(foods, ["log"], whole=True)).collect()
+    got = {r.log: (r.Total_Fat_text, r.Dietary_Fiber_text, r.Sugars_text, r.Sodium_text) for r in rows}
+    assert got == {1: ("17g", "0g", "1.0g", "0mg"), 2: ("43.0g", "0g", "1g", "0mg")}
+    assert not any(c.endswith("_whole") for c in rows[0].asDict())
+
+
+def test_message_parts_of_a_long_text_take_linear_time(spark):
+    n = 50_000
+    began = time.time()
+    df = spark.createDataFrame([(1, "see address:a/b.png or " * n), (2, None), (3, "address:x.csv"), (4, "plain")], "k int, t string")
+    got = to.message_parts(df, ["k"], "t")
+    assert got.where("k = 1").count() == 2 * n + 1 and time.time() - began < 60
+    assert [(r.k, r.part_no, r.kind, r.content) for r in got.where("k > 1").orderBy("k").collect()] == [
+        (3, 0, "attachment", "x.csv"), (4, 0, "text", "plain")]
+
+
 def test_foods_with_one_normalised_name(spark):
     log = spark.createDataFrame([(1, " Red   APPLE ", 2.0), (2, "pear", 1.0), (3, None, 1.0), (4, "red apple", 3.0)],
                                 "id int, food string, n double")

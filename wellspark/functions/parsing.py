@@ -23,6 +23,10 @@ TOOL_CALL = (
     r"\[((?:[^\]'\"]|'[^']*'|\"[^\"]*\")*+)\]\s*\)"
 )
 QUOTED_ARGUMENT = r"'[^']*'|\"[^\"]*\"|[^,'\"\s][^,]*"
+TAG_SEPARATOR = r"(?i)\[(STRATEGY_CHANGE|STEP_SUCCESS|CONTENT)]\s*[-:]\s*"  # becomes "[tag] "
+# around the registry's names: the action line in front, the inputs line behind
+ACTION_OPENS = r"(?s)\s*Action\s*\d*\s*:[\s]*.*?("
+ACTION_INPUTS = r"(?=.*Action\s*\d*\s*Inputs)).*?[\s]*Action\s*\d*\s*Inputs\s*\d*\s*:[\s]*(.*)"
 DATAPIPE_REF = r"datapipe:([0-9a-f-]{36})"
 # ---------------------------------------------------------------------------------------------------------
 
@@ -33,7 +37,7 @@ def _c(c: Column | str) -> Column:
 
 def normalise_tags(text: Column | str) -> Column:
     """``[TAG]: value`` / ``[TAG] - value`` -> ``[TAG] value`` (case-insensitive tags)."""
-    return F.regexp_replace(_c(text), r"(?i)\[(STRATEGY_CHANGE|STEP_SUCCESS|CONTENT)]\s*[-:]\s*", "[$1] ")
+    return F.regexp_replace(_c(text), TAG_SEPARATOR, "[$1] ")
 
 
 def tag_sections(text: Column) -> Column:
@@ -97,8 +101,4 @@ def datapipe_key(arg: Column) -> Column:
 
 def react_task_pattern(task_names: Sequence[str]) -> str:
     """action pattern of the thought/action reply format for the given registry names."""
-    names = "|".join(task_names)
-    return (
-        r"(?s)\s*Action\s*\d*\s*:[\s]*.*?(" + f"(?:{names})(?=.*Action\\s*\\d*\\s*Inputs)"
-        + r").*?[\s]*Action\s*\d*\s*Inputs\s*\d*\s*:[\s]*(.*)"
-    )
+    return f"{ACTION_OPENS}(?:{'|'.join(task_names)}){ACTION_INPUTS}"

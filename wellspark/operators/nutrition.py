@@ -89,16 +89,27 @@ def explode_foods(docs: DataFrame, keys: Sequence[str], foods_col: str = "foods"
     return docs.select(*keys, F.inline_outer(F.col(foods_col)))
 
 
-def food_totals(foods: DataFrame, keys: Sequence[str]) -> DataFrame:
+WHOLE = "_whole"
+
+
+def is_whole(c: Column) -> Column:
+    return c == F.floor(c)
+
+
+def food_totals(foods: DataFrame, keys: Sequence[str], whole: bool = False) -> DataFrame:
     """A6 (flat form): per log, the eleven totals; a missing or NULL value counts as 0.
 
-    Grouped sums are partially aggregated before the shuffle (one row per log and task).
+    ``whole`` adds ``<name>_whole``: whether all values of a total are whole numbers, which JSON writes without a
+    fraction, so that their sum prints without one (A9). Grouped sums are partially aggregated before the shuffle (one
+    row per log and task).
     """
     present = set(foods.columns)
     aggs = []
     for name, field in NUTRIENT_FIELDS.items():
         v = F.coalesce(F.col(field).cast("double"), F.lit(0.0)) if field in present else F.lit(0.0)
         aggs.append(F.sum(v).alias(name))
+        if whole:
+            aggs.append(F.bool_and(is_whole(v)).alias(name + WHOLE))
     return foods.groupBy(*keys).agg(*aggs)
 
 
@@ -207,13 +218,19 @@ def risk_rules(totals: DataFrame, messages: str = "reference") -> DataFrame:
 
 
 def format_totals(df: DataFrame, suffix: str = "_text") -> DataFrame:
-    """Totals as text with their unit (``43.0g``, ``487.04mg``); Calories stays numeric.
+    """Totals as text with their unit (``43.0g``, ``487.04mg``; ``87mg`` where ``<name>_whole`` says that all parts are
+    whole numbers); Calories stays numeric.
 
-    The numeric columns are kept; the texts are added as ``<name><suffix>``.
+    The numeric columns are kept; the texts are added as ``<name><suffix>``. The flags go.
     """
-    return df.withColumns(
-        {f"{n}{suffix}": F.concat(number_text(F.col(n)), F.lit(u)) for n, u in UNITS.items()}
-    )
+    def text(name: str) -> Column:
+        shown = number_text(F.col(name))
+        if name + WHOLE in df.columns:
+            shown = F.when(F.col(name + WHOLE) & (F.abs(F.col(name)) < 9e15), F.col(name).cast("long").cast("string")).otherwise(shown)
+        return shown
+
+    out = df.withColumns({f"{n}{suffix}": F.concat(text(n), F.lit(u)) for n, u in UNITS.items()})
+    return out.drop(*[n + WHOLE for n in NUTRIENT_FIELDS])
 
 
 def normalised_name(c: Column) -> Column:

@@ -193,19 +193,16 @@ def message_parts(df: DataFrame, keys: Sequence[str], text_col: str) -> DataFram
     parts dropped. Offsets are absolute (the reference reuses offsets of the whole reply on a shrinking string,
     which misplaces every split after the first; here each split is where the match is)."""
     t = F.col(text_col)
-    paths = F.regexp_extract_all(t, F.lit(tx.ATTACHMENT_PATTERN), F.lit(1))
-    pieces = F.split(t, tx.ATTACHMENT_PATTERN, -1)
-    items = F.transform(
-        F.sequence(F.lit(0), F.size(paths) * 2),
-        lambda k: F.when(
-            k % 2 == 0,
-            F.struct(F.lit("text").alias("kind"), F.element_at(pieces, F.floor(k / 2).cast("int") + 1).alias("content")),
-        ).otherwise(
-            F.struct(F.lit("attachment").alias("kind"),
-                     F.element_at(paths, F.floor((k - 1) / 2).cast("int") + 1).alias("content"))
-        ),
-    )
-    kept = F.filter(items, lambda x: F.length(x["content"]) > 0)
+    found = F.struct(F.regexp_extract_all(t, F.lit(tx.ATTACHMENT_PATTERN), F.lit(1)).alias("paths"),
+                     F.split(t, tx.ATTACHMENT_PATTERN, -1).alias("pieces"))
+    part = lambda kind, content: F.struct(F.lit(kind).alias("kind"), content.alias("content"))
+
+    def parts(m: Column) -> Column:  # a piece and the path behind it, side by side; the last piece has none
+        pairs = F.transform(F.arrays_zip(m["pieces"].alias("piece"), m["paths"].alias("path")), lambda p: F.array(
+            part("text", p["piece"]), part("attachment", p["path"])))
+        return F.filter(F.flatten(pairs), lambda x: F.length(x["content"]) > 0)
+
+    kept = tx.let(found, parts)
     return df.select(*keys, F.posexplode(kept).alias("part_no", "__p")).select(
         *keys, F.col("part_no").cast("long").alias("part_no"), F.col("__p.kind").alias("kind"),
         F.col("__p.content").alias("content"),

@@ -81,8 +81,8 @@ def risk_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def unit_format(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = nu.format_totals(nutrient_totals(spark, sf_dir).drop("n_foods"), suffix="")
-    return out
+    totals = nu.food_totals(foods(spark, sf_dir), ["l_orderkey"], whole=True)
+    return nu.format_totals(_rounded_totals(totals), suffix="")
 
 
 def food_join(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -197,9 +197,13 @@ ORACLES = {
         {_r4('saturated_fat_share')} AS saturated_fat_share, {_r4('protein_share')} AS protein_share,
         {RISKS_SQL}
       FROM shares""",
-    "unit_format": f"""WITH {_TOTALS}
+    "unit_format": f"""WITH {FOODS_SQL},
+      totals AS (SELECT l_orderkey, {", ".join(
+          f"{_r2(f'SUM(COALESCE({fl}, 0.0))')} AS {n}, bool_and(COALESCE({fl}, 0.0) = floor(COALESCE({fl}, 0.0))) AS {n}_whole"
+          for n, fl in nu.NUTRIENT_FIELDS.items())} FROM foods GROUP BY 1)
       SELECT l_orderkey, {", ".join(n for n in nu.NUTRIENT_FIELDS if n not in nu.UNITS)},
-        {", ".join(f"concat(CAST({n} AS VARCHAR), '{u}') AS {n}" for n, u in nu.UNITS.items())}
+        {", ".join(f"concat(CASE WHEN {n}_whole THEN CAST(CAST({n} AS BIGINT) AS VARCHAR) ELSE CAST({n} AS VARCHAR) END, '{u}') AS {n}"
+                   for n, u in nu.UNITS.items())}
       FROM totals""",
     "food_names": f"""
       WITH t AS (SELECT p_name, MIN({_r2('p_retailprice / 100.0::DOUBLE')}) AS calories FROM part GROUP BY 1),
