@@ -98,31 +98,36 @@ def dependency_check(
     ).drop("__dep", "__first", "__pos", *renamed)
 
 
+def call_args(calls: DataFrame, run_keys: Sequence[str], keys: Sequence[str]) -> DataFrame:
+    """One row per argument: keys, run keys, ``arg_no``, ``arg`` and ``ref_key`` (NULL for plain arguments)."""
+    args = calls.select(*keys, *[k for k in run_keys if k not in keys], F.posexplode("args").alias("arg_no", "arg"))
+    return args.withColumn("ref_key", ps.datapipe_key(F.col("arg")))
+
+
 def resolve_refs(
     calls: DataFrame, results: DataFrame, run_keys: Sequence[str], keys: Sequence[str]
 ) -> DataFrame:
     """One row per argument; ``datapipe:<key>`` arguments are replaced by the stored payload of the same run.
 
     ``results``: ``run keys..., key, data, description``. Adds ``arg_no``, ``arg``, ``ref_key``, ``resolved``
-    (NULL for plain arguments, false for an unknown key - an error in the reference) and ``value``.
+    (NULL for plain arguments, false for an unknown key - an error in the reference) and ``value``. Plain arguments take
+    part in the join under a key of their own each, which no result has, so that they gather in no partition.
     """
     run_keys = list(run_keys)
-    args = calls.select(*keys, *[k for k in run_keys if k not in keys], F.posexplode("args").alias("arg_no", "arg"))
-    args = args.withColumn("ref_key", ps.datapipe_key(F.col("arg")))
-    res = results.select(*run_keys, F.col("key").alias("ref_key"), F.col("data").alias("__data"))
-    # plain arguments take no part in the join: their NULL key would gather them in one partition
-    plain = args.where("ref_key is null").withColumn("__data", F.lit(None).cast(res.schema["__data"].dataType))
-    joined = args.where("ref_key is not null").join(res, on=[*run_keys, "ref_key"], how="left")
-    out = joined.unionByName(plain.select(*joined.columns))
-    return out.withColumns(
-        {
-            "resolved": F.when(F.col("ref_key").isNotNull(), F.col("__data").isNotNull()),
-            "value": F.when(F.col("ref_key").isNotNull(), F.col("__data")).otherwise(F.col("arg")),
-        }
-    ).drop("__data")
+    args = call_args(calls, run_keys, keys)
+    own = F.concat(F.lit("-"), F.xxhash64(*keys, "arg_no").cast("string"))
+    args = args.withColumn("__ref", F.coalesce("ref_key", own))
+    res = results.select(*run_keys, F.col("key").alias("__ref"), F.col("data").alias("__data"))
+    out = args.join(res, on=[*run_keys, "__ref"], how="left")
+    is_ref = F.col("ref_key").isNotNull()
+    return out.withColumns({
+        "resolved": F.when(is_ref, F.col("__data").isNotNull()),
+        "value": F.when(is_ref, F.col("__data")).otherwise(F.col("arg")),
+    }).drop("__data", "__ref")
 
 
 def used_keys(refs: DataFrame, run_keys: Sequence[str]) -> DataFrame:
+    """The keys that arguments refer to; ``refs`` from :func:`call_args` or :func:`resolve_refs`."""
     return refs.where(F.col("ref_key").isNotNull()).select(*run_keys, F.col("ref_key").alias("key")).distinct()
 
 
@@ -137,13 +142,17 @@ def evidence(
     """Evidence block per action: ``task: [inputs]`` then the raw stored payload when the result was stored
     and never used later, else the action's own response text (``datapipe:<key>``)."""
     run_keys = list(run_keys)
-    used = used_keys(refs, run_keys).withColumn("__used", F.lit(True))
-    res = results.select(*run_keys, "key", F.col("data").alias("__payload"))
-    out = actions.join(res, on=[*run_keys, "key"], how="left").join(used, on=[*run_keys, "key"], how="left")
+    stored = results.select(*run_keys, "key", F.col("data").alias("__payload"), F.lit(False).alias("__used"))
+    used = used_keys(refs, run_keys).select(
+        *run_keys, "key", F.lit(None).cast(stored.schema["__payload"].dataType).alias("__payload"), F.lit(True).alias("__used"))
+    # one row per key with its payload and whether it is used, then one join
+    known = stored.unionByName(used).groupBy(*run_keys, "key").agg(
+        F.max("__payload").alias("__payload"), F.max("__used").alias("__used"))
+    out = actions.join(known, on=[*run_keys, "key"], how="left")
     inputs = F.concat(
         F.lit("["), F.array_join(F.transform("args", lambda a: F.concat(F.lit("'"), a, F.lit("'"))), ", "), F.lit("]")
     )
-    shown = F.when(F.col("__payload").isNotNull() & F.col("__used").isNull(), F.col("__payload")).otherwise(
+    shown = F.when(F.col("__payload").isNotNull() & ~F.col("__used"), F.col("__payload")).otherwise(
         F.concat(F.lit("datapipe:"), F.col("key"))
     )
     return out.withColumn(

@@ -186,12 +186,12 @@ def action_log(spark: SparkSession, sf_dir: str):
                  F.lit('"}')).alias("data"),
         F.concat(F.lit("Output of "), F.col("event_type")).alias("description"),
     )
-    refs = tr.resolve_refs(actions, results, ["run_id"], ["event_id"])
-    return actions, results, refs
+    return actions, results, tr.call_args(actions, ["run_id"], ["event_id"])
 
 
 def action_refs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    _, _, refs = action_log(spark, sf_dir)
+    actions, results, _ = action_log(spark, sf_dir)
+    refs = tr.resolve_refs(actions, results, ["run_id"], ["event_id"])
     return refs.select("event_id", "arg_no", "arg", "ref_key", "resolved", "value")
 
 
