@@ -99,6 +99,15 @@ def drop_path(spark: SparkSession, path: str) -> None:
     target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
 
 
+def write_table(df, name: str = "intermediate") -> str:
+    """Write ``df`` as a Parquet table of its own under the shared checkpoint folder; the table's path."""
+    import uuid
+
+    path = scratch_path(df.sparkSession, f"tables/{name}-{uuid.uuid4().hex[:12]}")
+    df.write.mode("overwrite").parquet(path)
+    return path
+
+
 def materialize(df, name: str = "intermediate"):
     """Cut the lineage of an intermediate result: write it as a Parquet table under the shared checkpoint folder
     (reliable storage, survives executor loss) and continue from the written table.
@@ -109,9 +118,4 @@ def materialize(df, name: str = "intermediate"):
     no file is opened to infer it. The folder lives as long as the checkpoint folder, since the lazy result still
     reads it.
     """
-    import uuid
-
-    spark = df.sparkSession
-    path = scratch_path(spark, f"tables/{name}-{uuid.uuid4().hex[:12]}")
-    df.write.mode("overwrite").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(write_table(df, name))
