@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from wellspark.llm import exact_dedup, ngram_join, packing, pii, toxicity
 from wellspark.llm.queries import CAPACITY, END_ID, vocabulary
-from wellspark.session import materialize
+from wellspark.session import drop_path, write_table
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -57,7 +57,13 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(os.path.join(sf_dir, "documents.parquet"))
+    """The last stage's rows. A stage's table is dropped when the next one's is written."""
+    docs, before = spark.read.parquet(os.path.join(sf_dir, "documents.parquet")), None
     for name, stage in STAGES:
-        docs = materialize(stage(spark, docs, sf_dir), f"stage-{name}")
+        found = stage(spark, docs, sf_dir)
+        path = write_table(found, f"stage-{name}")
+        docs = spark.read.schema(found.schema).parquet(path)
+        if before:
+            drop_path(spark, before)
+        before = path
     return docs
