@@ -83,14 +83,15 @@ def test_the_index_is_neither_shuffled_nor_sorted_after_three_appends(spark):
     assert got == {b"%d" % i: i % 100 if i % 100 < 50 else None for i in range(40, 160)}
 
 
-def test_a_batch_that_is_run_again_gives_the_same(spark):
+def test_a_batch_that_is_run_again_gives_the_same(spark, monkeypatch):
+    monkeypatch.setattr(exact_dedup, "MOST_GENERATIONS", 2)
     index = exact_dedup.new_index(spark, buckets=4)
     batches = [spark.createDataFrame([(10 * b + i, f"text {i % 4 + b}") for i in range(6)], "doc_id long, text string")
-               for b in range(9)]
+               for b in range(4)]
     first = [sorted(map(tuple, exact_dedup.dedup(docs, index).collect())) for docs in batches]
     rows = index.read().count()
     again = [sorted(map(tuple, exact_dedup.dedup(docs, index).collect())) for docs in batches]
-    assert again == first and index.read().count() == rows == 12
+    assert again == first and index.read().count() == rows == 7
     assert len(index.generations) <= exact_dedup.MOST_GENERATIONS  # merged on the way
     reopened = exact_dedup.DigestIndex(spark, index.table, index.path, 4)
     assert reopened.generations == index.generations
@@ -166,8 +167,8 @@ def test_large_groups_are_compared_in_blocks(spark, monkeypatch):
 @pytest.mark.parametrize("chained", [4, 10 ** 6])
 def test_a_long_chain_of_shared_buckets_is_compared_bucket_by_bucket(spark, monkeypatch, chained):
     """Windows that slide over one text: neighbours are similar, the ends have nothing in common."""
-    words = [f"w{i}" for i in range(2600)]
-    texts = {i: " ".join(words[6 * i : 6 * i + 120]) for i in range(400)}
+    words = [f"w{i}" for i in range(1400)]
+    texts = {i: " ".join(words[6 * i : 6 * i + 120]) for i in range(200)}
     texts |= {1000 + i: t for i, t in enumerate(list(texts.values())[:30])}
     monkeypatch.setattr(ngram_join, "BLOCK_CLASSES", 16)
     monkeypatch.setattr(ngram_join, "CHAINED", chained)
@@ -179,7 +180,7 @@ def test_a_long_chain_of_shared_buckets_is_compared_bucket_by_bucket(spark, monk
            for r in ngram_join.ngram_join(docs, small=2).collect()}
     assert got == brute_groups(texts) and len({v[0] for v in got.values()}) == 1
     sizes = [r["count"] for r in compared[0].groupBy("grp").count().collect()]
-    assert max(sizes) < 40 if chained == 4 else max(sizes) > 300  # the work is that of the buckets, not of the chain
+    assert max(sizes) < 40 if chained == 4 else max(sizes) > 150  # the work is that of the buckets, not of the chain
 
 
 def test_odd_rows_of_the_join(spark, odd):
