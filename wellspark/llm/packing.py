@@ -1,8 +1,8 @@
 """Best-fit packing of token pieces into sequences of a fixed capacity, in bulk-synchronous rounds.
 
-Method. Pieces are put in order of length and every piece gets its rank within its length (the range sort: a
-distributed count per length and salt bucket, then prefix sums). Open sequences are kept the same way, by the gap
-they have left and a rank within that gap. One round is
+Method. Pieces are range-sorted by length and every piece gets its rank within its length (its place in its range plus
+the counts of the ranges before). Open sequences are kept the same way, by the gap they have left and a rank within that
+gap. One round is
 
 1. a successor sweep from the longest waiting length to the shortest: each length takes the smallest gaps that hold
    it (:func:`successor_sweep`). The sweep works on *runs* of equal lengths and equal gaps, so it needs the number of
@@ -66,20 +66,24 @@ def token_pieces(docs: DataFrame, tokenizer: str, capacity: int = 1024, end_id:
 
 
 def ranked(rows: DataFrame, cls: str, order: list[str]) -> DataFrame:
-    """Add ``rank``: 0, 1, 2, ... within each value of ``cls``, without one task per value.
+    """Add ``rank``: 0, 1, 2, ... within each value of ``cls``, by a range sort.
 
-    Rows are numbered inside (value, salt) groups; the counts of those groups, summed over the salts, give each group
-    its first number. A value that most rows share is spread over as many groups as there are shuffle partitions.
+    Rows are dealt to ranges of (value, hash of ``order``), so that a value that most rows share lies in many ranges, and
+    are sorted there. A row's rank is its place among its value's rows of the range plus their number in the ranges
+    before. Ranges follow each other, so there are at most as many (value, range) runs as values and ranges together:
+    few enough to be broadcast. The sorted rows are a written table, as the places must not change between reads.
     """
-    salts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    salted = rows.withColumn("salt_", F.pmod(F.xxhash64(*order), F.lit(salts)))
-    inside = Window.partitionBy(cls, "salt_").orderBy(*order)
-    numbered = salted.withColumn("nth_", F.row_number().over(inside) - 1)
-    before = Window.partitionBy("cls_").orderBy("s_").rowsBetween(Window.unboundedPreceding, -1)
-    base = (salted.groupBy(F.col(cls).alias("cls_"), F.col("salt_").alias("s_")).agg(F.count("*").alias("n_"))
-            .withColumn("base_", F.coalesce(F.sum("n_").over(before), F.lit(0))).drop("n_"))
-    joined = numbered.join(base, (F.col(cls) == F.col("cls_")) & (F.col("salt_") == F.col("s_")))
-    return joined.withColumn("rank", F.col("base_") + F.col("nth_")).drop("salt_", "nth_", "base_", "cls_", "s_")
+    ranges = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    by = [F.col(cls).desc(), F.xxhash64(*order)]
+    dealt = rows.repartitionByRange(ranges, *by).sortWithinPartitions(*by, *order)
+    row_of_task = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))
+    placed = materialize(dealt.withColumns({"range_": F.spark_partition_id(), "place_": row_of_task}), "sorted")
+    before = Window.partitionBy("cls_").orderBy("r_").rowsBetween(Window.unboundedPreceding, -1)
+    runs = (placed.groupBy(F.col(cls).alias("cls_"), F.col("range_").alias("r_"))
+            .agg(F.count("*").alias("n_"), F.min("place_").alias("first_"))
+            .withColumn("base_", F.coalesce(F.sum("n_").over(before), F.lit(0)) - F.col("first_")))
+    joined = placed.join(F.broadcast(runs), (F.col(cls) == F.col("cls_")) & (F.col("range_") == F.col("r_")))
+    return joined.select(*rows.columns, (F.col("base_") + F.col("place_")).alias("rank"))
 
 
 def successor_sweep(waiting: dict[int, tuple[int, int]], gaps: dict[int, int]):
