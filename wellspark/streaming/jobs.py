@@ -16,11 +16,12 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Callable, Sequence
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wellspark.session import scratch_path
+from wellspark.session import BASE_CONF, scratch_path
 
 
 def interval_metrics(times: Column) -> dict[str, Column]:
@@ -106,6 +107,22 @@ def dedup(stream: DataFrame, id_cols: Sequence[str], ts: str, delay: str = "1 ho
     return stream.withWatermark(ts, delay).dropDuplicatesWithinWatermark(list(id_cols))
 
 
+@contextmanager
+def rocksdb_state(spark: SparkSession):
+    """State in RocksDB for the queries that are started inside, whatever the session says: arbitrary keyed state needs
+    it. A query keeps the settings that it was started with."""
+    key = "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(key, None)
+    spark.conf.set(key, BASE_CONF[key])
+    try:
+        yield
+    finally:
+        if before is None:
+            spark.conf.unset(key)
+        else:
+            spark.conf.set(key, before)
+
+
 MARK = "is_end_mark"
 END_OF_TIME = "2200-01-01 00:00:00"  # within the nanosecond times of pandas, which keyed state reads
 
@@ -129,8 +146,10 @@ def run_closed(
     found = build(stream.withColumn(MARK, F.lit(False)).unionByName(marks))
 
     def go_on() -> None:
-        found.writeStream.format("parquet").outputMode("append").option("path", out_path).option(
-            "checkpointLocation", ckpt).trigger(availableNow=True).start().awaitTermination()
+        with rocksdb_state(spark):
+            query = found.writeStream.format("parquet").outputMode("append").option("path", out_path).option(
+                "checkpointLocation", ckpt).trigger(availableNow=True).start()
+        query.awaitTermination()
 
     go_on()
     mark = [F.lit(END_OF_TIME).cast(f.dataType).alias(f.name) if f.name == ts else F.lit(True).alias(MARK)
