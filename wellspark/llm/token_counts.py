@@ -24,6 +24,8 @@ from pyspark.sql import functions as F
 
 from wellspark.llm import chunks
 
+SLICE_BYTES = 8 << 20  # texts counted at once: the memory's look-up is made anew for each slice
+
 
 class LongestMatch:
     """``count(word bytes)``: the number of pieces of greedy longest match, or None where a byte is in no piece."""
@@ -108,7 +110,7 @@ def token_counts(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_
 
     def run(batches):
         counter = chunks.codec(Counter, vocabulary)
-        for ids, texts in chunks.slices(batches):
+        for ids, texts in chunks.slices(batches, SLICE_BYTES):
             n_words, n_tokens = counter.counts(texts)
             yield pa.RecordBatch.from_arrays([ids, pa.array(n_words), pa.array(n_tokens)],
                                              ["doc_id", "n_words", "n_tokens"])
