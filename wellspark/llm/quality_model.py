@@ -93,7 +93,8 @@ def strength(groups: DataFrame, total: str, n: str, prior: Column) -> Column:
 
 def classify(docs: DataFrame, evidence: Column, labels: DataFrame, host: Column, path: Column, id_col: str = "doc_id",
              text_col: str = "text", label_col: str = "quality") -> DataFrame:
-    """doc_id, p_doc, p_host, p_path, quality, kept. ``labels``: id_col and label_col (0 or 1)."""
+    """doc_id, p_doc, p_host, p_path, quality, kept. ``labels``: id_col and label_col (0 or 1). In the odds a record below
+    0.001 or above 0.999 counts as these, so that no site outweighs every text."""
     plain = docs.select(F.col(id_col).alias("id_"), F.col(text_col).alias("text_"),
                         F.coalesce(host.cast("string"), F.lit("")).alias("host"),
                         F.coalesce(path.cast("string"), F.lit("")).alias("path"))
