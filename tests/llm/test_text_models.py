@@ -306,7 +306,8 @@ def test_site_records_against_brute_force(spark):
             p_host = (less(hs)[0] + kh * mu) / (less(hs)[1] + kh)
             p_path = (less(ps)[0] + kp * p_host) / (less(ps)[1] + kp)
             if r["p_host"] == pytest.approx(p_host) and r["p_path"] == pytest.approx(p_path):
-                odds = math.log(r["p_doc"] / (1 - r["p_doc"])) + math.log(p_path / (1 - p_path)) - math.log(mu / (1 - mu))
+                site = max(0.001, min(0.999, p_path))  # the documented bound
+                odds = math.log(r["p_doc"] / (1 - r["p_doc"])) + math.log(site / (1 - site)) - math.log(mu / (1 - mu))
                 assert r["quality"] == pytest.approx(1 / (1 + math.exp(-odds)))
                 break
         else:
