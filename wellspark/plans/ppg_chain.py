@@ -29,6 +29,7 @@ CHUNK = SECONDS * HZ
 KEYS = ["user_id"]
 GROUP = ["user_id", "chunk_id"]
 ORDER = ["ts", "event_id"]
+SAMPLE_ORDER = ["ts", "tie"]
 DIGITS = 6  # features are rounded before scaling, so that chunks alike stay alike whatever the order of a sum
 
 
@@ -38,21 +39,23 @@ def _events(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _event_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
     zero = (F.col("event_type") == "error") & (F.col("value") >= 100)
-    return _events(spark, sf_dir).select("event_id", "user_id", "ts", "value", zero.alias("zero"))
+    return _events(spark, sf_dir).select("event_id", "user_id", "ts", "value", zero.alias("zero"), F.col("event_id").alias("tie"))
 
 
 def _line_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
     zero = (F.col("l_quantity") >= 49) & (F.col("l_linenumber") == 1) & (F.col("l_discount") == 0)
     return table(spark, sf_dir, "lineitem").select(
         (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("event_id"), (F.col("l_suppkey") % 10).alias("user_id"),
-        F.col("l_shipdate").alias("ts"), (F.col("l_extendedprice") / 1000).alias("value"), zero.alias("zero"))
+        F.col("l_shipdate").alias("ts"), (F.col("l_extendedprice") / 1000).alias("value"), zero.alias("zero"),
+        # an order may hold a line number twice
+        F.struct("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", "l_quantity").alias("tie"))
 
 
 def _segment(samples: DataFrame, seconds: int) -> DataFrame:
     """The last segment's samples in chunks of so many seconds of the sampling clock; written once, as the row numbers
     and the first times read it again."""
-    seg = materialize(ppg.last_segment(samples, KEYS, ORDER, F.col("zero")), "segment")
-    numbered = row_number_across_buckets(seg, KEYS, ORDER, "row_no")
+    seg = materialize(ppg.last_segment(samples, KEYS, SAMPLE_ORDER, F.col("zero")), "segment")
+    numbered = row_number_across_buckets(seg, KEYS, SAMPLE_ORDER, "row_no")
     clock = F.timestamp_micros((F.col("row_no") - 1) * (1_000_000 // HZ))
     return ppg.time_chunks(numbered.withColumn("clock", clock), KEYS, "clock", seconds)
 
@@ -162,7 +165,8 @@ _EVENT_SAMPLES = """ev AS (
 _LINE_SAMPLES = """ev AS (
   SELECT l_orderkey * 10 + l_linenumber AS event_id, l_suppkey % 10 AS user_id, l_extendedprice / 1000 AS value,
          (l_quantity >= 49 AND l_linenumber = 1 AND l_discount = 0) AS z,
-         row_number() OVER (PARTITION BY l_suppkey % 10 ORDER BY l_shipdate, l_orderkey * 10 + l_linenumber) AS rn
+         row_number() OVER (PARTITION BY l_suppkey % 10 ORDER BY l_shipdate, l_orderkey, l_linenumber, l_partkey, l_suppkey,
+                            l_extendedprice, l_quantity) AS rn
   FROM lineitem),
 """
 _SEGMENT_SQL = """m AS (SELECT *, z AND COALESCE(NOT lag(z) OVER (PARTITION BY user_id ORDER BY rn), TRUE) AS is_start FROM ev),
