@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from wellspark.functions.numeric import round2
 from wellspark.operators import nutrition as nu
-from wellspark.plans.nutrition import FOODS_SQL, foods
+from wellspark.plans.nutrition import FOODS_SQL, foods_of
 from wellspark.session import scratch_path
 from wellspark.sources import readers, schemas, sinks
 from wellspark.sources.tables import table
@@ -108,14 +108,23 @@ def files_dataset(spark: SparkSession, sf_dir: str) -> DataFrame:
     return readers.read_string_table(spark, path)
 
 
+DOCS_PER_FILE = 250_000  # compressed text is read by one task a file
+
+
 def files_nutrition(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One JSON document per order line group of at most eight foods, folded again."""
+    """One JSON document per order line group of at most eight foods, folded again.
+
+    The lines meet as the table has them, before the wider foods are derived, and the documents, mostly field names, are
+    written compressed in files of a bounded number of them."""
     path = _folder(spark, "nutrition")
-    f = foods(spark, sf_dir)
+    piece = F.floor(F.col("l_linenumber") / 8)
+    lines = table(spark, sf_dir, "lineitem").select(
+        "l_orderkey", "l_linenumber", "l_shipdate", "l_quantity", "l_extendedprice", "l_discount", "l_tax")
+    f = foods_of(lines.repartition("l_orderkey", piece)).drop("l_shipdate")
     values = [c for c in f.columns if c.startswith("nf_")]
-    docs = f.groupBy("l_orderkey", F.floor(F.col("l_linenumber") / 8).alias("piece")).agg(
+    docs = f.groupBy("l_orderkey", piece.alias("piece")).agg(
         F.collect_list(F.struct(F.concat(F.lit("order "), "l_orderkey").alias("food_name"), *values)).alias("foods"))
-    docs.select("foods").write.json(path)
+    docs.select("foods").write.option("maxRecordsPerFile", DOCS_PER_FILE).json(path, compression="gzip")
     read = nu.nested_totals(readers.read_nutrition_docs(spark, path))
     per_log = read.groupBy(F.col("foods")[0]["food_name"].alias("log")).agg(
         F.sum(F.size("foods")).cast("long").alias("n_foods"), *[F.sum(n).alias(n) for n in nu.NUTRIENT_FIELDS])
