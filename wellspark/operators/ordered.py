@@ -42,6 +42,19 @@ def join_back(df: DataFrame, small: DataFrame, keys: Sequence[str], how: str = "
     return df.withColumn("__key", F.struct(*_cols(keys))).join(side, on="__key", how=how).drop("__key")
 
 
+def join_back_by_bucket(df: DataFrame, small: DataFrame, keys: Sequence[str], bucket: Column) -> DataFrame:
+    """:func:`join_back` (inner) for keys that hold many rows: the per-key table is spread over the buckets of its keys
+    first, a table of one row per (key, bucket), so that a key's rows meet it in as many tasks as the key has buckets.
+
+    The rows are dealt out with an explicit count: adaptive execution would read them back in as few tasks as wrote them."""
+    others = [c for c in small.columns if c not in set(keys)]
+    x = _bucketed(df, keys, bucket)
+    groups = x.select("__group").distinct().select("__group", *[F.col(f"__group.{k}").alias(k) for k in keys])
+    spread = join_back(groups, small, keys).select("__group", *others)
+    dealt = x.repartition(int(x.sparkSession.conf.get("spark.sql.shuffle.partitions")), "__group")
+    return dealt.join(spread, on="__group").drop("__group")
+
+
 def lag_across_buckets(
     df: DataFrame,
     keys: Sequence[str],

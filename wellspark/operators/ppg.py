@@ -13,7 +13,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from wellspark.operators.ordered import day_bucket, join_back, lag_across_buckets, row_number_across_buckets
+from wellspark.operators.ordered import day_bucket, join_back_by_bucket, lag_across_buckets, row_number_across_buckets
 
 CHUNK_ROWS = 60 * 20  # 60 s at 20 Hz (fixed value of the reference)
 
@@ -49,7 +49,7 @@ def last_segment(
     Keys with fewer than two starts give no rows (the reference fails with IndexError there).
     The two latest starts come from the start rows only, in one pass and without a whole-key window: the two
     latest of every (key, bucket) by a bucket-local window, then the two latest of those candidates per key (at
-    most two rows per bucket); the per-key bounds are joined back.
+    most two rows per bucket); the per-key bounds are joined back bucket by bucket, to the rows as they came.
     ``closing_flag`` names an optional boolean output column that is true on the closing row (the last start).
     """
     keys = list(keys)
@@ -74,7 +74,7 @@ def last_segment(
         )
         .where(F.col("__second").isNotNull())
     )
-    out = join_back(marked.drop("__start"), bounds, keys).where(
+    out = join_back_by_bucket(df, bounds, keys, b).where(
         (pos >= F.col("__second")) & (pos <= F.col("__last")))
     if closing_flag:
         out = out.withColumn(closing_flag, pos == F.col("__last"))
@@ -103,13 +103,17 @@ def time_chunks(
     """W3 by time: ``chunk_id = floor((ts - the key's first ts) / seconds)``, whatever the sampling rate and however long
     a pause (a pause leaves chunk numbers out). Rows without a time have no chunk (NULL).
 
-    The first times are a grouped minimum (combined map-side), joined back; no window, and no row number.
+    The first times are a grouped minimum per (key, day), combined map-side, whose least per key is found in that small
+    table and joined back day by day; no window over the rows, and no row number.
     """
     keys = list(keys)
-    first = df.groupBy(*keys).agg(F.min(micros(ts)).alias("__us0"))
+    day = F.to_date(F.col(ts).cast("timestamp"))
+    x = df.withColumn("__group", F.struct(*[F.col(k) for k in keys], day.alias("__day")))
+    whole = Window.partitionBy(*[F.col(f"__group.{k}") for k in keys])  # one row per day
+    first = x.groupBy("__group").agg(F.min(micros(ts)).alias("__us0")).withColumn("__us0", F.min("__us0").over(whole))
     length = F.lit(int(round(seconds * 1_000_000)))
-    return join_back(df, first, keys).withColumn(
-        out, F.floor((micros(ts) - F.col("__us0")) / length).cast("long")).drop("__us0")
+    return x.join(first, on="__group").withColumn(
+        out, F.floor((micros(ts) - F.col("__us0")) / length).cast("long")).drop("__us0", "__group")
 
 
 def micros(ts: str) -> Column:
