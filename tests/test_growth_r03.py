@@ -3,14 +3,16 @@
 import datetime as dt
 import glob
 import os
+import re
 
 import pytest
 from pyspark.sql import functions as F
 
 from wellspark.functions.numeric import round2
 from wellspark.operators import nutrition as nu, ppg
-from wellspark.plans import files
+from wellspark.plans import files, streams
 from wellspark.plans.nutrition import foods_of
+from wellspark.streaming import jobs
 
 
 @pytest.fixture()
@@ -73,3 +75,40 @@ def test_documents_of_meals_are_written_compressed_in_bounded_files(spark, tmp_p
     text = [r.value for r in spark.read.text(folder).collect()]
     assert len(parts) >= len(text) / 20
     assert sum(os.path.getsize(p) for p in parts) < sum(map(len, text)) / 2
+
+
+def test_daily_nutrients_end_with_the_last_batch_of_data(spark, tmp_path, monkeypatch):
+    rows = [(o, n, dt.datetime(2024, 1, 1 + 5 * (o % 5)), float(o + n), 10.0 * o, 0.05, 0.02) for o in range(1, 60) for n in (1, 2)]
+    rows += [rows[0], (None, 1, dt.datetime(2024, 1, 2), 1.0, 1.0, 0.0, 0.0)]
+    lines = spark.createDataFrame(rows, "l_orderkey long, l_linenumber int, l_shipdate timestamp_ntz, l_quantity double, "
+                                        "l_extendedprice double, l_discount double, l_tax double")
+    orders = spark.createDataFrame([(o, o % 7) for o in range(1, 50)] + [(3, 3)], "o_orderkey long, o_custkey long")
+    lines.write.parquet(f"{tmp_path}/lineitem.parquet")
+    orders.write.parquet(f"{tmp_path}/orders.parquet")
+    monkeypatch.setattr(jobs, "scratch_path", lambda spark, name: f"{tmp_path}/{name}")
+
+    got = {(r.o_custkey, r.day): r for r in streams.stream_daily_nutrients(spark, str(tmp_path)).collect()}
+    f = foods_of(lines).join(orders, F.col("l_orderkey") == F.col("o_orderkey"))
+    want = f.groupBy("o_custkey", F.to_date("l_shipdate").alias("day")).agg(
+        F.count(F.lit(1)).alias("n_foods"), *[F.sum(F.coalesce(f, F.lit(0.0))).alias(n) for n, f in nu.NUTRIENT_FIELDS.items()]).collect()
+    assert len(got) == len(want)
+    for r in want:
+        g = got[r.o_custkey, r.day]
+        assert g.n_foods == r.n_foods and all(abs(g[n] - r[n]) < 0.011 for n in nu.NUTRIENT_FIELDS)
+    assert len(glob.glob(f"{tmp_path}/streams/*/checkpoint/commits/[0-9]*")) == 1
+
+
+def test_the_latest_batch_counts_whole_nulls_too(spark, tmp_path):
+    for i, v in enumerate((1.0, None)):
+        spark.createDataFrame([("a", v), (f"b{i}", 2.0)], "k string, v double").coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+    stream = spark.readStream.schema("k string, v double").option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in")
+    found = stream.groupBy("k").agg(F.count(F.lit(1)).alias("n"), F.when(F.count(F.lit(1)) == 1, F.max("v")).alias("once"))
+    got = jobs.run_to_table(spark, found, "latest", group_keys=["k"], evict_at_end=False)
+    assert sorted((r.k, r.n, r.once) for r in got.collect()) == [("a", 2, None), ("b0", 1, 2.0), ("b1", 1, 2.0)]
+
+
+def test_risk_texts_generate_no_method_too_long_to_compile(spark, capsys):
+    values = ", ".join(f"{n} double" for n in nu.NUTRIENT_FIELDS)
+    nu.risk_rules(spark.createDataFrame([(1.0,) * len(nu.NUTRIENT_FIELDS)], values)).explain("codegen")
+    sizes = [int(n) for n in re.findall(r"maxMethodCodeSize:(\d+)", capsys.readouterr().out)]
+    assert all(n < 8000 for n in sizes)

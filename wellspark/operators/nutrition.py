@@ -16,6 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from wellspark.functions.numeric import pct_trunc, safe_div
+from wellspark.functions.text import let
 
 # ---------------------------------------------------------------------------------------------------------
 # Fixed values that must equal the reference's: nutrient names and their source fields, calorie factors,
@@ -167,7 +168,14 @@ def _msg(template: str, **parts: Column) -> Column:
 
 def number_text(c: Column) -> Column:
     """Python ``f"{x}"`` for a double: ``43.0``, ``12345678.5``, ``1e+16``, ``1e-05``. The digits are those of the JVM,
-    which beyond some 1e17 are not always the shortest."""
+    which beyond some 1e17 are not always the shortest.
+
+    As a function of one value it stays out of the code that Spark generates for a whole stage: several of these texts
+    side by side make a method too long for the JVM to compile."""
+    return let(c, _number_text)
+
+
+def _number_text(c: Column) -> Column:
     shortest = c.cast("string")  # the same digits, in scientific form outside 1e-3 to 1e7
     plain = F.regexp_replace(shortest.try_cast("decimal(38,20)").cast("string"), "0+$", "")
     plain = F.when(plain.endswith("."), F.concat(plain, F.lit("0"))).otherwise(plain)

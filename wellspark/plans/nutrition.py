@@ -21,10 +21,11 @@ def foods(spark: SparkSession, sf_dir: str) -> DataFrame:
     return foods_of(table(spark, sf_dir, "lineitem")).drop("l_shipdate")
 
 
-def foods_of(li: DataFrame) -> DataFrame:
-    """Per-food nutrient values of line items (batch or streaming input)."""
+def foods_of(li: DataFrame, *keep: str) -> DataFrame:
+    """Per-food nutrient values of line items (batch or streaming input), with the columns named in ``keep`` as they are."""
     q, ep, d, t = (F.col(c) for c in ("l_quantity", "l_extendedprice", "l_discount", "l_tax"))
     return li.select(
+        *keep,
         "l_orderkey",
         "l_linenumber",
         "l_shipdate",

@@ -112,8 +112,15 @@ def rocksdb_state(spark: SparkSession):
     """State in RocksDB for the queries that are started inside, whatever the session says: arbitrary keyed state needs
     it. A query keeps the settings that it was started with."""
     key = "spark.sql.streaming.stateStore.providerClass"
+    with session_setting(spark, key, BASE_CONF[key]):
+        yield
+
+
+@contextmanager
+def session_setting(spark: SparkSession, key: str, value: str):
+    """A setting of the session for the queries that are started inside; the session's own comes back."""
     before = spark.conf.get(key, None)
-    spark.conf.set(key, BASE_CONF[key])
+    spark.conf.set(key, value)
     try:
         yield
     finally:
@@ -159,9 +166,12 @@ def run_closed(
     return spark.read.schema(found.schema).parquet(out_path).where(~F.col(MARK)).drop(MARK)
 
 
+NO_DATA_BATCHES = "spark.sql.streaming.noDataMicroBatches.enabled"
+
+
 def run_to_table(
     spark: SparkSession, query_df: DataFrame, name: str, group_keys: Sequence[str] | None = None,
-    mode: str = "update",
+    mode: str = "update", evict_at_end: bool = True,
 ) -> DataFrame:
     """Run a streaming DataFrame over everything available now and return its final result as a batch table.
 
@@ -172,6 +182,9 @@ def run_to_table(
     ``group_keys`` None (append-only streams): file sink in append mode.
     ``mode="complete"``: every batch writes the whole result and the last batch is kept; all groups stay in state, so
     this suits replays of bounded inputs only. Sessions run in append mode (:func:`run_closed`).
+    ``evict_at_end`` False leaves out the batch without data that follows the last one: of an aggregation in update mode
+    it emits nothing, and only clears the groups that the watermark passed, over the whole state and its upstream joins.
+    A run that goes on from the checkpoint clears them in its first batch.
     """
     run = f"{name}-{uuid.uuid4().hex[:12]}"
     out_path = scratch_path(spark, f"streams/{run}/out")
@@ -187,17 +200,17 @@ def run_to_table(
     def write_batch(batch: DataFrame, batch_id: int) -> None:
         batch.write.mode("overwrite").parquet(f"{out_path}/stream_batch={batch_id}")
 
-    q = (
-        query_df.writeStream.outputMode(mode).foreachBatch(write_batch)
-        .option("checkpointLocation", ckpt).trigger(availableNow=True).start()
-    )
+    closing = spark.conf.get(NO_DATA_BATCHES) if evict_at_end else "false"
+    with session_setting(spark, NO_DATA_BATCHES, closing):
+        q = (
+            query_df.writeStream.outputMode(mode).foreachBatch(write_batch)
+            .option("checkpointLocation", ckpt).trigger(availableNow=True).start()
+        )
     q.awaitTermination()
     written = spark.read.schema(query_df.schema.add("stream_batch", "long")).parquet(out_path)
     if mode == "complete":
         last = written.agg(F.max("stream_batch").alias("stream_batch"))
         return written.join(F.broadcast(last), "stream_batch").drop("stream_batch")  # one-row side
     cols = [c for c in written.columns if c not in group_keys and c != "stream_batch"]
-    latest = written.groupBy(*group_keys).agg(
-        F.max_by(F.struct(*[F.col(c) for c in cols]), F.col("stream_batch")).alias("__v")
-    )
-    return latest.select(*group_keys, *[F.col(f"__v.{c}").alias(c) for c in cols])
+    # a batch holds a group once, so all columns come from one row; plain columns are aggregated by hash, a struct by sorting
+    return written.groupBy(*group_keys).agg(*[F.max_by(c, "stream_batch").alias(c) for c in cols])
